@@ -13,7 +13,8 @@ nor judge a host with few pages. So a branch is also left out by what its markup
 and where an article or main element has text, only what lies in it is taken.
 
 Contents are counted per distinct page, in two combined steps; a host of any size is many
-(node, content) keys. Pages are not shuffled: hosts' low nodes are joined to them.
+(node, content) keys. Pages are not shuffled: hosts' low nodes are joined to them. A page that
+the tree would leave without any text (mirrors of one article) is taken without the tree.
 
 Nulls: null html is an empty page with text ""; a null or odd URL counts as host "". Repeated
 pages count once in the tree and are extracted each. Whole pages are read, and nothing but
@@ -51,8 +52,10 @@ BOILERPLATE_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset(["main"])
 
-MIN_PAGES = 5
-LOW, LOW_IN_MAIN = 0.3, 0.1
+#: Distinct pages of a host that must show a node, and the importance below which it is left out; inside an
+#: article or main element far more evidence is asked for.
+MIN_PAGES, MIN_PAGES_IN_MAIN = 5, 20
+LOW, LOW_IN_MAIN = 0.3, 0.02
 CONTENT_SHARE = 0.9
 
 
@@ -183,7 +186,8 @@ def main_text(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterato
     for pages, low, low_in_main in batches:
         out = []
         for i in range(0, len(pages), 256):
-            out += ["\n".join(walker.walk(html or "", frozenset(a or ()), frozenset(b or ()))) for html, a, b in zip(*(x.slice(i, 256).to_pylist() for x in (pages, low, low_in_main)))]
+            for html, a, b in zip(*(x.slice(i, 256).to_pylist() for x in (pages, low, low_in_main))):
+                out.append("\n".join(walker.walk(html or "", frozenset(a or ()), frozenset(b or ())) or (a or b) and walker.walk(html or "") or ()))
         yield pa.array(out, pa.string())
 
 
@@ -204,7 +208,7 @@ def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id", out: str = "text") -> DataFrame:
     """pages with the main text of each."""
-    tree = importance(pages, url_col, html_col).where(F.col("pages") >= MIN_PAGES)
+    tree = importance(pages, url_col, html_col).where(F.col("pages") >= F.when(F.col("main"), MIN_PAGES_IN_MAIN).otherwise(MIN_PAGES))
     low = tree.groupBy("host").agg(F.collect_set(F.when(~F.col("main") & (F.col("importance") < LOW), F.col("path"))).alias("_hn_low"), F.collect_set(F.when(F.col("main") & (F.col("importance") < LOW_IN_MAIN), F.col("path"))).alias("_hn_low_in_main"))
     low = low.where((F.size("_hn_low") > 0) | (F.size("_hn_low_in_main") > 0)).withColumnRenamed("host", "_hn_host")
     low = materialize(low, "style-trees")

@@ -96,7 +96,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     run = run.withColumn("whole", whole).withColumn("rest", rest).withColumn("part", part)
     of = segments(schedules)
     position = lambda k: invert(((k * F.col("source_size") + F.col("start")).cast("double") + 0.5) / (F.col("target") + 1), of)
-    copy = lambda k: F.struct(k.cast("int").alias("copy"), F.when(k < F.col("whole"), F.col("size")).otherwise(F.col("part")).alias("words"), position(k).alias("position"))
+    copy = lambda k: F.struct(k.cast("int").alias("copy"), F.when(k < F.col("whole"), F.col("size")).when(k == F.col("whole"), F.col("part")).otherwise(0).alias("words"), position(k).alias("position"))
     copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_repeat)), copy), lambda c: c["words"] > 0)
     return run.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), copies.alias("copies"))
 
