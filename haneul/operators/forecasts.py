@@ -81,3 +81,63 @@ def overdue(df: DataFrame, notices: DataFrame, days: int = 2) -> DataFrame:
 def in_range(df: DataFrame, ranges: DataFrame) -> DataFrame:
     """Rows with `valid`: the value lies in its indicator's range; an indicator without range is not valid."""
     return df.join(F.broadcast(ranges), "indicator", "left").withColumn("valid", F.coalesce(F.col("value").between(F.col("low"), F.col("high")), F.lit(False)))
+
+
+def overdue_by_gap(df: DataFrame, today: str, n: int = 4, margin: int = 21) -> DataFrame:
+    """Organisations whose latest release is longer ago than their last n gaps and a margin allow."""
+    days = df.select("org", F.to_date("published").alias("d")).distinct()
+    newest_first = W.partitionBy("org").orderBy(F.desc("d"))
+    gaps = days.withColumns({"gap": F.date_diff("d", F.lead("d").over(newest_first)), "_k": F.row_number().over(newest_first)}).where(F.col("_k") <= n)
+    late = gaps.groupBy("org").agg(F.max("d").alias("released"), F.max("gap").alias("longest_gap"))
+    age = F.date_diff(F.to_date(F.lit(today)), "released")
+    return late.withColumn("age", age).where(F.col("longest_gap").isNotNull() & (F.col("age") > F.col("longest_gap") + margin))
+
+
+def attach_announced(windows: DataFrame, announced: DataFrame, margin: int = 14) -> DataFrame:
+    """Windows with the first announced date of their organisation from `margin` days before to `margin` days after."""
+    near = F.col("announced").between(F.date_sub("start", margin), F.date_add("end", margin))
+    found = windows.join(announced, "org").where(near).groupBy("org", "start", "end").agg(F.min("announced").alias("announced"))
+    return windows.join(found, ["org", "start", "end"], "left")
+
+
+def next_date(dates: DataFrame, keys: list[str], today: str, column: str) -> DataFrame:
+    """The earliest date from today on."""
+    return dates.where(F.col(column) >= today).groupBy(*keys).agg(F.min(column).alias("next"))
+
+
+def default_year(df: DataFrame, keys: list[str], this_year: int) -> DataFrame:
+    """This year where there are figures for it, else the greatest."""
+    return df.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("year") == this_year, F.col("year"))), F.max("year")).alias("year"))
+
+
+def headline(df: DataFrame, keys: list[str], n: int = 4) -> DataFrame:
+    """Per event, the figure of the greatest year for each of the first n indicators in order of appearance."""
+    best = df.groupBy(*keys, "indicator").agg(F.min("ord").alias("first"), F.max_by(F.struct("year", "value"), F.struct("year", (-F.col("ord")).alias("o"))).alias("b"))
+    return best.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("first"))).where(F.col("place") <= n).select(*keys, "indicator", "place", F.col("b.year").alias("year"), F.col("b.value").alias("value"))
+
+
+def unseen_recent(issues: DataFrame, known: DataFrame, n: int = 3) -> DataFrame:
+    """The latest n issue dates of each organisation that aren't stored yet."""
+    days = issues.select("org", "published").distinct()
+    recent = days.withColumn("_k", F.row_number().over(W.partitionBy("org").orderBy(F.desc("published")))).where(F.col("_k") <= n).drop("_k")
+    return recent.join(known, ["org", "published"], "left_anti")
+
+
+def with_rationales(df: DataFrame, rationales: DataFrame) -> DataFrame:
+    """Forecasts with the text given for their organisation, date and indicator, whatever the year."""
+    return df.join(rationales.select("org", "published", "indicator", "rationale"), ["org", "published", "indicator"], "left")
+
+
+def collection_kind(days: DataFrame, releases: DataFrame, day: str = "day") -> DataFrame:
+    """Days with the latest release on or before them and what to collect: regular within a day, follow-ups
+    until day 22, else nothing. Releases and days meet on one timeline."""
+    line = days.select(F.col(day).alias("_d"), F.lit(1).alias("_side")).unionByName(releases.select(F.col("release").alias("_d"), F.lit(0).alias("_side")))
+    month = F.substring("_d", 1, 7)  # a release is looked for in this month's rows and, through carried values, in earlier months
+    within = W.partitionBy("_m").orderBy("_d", "_side").rowsBetween(W.unboundedPreceding, 0)
+    rel = F.when(F.col("_side") == 0, F.col("_d"))
+    placed = line.withColumn("_m", month).withColumn("_r", F.last(rel, ignorenulls=True).over(within))
+    months = placed.groupBy("_m").agg(F.max(rel).alias("_last"))  # a row per month
+    before = months.withColumn("_carry", F.last("_last", ignorenulls=True).over(W.orderBy("_m").rowsBetween(W.unboundedPreceding, -1))).drop("_last")
+    found = placed.where("_side = 1").join(F.broadcast(before), "_m", "left").withColumn("release", F.coalesce("_r", "_carry"))
+    gap = F.date_diff(F.to_date("_d"), F.to_date("release"))
+    return found.select(F.col("_d").alias(day), "release", F.when(gap <= 1, "regular").when(gap <= 22, "follow").otherwise("none").alias("kind")).distinct()

@@ -101,3 +101,54 @@ def derive(df: DataFrame, keys: list[str]) -> DataFrame:
 def published_at(period: str = "period"):
     """A month's figures come out at the end of the month two later."""
     return F.last_day(F.add_months(F.to_date(F.concat(F.col(period), F.lit("-01"))), 2))
+
+
+def annual_difference(df: DataFrame, keys: list[str], unit: float = 1.0) -> DataFrame:
+    """A year's level minus that of the year before, in units; null where that year is missing."""
+    before = df.select(*keys, (F.col("year") + 1).alias("year"), F.col("value").alias("before"))
+    return df.join(before, [*keys, "year"], "left").withColumn("difference", (F.col("value") - F.col("before")) / unit).drop("before")
+
+
+def last_years(df: DataFrame, keys: list[str], n: int = 2) -> DataFrame:
+    """The rows of each key's n greatest years."""
+    years = df.select(*keys, "year").distinct()
+    best = years.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("year")))).where(F.col("_k") <= n).drop("_k")
+    return df.join(best, [*keys, "year"], "left_semi")
+
+
+def thirteen_months(df: DataFrame, keys: list[str]) -> DataFrame:
+    """From the same month a year before a key's newest month, to that month."""
+    newest = df.groupBy(*keys).agg(F.max("period").alias("_newest"))
+    return df.join(newest, keys).where(F.col("period") >= shift_month(F.col("_newest"), -12)).drop("_newest")
+
+
+def with_changes(levels: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Levels with the change printed for them; null (not 0) where none is."""
+    return levels.join(changes.select(*keys, F.col("value").alias("change")), keys, "left")
+
+
+def carried_year(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """Rows (year, month) of printed tables name the year once: it is carried down until a blank row (both null)."""
+    order = W.partitionBy(*keys).orderBy(place).rowsBetween(W.unboundedPreceding, 0)
+    blank = F.col("year").isNull() & F.col("month").isNull()
+    blocks = rows.withColumn("_b", F.sum(blank.cast("int")).over(order))
+    inside = W.partitionBy(*keys, "_b").orderBy(place).rowsBetween(W.unboundedPreceding, 0)
+    year = F.last("year", ignorenulls=True).over(inside)
+    return blocks.withColumn("period", F.when(F.col("month").isNotNull() & year.isNotNull(), F.format_string("%04d-%02d", year.cast("int"), F.col("month").cast("int")))).drop("_b")
+
+
+def scale_of(df: DataFrame, keys: list[str], value: str = "n") -> DataFrame:
+    """Whole percent of the greatest value in each group: one number per group is joined back."""
+    most = df.groupBy(*keys).agg(F.max(value).alias("_most"))
+    return df.join(most, keys).withColumn("scale", F.when(F.col("_most") > 0, round_half_up(F.col(value) * 100.0 / F.col("_most"))).otherwise(F.lit(0)).cast("long")).drop("_most")
+
+
+def bar_geometry(df: DataFrame, keys: list[str], pad: float = 0.35) -> DataFrame:
+    """Where a bar begins and ends, as a share of the axis: from zero if a group's values have both signs,
+    else between the least and greatest value, padded by a share of their span."""
+    ends = df.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    signed = (F.col("_lo") < 0) & (F.col("_hi") > 0)
+    span = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
+    zero = F.when(signed, -F.col("_lo") / span).otherwise(0.0)
+    end = F.when(signed, (F.col("value") - F.col("_lo")) / span).otherwise((F.col("value") - F.col("_lo") + pad * span) / (span * (1 + 2 * pad)))
+    return df.join(ends, keys).withColumns({"bar_start": zero, "bar_end": end}).drop("_lo", "_hi")

@@ -1,0 +1,16 @@
+"""Ready plans over the tables, and the same questions in SQL."""
+
+from __future__ import annotations
+
+from . import series_plans, visit_plans
+from .registry import Plan
+
+_ALL = (visit_plans, series_plans)
+
+
+def queries() -> dict[str, Plan]:
+    return {name: plan for m in _ALL for name, plan in m.R.plans.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _ALL for name, sql in m.R.sql.items()}
