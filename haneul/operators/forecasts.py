@@ -113,7 +113,7 @@ def default_year(df: DataFrame, keys: list[str], this_year: int) -> DataFrame:
 def headline(df: DataFrame, keys: list[str], n: int = 4) -> DataFrame:
     """Per event, the figure of the greatest year for each of the first n indicators in order of appearance."""
     best = df.groupBy(*keys, "indicator").agg(F.min("ord").alias("first"), F.max_by(F.struct("year", "value"), F.struct("year", (-F.col("ord")).alias("o"))).alias("b"))
-    return best.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("first"))).where(F.col("place") <= n).select(*keys, "indicator", "place", F.col("b.year").alias("year"), F.col("b.value").alias("value"))
+    return best.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("first", "indicator"))).where(F.col("place") <= n).select(*keys, "indicator", "place", F.col("b.year").alias("year"), F.col("b.value").alias("value"))
 
 
 def unseen_recent(issues: DataFrame, known: DataFrame, n: int = 3) -> DataFrame:

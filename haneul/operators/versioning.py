@@ -79,3 +79,27 @@ def count_mismatches(expected: DataFrame, actual: DataFrame, key: str, required:
     e, a = expected.select(key, F.col("n").alias("expected")), actual.select(key, F.col("n").alias("actual"))
     j = e.join(a, key, "full").na.fill(0, ["expected", "actual"])
     return j.where((F.col("expected") != F.col("actual")) | (F.col(key).isin(required) & (F.col("actual") == 0)))
+
+
+def merge_schedules(stored: DataFrame, fresh: DataFrame, keys: list[str], day: str, today: str, keep_days: int = 3) -> DataFrame:
+    """Stored entries win over fresh ones of the same key; those older than keep_days before today go."""
+    added = fresh.dropDuplicates(keys).join(stored, keys, "left_anti")
+    return stored.unionByName(added).where(F.col(day) >= F.date_sub(F.to_date(F.lit(today)), keep_days))
+
+
+def overlay(rows: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
+    """Rows with the verdicts that exist for them; untouched rows keep their own."""
+    shared = [c for c in verdicts.columns if c != key]
+    new = verdicts.select(key, *(F.col(c).alias(f"_n_{c}") for c in shared))
+    j = rows.join(new, key, "left")
+    return j.select(*(F.coalesce(f"_n_{c}", c).alias(c) if c in shared else F.col(c) for c in rows.columns))
+
+
+def replace_run(manifest: DataFrame, ran: DataFrame, key: str) -> DataFrame:
+    """A partial run's manifest: collectors that ran are replaced, the others keep what they had."""
+    return manifest.join(ran.select(key), key, "left_anti").unionByName(ran)
+
+
+def shrunk(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that would be lost by replacing a table: anything here means that it must not be written."""
+    return before.select(*keys).distinct().join(after, keys, "left_anti")

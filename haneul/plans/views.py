@@ -77,7 +77,7 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vintage per order line: the supplier forecasts the part's brand; ord is the row's place in publication order."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     rows = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    ord_ = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    ord_ = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")
     half = F.when(F.col("p_size") % 3 == 0, "h1").when(F.col("p_size") % 3 == 1, "h2").otherwise("annual")
     return rows.select(ord_.alias("ord"), F.col("l_suppkey").alias("org"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("published"), (F.year("l_shipdate") + F.pmod(F.col("l_partkey"), F.lit(2)).cast("int")).alias("year"), half.alias("half"), F.col("p_brand").alias("indicator"), F.col("l_quantity").alias("value"))
 
@@ -120,7 +120,7 @@ VIEWS = {
             UNION ALL SELECT o_orderstatus, o_orderdate, o_totalprice, 'priority', o_orderpriority FROM orders
             UNION ALL SELECT o_orderstatus, o_orderdate, o_totalprice, 'segment', c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey) GROUP BY 1, 2, 3, 4), (VALUES ('headcount'), ('amount')) s(series)""",
     "sparse": "SELECT l_suppkey AS source, strftime(l_shipdate, '%Y-%m') AS period, CAST(count(*) AS DOUBLE) AS value FROM lineitem WHERE l_quantity > 48 GROUP BY 1, 2",
-    "forecast": "SELECT l_orderkey * 10 + l_linenumber AS ord, l_suppkey AS org, strftime(l_shipdate, '%Y-%m-%d') AS published, CAST(year(l_shipdate) + l_partkey % 2 AS INT) AS year, CASE p_size % 3 WHEN 0 THEN 'h1' WHEN 1 THEN 'h2' ELSE 'annual' END AS half, p_brand AS indicator, l_quantity AS value FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "forecast": "SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord, l_suppkey AS org, strftime(l_shipdate, '%Y-%m-%d') AS published, CAST(year(l_shipdate) + l_partkey % 2 AS INT) AS year, CASE p_size % 3 WHEN 0 THEN 'h1' WHEN 1 THEN 'h2' ELSE 'annual' END AS half, p_brand AS indicator, l_quantity AS value FROM lineitem JOIN part ON l_partkey = p_partkey",
     "report": "SELECT doc_id, lang AS org, source AS board, trim(split_part(coalesce(text, ''), chr(10), 1), ' ') AS title, text AS body, strftime(DATE '2021-01-01' + CAST((doc_id * 37) % 2000 AS INT), '%Y-%m-%d') AS published, n_chars FROM documents",
     "article": "SELECT r.doc_id, title, body, board AS press, strftime(DATE '2024-03-11' + CAST(r.doc_id % 30 AS INT), '%Y-%m-%d') AS pub, quality = 1 AS cites, quality IS NOT NULL AS judged, toxic FROM report r LEFT JOIN labels l ON r.doc_id = l.doc_id",
 }
