@@ -12,9 +12,10 @@ How it scales:
 * equal texts meet by hash in a combined count; only one row per text goes on;
 * in each bucket every text is held against the bucket's hub (the text with the most bucket
   company), a link per row, so a group of thousands of near copies costs thousands of pairs;
-* buckets that then still hold texts of several classes are resolved pair by pair across
-  classes, behind one-bit sketches compared inside the join (a pair at the threshold or above
-  passes but for about 1 in 10^6);
+* buckets that then still hold texts of several classes are resolved across classes. A pair
+  leaves the join only if two sketches allow the threshold: one bit a register (a pair at the
+  threshold or above passes but for about 1 in 10^6) and a map of occupied cells, whose bound
+  on the common shingles is exact; so near copies that are just too far apart make no rows;
 * shingle sets are rebuilt from the texts of candidates only;
 * every iteration is written to the shared folder.
 
@@ -78,12 +79,23 @@ def signature(elements: np.ndarray, weights: np.ndarray, registers: int = REGIST
     return kept
 
 
-_SIGNED = pa.struct([("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+#: Cells of an occupancy map, and its words of 64 bits (two bits a cell).
+CELLS = 256
+WORDS = 2 * CELLS // 64
+_SIGNED = pa.struct([("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("cells", pa.list_(pa.int64())), ("over", pa.int32())])
 
 
-@arrow_column("struct<n:int,bands:array<bigint>,bits:array<bigint>>")
+def occupancy(elements: np.ndarray) -> tuple[np.ndarray, int]:
+    """Shingles dealt over CELLS cells: bitmaps of the cells with one and with two or more, and how many lie
+    beyond two in a cell. The set bits that two maps share, and the lesser excess, bound the common shingles
+    from above, so a pair below a bound is below it for certain."""
+    counts = np.bincount((elements % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    return np.packbits(np.concatenate([counts > 0, counts > 1])).view(np.int64), int(np.maximum(counts - 2, 0).sum())
+
+
+@arrow_column("struct<n:int,bands:array<bigint>,bits:array<bigint>,cells:array<bigint>,over:int>")
 def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Number of distinct shingles, a hash per band, and a bit per register, of each whole text."""
+    """Number of distinct shingles, a hash per band, a bit per register, and the occupancy map of each whole text."""
     hashes = WordHashes()
     odd = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF for i in range(ROWS)], np.uint64)
     which = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
@@ -93,13 +105,13 @@ def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for text in part:
                 elements, weights = weights_of(shingles(text, hashes))
                 if not len(elements):
-                    rows.append((0, [], []))
+                    rows.append((0, [], [], [], 0))
                     continue
                 kept = signature(elements, weights)
                 with np.errstate(over="ignore"):
                     bands = mix((mix(kept.reshape(BANDS, ROWS)) * odd).sum(1, dtype=np.uint64) + which)
                 bits = np.packbits(np.pad((kept >> np.uint64(17)).astype(np.uint8) & 1, (0, 256 - REGISTERS)))
-                rows.append((len(elements), bands.view(np.int64), bits.view(np.int64)))
+                rows.append((len(elements), bands.view(np.int64), bits.view(np.int64), *occupancy(elements)))
         yield pa.StructArray.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SIGNED)] if rows else [pa.array([], t.type) for t in _SIGNED], fields=list(_SIGNED))
 
 
@@ -173,11 +185,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # buckets whose texts aren't yet in one class: pairs across classes, sketches first
     placed = shared.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_ = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    rest = placed.join(open_, "band", "left_semi").join(reps.select("rep", "s.n", "s.bits").withColumnRenamed("n", "size"), "rep").select("band", "rep", "label", "size", "bits")
+    rest = placed.join(open_, "band", "left_semi").join(reps.select("rep", "s.n", "s.bits", "s.cells", "s.over").withColumnRenamed("n", "size"), "rep").select("band", "rep", "label", "size", "bits", "cells", "over")
     rest = materialize(rest, "open")
     a, b = rest.alias("x"), rest.alias("y")
     bit = lambda i: F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i]))
     near = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size")) & (bit(0) + bit(1) + bit(2) + bit(3) <= MAX_BITS)
+    shared_cells = F.least("x.over", "y.over")
+    for i in range(WORDS):
+        shared_cells = shared_cells + F.bit_count(F.col("x.cells")[i].bitwiseAND(F.col("y.cells")[i]))
+    near = near & (shared_cells >= threshold / (1 + threshold) * (F.col("x.size") + F.col("y.size")) - 1e-6)
     across = a.join(b, (F.col("x.band") == F.col("y.band")) & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     across = across.join(stars, ["a", "b"], "left_anti")
     more = materialize(verify(across, sets, threshold), "links")
