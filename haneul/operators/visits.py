@@ -85,7 +85,7 @@ def daily_assembled(hits: DataFrame) -> DataFrame:
 
 def fill_days(rows: DataFrame, window: tuple[str, str], columns: list[str]) -> DataFrame:
     """A row for every day from the later of the window's start and the first day, zeros where nothing was; nothing in, nothing out."""
-    bounds = rows.agg(F.greatest(F.lit(window[0]), F.min("day")).alias("a")).where("a is not null")
+    bounds = rows.agg(F.min("day").alias("first")).where("first is not null").select(F.greatest(F.lit(window[0]), "first").alias("a"))
     days = bounds.select(F.explode(F.sequence(F.to_date("a"), F.to_date(F.lit(window[1])))).alias("d")).select(F.date_format("d", "yyyy-MM-dd").alias("day"))
     return days.join(rows, "day", "left").select("day", *(F.coalesce(c, F.lit(0)).alias(c) for c in columns))
 
