@@ -103,3 +103,16 @@ def replace_run(manifest: DataFrame, ran: DataFrame, key: str) -> DataFrame:
 def shrunk(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that would be lost by replacing a table: anything here means that it must not be written."""
     return before.select(*keys).distinct().join(after, keys, "left_anti")
+
+
+def carried(verdicts: DataFrame, version: str) -> DataFrame:
+    """Verdicts of an older version taken over under a new one; where they came from stays on record."""
+    return verdicts.withColumn("carried_from", F.col("version")).withColumn("version", F.lit(version))
+
+
+def refreshed(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """Stored rows, replaced where a fresh row has something to replace them with; fresh keys not stored are added."""
+    columns = [c for c in stored.columns if c != key]
+    new = fresh.select(key, *(F.col(c).alias(f"_n_{c}") for c in columns))
+    j = stored.join(new, key, "full")
+    return j.select(key, *(F.coalesce(f"_n_{c}", c).alias(c) for c in columns)).where(" or ".join(f"{c} is not null" for c in columns))
