@@ -7,12 +7,13 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from haneul.llm import bpe, chat, common, html_main, mixing, nbsvm, probminhash, quality_rules, queries, sketches, token_store, warc
+from haneul.llm import bpe, chat, common, html_main, mixing, nbsvm, oracles, probminhash, quality_rules, queries, sketches, token_store, warc
 from haneul.llm.shingles import WordHashes, shingles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string"
@@ -78,6 +79,18 @@ def test_warc_query_is_whole(spark, sf):
     assert not pages
 
 
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
+def test_sql_agrees(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    made = con.execute(oracles.oracle_sql()[name])
+    names = [d[0] for d in made.description]
+    rows = queries.queries()[name](spark, sf)
+    assert sorted(rows.columns) == sorted(names)
+    assert sorted(map(repr, (tuple(r[c] for c in names) for r in rows.collect()))) == sorted(map(repr, made.fetchall()))
+
+
 # -- quality classifier
 
 
