@@ -94,10 +94,12 @@ def allowed_figures(rows: DataFrame, keys: list[str], columns: list[str]) -> Dat
     return rows.select(*keys, F.explode(values).alias("v")).where("v is not null").groupBy(*keys).agg(F.array_sort(F.collect_set("v")).alias("allowed"))
 
 
-def phenomenon(questions: DataFrame, phenomena: DataFrame) -> DataFrame:
-    """Each question's (q, asked map, text) first phenomenon (ord, id, axes map, words array) whose axes it fits and one of whose words it has. Phenomena are a small catalogue."""
+def phenomenon(questions: DataFrame, phenomena: DataFrame, most: int = 10_000) -> DataFrame:
+    """Each question's (q, asked map, text) first phenomenon (ord, id, axes map, words array) whose axes it fits and one of whose words it has. Phenomena are a catalogue of at most `most` rows, which is checked."""
+    if phenomena.limit(most + 1).count() > most:
+        raise ValueError(f"a catalogue of phenomena has at most {most} rows")
     fit = planner.axes_fit(F.col("asked"), F.col("axes")) & F.exists("words", lambda w: F.contains(F.col("text"), w))
-    return questions.join(F.broadcast(phenomena.limit(10_000)), fit).groupBy("q").agg(F.min_by("id", "ord").alias("phenomenon"))
+    return questions.join(F.broadcast(phenomena), fit).groupBy("q").agg(F.min_by("id", "ord").alias("phenomenon"))
 
 
 def kind_of(raw: Column, confidence: Column, least: float = 0.5) -> Column:

@@ -80,7 +80,7 @@ def overdue(df: DataFrame, notices: DataFrame, days: int = 2) -> DataFrame:
 
 def in_range(df: DataFrame, ranges: DataFrame) -> DataFrame:
     """Rows with `valid`: the value lies in its indicator's range; an indicator without range is not valid."""
-    return df.join(F.broadcast(ranges), "indicator", "left").withColumn("valid", F.coalesce(F.col("value").between(F.col("low"), F.col("high")), F.lit(False)))
+    return df.join(ranges, "indicator", "left").withColumn("valid", F.coalesce(F.col("value").between(F.col("low"), F.col("high")), F.lit(False)))
 
 
 def overdue_by_gap(df: DataFrame, today: str, n: int = 4, margin: int = 21) -> DataFrame:

@@ -46,7 +46,7 @@ def slots(questions: DataFrame, text: str, dictionary: dict[str, str], kind: str
 def route(questions: DataFrame, capability: DataFrame) -> DataFrame:
     """(q, topic, axes) by sources of the topic: possible, partial or impossible, with the axes that are lacking.
     A source of another topic isn't an answer and isn't listed. Sources are a small catalogue."""
-    j = questions.join(capability, F.array_contains(F.col("topics"), F.col("topic")))
+    j = questions.join(capability.select("source", "has_axes", F.explode(F.array_distinct("topics")).alias("topic")), "topic")
     lacking = F.array_except("axes", "has_axes")
     state = F.when((F.size("axes") > 0) & (F.size(F.array_intersect("axes", "has_axes")) == 0), "impossible").when(F.size(lacking) > 0, "partial").otherwise("possible")
     return j.select("q", "source", state.alias("state"), F.array_join(F.array_sort(lacking), ",").alias("lacking"))
