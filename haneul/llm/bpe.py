@@ -33,6 +33,8 @@ from pyspark.sql.functions import arrow_udf
 from .common import sliced
 
 CACHE = 300_000
+#: Texts that are encoded together; their chunks and ids are in memory at one time.
+ENCODED = 512
 #: Fixed value: the code points at which texts are cut into chunks; no token spans one.
 CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 #: Chunks that need no normaliser but lower case, the pre-tokenizer's pattern on those, and other white space.
@@ -189,8 +191,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
         index = PairIndex(path)
         gc.disable()  # nothing here is cyclic, and the cache is large
         for texts in batches:
-            parts = [index.encode_batch(texts.slice(i, 4096).to_pylist()) for i in range(0, len(texts), 4096)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            for i in range(0, len(texts), ENCODED):
+                yield index.encode_batch(texts.slice(i, ENCODED).to_pylist())
 
     return docs.withColumn(out, encoded(F.col(text_col)))
 
@@ -202,6 +204,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = PairIndex(path)
         for ids in batches:
-            yield pa.array([index.decode(x) for part in sliced(ids) for x in part], pa.string())
+            for part in sliced(ids):
+                yield pa.array([index.decode(x) for x in part], pa.string())
 
     return docs.withColumn(out, decoded(F.col(ids_col)))
