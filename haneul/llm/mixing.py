@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize, spread_join
+from .common import WORD_PATTERN, materialize, sized_broadcast, spread_join
 
 BUCKETS = 1024
 #: (time, weight) knots for the 1st, 2nd, 3rd source in code point order, repeating.
@@ -101,9 +101,10 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return run.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), copies.alias("copies"))
 
 
-def mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", max_rows: int = 300_000) -> DataFrame:
     """The documents in training order, repeated as planned. A copy that is taken in part is
-    given whole if the part is half of it or more, so that no text is cut."""
+    given whole if the part is half of it or more, so that no text is cut. Plans of up to
+    max_rows rows are broadcast, so texts are shuffled once, by position; beyond, once more, by id."""
     known = plan.select(F.col("doc_id").alias("_hn_id"), F.filter("copies", lambda c: 2 * c["words"] >= F.col("size")).alias("_hn_copies")).dropDuplicates(["_hn_id"])
-    joined = docs.join(known, docs[id_col].eqNullSafe(known["_hn_id"])).withColumn("_hn_copy", F.explode("_hn_copies"))
+    joined = docs.join(sized_broadcast(known, max_rows), F.col(id_col).eqNullSafe(F.col("_hn_id"))).withColumn("_hn_copy", F.explode("_hn_copies"))
     return joined.orderBy("_hn_copy.position", id_col).drop("_hn_id", "_hn_copies", "_hn_copy")

@@ -208,6 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id is their class id, one row each."""
-    keep = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_hn_id")).distinct(), "keep")
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_hn_id")), "left_semi")
+    """docs without the documents that another one of their class stands for. The ids that go are fewer than
+    those that stay; up to SMALL of them are broadcast, so no text is shuffled; beyond, Spark joins by id."""
+    stands = F.bool_or(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    gone = materialize(found.groupBy(F.col("doc_id").alias("_hn_id")).agg(stands.alias("_hn_stands")).where("not _hn_stands").select("_hn_id"), "gone")
+    return docs.join(sized_broadcast(gone, SMALL), F.col(id_col).eqNullSafe(F.col("_hn_id")), "left_anti")

@@ -9,7 +9,7 @@ import xxhash
 
 #: Fixed value: what counts as a word once a text is in lower case.
 WORD = re.compile(r"\w+")
-CACHE = 400_000
+CACHE = 200_000
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
