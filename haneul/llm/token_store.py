@@ -25,6 +25,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -136,13 +137,19 @@ class LibraryEncoder:
             yield chain.from_iterable(map(self.known.__getitem__, chunks))
 
 
+@lru_cache(1)
+def worker_encoder(path: str) -> LibraryEncoder:
+    """The encoder of a Python worker, with the chunks it knows; it serves all tasks that the worker runs."""
+    return LibraryEncoder(path)
+
+
 def write_tokens(docs: DataFrame, root: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, rows_per_range: int = 10_000, max_ids: int = 1 << 24) -> DataFrame:
     """Encode, write the files below `root` and return their manifest, a row per file."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = id_ranges(rows, "doc_id", rows_per_range).repartition("_hn_range").sortWithinPartitions("_hn_range", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, (fs, folder) = LibraryEncoder(path), _open(f"{root}/files")
+        encoder, (fs, folder) = worker_encoder(path), _open(f"{root}/files")
         ids, doc_ids, ends, at, part = array("I"), [], [], None, 0
 
         def flush() -> tuple:
