@@ -22,6 +22,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -183,12 +184,18 @@ class PairIndex:
         return " ".join([names[i] for i in ids or () if i in names])
 
 
+@lru_cache(1)
+def worker_index(path: str) -> PairIndex:
+    """The index of a Python worker, with the chunks it knows; it serves all tasks that the worker runs."""
+    return PairIndex(path)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """docs with the token ids of every whole text."""
 
     @arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = PairIndex(path)
+        index = worker_index(path)
         gc.disable()  # nothing here is cyclic, and the cache is large
         for texts in batches:
             for i in range(0, len(texts), ENCODED):
@@ -202,7 +209,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
 
     @arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = PairIndex(path)
+        index = worker_index(path)
         for ids in batches:
             for part in sliced(ids):
                 yield pa.array([index.decode(x) for x in part], pa.string())
