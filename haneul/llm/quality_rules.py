@@ -30,12 +30,12 @@ from .common import arrow_column, materialize, sliced, spread_join, words_of
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_TYPE = pa.struct([(x, pa.int64()) for x in BASE])
+_TYPE = pa.struct([(x, pa.int64()) for x in (*BASE, "n_lines")])
 
 #: Relative error of a quantile, and the sketch's resulting base.
 ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
-#: measure: (mid quantile, high quantile, reach, least spread). Shares are of words or lines.
+#: measure: (mid quantile, high quantile, reach, least spread). Shares are of words, that of repeated lines is of lines.
 MEASURES = {
     "symbol_share": (0.5, 0.8, 4.0, 0.05),
     "dup_line_share": (0.5, 0.8, 4.0, 0.05),
@@ -46,8 +46,13 @@ MEASURES = {
 
 def measure_text(text: str | None) -> tuple[int, int, int, int, int]:
     """The base measures of one whole text."""
+    return all_measures(text)[:5]
+
+
+def all_measures(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """The base measures of one whole text, and its number of lines that hold a word."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     words = words_of(text)
     seen: dict[bytes, int] = {}
     ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
@@ -66,30 +71,31 @@ def measure_text(text: str | None) -> tuple[int, int, int, int, int]:
                 covered[k : len(ids) - 2 + k] |= twice
             repeats = int(covered.sum())
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
-    return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeats
+    return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeats, len(lines)
 
 
-@arrow_column("struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long>")
+@arrow_column("struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,n_lines:long>")
 def measures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        rows = [measure_text(t) for part in sliced(texts) for t in part]
-        yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, fields=list(_TYPE))
+        rows = [all_measures(t) for part in sliced(texts) for t in part]
+        yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6, fields=list(_TYPE))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def _values(m: str) -> dict[str, Column]:
+def _values(m: str, per_line: bool) -> dict[str, Column]:
     f = lambda x: F.col(f"{m}.{x}").cast("double")
     n = F.greatest(f("n_words"), F.lit(1.0))
-    return {"symbol_share": f("n_symbols") / n, "dup_line_share": f("n_dup_lines") / n, "repeat_share": f("n_repeat_words") / n, "word_length": f("word_chars") / n}
+    lines = F.greatest(f("n_lines"), F.lit(1.0)) if per_line else n
+    return {"symbol_share": f("n_symbols") / n, "dup_line_share": f("n_dup_lines") / lines, "repeat_share": f("n_repeat_words") / n, "word_length": f("word_chars") / n}
 
 
-def sketch(df: DataFrame, groups: list[str], m: str) -> DataFrame:
+def sketch(df: DataFrame, groups: list[str], m: str, per_line: bool = False) -> DataFrame:
     """Counts of each measure by logarithmic bin, a row per (group, measure, bin): a mergeable quantile sketch.
     Bin -1e6 holds zeros; else bin b holds values in (GAMMA^(b-1), GAMMA^b]."""
-    bins = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.when(v > 0, F.ceil(F.log(v) / math.log(GAMMA))).otherwise(-1_000_000).cast("int").alias("bin")) for k, v in _values(m).items()]))
+    bins = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.when(v > 0, F.ceil(F.log(v) / math.log(GAMMA))).otherwise(-1_000_000).cast("int").alias("bin")) for k, v in _values(m, per_line).items()]))
     return df.select(*groups, bins.alias("x")).groupBy(*groups, "x.measure", "x.bin").agg(F.count("*").alias("n"))
 
 
@@ -114,16 +120,17 @@ def limits(sketches: DataFrame, groups: list[str], min_rows: int) -> DataFrame:
     return rows.groupBy(*groups).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("measure", F.struct("low", "high").alias("limit"))))).alias("limits"))
 
 
-def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", id_col: str = "doc_id", min_rows: int = 500, keep_text: bool = True) -> DataFrame:
+def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", id_col: str = "doc_id", min_rows: int = 500, keep_text: bool = True, per_line: bool = True) -> DataFrame:
     """docs with the struct `quality_measures`, `base_failed` and `kept`.
 
     The measures are computed in one pass and their small rows (no text) are written to the
     shared folder, from which the sketches are counted. With keep_text they are computed anew
-    beside each text instead of being joined to it, which would shuffle every text."""
+    beside each text instead of being joined to it, which would shuffle every text. Without
+    per_line, repeated lines are divided by words, as the SQL of op3_quality_rules does."""
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit("")).alias("_hn_lang"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("_hn_source"), measures(F.col(text_col)).alias("quality_measures"))
     own = materialize(own, "measures")
     usable = own.where(~base_failed(F.col("quality_measures.n_words"), F.col("quality_measures.n_repeat_words")))
-    finest = materialize(sketch(usable, ["_hn_lang", "_hn_source"], "quality_measures"), "sketch")
+    finest = materialize(sketch(usable, ["_hn_lang", "_hn_source"], "quality_measures", per_line), "sketch")
     by_group = limits(finest, ["_hn_lang", "_hn_source"], min_rows).withColumnRenamed("limits", "_hn_own")
     by_lang = limits(finest, ["_hn_lang"], min_rows).withColumnRenamed("limits", "_hn_by_lang")
     overall = limits(finest.withColumn("_hn_all", F.lit(1)), ["_hn_all"], 1).withColumnRenamed("limits", "_hn_overall")
@@ -138,7 +145,7 @@ def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     rows = rows.join(F.broadcast(overall), "_hn_all", "left")  # one row
     chosen = F.coalesce("_hn_own", "_hn_by_lang", "_hn_overall")
     inside = F.lit(True)
-    for k, v in _values("quality_measures").items():
+    for k, v in _values("quality_measures", per_line).items():
         limit = F.element_at(chosen, k)
         inside = inside & F.coalesce((v <= limit["high"]) & (v >= limit["low"]), F.lit(True))
     failed = base_failed(F.col("quality_measures.n_words"), F.col("quality_measures.n_repeat_words"))

@@ -175,6 +175,17 @@ def test_sketch_quantiles_are_near_exact(spark):
     assert abs(high - (q(0.8) + 4 * max(q(0.8) - q(0.5), 0.05))) < 0.2
 
 
+def test_short_repeated_lines_decide(spark):
+    said = iter(range(10**6))
+    own = lambda lines, words: [" ".join(f"w{next(said)}" for _ in range(words)) for _ in range(lines)]
+    rows = [(i, "\n".join(own(100, 40)), "en", "s") for i in range(20)]
+    rows.append((20, "\n".join([x for line in own(40, 100) for x in (line, "Share")] + ["Share"] * 20), "en", "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.apply_rules(df, min_rows=10).collect()}
+    assert got[20].quality_measures.n_dup_lines == 59 and got[20].quality_measures.n_lines == 100 and not got[20].base_failed
+    assert {i for i in got if not got[i].kept} == {20}
+
+
 # -- BPE
 
 
