@@ -10,11 +10,14 @@ each page is walked again, and branches of low importance on its host are left o
 Entropy alone can't tell a menu or advert whose words change on every page from an article,
 nor judge a host with few pages. So a branch is also left out by what its markup says it is
 (nav, footer, aside, form and so on; classes, ids and roles such as ad, comments, sidebar),
-and where an article or main element has text, only what lies in it is taken.
+and where an article or main element has text, only what lies in it is taken. Words and forms
+decide neither about article and main elements nor about branches that hold the larger part of
+the page's text or half of what such elements hold.
 
 Contents are counted per distinct page, in two combined steps; a host of any size is many
 (node, content) keys. Pages are not shuffled: hosts' low nodes are joined to them. A page that
-the tree would leave without any text (mirrors of one article) is taken without the tree.
+the tree would leave without any text (mirrors of one article) is taken without the tree, and
+one that its markup then leaves without any is taken by its tags alone.
 
 Nulls: null html is an empty page with text ""; a null or odd URL counts as host "". Repeated
 pages count once in the tree and are extracted each. Whole pages are read, and nothing but
@@ -36,14 +39,15 @@ from .common import arrow_column, materialize, sliced, spread_join
 
 #: Fixed values of HTML: tags, comments, elements without end tags, of raw text, and of blocks.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?/][^a-zA-Z>][^>]*>?|<!>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>?""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
-#: Elements and the words of classes, ids and roles that say a branch isn't the article.
-BOILERPLATE_TAGS = frozenset("nav footer aside form head script style noscript template iframe svg button select textarea menu dialog object embed canvas audio video".split())
+#: Elements and the words of classes, ids and roles that say a branch isn't the article. A form may
+#: wrap the whole page, so it is judged as the words are.
+BOILERPLATE_TAGS = frozenset("nav footer aside head script style noscript template iframe svg button select textarea menu dialog object embed canvas audio video".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar widget "
     "footer masthead cookie cookies consent gdpr notice notices popup modal overlay alert newsletter subscribe subscription signup login search share sharing social "
@@ -59,68 +63,77 @@ LOW, LOW_IN_MAIN = 0.3, 0.02
 CONTENT_SHARE = 0.9
 
 
+#: What parse() tells besides texts and elements (their numbers).
+POP, FLUSH, BREAK, SKIPPED = "pop", "flush", "break", "skipped"
+
+
+class Element:
+    """An element of a page: its style node, what its markup says, and the text that lies in it."""
+
+    __slots__ = ("tag", "parent", "path", "hard", "weak", "main", "dead", "inside", "size", "main_size")
+
+    def __init__(self, tag: str, parent: int, path: int, hard: bool, weak: str, main: bool) -> None:
+        self.tag, self.parent, self.path, self.hard, self.weak, self.main = tag, parent, path, hard, weak, main
+        self.dead, self.inside, self.size, self.main_size = False, False, 0, 0
+
+
 class Walker:
     """Walks pages, leaving out branches, and names their style nodes."""
 
     def __init__(self) -> None:
-        self.paths: dict[tuple, tuple[int, bool, bool]] = {}
+        self.paths: dict[tuple, tuple[int, bool, bool, str, bool]] = {}
 
-    def node(self, parent: int, in_main: bool, tag: str, attributes: str) -> tuple[int, bool, bool]:
-        """(path, is boilerplate by its markup, is main) of an element."""
-        key = (parent, in_main, tag, attributes if "=" in attributes or "hidden" in attributes else "")
+    def node(self, parent: int, in_main: bool, tag: str, attributes: str) -> tuple[int, bool, bool, str, bool]:
+        """(path, is boilerplate by its tag, is hidden, whether its names or parts of them say so ("", "whole", "part"), is main) of an element."""
+        key = (parent, in_main, tag, attributes if "=" in attributes or "hidden" in attributes.lower() else "")
         if (known := self.paths.get(key)) is not None:
             return known
-        words, name, hidden, role = set(), tag, False, ""
+        words, names, name, hidden, role = set(), set(), tag, False, ""
         for kind, a, b, c in ATTRIBUTE.findall(key[3]):
             kind, value = kind.lower(), a or b or c
             if kind in ("class", "id", "role"):
                 words.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                names.update(value.lower().split())
                 name += f".{value}" if kind == "class" else ""
                 role = value.lower() if kind == "role" else role
             elif kind == "style":
                 hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-            else:
+            elif kind in ("hidden", "aria-hidden"):
                 hidden |= kind == "hidden" or value.lower() == "true"
         main = tag in ("article", "main") or role in ("main", "article")
-        outer = tag == "header" and not in_main or role == "banner" or "header" in words and not in_main and tag in ("div", "section", "table")
-        bad = tag in BOILERPLATE_TAGS or hidden or outer or bool(words & BOILERPLATE_WORDS) and tag not in ("html", "body")
-        found = xxhash.xxh3_64_intdigest(f"{parent}/{name}") >> 1, bad, main
+        hard = tag in BOILERPLATE_TAGS or tag == "header" and not in_main
+        outer = role == "banner" or "header" in words and not in_main and tag in ("div", "section", "table")
+        weak = "whole" if names & BOILERPLATE_WORDS else "part" if tag == "form" or outer or words & BOILERPLATE_WORDS else ""
+        weak = "" if main or tag in ("html", "body") else weak
+        found = xxhash.xxh3_64_intdigest(f"{parent}/{name}") >> 1, hard, hidden, weak, main
         if len(self.paths) > 200_000:
             self.paths.clear()
         self.paths[key] = found
         return found
 
-    def walk(self, html: str, low: frozenset[int] = frozenset(), low_in_main: frozenset[int] = frozenset(), nodes: list | None = None) -> list[str]:
-        """The kept blocks of a page; nodes gets (path, presentation, content, in main) of each block element."""
-        blocks: list[tuple[str, bool]] = []
-        run: list[str] = []
-        # tag, path, left out, in main, first block, child tags
-        stack: list[list] = [["", 0, False, False, 0, []]]
-        at, top = 0, stack[0]
-
-        def flush() -> None:
-            if run:
-                text = " ".join("".join(run).split())
-                run.clear()
-                if text:
-                    blocks.append((text, top[3]))
+    def parse(self, html: str, tags_alone: bool) -> tuple[list[Element], list]:
+        """A page's elements and, in order, its texts (1-tuples), elements (numbers), and POP, FLUSH, BREAK
+        and (SKIPPED, tag). An element is left out by words only if neither the larger part of the page's
+        text nor half of what article and main elements hold lies in it; where such elements have text, an
+        element whose whole name is a boilerplate word (class=ad, not class=no-ads) is left out at any length."""
+        elements = [Element("", -1, 0, False, "", False)]
+        events: list = []
+        stack = [0]
+        at = 0
 
         def pop_to(k: int) -> None:
-            nonlocal top
             while len(stack) > k:
-                tag, path, out, main, first, children = top = stack[-1]
-                if tag not in INLINE:
-                    flush()
-                    if nodes is not None and not out:
-                        nodes.append((path, " ".join(children), "\n".join(b for b, _ in blocks[first:]), main))
                 stack.pop()
-                top = stack[-1]
+                events.append(POP)
 
         while True:
             m = TOKEN.search(html, at)
             text = html[at : m.start()] if m else html[at:]
-            if text and not top[2]:
-                run.append(unescape(text))
+            if text:
+                events.append((text,))
+                top = elements[stack[-1]]
+                if not top.dead:
+                    top.size += len(text.strip())
             if not m:
                 break
             at, tag = m.end(), m[2]
@@ -128,38 +141,93 @@ class Walker:
                 continue
             tag = tag.lower()
             if m[1]:
-                if any(x[0] == tag for x in stack[1:]):
-                    k = max(i for i, x in enumerate(stack) if x[0] == tag)
+                k = next((k for k in range(len(stack) - 1, 0, -1) if elements[stack[k]].tag == tag), 0)
+                if k:
                     pop_to(k)
                 elif tag not in INLINE:
-                    flush()
+                    events.append(FLUSH)
                 continue
             if tag in VOID:
-                if not top[2]:
-                    if tag in INLINE:
-                        run.append(" " if tag == "br" else "")
-                    else:
-                        flush()
+                if tag not in INLINE:
+                    events.append(FLUSH)
+                elif tag == "br":
+                    events.append(BREAK)
                 continue
             if tag not in INLINE:
                 for k in range(len(stack) - 1, 0, -1):  # end tags that a start tag implies
-                    if stack[k][0] == "p" or stack[k][0] in ENDS.get(tag, ()):
+                    own = elements[stack[k]].tag
+                    if own == "p" or own in ENDS.get(tag, ()):
                         pop_to(k)
-                    elif stack[k][0] in HOLDS.get(tag, "") or stack[k][0] not in INLINE and tag not in ENDS:
+                    elif own in HOLDS.get(tag, "") or own not in INLINE and tag not in ENDS:
                         break
-                flush()
-            path, bad, main = self.node(top[1], top[3], tag, m[3])
-            out = top[2] or bad or path in (low_in_main if top[3] else low)
-            top[5].append(tag)
+                events.append(FLUSH)
             if tag in RAW:
+                events.append((SKIPPED, tag))
                 end = re.compile(rf"</{tag}\b", re.I).search(html, at)
                 at = end.start() if end else len(html)
                 if end:
                     at = html.find(">", end.end()) + 1 or len(html)
                 continue
-            top = [tag, path, out, not out and (top[3] or main), len(blocks), []]
-            stack.append(top)
+            up = elements[stack[-1]]
+            path, hard, hidden, weak, main = self.node(up.path, up.inside, tag, m[3])
+            made = Element(tag, stack[-1], path, hard or hidden and not tags_alone, weak if not tags_alone or tag == "form" else "", main)
+            made.dead, made.inside = up.dead or made.hard, up.inside or main
+            stack.append(len(elements))
+            events.append(len(elements))
+            elements.append(made)
         pop_to(1)
+        for x in reversed(elements):
+            x.main_size = x.size if x.main else x.main_size
+            if x.parent >= 0:
+                elements[x.parent].size += x.size
+                elements[x.parent].main_size += x.main_size
+        whole = elements[0]
+        for x in elements:
+            holds_main = x.main_size and 2 * x.main_size >= whole.main_size
+            holds_text = 2 * x.size > whole.size and (x.weak == "part" or not whole.main_size)
+            x.weak = x.weak if x.weak and not holds_main and not holds_text else ""
+        return elements, events
+
+    def walk(self, html: str, low: frozenset[int] = frozenset(), low_in_main: frozenset[int] = frozenset(), nodes: list | None = None, tags_alone: bool = False) -> list[str]:
+        """The kept blocks of a page; nodes gets (path, presentation, content, in main) of each block element."""
+        elements, events = self.parse(html, tags_alone)
+        blocks: list[tuple[str, bool]] = []
+        run: list[str] = []
+        # tag, path, left out, in main, first block, child tags
+        stack: list[list] = [["", 0, False, False, 0, []]]
+        top = stack[0]
+
+        def flush() -> None:
+            if run:
+                text = " ".join("".join(run).split())
+                run.clear()
+                if text:
+                    blocks.append((text, top[3]))
+
+        for e in events:
+            if isinstance(e, int):
+                x = elements[e]
+                out = top[2] or x.hard or bool(x.weak) or x.path in (low_in_main if top[3] else low)
+                top[5].append(x.tag)
+                top = [x.tag, x.path, out, not out and (top[3] or x.main), len(blocks), []]
+                stack.append(top)
+            elif e is POP:
+                tag, path, out, main, first, children = top
+                if tag not in INLINE:
+                    flush()
+                    if nodes is not None and not out:
+                        nodes.append((path, " ".join(children), "\n".join(b for b, _ in blocks[first:]), main))
+                stack.pop()
+                top = stack[-1]
+            elif e is FLUSH:
+                flush()
+            elif e is BREAK:
+                if not top[2]:
+                    run.append(" ")
+            elif e[0] is SKIPPED and len(e) == 2:
+                top[5].append(e[1])
+            elif not top[2]:
+                run.append(unescape(e[0]))
         flush()
         return [b for b, main in blocks if main] if any(main for _, main in blocks) else [b for b, _ in blocks]
 
@@ -187,7 +255,7 @@ def main_text(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterato
         out = []
         for i in range(0, len(pages), 256):
             for html, a, b in zip(*(x.slice(i, 256).to_pylist() for x in (pages, low, low_in_main))):
-                out.append("\n".join(walker.walk(html or "", frozenset(a or ()), frozenset(b or ())) or (a or b) and walker.walk(html or "") or ()))
+                out.append("\n".join(walker.walk(html or "", frozenset(a or ()), frozenset(b or ())) or (a or b) and walker.walk(html or "") or walker.walk(html or "", tags_alone=True)))
         yield pa.array(out, pa.string())
 
 

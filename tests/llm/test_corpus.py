@@ -452,6 +452,21 @@ def test_pages_of_the_data(spark, sf):
         assert r.text == "\n".join(x for x in blocks if x) and r.n_chars == len(r.text)
 
 
+STORY = "<h1>Title</h1><p>" + "A long story is told here. " * 8 + "</p><p>And it ends.</p>"
+TOLD = "Title\n" + " ".join(["A long story is told here."] * 8) + "\nAnd it ends."
+
+
+@pytest.mark.parametrize("page", [
+    "<article class='post comments-open'>%s</article>", "<main class='no-sidebar'>%s</main>", "<div id='page' class='cookie-banner-shown'><article>%s</article></div>",
+    "<div class='cookie-banner-shown'>%s</div>", "<article><section class='discussion'>%s</section></article>", "<form action=x><div>%s</div></form>",
+    "<div data-id='ad-5' data-state='hidden'>%s</div>", "<p>Intro.</p><div title='a hidden id=ad' data-hidden>%s</div>", "<div style='display:none'>%s</div>",
+    "<div class='header-fixed'>%s</div>", "<article>%s</article><div class='comments'><article>Reader says</article></div>", "<div class='page-header'>Site</div><div class='no-sidebar'>%s</div><div class='sidebar'>Side</div>",
+])
+def test_words_of_markup_do_not_lose_the_article(spark, page):
+    df = spark.createDataFrame([(1, "http://h.example/", f"<html><body>{page % STORY}</body></html>")], "page_id long, url string, html string")
+    assert html_main.extract(df).collect()[0].text == ("Intro.\n" if "Intro" in page else "") + TOLD
+
+
 # -- fingerprints
 
 
