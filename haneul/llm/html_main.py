@@ -10,7 +10,9 @@ each page is walked again, and branches of low importance on its host are left o
 Entropy alone can't tell a menu or advert whose words change on every page from an article,
 nor judge a host with few pages. So a branch is also left out by what its markup says it is
 (nav, footer, aside, form and so on; classes, ids and roles such as ad, comments, sidebar),
-and where an article or main element has text, only what lies in it is taken. Words and forms
+and where article and main elements hold the larger part of the kept text, only what lies in
+them is taken, with the page's own h1 and lead in front of them. Articles that share their path
+with others (cards of teasers) are ordinary branches. Words and forms
 decide neither about article and main elements nor about branches that hold the larger part of
 the page's text or half of what such elements hold.
 
@@ -27,6 +29,7 @@ the branches named is dropped. Empty tables give empty results; other columns pa
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import arrow_column, materialize, sliced, spread_join
 
 #: Fixed values of HTML: tags, comments, elements without end tags, of raw text, and of blocks.
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?/][^a-zA-Z>][^>]*>?|<!>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>?""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</[^a-zA-Z>][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>?""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg xmp noembed noframes".split())
@@ -176,6 +179,9 @@ class Walker:
             events.append(len(elements))
             elements.append(made)
         pop_to(1)
+        shown = Counter(x.path for x in elements if x.main and x.tag != "main")
+        for x in elements:
+            x.main = x.main and (x.tag == "main" or shown[x.path] == 1)
         for x in reversed(elements):
             x.main_size = x.size if x.main else x.main_size
             if x.parent >= 0:
@@ -191,10 +197,10 @@ class Walker:
     def walk(self, html: str, low: frozenset[int] = frozenset(), low_in_main: frozenset[int] = frozenset(), nodes: list | None = None, tags_alone: bool = False) -> list[str]:
         """The kept blocks of a page; nodes gets (path, presentation, content, in main) of each block element."""
         elements, events = self.parse(html, tags_alone)
-        blocks: list[tuple[str, bool]] = []
+        blocks: list[tuple[str, bool, bool]] = []  # text, in main, in h1
         run: list[str] = []
-        # tag, path, left out, in main, first block, child tags
-        stack: list[list] = [["", 0, False, False, 0, []]]
+        # tag, path, left out, in main, first block, child tags, in h1
+        stack: list[list] = [["", 0, False, False, 0, [], False]]
         top = stack[0]
 
         def flush() -> None:
@@ -202,21 +208,21 @@ class Walker:
                 text = " ".join("".join(run).split())
                 run.clear()
                 if text:
-                    blocks.append((text, top[3]))
+                    blocks.append((text, top[3], top[6]))
 
         for e in events:
             if isinstance(e, int):
                 x = elements[e]
                 out = top[2] or x.hard or bool(x.weak) or x.path in (low_in_main if top[3] else low)
                 top[5].append(x.tag)
-                top = [x.tag, x.path, out, not out and (top[3] or x.main), len(blocks), []]
+                top = [x.tag, x.path, out, not out and (top[3] or x.main), len(blocks), [], top[6] or x.tag == "h1"]
                 stack.append(top)
             elif e is POP:
-                tag, path, out, main, first, children = top
+                tag, path, out, main, first, children, _ = top
                 if tag not in INLINE:
                     flush()
                     if nodes is not None and not out:
-                        nodes.append((path, " ".join(children), "\n".join(b for b, _ in blocks[first:]), main))
+                        nodes.append((path, " ".join(children), "\n".join(b for b, _, _ in blocks[first:]), main))
                 stack.pop()
                 top = stack[-1]
             elif e is FLUSH:
@@ -229,7 +235,13 @@ class Walker:
             elif not top[2]:
                 run.append(unescape(e[0]))
         flush()
-        return [b for b, main in blocks if main] if any(main for _, main in blocks) else [b for b, _ in blocks]
+        inside = [k for k, (_, main, _) in enumerate(blocks) if main]
+        if 2 * sum(len(blocks[k][0]) for k in inside) <= sum(len(b) for b, _, _ in blocks):
+            return [b for b, _, _ in blocks]
+        if not any(blocks[k][2] for k in inside):
+            headings = [k for k in range(inside[0]) if blocks[k][2]]
+            inside = list(range(headings[-1], inside[0])) + inside if headings else inside
+        return [blocks[k][0] for k in inside]
 
 
 @arrow_column("array<struct<path:bigint,kind:string,seen:bigint,main:boolean>>")

@@ -467,6 +467,17 @@ def test_words_of_markup_do_not_lose_the_article(spark, page):
     assert html_main.extract(df).collect()[0].text == ("Intro.\n" if "Intro" in page else "") + TOLD
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<div id=story>%s</div><article class=card>One</article><article class=card>Two</article>", TOLD + "\nOne\nTwo"),
+    ("<div id=story>%s</div><article class=card>One</article>", TOLD + "\nOne"),
+    ("<p>Site</p><h1>Head</h1><p>Lead.</p><article>%s</article><p>After</p>".replace("%s", STORY.replace("h1", "h2").replace("%", "%%")) + "%.0s", "Head\nLead.\n" + TOLD),
+    ("<main>%s</main><div>Else</div>", TOLD), ("<main><article>Card one</article><article>Card two</article>%s</main><p>x</p>", "Card one\nCard two\n" + TOLD),
+])
+def test_main_is_taken_alone_only_as_the_larger_part(spark, page, want):
+    df = spark.createDataFrame([(1, "http://h.example/", f"<!DOCTYPE html><html><body>{page % STORY}</body></html>")], "page_id long, url string, html string")
+    assert html_main.extract(df).collect()[0].text == want
+
+
 # -- fingerprints
 
 
