@@ -1,10 +1,11 @@
 """Near-duplicate documents by ProbMinHash.
 
-A text is a set of five-word shingles weighted by 1 + ln(occurrences). Each shingle sends
-points of a Poisson process whose rate is its weight; every point falls into one of REGISTERS
-registers, which keeps the earliest point and its shingle. Points later than the latest
-register end a shingle's process early. Two texts agree in a register with their probability
-Jaccard similarity. Registers are banded; texts that share a band are candidates, and a
+A text is a set of five-word shingles, all of weight 1. Each shingle sends points of a Poisson
+process whose rate is its weight; every point falls into one of REGISTERS registers, which
+keeps the earliest point and its shingle. Points later than the latest register end a
+shingle's process early. Two texts agree in a register with their probability Jaccard
+similarity, which for equal weights is the Jaccard similarity of the sets, as links need it:
+a passage repeated many times counts once in both. Registers are banded; texts that share a band are candidates, and a
 candidate pair becomes a link if the exact Jaccard similarity of its shingle sets is at least
 the threshold. Classes are the connected components of the links.
 
@@ -49,11 +50,6 @@ MAX_BITS = 52
 SMALL = 1_000_000
 
 
-def weights_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, counts = np.unique(hashes, return_counts=True)
-    return found, 1.0 + np.log(counts)
-
-
 def signature(elements: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """The shingle that each register keeps. Arrival j of an element is drawn from its hash and
     j; arrivals are made in blocks of about BLOCK, until each element's next one comes later
@@ -79,6 +75,14 @@ def signature(elements: np.ndarray, weights: np.ndarray, registers: int = REGIST
     return kept
 
 
+def register_bits(kept: np.ndarray) -> np.ndarray:
+    """A bit a register, drawn from its shingle and its number, so that a shingle kept by many registers has
+    no single bit in all of them: two registers with different shingles differ in half of all cases."""
+    with np.errstate(over="ignore"):
+        drawn = mix(kept + np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return np.packbits(np.pad((drawn >> np.uint64(17)).astype(np.uint8) & 1, (0, 256 - REGISTERS)))
+
+
 #: Cells of an occupancy map, and its words of 64 bits (two bits a cell).
 CELLS = 256
 WORDS = 2 * CELLS // 64
@@ -103,15 +107,14 @@ def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         rows = []
         for part in sliced(texts):
             for text in part:
-                elements, weights = weights_of(shingles(text, hashes))
+                elements = np.unique(shingles(text, hashes))
                 if not len(elements):
                     rows.append((0, [], [], [], 0))
                     continue
-                kept = signature(elements, weights)
+                kept = signature(elements, np.ones(len(elements)))
                 with np.errstate(over="ignore"):
                     bands = mix((mix(kept.reshape(BANDS, ROWS)) * odd).sum(1, dtype=np.uint64) + which)
-                bits = np.packbits(np.pad((kept >> np.uint64(17)).astype(np.uint8) & 1, (0, 256 - REGISTERS)))
-                rows.append((len(elements), bands.view(np.int64), bits.view(np.int64), *occupancy(elements)))
+                rows.append((len(elements), bands.view(np.int64), register_bits(kept).view(np.int64), *occupancy(elements)))
         yield pa.StructArray.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SIGNED)] if rows else [pa.array([], t.type) for t in _SIGNED], fields=list(_SIGNED))
 
 

@@ -409,6 +409,28 @@ def test_registers_agree_with_probability_jaccard():
     assert abs(hits - want) < 0.03
 
 
+def test_pairs_that_differ_by_a_repeated_passage_are_linked(spark):
+    rows = []
+    for k in range(25):
+        base = " ".join(f"c{k}x{j}" for j in range(104))
+        for m in (0, 20):  # 100 common shingles; the passage adds its m - 4 and 4 at its border
+            rows.append((2 * k + (m > 0), base + " " + " ".join([f"r{k}x{j}" for j in range(m - 4)] * 50)))
+    got = probminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(50)} == {i: c for (i, _), c in _classes(rows).items()}
+
+
+def test_bits_of_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(7)
+    far = 0
+    for n in [8, 40, 100] * 60:  # common shingles; a ninth of each text is its own
+        x = rng.integers(0, 2**63, n + n // 4, dtype=np.int64).astype(np.uint64)
+        own = n // 8
+        a, b = np.sort(x[: n + own]), np.sort(np.concatenate([x[:n], x[n + own : n + 2 * own]]))
+        bits = [np.unpackbits(probminhash.register_bits(probminhash.signature(z, np.ones(len(z))))) for z in (a, b)]
+        far += int((bits[0] != bits[1]).sum() > probminhash.MAX_BITS)
+    assert far == 0
+
+
 def test_components_on_chains(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 150), (100, 150)]
     got = {r.node: r.label for r in probminhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
