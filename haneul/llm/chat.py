@@ -4,7 +4,9 @@ Lines that begin with `>` marks are quotes; the number of marks is their level,
 consecutive lines of one level are a passage. A passage's normal form (lower case, letters
 and digits, single spaces) is hashed and joined, within its conversation, to the first
 message that said it: as its whole text without quotes, as a paragraph or as a line. A
-message replies to the latest earlier message that its least nested linked passages quote;
+trimmed passage, which no message said so, is linked by its lines to the earlier message that
+said the most of them, more than half at least, as lines or in paragraphs; of several to the
+latest. A message replies to the latest earlier message that its least nested linked passages quote;
 without a link, to the turn before it. Conversations are built in reply order - sorted by
 (turn replied to, turn), which puts every message after the one it answers - without quotes.
 
@@ -60,11 +62,39 @@ def passages(text: Column) -> Column:
     return F.filter(F.aggregate(lines, none, add), lambda p: p["level"] > 0)
 
 
+def link_partly(passages_: DataFrame, units: DataFrame) -> DataFrame:
+    """(conv_id, said, turn) -> partly_at, for passages (with their text) that no message said whole.
+
+    Equal passages are looked up once. A message that said more than half of n lines said one of any n - n/2, so
+    only the rarest so many lines find candidates; which of these comes last before a quote is a running maximum
+    on the passage's own timeline, so many quotes of a passage that many messages said make no pairs."""
+    apart = passages_.groupBy("conv_id", "said").agg(F.first("text").alias("text"))
+    blocks = F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda b: F.struct(normal(b).alias("block"), F.filter(F.transform(F.split(b, "\n"), normal), lambda x: x != "").alias("lines"))), lambda b: F.size(b["lines"]) > 0)
+    lines = apart.select("conv_id", "said", F.posexplode(blocks).alias("i", "b")).select("conv_id", "said", "i", "b.block", F.posexplode("b.lines").alias("j", "line"))
+    lines = lines.select("conv_id", F.col("said").alias("passage"), "i", "j", F.explode(F.array_distinct(F.array(F.xxhash64("block"), F.xxhash64("line")))).alias("said"))
+    wanted = lines.select("conv_id", "said").distinct()
+    held = units.select("conv_id", "said", "turn").distinct().join(wanted, ["conv_id", "said"], "left_semi")
+    often = held.groupBy("conv_id", "said").agg(F.count("*").alias("n"))
+    lines = lines.join(often, ["conv_id", "said"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    by_line = lines.groupBy("conv_id", "passage", "i", "j").agg(F.sum("n").alias("n"))
+    of = W.partitionBy("conv_id", "passage")
+    ranked = by_line.select("conv_id", "passage", "i", "j", F.row_number().over(of.orderBy("n", "i", "j")).alias("rank"), F.count("*").over(of).alias("size"))
+    lines = lines.join(ranked, ["conv_id", "passage", "i", "j"]).where("n > 0")
+    rare = lines.where("rank <= size - floor(size / 2)").join(held, ["conv_id", "said"]).select("conv_id", "passage", "turn").distinct()
+    scored = rare.join(lines, ["conv_id", "passage"]).join(held, ["conv_id", "said", "turn"], "left_semi")
+    scored = scored.groupBy("conv_id", "passage", "turn", "size").agg(F.count_distinct("i", "j").alias("score")).where("2 * score > size")
+    events = scored.select("conv_id", F.col("passage").alias("said"), "turn", F.struct("score", "turn").alias("best"))
+    events = events.unionByName(passages_.select("conv_id", "said", "turn").distinct(), allowMissingColumns=True)
+    earlier = W.partitionBy("conv_id", "said").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+    found = events.withColumn("partly_at", F.max("best").over(earlier)["turn"])
+    return found.where("best is null and partly_at is not null").select("conv_id", "said", "turn", "partly_at")
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, message) -> reply_to, n_quotes, n_linked, for messages that quote; message is the row's hash."""
     quoting = messages.where(F.col("text").rlike(r"(?m)" + QUOTED) & F.col("turn").isNotNull())
     quotes = quoting.select("conv_id", "turn", "message", F.posexplode(passages(F.col("text"))).alias("k", "p"))
-    quotes = quotes.select("conv_id", "turn", "message", "k", F.col("p.level").alias("level"), F.xxhash64(normal(F.col("p.text"))).alias("said"))
+    quotes = quotes.select("conv_id", "turn", "message", "k", F.col("p.level").alias("level"), F.col("p.text").alias("text"), F.xxhash64(normal(F.col("p.text"))).alias("said"))
     wanted = quotes.select("conv_id", "said").distinct()
     own = unquoted(F.col("text"))
     units = F.array_distinct(F.concat(F.array(normal(own)), F.transform(F.split(own, r"\n\s*\n"), normal), F.transform(F.split(own, "\n"), normal)))
@@ -72,6 +102,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     original = original.select("conv_id", "turn", F.explode(F.filter(units, lambda u: u != "")).alias("unit")).withColumn("said", F.xxhash64("unit"))
     first = original.groupBy("conv_id", "said").agg(F.min("turn").alias("said_at"))
     linked = quotes.join(wanted.join(first, ["conv_id", "said"]), ["conv_id", "said"], "left").withColumn("said_at", F.when(F.col("said_at") < F.col("turn"), F.col("said_at")))
+    partly = link_partly(linked.where("said_at is null"), original)
+    linked = linked.join(partly, ["conv_id", "said", "turn"], "left").withColumn("said_at", F.coalesce("said_at", "partly_at"))
     best = F.min(F.when(F.col("said_at").isNotNull(), F.struct("level", (-F.col("said_at")).alias("neg"))))
     return linked.groupBy("conv_id", "turn", "message").agg((-best["neg"]).alias("reply_to"), F.count("*").alias("n_quotes"), F.count("said_at").alias("n_linked"))
 

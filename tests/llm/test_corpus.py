@@ -280,6 +280,19 @@ def test_quotes_are_linked(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_trimmed_quotes_are_linked(spark):
+    lines = [f"Line {k} of the plan." for k in range(4)]
+    paragraphs = ["First matter,\nin two lines.", "Second matter.", "Third matter."]
+    rows = [
+        (1, 0, "user", "\n".join(lines)), (1, 1, "assistant", "\n\n".join(paragraphs)), (1, 2, "user", lines[0] + "\nOther talk."), (1, 3, "user", "More talk."),
+        (1, 4, "user", f"> {lines[0]}\n> {lines[1]}\nYes."), (1, 5, "user", "> First matter, in\n> two lines.\n>\n> Second matter.\nNo."),
+        (1, 6, "user", f"> {lines[2]}\n> not said\nHalf."), (1, 7, "user", "\n".join(lines[:3])), (1, 8, "user", f"> {lines[1]}\n> {lines[2]}\nLater."),
+    ]
+    got = {r.turn: r for r in chat.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: got[t].reply_to for t in (4, 5, 6, 8)} == {4: 0, 5: 1, 6: None, 8: 7}
+    assert {t: (got[t].n_quotes, got[t].n_linked) for t in (4, 5, 6, 8)} == {4: (1, 1), 5: (1, 1), 6: (1, 0), 8: (1, 1)}
+
+
 def test_long_conversations_come_in_parts(spark):
     df = spark.range(2500).selectExpr("7L conv_id", "id turn", "'user' role", "concat('m', id) text")
     parts = sorted(chat.format_chats(df).collect(), key=lambda r: r.part)
