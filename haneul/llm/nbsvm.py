@@ -1,23 +1,27 @@
-"""Quality classifier: naive Bayes support vectors over hashed byte n-grams.
-
-Each text becomes the set (indicators) of its byte 1- to 4-grams, hashed to DIM features. On
-a bounded sample of labelled rows (`max_sample`, the rows whose hashed id is least) the
-log-count ratio r of the classes scales the indicators, and a linear model with hinge loss is
-fitted to them by dual coordinate descent, in one task: the sample's bound is its bound too.
-A tenth of the sample is held back to turn margins into scores by a logistic curve.
-Scoring reads every whole text where it lies; nothing but the model (DIM floats) is sent.
+"""Quality classifier: naive Bayes support vectors over n-gram indicators.
+
+Each text becomes the set (indicators) of its byte 1- to 4-grams, hashed to DIM places, and of
+the patterns of its word 2- to 4-grams: which of an n-gram's words equal which. On a bounded
+sample of labelled rows (`max_sample`, the rows whose hashed id is least) the log-count ratio r
+of the classes scales the indicators, and a linear model with hinge loss is fitted to them by
+dual coordinate descent, in one task: the sample's bound is its bound too. Scaled rows have
+unit length in fitting and in scoring alike, so a text's length alone makes no score extreme.
+Margins become scores by a logistic curve, fitted to the margins that models of the other folds
+give each row of the sample. Scoring reads every whole text where it lies; nothing but the
+model (a float for each place) is sent. DIM leaves most places free even for texts of 100,000
+characters, so long texts are told apart too.
 
 Nulls: a null text is scored as the empty text, a null id is never held out and never learnt
 from; labels other than 0 and 1 are ignored; several labels of one id count by their mean
 (over 0.5: 1). Without rows of both classes every score is the share of label 1 (0.5 without
-labels). Repeated rows are scored alike; other columns pass through.
+labels). Repeated rows are scored alike; an empty table gives an empty result. Other columns
+pass through; one named as the score is replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +31,21 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import sliced
 
-BITS = 16
+BITS = 18
 DIM = 1 << BITS
-#: Runs of one word up to so many repeats are features (the last indices).
-RUNS = 6
+#: Places of the patterns of word 2-, 3- and 4-grams (a bit for each pair of places in the n-gram).
+PATTERNS = {2: DIM, 3: DIM + 2, 4: DIM + 2 + 8}
+SIZE = DIM + 2 + 8 + 64
+FOLDS = 3
 #: Odd multipliers of the multiplicative hash, one for each n.
 _ODD = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
 
 
 def features(text: str | None) -> np.ndarray:
-    """Sorted indices of the n-gram indicators of a whole text: of its bytes, and of the runs
-    in which a word equals the one before it."""
+    """Sorted places of the indicators of a whole text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    mark = np.zeros(DIM, bool)
+    mark = np.zeros(SIZE, bool)
     code = data
     for n, odd in enumerate(_ODD):
         if n:
@@ -48,27 +53,35 @@ def features(text: str | None) -> np.ndarray:
                 break
             code = (code[:-1] << np.uint32(8)) | data[n:]
         mark[(code * np.uint32(odd) + np.uint32(n * 0x632BE5AB & 0xFFFFFFFF)) >> np.uint32(32 - BITS)] = True
+    seen: dict[bytes, int] = {}
     words = raw.split()
-    same = np.fromiter(map(eq, words[1:], words), bool, max(len(words) - 1, 0))
-    for n in range(1, RUNS + 1):
-        mark[DIM - n] = same.any()
-        same = same[1:] & same[:-1]
+    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words))
+    same = [ids[k:] == ids[:-k] if len(ids) > k else np.zeros(0, bool) for k in (1, 2, 3)]
+    for n, first in PATTERNS.items():
+        many = len(ids) - n + 1
+        if many > 0:
+            pairs = [same[b - a - 1][a : a + many] for a in range(n) for b in range(a + 1, n)]
+            mark[first + np.unique(sum(x.astype(np.int64) << k for k, x in enumerate(pairs)))] = True
     return np.flatnonzero(mark).astype(np.int32)
 
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    weights: np.ndarray  # of the indicators, scaled by their ratio
+    squares: np.ndarray  # of the ratios: a row's squared length is their sum, and 1 for the bias
     bias: float
     slope: float
     shift: float
 
+    def margin(self, row: np.ndarray) -> float:
+        return float((self.weights[row].sum() + self.bias) / np.sqrt(self.squares[row].sum() + 1))
+
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * (self.weights[features(text)].sum() + self.bias) + self.shift, -60, 60))))
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(features(text)) + self.shift, -60, 60))))
 
 
 def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray, alpha: float) -> np.ndarray:
-    p, q = np.full(DIM, alpha), np.full(DIM, alpha)
+    p, q = np.full(SIZE, alpha), np.full(SIZE, alpha)
     for x, y in zip(rows, labels):
         (p if y else q)[x] += 1
     return np.log((p / p.sum()) / (q / q.sum()))
@@ -77,7 +90,7 @@ def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray, alpha: float) ->
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: np.ndarray, epochs: int, tol: float, seed: int = 7) -> tuple[np.ndarray, float]:
     """L2-regularised hinge loss; the bias is a constant feature of value 1. Rows are scaled to unit length."""
     scale = np.array([1 / np.sqrt((r[x] ** 2).sum() + 1) for x in rows])
-    w, b, alpha, order = np.zeros(DIM), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
+    w, b, alpha, order = np.zeros(len(r)), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in order.permutation(len(rows)):
@@ -98,27 +111,38 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray
     return w * r, b
 
 
+def fit_margins(rows: list[np.ndarray], labels: np.ndarray, alpha: float, cost: float, epochs: int, tol: float) -> Model:
+    """A model without its logistic curve. Both classes weigh the same."""
+    y = np.where(labels == 1, 1.0, -1.0)
+    r = log_count_ratio(rows, labels, alpha)
+    weigh = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-3), 0.5 / max((y < 0).mean(), 1e-3))
+    w, b = dual_coordinate_descent(rows, y, r, cost * weigh, epochs, tol)
+    return Model(w, r**2, b, 1.0, 0.0)
+
+
 def fit(texts: list[str | None], labels: np.ndarray, alpha: float = 1.0, cost: float = 1.0, epochs: int = 12, tol: float = 0.05) -> Model:
     share = float(labels.mean()) if len(labels) else 0.5
-    flat = Model(np.zeros(DIM), 0.0, 0.0, float(np.log(min(max(share, 1e-3), 1 - 1e-3) / (1 - min(max(share, 1e-3), 1 - 1e-3)))))
+    odds = min(max(share, 1e-3), 1 - 1e-3)
     if len(labels) < 4 or labels.min() == labels.max():
-        return flat
+        return Model(np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0, float(np.log(odds / (1 - odds))))
     rows = [features(t) for t in texts]
-    y = np.where(labels == 1, 1.0, -1.0)
-    kept = np.arange(len(y)) % 10 != 9 if len(y) >= 40 else np.ones(len(y), bool)
-    if labels[kept].min() == labels[kept].max():
-        kept[:] = True
-    at = np.flatnonzero(kept)
-    train = [rows[i] for i in at]
-    r = log_count_ratio(train, labels[at], alpha)
-    weigh = np.where(y[at] > 0, 0.5 / max((y[at] > 0).mean(), 1e-3), 0.5 / max((y[at] < 0).mean(), 1e-3))
-    w, b = dual_coordinate_descent(train, y[at], r, cost * weigh, epochs, tol)
-    # the row length is part of the model's input scale, so margins are taken per unit length
-    held = np.flatnonzero(~kept) if not kept.all() and labels[~kept].min() != labels[~kept].max() else at
-    margins = np.array([w[rows[i]].sum() + b for i in held])
+    model = fit_margins(rows, labels, alpha, cost, epochs, tol)
+    fold = np.zeros(len(labels), np.int64)
+    for y in (0, 1):  # each fold gets its part of both classes
+        fold[labels == y] = np.arange((labels == y).sum()) % FOLDS
+    if min((labels == 0).sum(), (labels == 1).sum()) < FOLDS:
+        margins = np.array([model.margin(x) for x in rows])
+    else:
+        margins = np.zeros(len(rows))
+        for k in range(FOLDS):
+            at = np.flatnonzero(fold != k)
+            other = fit_margins([rows[i] for i in at], labels[at], alpha, cost, epochs, tol)
+            for i in np.flatnonzero(fold == k):
+                margins[i] = other.margin(rows[i])
     spread = margins.std() or 1.0
-    slope, shift = platt(margins / spread, labels[held])
-    return Model(w, b, slope / spread, shift)
+    slope, model.shift = platt(margins / spread, labels)
+    model.slope = slope / spread
+    return model
 
 
 def platt(margins: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -143,7 +167,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_sample: int = 12_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_sample: int = 8_000) -> Model:
     """Fit on at most max_sample labelled rows of the learning folds."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).cast("long").alias("_hn_id")).agg((F.avg(label_col) > 0.5).cast("int").alias("_hn_y"))
@@ -154,21 +178,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
         got.sort(key=lambda r: (r[2], r[0], r[1] or ""))
         model = fit([r[1] for r in got], np.array([r[3] for r in got], np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), *(pa.array([x], pa.float64()) for x in (model.bias, model.slope, model.shift))], ["weights", "bias", "slope", "shift"])
+        arrays = [pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (model.weights, model.squares)]
+        yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([x], pa.float64()) for x in (model.bias, model.slope, model.shift))], ["weights", "squares", "bias", "slope", "shift"])
 
-    row = sample.select("_hn_id", "_hn_text", F.xxhash64("_hn_id").alias("h"), "_hn_y").repartition(1).mapInArrow(learn, "weights binary, bias double, slope double, shift double").collect()
+    learnt = sample.select("_hn_id", "_hn_text", F.xxhash64("_hn_id").alias("h"), "_hn_y").repartition(1)
+    row = learnt.mapInArrow(learn, "weights binary, squares binary, bias double, slope double, shift double").collect()
     if not row:
         return fit([], np.array([]))
-    return Model(np.frombuffer(row[0].weights, np.float32).astype(np.float64), row[0].bias, row[0].slope, row[0].shift)
+    return Model(*(np.frombuffer(x, np.float32).astype(np.float64) for x in (row[0].weights, row[0].squares)), row[0].bias, row[0].slope, row[0].shift)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with the score of every whole text, between 0 and 1."""
-    weights, bias, slope, shift = model.weights.astype(np.float32).tobytes(), model.bias, model.slope, model.shift
+    weights, squares = (x.astype(np.float32) for x in (model.weights, model.squares))
+    rest = model.bias, model.slope, model.shift
 
     @arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Model(np.frombuffer(weights, np.float32).astype(np.float64), bias, slope, shift)
+        own = Model(weights.astype(np.float64), squares.astype(np.float64), *rest)
         for texts in batches:
             yield pa.array([own.score(t) for part in sliced(texts) for t in part], pa.float64())
 
