@@ -1,7 +1,7 @@
 """DuckDB SQL for the corpus queries that SQL can express: archives and quality rules. The others hash
 with functions that DuckDB lacks, train a model, tokenize or walk markup; tests hold them against brute force."""
 
-from .quality_rules import GAMMA, MEASURES
+from .quality_rules import GAMMA, MEASURES, PRIOR, ZERO
 
 _BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '')"
 
@@ -9,23 +9,29 @@ OP1 = f"""SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest, CASE
     SELECT page_id, CAST(strlen(body) AS BIGINT) AS n, sha1(body) AS h, row_number() OVER (PARTITION BY body ORDER BY page_id) AS k, min(page_id) OVER (PARTITION BY body) AS first FROM (SELECT page_id, coalesce(html, '') AS body FROM pages))"""
 
 _SPACE = r"[\x20\x09-\x0D]"
-_VALUES = {"symbol_share": "n_symbols", "dup_line_share": "n_dup_lines", "repeat_share": "n_repeat_words", "word_length": "word_chars"}
+_VALUES = {"symbol_share": ("n_symbols", "n_words"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
 
 
-def _limits(groups: str, least: int) -> str:
-    """Groups with a limit for each measure, from their counts by logarithmic bin."""
-    quantile = lambda q: f"(SELECT CASE WHEN min(bin) = -1000000 THEN 0.0 ELSE 2 * pow({GAMMA!r}, CAST(min(bin) AS DOUBLE)) / {1 + GAMMA!r} END FROM (SELECT unnest(bins) AS bin, unnest(sums) AS cum) WHERE cum >= CAST('{q!r}' AS DOUBLE) * total)"
-    by = groups + ", " if groups else ""
-    of = f"(SELECT {by}measure, list(bin ORDER BY bin) AS bins, list(cum ORDER BY bin) AS sums, max(cum) AS total FROM (SELECT {by}measure, bin, sum(count(*)) OVER (PARTITION BY {by}measure ORDER BY bin) AS cum FROM binned GROUP BY {by}measure, bin) GROUP BY {by}measure)"
+def _weights(groups: str, of: str, prior_of: str, on: str, rows_of: str) -> str:
+    """Bins of groups: their own weights and the larger groups' as PRIOR rows."""
+    return f"""SELECT {groups}, measure, bin, sum(w) AS w FROM (SELECT {groups}, measure, bin, w FROM {of} UNION ALL
+        SELECT {", ".join(f"g.{x}" for x in groups.split(", "))}, g.measure, p.bin, p.w * {PRIOR} / p.total FROM (SELECT DISTINCT {groups}, measure FROM {of}) g JOIN (SELECT *, sum(w) OVER (PARTITION BY {rows_of}) AS total FROM {prior_of}) p ON {on}) GROUP BY ALL"""
+
+
+def _quantile(q: float) -> str:
+    return f"(CASE WHEN min(bin) FILTER (WHERE cum >= CAST('{q!r}' AS DOUBLE) * total * (1 - 1e-9)) = {ZERO} THEN 0.0 ELSE 2 * pow({GAMMA!r}, CAST(min(bin) FILTER (WHERE cum >= CAST('{q!r}' AS DOUBLE) * total * (1 - 1e-9)) AS DOUBLE)) / {1 + GAMMA!r} END)"
+
+
+def _limits() -> str:
     parts = []
     for m, (mid, hi, reach, floor) in MEASURES.items():
-        up = f"{quantile(hi)} + {reach} * greatest({quantile(hi)} - {quantile(mid)}, {floor})"
-        down = f"{quantile(1 - hi)} - {reach} * greatest({quantile(mid)} - {quantile(1 - hi)}, {floor})" if m == "word_length" else "-1.0"
-        parts.append(f"SELECT {by}measure, {down} AS low, {up} AS high FROM {of} WHERE measure = '{m}' AND total >= {least}")
+        up = f"{_quantile(hi)} + {reach} * greatest({_quantile(hi)} - {_quantile(mid)}, {floor})"
+        down = f"{_quantile(1 - hi)} - {reach} * greatest({_quantile(mid)} - {_quantile(1 - hi)}, {floor})" if m == "word_length" else "-1.0"
+        parts.append(f"SELECT l, s, measure, {down} AS low, {up} AS high FROM summed WHERE measure = '{m}' GROUP BY l, s, measure")
     return " UNION ALL ".join(parts)
 
 
-_ROWS = " UNION ALL ".join(f"SELECT doc_id, l, s, '{m}' AS measure, CAST({c} AS DOUBLE) / greatest(n_words, 1) AS v, base_failed FROM measured" for m, c in _VALUES.items())
+_ROWS = " UNION ALL ".join(f"SELECT doc_id, l, s, '{m}' AS measure, CAST({c} AS DOUBLE) / greatest({by}, 1) AS v, base_failed FROM measured" for m, (c, by) in _VALUES.items())
 OP3 = f"""WITH words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, list_filter(string_split_regex(text, '{_SPACE}+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL)),
     windows AS (SELECT doc_id, i, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
     repeated AS (SELECT doc_id, i, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w, w2, w3) > 1 AS r FROM windows),
@@ -33,12 +39,16 @@ OP3 = f"""WITH words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws,
     lines AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
     counted AS (SELECT d.doc_id, coalesce(lang, '') || '=' AS l, coalesce(source, '') || '=' AS s, len(list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}+'), lambda w: w <> '')) AS n_words,
         length(regexp_replace(coalesce(text, ''), '{_SPACE}', '', 'g')) AS word_chars, length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
-        len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM documents d JOIN lines USING (doc_id) LEFT JOIN covered c ON c.doc_id = d.doc_id),
+        len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM documents d JOIN lines USING (doc_id) LEFT JOIN covered c ON c.doc_id = d.doc_id),
     measured AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
     valued AS ({_ROWS}),
-    binned AS (SELECT l, s, measure, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / ln({GAMMA!r})) AS INT) ELSE -1000000 END AS bin FROM valued WHERE NOT base_failed),
-    own AS ({_limits('l, s', 500)}), by_lang AS ({_limits('l', 500)}), overall AS ({_limits('', 1)}),
-    judged AS (SELECT v.doc_id, bool_and(coalesce(v.v <= coalesce(o.high, b.high, a.high) AND v.v >= coalesce(o.low, b.low, a.low), true)) AS inside FROM valued v LEFT JOIN own o ON o.l = v.l AND o.s = v.s AND o.measure = v.measure LEFT JOIN by_lang b ON b.l = v.l AND b.measure = v.measure LEFT JOIN overall a ON a.measure = v.measure GROUP BY 1)
+    binned AS (SELECT l, s, measure, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / ln({GAMMA!r})) AS INT) ELSE {ZERO} END AS bin, CAST(count(*) AS DOUBLE) AS w FROM valued WHERE NOT base_failed GROUP BY ALL),
+    by_lang AS (SELECT l, measure, bin, sum(w) AS w FROM binned GROUP BY ALL), overall AS (SELECT measure, bin, sum(w) AS w FROM binned GROUP BY ALL),
+    lang AS ({_weights('l', 'by_lang', 'overall', 'p.measure = g.measure', 'measure')}),
+    own AS ({_weights('l, s', 'binned', 'lang', 'p.measure = g.measure AND p.l = g.l', 'l, measure')}),
+    summed AS (SELECT *, sum(w) OVER (PARTITION BY l, s, measure ORDER BY bin) AS cum, sum(w) OVER (PARTITION BY l, s, measure) AS total FROM own),
+    limits AS ({_limits()}),
+    judged AS (SELECT v.doc_id, bool_and(coalesce(v.v <= o.high AND v.v >= o.low, true)) AS inside FROM valued v LEFT JOIN limits o ON o.l = v.l AND o.s = v.s AND o.measure = v.measure GROUP BY 1)
     SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM measured m JOIN judged USING (doc_id)"""
 
 

@@ -1,17 +1,19 @@
 """Quality rules whose thresholds adapt to each language and source.
 
 Instead of fixed cutoffs, each measure's limit is read from a quantile sketch of its own
-(language, source) group. The sketch is a table of counts over logarithmic bins (relative
-error `ALPHA`), so sketches merge by adding counts: partial counts combine before the
-shuffle, and a group with fewer than `min_rows` rows falls back on the merged sketch of its
-language, then of all documents. A document is dropped if a measure lies beyond
-`q(hi) + reach * max(q(hi) - q(mid), floor)` of its group (for the mean word length, which
-can also be too small, mirrored below as well). The spread is that of the group's own bulk,
-so a group without outliers loses nothing.
+(language, source) group. A sketch is a table of counts over logarithmic bins (relative error
+`ALPHA`), so sketches merge by adding counts: partial counts combine before the shuffle, and
+those of languages and of all documents are sums of the groups'. Small groups lean on larger
+ones by degrees: a language's sketch is its own counts and those of all documents as if they
+were PRIOR rows, and a group's sketch is its own counts and its language's sketch as PRIOR rows.
+A document is dropped if a measure lies beyond `q(hi) + reach * max(q(hi) - q(mid), floor)` of
+its group (for the mean word length, which can also be too small, mirrored below as well). The
+spread is that of the group's own bulk, so a group without outliers loses nothing.
 
 Nulls: a null text has no words and fails the base rule; null languages and sources form
-groups of their own. Empty tables give empty results; repeated rows count as rows each; other
-columns pass through.
+groups of their own. Empty tables give empty results; repeated rows count as rows each; a very
+long text is measured whole, in memory of a few times its length. Other columns pass through;
+those named quality_measures, base_failed or kept are replaced.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ _TYPE = pa.struct([(x, pa.int64()) for x in (*BASE, "n_lines")])
 #: Relative error of a quantile, and the sketch's resulting base.
 ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
+#: Rows that the larger group's sketch counts as in a smaller one's.
+PRIOR = 200
+#: The bin of zeros.
+ZERO = -1_000_000
 #: measure: (mid quantile, high quantile, reach, least spread). Shares are of words, that of repeated lines is of lines.
 MEASURES = {
     "symbol_share": (0.5, 0.8, 4.0, 0.05),
@@ -85,68 +91,71 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def _values(m: str, per_line: bool) -> dict[str, Column]:
+def _values(m: str) -> dict[str, Column]:
     f = lambda x: F.col(f"{m}.{x}").cast("double")
-    n = F.greatest(f("n_words"), F.lit(1.0))
-    lines = F.greatest(f("n_lines"), F.lit(1.0)) if per_line else n
+    n, lines = F.greatest(f("n_words"), F.lit(1.0)), F.greatest(f("n_lines"), F.lit(1.0))
     return {"symbol_share": f("n_symbols") / n, "dup_line_share": f("n_dup_lines") / lines, "repeat_share": f("n_repeat_words") / n, "word_length": f("word_chars") / n}
 
 
-def sketch(df: DataFrame, groups: list[str], m: str, per_line: bool = False) -> DataFrame:
+def sketch(df: DataFrame, groups: list[str], m: str) -> DataFrame:
     """Counts of each measure by logarithmic bin, a row per (group, measure, bin): a mergeable quantile sketch.
-    Bin -1e6 holds zeros; else bin b holds values in (GAMMA^(b-1), GAMMA^b]."""
-    bins = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.when(v > 0, F.ceil(F.log(v) / math.log(GAMMA))).otherwise(-1_000_000).cast("int").alias("bin")) for k, v in _values(m, per_line).items()]))
+    Bin ZERO holds zeros; else bin b holds values in (GAMMA^(b-1), GAMMA^b]."""
+    bins = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.when(v > 0, F.ceil(F.log(v) / math.log(GAMMA))).otherwise(ZERO).cast("int").alias("bin")) for k, v in _values(m).items()]))
     return df.select(*groups, bins.alias("x")).groupBy(*groups, "x.measure", "x.bin").agg(F.count("*").alias("n"))
 
 
-def limits(sketches: DataFrame, groups: list[str], min_rows: int) -> DataFrame:
-    """A row per group with its array of (measure, low, high): from its sketch if that holds min_rows rows.
-    The bins of a group are a bounded number (the sketch's range of exponents), so they meet in one array."""
-    merged = sketches.groupBy(*groups, "measure", "bin").agg(F.sum("n").alias("n"))
-    bins = merged.groupBy(*groups, "measure").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("total"))
+def _arrays(sketches: DataFrame, groups: list[str], out: str) -> DataFrame:
+    """A row per (group, measure): the array of (bin, w) and its sum; a sketch's bins are a bounded number."""
+    merged = sketches.groupBy(*groups, "measure", "bin").agg(F.sum("n").cast("double").alias("n"))
+    return merged.groupBy(*groups, "measure").agg(F.collect_list(F.struct("bin", F.col("n").alias("w"))).alias(out), F.sum("n").alias(f"{out}_total"))
 
-    def quantile(q: float) -> Column:
-        need = F.lit(q) * F.col("total")
-        state = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("bin")), lambda s, b: F.struct((s["n"] + b["n"]).alias("n"), F.when(s["bin"].isNull() & (s["n"] + b["n"] >= need), b["bin"]).otherwise(s["bin"]).alias("bin")))["bin"]
-        return F.when(state == -1_000_000, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), state.cast("double")) / (1 + GAMMA))
 
-    rows = None
-    for k, (mid, hi, reach, least) in MEASURES.items():
-        of = bins.where((F.col("measure") == k) & (F.col("total") >= min_rows))
-        up = quantile(hi) + reach * F.greatest(quantile(hi) - quantile(mid), F.lit(least))
-        down = quantile(1 - hi) - reach * F.greatest(quantile(mid) - quantile(1 - hi), F.lit(least)) if k == "word_length" else F.lit(-1.0)
-        part = of.select(*groups, F.lit(k).alias("measure"), down.alias("low"), up.alias("high"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy(*groups).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("measure", F.struct("low", "high").alias("limit"))))).alias("limits"))
+def _as_rows(bins: str, total: Column, rows: float) -> Column:
+    """The sketch's bins, weighing `rows` rows together."""
+    return F.transform(bins, lambda b: F.struct(b["bin"].alias("bin"), (b["w"] * rows / total).alias("w")))
 
 
-def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", id_col: str = "doc_id", min_rows: int = 500, keep_text: bool = True, per_line: bool = True) -> DataFrame:
+def quantile(bins: Column, total: Column, q: float) -> Column:
+    """The value below which a part q of the weights lies: the middle of the first bin that reaches it. Sums
+    that differ from q by rounding alone reach it."""
+    need = F.lit(q) * total * (1 - 1e-9)
+    state = F.aggregate(bins, F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("int").alias("bin")), lambda s, b: F.struct((s["w"] + b["w"]).alias("w"), F.when(s["bin"].isNull() & (s["w"] + b["w"] >= need), b["bin"]).otherwise(s["bin"]).alias("bin")))["bin"]
+    return F.when(state == ZERO, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), state.cast("double")) / (1 + GAMMA))
+
+
+def limits(finest: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """A row per (language, source): its map of measure to (low, high). finest: the groups' sketches."""
+    own = _arrays(finest, ["_hn_lang", "_hn_source"], "own")
+    lang = _arrays(finest, ["_hn_lang"], "of_lang")
+    overall = _arrays(finest, [], "of_all")
+    lang = lang.join(overall, "measure").withColumn("of_lang", F.concat("of_lang", _as_rows("of_all", F.col("of_all_total"), prior)))
+    both = own.join(lang.select("_hn_lang", "measure", "of_lang", "of_lang_total"), ["_hn_lang", "measure"])
+    both = both.withColumn("bins", F.sort_array(F.concat("own", _as_rows("of_lang", F.col("of_lang_total") + prior, prior))))
+    total = F.col("own_total") + prior
+    q = both.select("_hn_lang", "_hn_source", "measure", *(quantile(F.col("bins"), total, p).alias(f"q{round(100 * p)}") for p in sorted({p for mid, hi, _, _ in MEASURES.values() for p in (mid, hi, 1 - hi)})))
+    name = lambda p: F.col(f"q{round(100 * p)}")
+    of = lambda make: F.coalesce(*(F.when(F.col("measure") == k, make(k, *x)) for k, x in MEASURES.items()))
+    high = of(lambda k, mid, hi, reach, least: name(hi) + reach * F.greatest(name(hi) - name(mid), F.lit(least)))
+    low = of(lambda k, mid, hi, reach, least: name(1 - hi) - reach * F.greatest(name(mid) - name(1 - hi), F.lit(least)) if k == "word_length" else F.lit(-1.0))
+    rows = q.select("_hn_lang", "_hn_source", F.struct("measure", F.struct(low.alias("low"), high.alias("high")).alias("limit")).alias("x"))
+    return rows.groupBy("_hn_lang", "_hn_source").agg(F.map_from_entries(F.sort_array(F.collect_list("x"))).alias("_hn_limits"))
+
+
+def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", id_col: str = "doc_id", prior: float = PRIOR, keep_text: bool = True) -> DataFrame:
     """docs with the struct `quality_measures`, `base_failed` and `kept`.
 
     The measures are computed in one pass and their small rows (no text) are written to the
     shared folder, from which the sketches are counted. With keep_text they are computed anew
-    beside each text instead of being joined to it, which would shuffle every text. Without
-    per_line, repeated lines are divided by words, as the SQL of op3_quality_rules does."""
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit("")).alias("_hn_lang"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("_hn_source"), measures(F.col(text_col)).alias("quality_measures"))
-    own = materialize(own, "measures")
-    usable = own.where(~base_failed(F.col("quality_measures.n_words"), F.col("quality_measures.n_repeat_words")))
-    finest = materialize(sketch(usable, ["_hn_lang", "_hn_source"], "quality_measures", per_line), "sketch")
-    by_group = limits(finest, ["_hn_lang", "_hn_source"], min_rows).withColumnRenamed("limits", "_hn_own")
-    by_lang = limits(finest, ["_hn_lang"], min_rows).withColumnRenamed("limits", "_hn_by_lang")
-    overall = limits(finest.withColumn("_hn_all", F.lit(1)), ["_hn_all"], 1).withColumnRenamed("limits", "_hn_overall")
-    if keep_text:
-        rows = docs.withColumns({"_hn_lang": F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit("")), "_hn_source": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")), "quality_measures": measures(F.col(text_col))})
-        salt = F.coalesce(F.col(id_col), F.lit(0))
-    else:
-        rows, salt = own.withColumnRenamed("id", id_col), F.coalesce(F.col(id_col), F.lit(0))
-    rows = rows.withColumn("_hn_all", F.lit(1))
-    rows = spread_join(rows, by_group, ["_hn_lang", "_hn_source"], "left", salt)
-    rows = spread_join(rows, by_lang, ["_hn_lang"], "left", salt)
-    rows = rows.join(F.broadcast(overall), "_hn_all", "left")  # one row
-    chosen = F.coalesce("_hn_own", "_hn_by_lang", "_hn_overall")
+    beside each text instead of being joined to it, which would shuffle every text."""
+    groups = {"_hn_lang": F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit("")), "_hn_source": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))}
+    own = materialize(docs.select(F.col(id_col).alias("id"), *(c.alias(k) for k, c in groups.items()), measures(F.col(text_col)).alias("quality_measures")), "measures")
+    failed = base_failed(F.col("quality_measures.n_words"), F.col("quality_measures.n_repeat_words"))
+    finest = materialize(sketch(own.where(~failed), ["_hn_lang", "_hn_source"], "quality_measures"), "sketch")
+    of_group = materialize(limits(finest, prior), "limits")
+    rows = docs.withColumns(groups | {"quality_measures": measures(F.col(text_col))}) if keep_text else own.withColumnRenamed("id", id_col)
+    rows = spread_join(rows, of_group, ["_hn_lang", "_hn_source"], "left", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     inside = F.lit(True)
-    for k, v in _values("quality_measures", per_line).items():
-        limit = F.element_at(chosen, k)
+    for k, v in _values("quality_measures").items():
+        limit = F.element_at("_hn_limits", k)
         inside = inside & F.coalesce((v <= limit["high"]) & (v >= limit["low"]), F.lit(True))
-    failed = base_failed(F.col("quality_measures.n_words"), F.col("quality_measures.n_repeat_words"))
-    return rows.withColumns({"base_failed": failed, "kept": ~failed & inside}).drop("_hn_lang", "_hn_source", "_hn_all", "_hn_own", "_hn_by_lang", "_hn_overall")
+    return rows.withColumns({"base_failed": failed, "kept": ~failed & inside}).drop("_hn_lang", "_hn_source", "_hn_limits")
