@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -49,12 +50,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
-    """Mark a frame for broadcast if it has at most max_rows rows, counted now; else leave the choice to Spark."""
-    counted = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if counted <= max_rows else small
-
-
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, salt_from: Column, max_rows: int = 100_000, salts: int = 64) -> DataFrame:
     """Join a table with one small row per group. Up to max_rows groups are broadcast; beyond
     that each group's row is copied to `salts` salted keys, so a group that holds a third of
@@ -66,23 +61,14 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, sa
     return dealt.join(salted, [*keys, "_hn_salt"], how).drop("_hn_salt")
 
 
-def id_ranges(df: DataFrame, key: str, rows_per_range: int) -> DataFrame:
-    """Add _hn_range: consecutive ranges of a long key, ascending, null first, of roughly
-    rows_per_range rows. The cuts come from a quantile sketch over all keys; they are as many
-    numbers as there are ranges, whatever the rows hold."""
-    n = df.count()
-    parts = max(1, -(-n // rows_per_range))
-    cuts = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    if not cuts:
-        return df.withColumn("_hn_range", F.lit(0))
-    # binary search over the cuts: the number of cuts that are <= key
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(key) < F.lit(int(cuts[mid])), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return df.withColumn("_hn_range", F.when(F.col(key).isNull(), F.lit(0)).otherwise(search(0, len(cuts))).cast("int"))
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """The rows with their place, from 0, in the order: places within ranges of it plus the counts of the
+    ranges before, a row per range."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.select("*", F.spark_partition_id().alias("_hn_range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_hn_at")), "ranges")
+    before = W.orderBy("_hn_range").rowsBetween(W.unboundedPreceding, -1)
+    base = ranged.groupBy("_hn_range").agg(F.count("*").alias("n")).select("_hn_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_hn_base"))
+    return ranged.join(base, "_hn_range").withColumn(out, F.col("_hn_base") + F.col("_hn_at")).drop("_hn_range", "_hn_at", "_hn_base")
 
 
 def arrow_column(ddl: str) -> Callable:
