@@ -12,20 +12,22 @@ the threshold. Classes are the connected components of the links.
 How it scales:
 * equal texts meet by hash in a combined count; only one row per text goes on;
 * in each bucket every text is held against the bucket's hub (the text with the most bucket
-  company), a link per row, so a group of thousands of near copies costs thousands of pairs;
+  company), a pair per row, so a group of thousands of near copies costs thousands of pairs;
 * buckets that then still hold texts of several classes are resolved across classes. A pair
   leaves the join only if two sketches allow the threshold: one bit a register (a pair at the
   threshold or above passes but for about 1 in 10^6) and a map of occupied cells, whose bound
   on the common shingles is exact; so near copies that are just too far apart make no rows;
 * shingle sets are rebuilt from the texts of candidates only;
-* every iteration is written to the shared folder.
+* joins to texts and to shingle sets are merge joins at every size, and every iteration is
+  written to the shared folder.
 
 A pair at similarity 0.8 shares no band with a probability of about 5e-6 (REGISTERS in bands
-of ROWS).
+of ROWS). Shingles are compared as 32-bit hashes.
 
 Nulls: a null text is a class of its own, and so is a text without words unless an equal text
-exists. The class id is the smallest document id of the class. Repeated rows are one document.
-Empty tables give empty results; columns besides id and text are ignored.
+exists. The class id is the smallest document id of the class. Repeated rows are one document;
+texts that share an id have one class if either's is. Very long texts are read whole. Empty
+tables give empty results; columns besides id and text are ignored here and kept by one_of_each().
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, materialize, sized_broadcast, sliced
+from .common import arrow_column, materialize, sliced
 from .shingles import WordHashes, mix, shingles
 
 ROWS, BANDS = 6, 42
@@ -46,8 +48,6 @@ REGISTERS = ROWS * BANDS
 BLOCK = 2048
 #: Bits that may differ between the one-bit sketches of a pair at similarity 0.8: a tenth is expected.
 MAX_BITS = 52
-#: Frames of up to so many rows of two ids are broadcast (their number is counted first).
-SMALL = 1_000_000
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
@@ -141,16 +141,16 @@ def jaccard(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough."""
     left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("of_b"))
-    return pairs.join(left, "a").join(right, "b").where(jaccard("of_a", "of_b") >= threshold).select("a", "b")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(jaccard("of_a", "of_b") >= threshold).select("a", "b")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of the links: label is the smallest node it is connected with.
     Each round takes the smallest label among neighbours (combined before the shuffle), then
-    jumps to that label's own label; rounds are written to the shared folder."""
+    jumps to that label's own label, until no label falls; rounds are written to the shared folder."""
     both = materialize(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), "edges")
     labels = materialize(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
@@ -158,11 +158,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = new.select("node", "label")
         if not new.where("label <> old").limit(1).count():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id, n_links (links of the document's text to different texts), for every distinct id and text."""
+    """doc_id, text_md5, class_id, for every distinct id and text."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     key = F.md5(F.col("text").cast("binary"))
     own = materialize(texts.select("doc_id", F.unhex(key).alias("key"), signed("text").alias("s")), "signed")
@@ -178,8 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = materialize(stars.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "stars")
     # shingle sets of candidates alone, from their texts
     wanted = company.select(F.col("rep").alias("doc_id"))
-    few = sized_broadcast(materialize(wanted, "wanted"), SMALL)
-    sets = texts.where("text is not null").join(few, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.unhex(key).alias("key"), "text")
+    sets = texts.where("text is not null").join(wanted.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.unhex(key).alias("key"), "text")
     sets = materialize(sets.select("rep", "key", shingle_set("text").alias("shingles")), "sets")
     # an id may stand for several texts; each pair is held against the text that it stands for
     sets = sets.join(reps.select("key", "rep"), ["key", "rep"], "left_semi").dropDuplicates(["rep", "key"])
@@ -203,16 +201,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if more.limit(1).count():
         links = links.union(more)
         classes = components(links)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    known = reps.select("key", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    known = known.select("key", "rep", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    found = members.join(known, "key", "left")
-    return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the documents that another one of their class stands for. The ids that go are fewer than
-    those that stay; up to SMALL of them are broadcast, so no text is shuffled; beyond, Spark joins by id."""
-    stands = F.bool_or(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    gone = materialize(found.groupBy(F.col("doc_id").alias("_hn_id")).agg(stands.alias("_hn_stands")).where("not _hn_stands").select("_hn_id"), "gone")
-    return docs.join(sized_broadcast(gone, SMALL), F.col(id_col).eqNullSafe(F.col("_hn_id")), "left_anti")
+    known = reps.select("key", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("label", "rep").alias("class_id"))
+    return members.join(known, "key", "left").select("doc_id", F.col("key").alias("text_md5"), F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each class: that of its smallest id (one of each text, if its id has several texts
+    or none). found: what near_duplicates() says of docs. Texts are shuffled once, by id and text."""
+    none_id, none_key = F.lit(-(1 << 63)), F.unhex(F.lit(""))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", none_id).alias("_hn_id"), F.coalesce("text_md5", none_key).alias("_hn_key"))
+    rows = docs.withColumns({"_hn_id": F.coalesce(F.col(id_col).cast("long"), none_id), "_hn_key": F.coalesce(F.unhex(F.md5(F.col(text_col).cast("binary"))), none_key)})
+    return rows.join(kept.hint("merge"), ["_hn_id", "_hn_key"], "left_semi").dropDuplicates(["_hn_id", "_hn_key"]).select(*docs.columns)

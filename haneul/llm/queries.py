@@ -35,7 +35,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_rules.apply_rules(table(spark, sf_dir, "documents"), keep_text=False, per_line=False)  # as its SQL
+    found = quality_rules.apply_rules(table(spark, sf_dir, "documents"), keep_text=False)
     return found.select("doc_id", *(F.col(f"quality_measures.{x}") for x in quality_rules.BASE), "base_failed", "kept")
 
 
@@ -62,7 +62,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
