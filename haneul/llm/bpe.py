@@ -1,29 +1,26 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-A task takes the distinct white-space-free chunks of its batch, brings them into the
-tokenizer's normal form, cuts them into pieces, and lays the pieces' symbols end to end. The
-index holds, in columns, the rank of the pair at every position, and so each pair's
-positions. Active ranks are applied in ascending order: pieces share no pairs, so the order
-matters inside a piece only, and each round applies every piece's least active rank at all
-its positions at once and updates the entries beside the merges. Chunks already encoded by
-the task are kept (up to CACHE of them), so a word is merged once a task, however often it
-occurs. White space never becomes part of a token of this tokenizer, so encoding chunk by
-chunk equals encoding the whole text; tests hold it against the tokenizers library.
+A task takes the distinct white-space-free chunks of its rows (those of INDEXED characters of
+text at a time), brings them into the tokenizer's normal form, cuts them into pieces, and lays
+the pieces' symbols end to end. The index maps the rank of each pair to all its positions.
+Active ranks are applied in ascending order, each at all its positions at once, and the lists
+of the pairs that begin beside a merge are updated. Chunks already encoded by the worker are
+kept, so a word is merged once, however often it occurs. White space never becomes part of a
+token of this tokenizer, so encoding chunk by chunk equals encoding the whole text; tests hold
+it against the tokenizers library.
 
 Nulls: a null text is encoded as the empty text (no ids); null ids decode to the empty text.
 Whole texts are encoded, whatever their length. Repeated rows are encoded alike, empty tables
-give empty results, other columns pass through.
+give empty results. Other columns pass through; one named as the result is replaced.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .chunks import ChunkIds, gather
 from .common import sliced
 
-CACHE = 300_000
-#: Texts that are encoded together; their chunks and ids are in memory at one time.
-ENCODED = 512
-#: Fixed value: the code points at which texts are cut into chunks; no token spans one.
-CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
+#: Characters of text whose new chunks share an index; their chunks and ids are in memory at one time.
+INDEXED = 16 << 20
 #: Chunks that need no normaliser but lower case, the pre-tokenizer's pattern on those, and other white space.
 PRINTABLE = re.compile(r"[\x21-\x7e]+")
 ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -73,7 +68,7 @@ class PairIndex:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.names = {i: x for x, i in (self.vocab | self.special).items()}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.chunks = ChunkIds(self.encode_new)
 
     def pieces_of(self, chunks: list[str]) -> Iterator[list[str | int]]:
         """The pre-tokens of each chunk; special tokens are ids already."""
@@ -109,74 +104,100 @@ class PairIndex:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.key_rank[at], NONE)
 
-    def merge(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each piece, all pieces in one index."""
-        if not pieces:
-            return []
+    def merge(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after another, and the number of each one's, from one pair index.
+
+        Symbols stand at positions, linked to their neighbours within the piece. `lists` maps the rank of each
+        pair that occurs to the positions where it begins. Ranks are taken in ascending order; a rank's pairs
+        are merged at all its positions, and the positions beside them go to the lists of the pairs that begin
+        there now. Entries whose pair has gone are passed over when their rank's turn comes."""
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        if not lens.sum():
+            return np.zeros(0, np.int32), np.zeros(len(pieces), np.int64)
         points = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
         sym = self.inside[points]
-        sym[np.cumsum(lens) - 1] = self.last[points[np.cumsum(lens) - 1]]
+        ends = np.cumsum(lens)[lens > 0] - 1
+        sym[ends] = self.last[points[ends]]
         word = np.repeat(np.arange(len(pieces)), lens)
         sym, word = sym[sym >= 0], word[sym >= 0]
-        done = []
-        rank = np.full(len(sym), NONE, np.int32)  # of the pair that begins at each position
+        n = len(sym)
         inner = np.flatnonzero(word[1:] == word[:-1])
+        right, left = np.full(n, n), np.full(n, -1)
+        right[inner], left[inner + 1] = inner + 1, inner
+        rank = np.full(n, NONE, np.int32)  # of the pair that begins at each position
         rank[inner] = self._rank(sym[inner], sym[inner + 1])
-        while len(sym):
-            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            counts = np.diff(np.append(starts, len(word)))
-            least = np.minimum.reduceat(rank, starts)
-            active = np.repeat(least < NONE, counts)
-            if not active.all():
-                done.append((word[~active], sym[~active]))
-                sym, word, rank, counts, least = sym[active], word[active], rank[active], counts[least < NONE], least[least < NONE]
-                if not len(sym):
-                    break
-            hit = np.flatnonzero(rank == np.repeat(least, counts))
-            # of hits that overlap (a a a), every second one of the run from its left
-            near = np.concatenate([[False], (np.diff(hit) == 1) & (word[hit[1:]] == word[hit[:-1]])])
-            if near.any():
-                k = np.arange(len(hit))
-                hit = hit[(k - np.maximum.accumulate(np.where(near, 0, k))) % 2 == 0]
-            if self.lowers[rank[hit]].any():  # there, a lower rank may become active: the leftmost alone
-                first = np.concatenate([[True], word[hit[1:]] != word[hit[:-1]]])
-                hit = hit[first | ~self.lowers[rank[hit]]]
-            sym[hit] = self.made[rank[hit]]
-            keep = np.ones(len(sym), bool)
-            keep[hit + 1] = False
-            sym, word, rank = sym[keep], word[keep], rank[keep]
-            hit = hit - np.arange(len(hit))
-            beside = np.concatenate([hit, hit[hit > 0] - 1])
-            rank[beside] = NONE
-            beside = beside[beside < len(sym) - 1]
-            beside = beside[word[beside] == word[beside + 1]]
-            rank[beside] = self._rank(sym[beside], sym[beside + 1])
-        word, sym = (np.concatenate(x) for x in zip(*done)) if done else (word, sym)
-        ids = sym[np.argsort(word, kind="stable")].tolist()
-        ends = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(pieces)))]).tolist()
-        return [tuple(ids[s:e]) for s, e in zip(ends, ends[1:])]
-
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Encode the chunks not known yet, all in one index."""
-        new = [c for c in set(chunks) if c not in self.known]
-        cut = list(self.pieces_of(new))
-        pieces = list({p for ps in cut for p in ps if isinstance(p, str)})
-        ids = dict(zip(pieces, self.merge(pieces)))
-        for c, ps in zip(new, cut):
-            self.known[c] = ids[ps[0]] if len(ps) == 1 and isinstance(ps[0], str) else tuple(chain.from_iterable((p,) if isinstance(p, int) else ids[p] for p in ps))
+        alive = np.ones(n, bool)
+        lists: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def enter(positions: np.ndarray) -> None:
+            positions = positions[rank[positions] < NONE]
+            if not len(positions):
+                return
+            ranks = rank[positions]
+            order = np.argsort(ranks, kind="stable")
+            positions, ranks = positions[order], ranks[order]
+            cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+            for start, stop in zip(cuts, cuts[1:]):
+                r = int(ranks[start])
+                if (own := lists.get(r)) is None:
+                    lists[r] = [positions[start:stop]]
+                    heappush(active, r)
+                else:
+                    own.append(positions[start:stop])
+
+        enter(np.arange(n))
+        while active:
+            r = heappop(active)
+            hit = np.concatenate(lists.pop(r))
+            hit = np.sort(hit[rank[hit] == r])
+            if len(hit) > 1:
+                # of hits that overlap (a a a), every second one of the run from its left
+                near = np.concatenate([[False], right[hit[:-1]] == hit[1:]])
+                if near.any():
+                    k = np.arange(len(hit))
+                    hit = hit[(k - np.maximum.accumulate(np.where(near, 0, k))) % 2 == 0]
+                if self.lowers[r]:  # a lower rank may become active beside a merge: the leftmost alone, then again
+                    first = np.concatenate([[True], word[hit[1:]] != word[hit[:-1]]])
+                    if not first.all():
+                        lists[r] = [hit[~first]]
+                        heappush(active, r)
+                        hit = hit[first]
+            if not len(hit):
+                continue
+            gone = right[hit]
+            after = right[gone]
+            sym[hit], right[hit] = self.made[r], after
+            alive[gone] = False
+            rank[gone] = NONE
+            rank[hit] = NONE
+            here, behind = hit[after < n], after[after < n]
+            left[behind] = here
+            rank[here] = self._rank(sym[here], sym[behind])
+            before = left[hit]
+            before = before[np.concatenate([before[:1] >= 0, (before[1:] >= 0) & (before[1:] != hit[:-1])])]
+            rank[before] = self._rank(sym[before], sym[right[before]])
+            enter(np.concatenate([here, before]))
+        return sym[alive].astype(np.int32), np.bincount(word[alive], minlength=len(pieces))
+
+    def encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, and the number of each one's; all their distinct pieces are in one index."""
+        cut = list(self.pieces_of(chunks))
+        place: dict[str | int, int] = {}
+        at = np.array([place.setdefault(p, len(place)) for ps in cut for p in ps], np.int64)
+        flat, lens = self.merge(["" if isinstance(p, int) else p for p in place])
+        for p, k in place.items():
+            if isinstance(p, int):  # a special token is a piece of one id
+                flat, lens[k] = np.insert(flat, lens[:k].sum(), p), 1
+        starts = np.cumsum(lens) - lens
+        counts = np.array([len(ps) for ps in cut], np.int64)
+        ends = np.concatenate([[0], np.cumsum(lens[at])])[np.cumsum(counts)]
+        return gather(flat, starts[at], lens[at]), np.diff(ends, prepend=0)
 
     def encode_batch(self, texts: list[str | None]) -> pa.Array:
         """The ids of whole texts, as a list array."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        cut = [CHUNK.findall(t) if t else [] for t in texts]
-        self.learn(chain.from_iterable(cut))
-        flat, ends, get = array("i"), [0], self.known.__getitem__
-        for chunks in cut:
-            flat.extend(chain.from_iterable(map(get, chunks)))
-            ends.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+        ids, ends = self.chunks.encode(texts)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
 
     def decode(self, ids: Iterable[int] | None) -> str:
         """The library's decoding without a decoder: the tokens' names, special ones too, joined by a space."""
@@ -196,10 +217,16 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
     @arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = worker_index(path)
-        gc.disable()  # nothing here is cyclic, and the cache is large
+        held, size = [], 0
         for texts in batches:
-            for i in range(0, len(texts), ENCODED):
-                yield index.encode_batch(texts.slice(i, ENCODED).to_pylist())
+            for part in sliced(texts):
+                held.append(part)
+                size += sum(len(t) for t in part if t)
+                if size >= INDEXED:
+                    yield index.encode_batch([t for own in held for t in own])
+                    held, size = [], 0
+        if held:
+            yield index.encode_batch([t for own in held for t in own])
 
     return docs.withColumn(out, encoded(F.col(text_col)))
 
