@@ -12,8 +12,9 @@ fingerprint is the threshold and the retained hashes, ascending, 8 hexadecimal d
 
 Nulls: a null text is the empty text; its fingerprint holds the threshold alone, and it is
 like only other texts without shingles (likeness 1). Equal texts have equal fingerprints.
-Equal ids are ordered by their text; the next document of the last is the first. Empty tables
-give empty results; columns besides id and text are ignored.
+Equal ids are ordered by their text; the next document of the last is the first. Repeated rows
+are each other's next; all rows of one id (or of none) lie in one range. Very long texts are
+read whole. Empty tables give empty results; columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .common import id_ranges
 from .shingles import WordHashes, mix, shingles
 
 FRACTION = 8  # an eighth of all hashes is retained
 FLOOR = 64
 SHORT = 20
+MAX_RANGES = 65_536
 _TOP = 0xFFFFFFFF
 
 
@@ -93,26 +95,38 @@ def from_text(s: str) -> np.ndarray:
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int) -> DataFrame:
-    """Rows dealt by ranges of ascending ids and sorted there, each range followed by the first
-    row of the next one (guard true), and the last by the first row of all. One shuffle of the texts."""
-    rows = id_ranges(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id", rows_per_range)
-    key = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")
-    firsts = sorted((r for r in rows.groupBy("_hn_range").agg(F.min(key).alias("k")).select("_hn_range", "k.doc_id").collect()), key=lambda r: r[0])  # a row per range
-    if not firsts:
-        return rows.withColumn("guard", F.lit(False))
-    into = {firsts[i].doc_id: firsts[i - 1]._hn_range for i in range(len(firsts))}
-    table = docs.sparkSession.createDataFrame([(k, v) for k, v in into.items()], "first_id long, before int")
-    rows = rows.join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("first_id")), "left").drop("first_id")
-    own, guard = F.struct(F.col("_hn_range").alias("r"), F.lit(False).alias("g")), F.struct(F.col("before").alias("r"), F.lit(True).alias("g"))
-    dealt = rows.withColumn("x", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, guard))))
-    dealt = dealt.select(F.col("x.r").alias("_hn_range"), F.col("x.g").alias("guard"), "doc_id", "text")
+    """Rows dealt by ranges of ascending ids and sorted there, each range followed by the first row of the
+    next one (guard true), and the last by the first row of all. One shuffle of the texts.
+
+    Ranges begin at ids that a hash chooses, one of about rows_per_range, and at the least id. There are
+    about MAX_RANGES of them at most, so what every task knows of them is bounded; several share a task."""
+    none = F.lit(-(1 << 63))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("k", F.coalesce("doc_id", none))
+    every = max(rows_per_range, rows.count() // MAX_RANGES, 1)
+    chosen = rows.where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).select("k").union(rows.agg(F.min("k").alias("k")).where("k is not null"))
+    cuts = np.array(sorted(r.k for r in chosen.distinct().collect()), np.int64)
+
+    @arrow_udf("array<struct<range:int,guard:boolean>>")
+    def places(keys: pa.Array) -> pa.Array:
+        k = keys.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(cuts, k, "right") - 1
+        begins = cuts[at] == k  # such rows also close the range before
+        ends = np.cumsum(1 + begins)
+        own = ends - 1 - begins
+        ranges, guards = np.zeros(ends[-1] if len(ends) else 0, np.int32), np.zeros(ends[-1] if len(ends) else 0, bool)
+        ranges[own] = at
+        ranges[own[begins] + 1], guards[own[begins] + 1] = (at[begins] - 1) % len(cuts), True
+        entries = pa.StructArray.from_arrays([pa.array(ranges, pa.int32()), pa.array(guards)], ["range", "guard"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), entries)
+
+    dealt = rows.withColumn("x", F.explode(places("k"))).select(F.col("x.range").alias("_hn_range"), F.col("x.guard").alias("guard"), "doc_id", "text")
     return dealt.repartition("_hn_range").sortWithinPartitions("_hn_range", "guard", F.asc_nulls_first("doc_id"), "text")
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_in_edited double"
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 5_000) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 512) -> DataFrame:
     """Per document: its fingerprint, that of its text with the second half replaced by the next
     document's beginning, and the likeness of its fingerprint to that and to the next document's."""
 
