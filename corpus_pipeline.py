@@ -33,8 +33,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, repeated to their source's target."""
-    plan = materialize(mixing.plan_mix(docs), "mix")
-    return mixing.mix(docs, plan).select(*docs.columns)
+    return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
