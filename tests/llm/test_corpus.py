@@ -157,22 +157,43 @@ def test_rules(spark, docs, empty, sf):
         assert [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words] == [n, *rest]
         assert r.base_failed == (n < 50 or 100 * rest[3] > 50 * n) and not (r.base_failed and r.kept)
     assert quality_rules.apply_rules(empty).count() == 0
-    got = quality_rules.apply_rules(docs.drop("kept"))
-    assert got.count() == len(ROWS) and got.where("kept and base_failed").count() == 0
+    got = quality_rules.apply_rules(docs)  # its column kept is replaced
+    assert got.count() == len(ROWS) and dict(got.dtypes)["kept"] == "boolean" and got.where("kept and base_failed").count() == 0
 
 
-def test_sketch_quantiles_are_near_exact(spark):
+def _quantile(bins, q):
+    total, cum = sum(bins.values()), 0.0
+    for b in sorted(bins):
+        cum += bins[b]
+        if cum >= q * total * (1 - 1e-9):
+            return 0.0 if b == quality_rules.ZERO else 2 * quality_rules.GAMMA**b / (1 + quality_rules.GAMMA)
+
+
+def test_sketches_merge_and_limits_lean_on_larger_groups(spark):
     from pyspark.sql import functions as F
 
-    values = np.random.default_rng(1).integers(0, 500, 4000)
-    df = spark.createDataFrame([("g", (100, 400, int(v), 0, 0)) for v in values], "g string, m struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long>")
-    whole = quality_rules.sketch(df, ["g"], "m")
-    halves = quality_rules.sketch(df.where(F.col("m.n_symbols") % 2 == 0), ["g"], "m").unionByName(quality_rules.sketch(df.where(F.col("m.n_symbols") % 2 == 1), ["g"], "m"))
-    low, high = (quality_rules.limits(x, ["g"], 1).collect()[0].limits["symbol_share"].high for x in (whole, halves))
-    assert low == high
-    s = np.sort(values) / 100
-    q = lambda p: s[int(np.ceil(p * len(s))) - 1]
-    assert abs(high - (q(0.8) + 4 * max(q(0.8) - q(0.5), 0.05))) < 0.2
+    rng = np.random.default_rng(1)
+    rows = [(l, s, (100, 400, int(v), 0, 0, 10)) for l, s, n, top in (("a", "x", 900, 300), ("a", "y", 30, 20), ("b", "x", 60, 90), ("b", "z", 1, 5)) for v in rng.integers(0, top, n)]
+    df = spark.createDataFrame(rows, "_hn_lang string, _hn_source string, m struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,n_lines:long>")
+    groups = ["_hn_lang", "_hn_source"]
+    whole = quality_rules.sketch(df, groups, "m")
+    halves = quality_rules.sketch(df.where(F.col("m.n_symbols") % 2 == 0), groups, "m").unionByName(quality_rules.sketch(df.where(F.col("m.n_symbols") % 2 == 1), groups, "m"))
+    read = lambda x, prior: {(r._hn_lang, r._hn_source): r._hn_limits["symbol_share"].high for r in quality_rules.limits(x, prior).collect()}
+    assert read(whole, 50) == read(halves, 50)
+    bins = collections.defaultdict(collections.Counter)
+    for l, s, m in rows:
+        v = m[2] / 100
+        b = int(np.ceil(np.log(v) / np.log(quality_rules.GAMMA))) if v else quality_rules.ZERO
+        for k in ((l, s), l, None):
+            bins[k][b] += 1
+    lean = lambda own, on, prior: {b: own.get(b, 0) + on.get(b, 0) * prior / sum(on.values()) for b in {*own, *on}}
+    for prior in (0.001, 50, 1000):
+        for (l, s), high in read(whole, prior).items():
+            own = lean(bins[l, s], lean(bins[l], bins[None], prior), prior)
+            assert high == pytest.approx(_quantile(own, 0.8) + 4 * max(_quantile(own, 0.8) - _quantile(own, 0.5), 0.05))
+    values = np.sort([m[2] for l, s, m in rows if (l, s) == ("a", "x")]) / 100
+    exact = lambda p: values[int(np.ceil(p * len(values))) - 1]
+    assert abs(read(whole, 0.001)["a", "x"] - (exact(0.8) + 4 * max(exact(0.8) - exact(0.5), 0.05))) < 0.2
 
 
 def test_short_repeated_lines_decide(spark):
@@ -181,11 +202,20 @@ def test_short_repeated_lines_decide(spark):
     rows = [(i, "\n".join(own(100, 40)), "en", "s") for i in range(20)]
     rows.append((20, "\n".join([x for line in own(40, 100) for x in (line, "Share")] + ["Share"] * 20), "en", "s"))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r.doc_id: r for r in quality_rules.apply_rules(df, min_rows=10).collect()}
+    got = {r.doc_id: r for r in quality_rules.apply_rules(df).collect()}
     assert got[20].quality_measures.n_dup_lines == 59 and got[20].quality_measures.n_lines == 100 and not got[20].base_failed
     assert {i for i in got if not got[i].kept} == {20}
 
 
+def test_thresholds_are_those_of_the_language_and_source(spark):
+    said = iter(range(10**6))
+    text = lambda symbols: " ".join(f"w{next(said)}{'#' * (k < symbols)}" for k in range(100))
+    rows = [(k, text(30 + k % 5), "en", "code") for k in range(300)] + [(1000 + k, text(k % 3), "en", "news") for k in range(300)]
+    rows += [(5000, text(40), "en", "code"), (5001, text(40), "en", "news")]
+    got = {r.doc_id: r.kept for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), prior=20).collect()}
+    assert got[5000] and {i for i in got if not got[i]} == {5001}
+
+
 # -- BPE
 
 
@@ -201,13 +231,18 @@ def index():
     return bpe.PairIndex(queries.tokenizer_path())
 
 
+@pytest.fixture(scope="module")
+def store():
+    return token_store.LibraryEncoder(queries.tokenizer_path())
+
+
 @settings(max_examples=300, deadline=None)
 @given(text=st.one_of(st.text(max_size=60), st.text(alphabet="aàá́ÀIİıſKß'sT t\n<|endoft>xΣσς　\x85​ 한中١²Ⅷ🙂", max_size=50)))
-def test_bpe_equals_the_library(index, library, text):
+def test_bpe_equals_the_library(index, store, library, text):
     want = library.encode(text, add_special_tokens=False).ids
     assert index.encode_batch([text]).to_pylist() == [want]
     assert index.decode(want) == library.decode(want, skip_special_tokens=False)
-    assert list(next(token_store.LibraryEncoder(queries.tokenizer_path()).encode([text]))) == want
+    assert store.encode([text, None, text])[0].tolist() == want + want
 
 
 def test_bpe_query(spark, sf, library):
@@ -352,10 +387,28 @@ def test_schedule_inverts_its_integral(spark):
 
 def test_mix_repeats_and_orders(spark, empty):
     df = spark.createDataFrame([(i, "w " * 20, "s%d" % (i % 3)) for i in range(60)], "doc_id long, text string, source string")
-    got = mixing.mix(df, mixing.plan_mix(df)).collect()
+    got = mixing.mix(df).collect()
     n = collections.Counter(r.source for r in got)
     assert n["s0"] == 40 and abs(sum(n.values()) - 90) <= 2
-    assert mixing.plan_mix(empty).count() == 0
+    places = {(r.doc_id, c.copy): c.position for r in mixing.plan_mix(df).collect() for c in r.copies if 2 * c.words >= r.size}
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in places)
+    assert [r.doc_id for r in got] == [i for (i, _), _ in sorted(places.items(), key=lambda x: (x[1], x[0][0]))]
+    assert mixing.plan_mix(empty).count() == mixing.mix(empty).count() == 0
+
+
+def test_mix_takes_rows_and_not_ids(spark):
+    df = spark.createDataFrame([(1, "a " * 30, "s"), (1, "b " * 10, "s"), (1, "b " * 10, "s"), (None, "c " * 5, None), (None, None, None)], "doc_id long, text string, source string")
+    got = collections.Counter((r.text or "")[:1] for r in mixing.mix(df, share=2.0).collect())
+    assert got == {"a": 2, "b": 4, "c": 2} and mixing.mix(df).columns == df.columns
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(3)
+    sizes = {f"s{k:04d}": rng.choice([0, 1, 5, 50, 500, 5000]) for k in range(700)} | {None: 40}
+    rows = [(f"={s}" if s else "", s, n) for s, n in sizes.items()]
+    got = mixing.targets(spark.createDataFrame(rows, "key string, source string, source_size long").repartition(5), (5, 2, 1), 1.5, 2).collect()
+    want = _targets(sizes)
+    assert len(got) == len(want) and all(abs(r.target - want[r.source]) < 1e-6 * max(1, want[r.source]) for r in got)
 
 
 # -- near duplicates
@@ -408,7 +461,10 @@ def test_near_duplicates_edges(spark, docs, empty):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 9: 7, None: None, 8: 8}
     assert probminhash.near_duplicates(empty).count() == 0
     kept = probminhash.one_of_each(docs, probminhash.near_duplicates(docs))
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 4, 5, 6, 7, 8, None]
+    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 4, 5, 6, 7, 8, None]
+    again = docs.union(docs).union(docs.where("doc_id = 1"))  # repeated rows of a representative: one stays
+    assert sorted((r.doc_id for r in probminhash.one_of_each(again, probminhash.near_duplicates(again)).collect()), key=str) == [1, 3, 4, 5, 6, 7, 8, None]
+    assert probminhash.one_of_each(empty, probminhash.near_duplicates(empty)).count() == 0
 
 
 def test_registers_agree_with_probability_jaccard():
@@ -564,7 +620,8 @@ def test_pipeline(spark, sf, library):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     left = {r.doc_id for r in single.collect()}
     good = [i for i in labels if labels[i] == 1]
-    assert kept.count() > 0.95 * len([1 for i in good]) and np.mean([labels[r.doc_id] for r in kept.collect() if r.doc_id in labels]) > 0.97
+    labelled = [labels[r.doc_id] for r in kept.collect() if r.doc_id in labels]
+    assert sum(labelled) > 0.95 * len(good) and np.mean(labelled) > 0.97
     want = _classes([(r.doc_id, r.text) for r in ruled.collect()])
     assert left == {i for (i, _), c in want.items() if c == i}
     mixed = corpus_pipeline.mix(spark, single, sf)
