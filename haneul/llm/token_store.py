@@ -6,14 +6,14 @@ directory (set bits before each block of BLOCK bits). Token i's chunk is read at
 is set, its next chunk stands at rank(i) one level below, and so on: any token is reached
 without decoding a block.
 
-Documents are written in ascending id order: ranges of ids (cut by a quantile sketch) are
-dealt to tasks and sorted there; each task writes files of at most about `max_ids` ids. A
-file carries the documents' ids and ends, so reading needs only the files and their manifest,
+Documents are written in ascending id order: Spark deals ranges of ids to tasks, which sort
+them; a task encodes 1,024 texts at a time and writes files of about `max_ids` ids at most (a
+file ends after the batch that reaches them). A file carries the documents' ids and ends, so reading needs only the files and their manifest,
 whose running total of ids (a row per file) gives every file its place.
 
 Nulls: a null text is the end id alone; a null document id comes first. Rows with equal ids
-are ordered by their text's hash. An empty table gives no files and an empty result; other
-columns are ignored.
+are ordered by their text's hash, and ranges part them by it too. Very long texts are encoded
+whole. An empty table gives no files and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_ranges
+from .chunks import ChunkIds, gather
 from .warc import _open
 
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
 BLOCK = 512
+#: Tasks that documents are dealt to at most; beyond, each takes more.
+MAX_RANGES = 16_384
 _NULL_ID = -(1 << 63)
 _COUNTS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 MANIFEST = "range int, part int, file string, n_ids long, n_docs long"
@@ -112,11 +113,14 @@ class TokenFile:
         return out
 
 
-class LibraryEncoder:
-    """The tokenizers library over the distinct chunks of texts (no token of the tokenizer spans white space)."""
+#: Chunks that the library encodes in one text, and those that this tokenizer surely cuts into one piece of letters
+#: and one of signs behind them, if any. Its pieces end in ids of their own.
+JOINED = 64
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:-@\[-`{-~]*)")
+
 
-    CACHE = 300_000
-    CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
+class LibraryEncoder:
+    """The tokenizers library over the distinct chunks of texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -125,16 +129,42 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str | None]) -> Iterator[Iterator[int]]:
-        if len(self.known) > self.CACHE:
-            self.known.clear()
-        cut = [self.CHUNK.findall(t) if t else [] for t in texts]
-        new = [c for c in set(chain.from_iterable(cut)) if c not in self.known]
-        self.known.update(zip(new, (x.ids for x in self.library.encode_batch(new, add_special_tokens=False))))
-        for chunks in cut:
-            yield chain.from_iterable(map(self.known.__getitem__, chunks))
+        names = self.library.get_vocab(with_added_tokens=False)
+        self.closing = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
+        self.closing[[i for x, i in names.items() if x.endswith("</w>")]] = True
+        self.encode = ChunkIds(self.encode_new).encode
+
+    def encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, and the number of each one's. Chunks that are surely one or two pieces are encoded
+        JOINED at a time, and told apart by the ids that end a piece; the others, and groups that give
+        another number of pieces, are encoded each. The fast calls leave out offsets."""
+        pieces = [0 if m is None else 2 if m[1] else 1 for m in map(PLAIN.fullmatch, chunks)] if self.closing.any() else [0] * len(chunks)
+        plain = [k for k, n in enumerate(pieces) if n]
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        lens, found = np.zeros(len(chunks), np.int64), []
+        order: list[int] = []
+        single = [k for k, n in enumerate(pieces) if not n]
+        for group, ids in zip(groups, self._ids([" ".join([chunks[k] for k in g]) for g in groups])):
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            last = np.cumsum([pieces[k] for k in group]) - 1
+            if len(ends) == last[-1] + 1 and ends[-1] == len(ids):
+                lens[group] = np.diff(ends[last], prepend=0)
+                order += group
+                found.append(ids)
+            else:
+                single += group
+        for k, ids in zip(single, self._ids([chunks[k] for k in single])):
+            lens[k] = len(ids)
+            order.append(k)
+            found.append(ids)
+        at = np.array(order, np.int64)
+        starts = np.zeros(len(chunks), np.int64)
+        starts[at] = np.cumsum(lens[at]) - lens[at]
+        return gather(np.concatenate(found).astype(np.int32), starts, lens), lens
+
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for i in range(0, len(texts), 4096):
+            yield from (np.array(x.ids, np.int32) for x in self.library.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False))
 
 
 @lru_cache(1)
@@ -143,42 +173,48 @@ def worker_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def write_tokens(docs: DataFrame, root: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, rows_per_range: int = 10_000, max_ids: int = 1 << 24) -> DataFrame:
-    """Encode, write the files below `root` and return their manifest, a row per file."""
+def write_tokens(docs: DataFrame, root: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, rows_per_range: int = 4_000, max_ids: int = 1 << 24) -> DataFrame:
+    """Encode, write the files below `root` and return their manifest, a row per file. Documents are dealt
+    to tasks by ranges of about rows_per_range rows, at most MAX_RANGES of them."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = id_ranges(rows, "doc_id", rows_per_range).repartition("_hn_range").sortWithinPartitions("_hn_range", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text").asc()]
+    parts = min(max(1, -(-rows.count() // rows_per_range)), MAX_RANGES)
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, (fs, folder) = worker_encoder(path), _open(f"{root}/files")
-        ids, doc_ids, ends, at, part = array("I"), [], [], None, 0
+        ids, doc_ids, ends, at, part = array("i"), [], [], None, 0
 
-        def flush() -> tuple:
+        def flush() -> pa.RecordBatch:
+            nonlocal ids, doc_ids, ends, part
             fs.create_dir(folder, recursive=True)
             name = f"{uuid.uuid4().hex}.dac"
             with fs.open_output_stream(f"{folder}/{name}", compression=None) as out:
                 out.write(pack(np.frombuffer(ids, np.uint32), doc_ids, ends))
-            return at, part, name, len(ids), len(doc_ids)
+            made = (at, part, name, len(ids), len(doc_ids))
+            ids, doc_ids, ends, part = array("i"), [], [], part + 1
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(made, types)], names)
 
         for batch in batches:
-            made = []
             for i in range(0, batch.num_rows, 1024):
-                some = batch.slice(i, 1024).to_pydict()
-                for own, doc_id, tokens in zip(some["_hn_range"], some["doc_id"], encoder.encode(some["text"])):
-                    if doc_ids and (own != at or len(ids) >= max_ids):
-                        made.append(flush())
-                        ids, doc_ids, ends, part = array("I"), [], [], part + 1 if own == at else 0
-                    at = own
-                    ids.extend(tokens)
-                    ids.append(end_id)
-                    doc_ids.append(doc_id)
-                    ends.append(len(ids))
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names)
+                some = batch.slice(i, 1024)
+                at = some.column(0)[0].as_py()  # all rows of a task are of one range
+                found, stops = encoder.encode(some.column(2).to_pylist())
+                lens = np.diff(stops, prepend=0) + 1
+                own = np.full(lens.sum(), end_id, np.int32)
+                closing = np.zeros(len(own), bool)
+                closing[np.cumsum(lens) - 1] = True
+                own[~closing] = found
+                doc_ids += some.column(1).to_pylist()
+                ends += (len(ids) + np.cumsum(lens)).tolist()
+                ids.frombytes(own.tobytes())
+                if len(ids) >= max_ids:
+                    yield flush()
         if doc_ids:
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(flush(), types)], names)
+            yield flush()
 
     names, types = [x.split()[0] for x in MANIFEST.split(", ")], [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-    rows.select("_hn_range", "doc_id", "text").mapInArrow(write, MANIFEST).write.parquet(f"{root}/manifest")
+    rows.select(F.spark_partition_id().alias("range"), "doc_id", "text").mapInArrow(write, MANIFEST).write.parquet(f"{root}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
 
