@@ -10,14 +10,16 @@ latest. A message replies to the latest earlier message that its least nested li
 without a link, to the turn before it. Conversations are built in reply order - sorted by
 (turn replied to, turn), which puts every message after the one it answers - without quotes.
 
-Places in a conversation come from counts per (conversation, 1,024 turns) and places within
-these, and texts are gathered in parts of at most PART messages, so no conversation's length
-meets in one task.
+Messages are sorted in ranges of (conversation, turn replied to, turn, role, message), so one
+conversation, and all replies to one post, may spread over many tasks. A place is the one in its
+range plus the conversation's counts in the ranges before (a row per range). Texts are gathered
+in parts of at most PART messages, so no conversation's length meets in one task.
 
 Nulls: a null text is empty; a null role is "unknown"; a null turn comes last and is linked
 to nothing; messages without a conversation id form one conversation without links. Repeated
-rows are messages each. A message of quotes alone has empty content. Empty tables give empty
-results; other columns are ignored.
+rows are messages each; messages of one turn come by role and text. A message of quotes alone
+has empty content. Very long messages are read whole, in time that grows with their lines. Empty
+tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 PART = 256
-SPAN = 1024
 #: A quoted line, and the chat format's marks.
 QUOTED = r"^\s*>"
 OPEN, CLOSE = "<|%s|>\n", "<|end|>\n"
@@ -47,19 +50,18 @@ def unquoted(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(F.filter(_lines(text), lambda x: ~x.rlike(QUOTED)), "\n"), r"^\s+|\s+$", ""))
 
 
-def passages(text: Column) -> Column:
-    """Array of (level, text): consecutive quoted lines of one level, marks removed."""
+def quoted_passages(quoting: DataFrame) -> DataFrame:
+    """conv_id, turn, message, k, level, text: a row per passage, the consecutive quoted lines of one level, marks removed."""
     marks = lambda x: F.regexp_extract(x, r"^(\s*(?:>\s?)*)", 1)
     level = lambda x: F.length(F.regexp_replace(marks(x), "[^>]", ""))
-    lines = F.transform(_lines(text), lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, r"^\s*(?:>\s?)*", "").alias("text")))
-    none = F.expr("CAST(array() AS array<struct<level:int,text:string>>)")
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(x["level"].alias("level"), F.concat_ws("\n", last["text"], x["text"]).alias("text"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["level"] == x["level"]), joined).otherwise(F.concat(done, F.array(x)))
-
-    return F.filter(F.aggregate(lines, none, add), lambda p: p["level"] > 0)
+    line = lambda x, i: F.struct(i.alias("i"), level(x).alias("level"), F.regexp_replace(x, r"^\s*(?:>\s?)*", "").alias("text"))
+    cut = quoting.select("conv_id", "turn", "message", F.filter(F.transform(_lines(F.col("text")), line), lambda x: x["level"] > 0).alias("lines"))
+    last = lambda k: F.get(F.col("lines"), k - 1)
+    begins = F.transform("lines", lambda x, k: F.when((k > 0) & (last(k)["i"] == x["i"] - 1) & (last(k)["level"] == x["level"]), F.lit(-1)).otherwise(k))
+    cut = cut.withColumn("begins", F.filter(begins, lambda k: k >= 0))
+    size = lambda b, j: F.coalesce(F.get(F.col("begins"), j + 1), F.size("lines")) - b
+    parts = F.transform("begins", lambda b, j: F.struct(F.get(F.col("lines"), b)["level"].alias("level"), F.array_join(F.slice("lines", b + 1, size(b, j))["text"], "\n").alias("text")))
+    return cut.select("conv_id", "turn", "message", F.posexplode(parts).alias("k", "p")).select("conv_id", "turn", "message", "k", "p.level", "p.text")
 
 
 def link_partly(passages_: DataFrame, units: DataFrame) -> DataFrame:
@@ -92,9 +94,8 @@ def link_partly(passages_: DataFrame, units: DataFrame) -> DataFrame:
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, message) -> reply_to, n_quotes, n_linked, for messages that quote; message is the row's hash."""
-    quoting = messages.where(F.col("text").rlike(r"(?m)" + QUOTED) & F.col("turn").isNotNull())
-    quotes = quoting.select("conv_id", "turn", "message", F.posexplode(passages(F.col("text"))).alias("k", "p"))
-    quotes = quotes.select("conv_id", "turn", "message", "k", F.col("p.level").alias("level"), F.col("p.text").alias("text"), F.xxhash64(normal(F.col("p.text"))).alias("said"))
+    quoting = messages.where(F.col("text").rlike(r"(?m)" + QUOTED) & F.col("turn").isNotNull()).dropDuplicates(["conv_id", "turn", "message"])
+    quotes = quoted_passages(quoting).withColumn("said", F.xxhash64(normal(F.col("text"))))
     wanted = quotes.select("conv_id", "said").distinct()
     own = unquoted(F.col("text"))
     units = F.array_distinct(F.concat(F.array(normal(own)), F.transform(F.split(own, r"\n\s*\n"), normal), F.transform(F.split(own, "\n"), normal)))
@@ -113,15 +114,16 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     messages = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     messages = messages.withColumn("message", F.xxhash64("role", "text"))
     rows = messages.join(link_quotes(messages), ["conv_id", "turn", "message"], "left")
-    rows = rows.select("conv_id", "turn", "role", unquoted(F.col("text")).alias("content"), "reply_to", F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))
-    at = F.coalesce("reply_to", F.col("turn") - 1, F.lit(_LAST))
-    rows = rows.withColumn("at", at).withColumn("span", F.floor(F.col("at") / SPAN))
-    counts = rows.groupBy("conv_id", "span").agg(F.count("*").alias("n"))
-    before = W.partitionBy("conv_id").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
-    base = counts.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = rows.join(base, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("span") == F.col("s"))).drop("c", "s")
-    inside = W.partitionBy("conv_id", "span").orderBy("at", "turn", "role", "content")
-    return rows.withColumn("position", F.col("base") + F.row_number().over(inside)).drop("at", "span", "base")
+    rows = rows.select("conv_id", "turn", "role", "message", unquoted(F.col("text")).alias("content"), "reply_to", F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))
+    rows = rows.withColumn("at", F.coalesce("reply_to", F.col("turn") - 1, F.lit(_LAST)))
+    order = [F.asc_nulls_first("conv_id"), F.asc("at"), F.asc_nulls_first("turn"), F.asc("role"), F.asc("message")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialize(rows.withColumn("range", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "reply-order")
+    counts = rows.groupBy("conv_id", "range").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = W.partitionBy("conv_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    base = counts.select(F.col("conv_id").alias("c"), F.col("range").alias("r"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))
+    placed = rows.join(base, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r")))
+    return placed.select("conv_id", "turn", "role", "content", "reply_to", "n_quotes", "n_linked", (F.col("base") + F.col("place") + 1).alias("position"))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
