@@ -7,12 +7,18 @@ its contents, mixed with that of its presentations, as a share of the most that
 could have: 0 for a menu that is the same everywhere, near 1 for article text. Second pass:
 each page is walked again, and branches of low importance on its host are left out.
 
-Entropy alone can't tell a menu or advert whose words change on every page from an article,
-nor judge a host with few pages. So a branch is also left out by what its markup says it is
-(nav, footer, aside, form and so on; classes, ids and roles such as ad, comments, sidebar),
-and where article and main elements hold the larger part of the kept text, only what lies in
+Where few pages of a host show a node, its importance leans on the prior that it is content: the
+prior counts as PRIOR_PAGES pages of importance 1, inside article and main elements as more. So
+no number of pages switches the tree on, and each further page weighs in.
+
+Entropy alone can't tell a menu or advert whose words change on every page from an article. So a
+branch is also left out by what its markup says it is: its tag (nav, footer, aside, form and so
+on), or a whole name among its classes, ids and roles that consists of boilerplate words and
+words of place alone (ad, site-footer, sidebar_left; not comments-open, cookie-recipe or
+search-results). Within article and main elements only names of reader comments and adverts count.
+Where article and main elements hold the larger part of the kept text, only what lies in
 them is taken, with the page's own h1 and lead in front of them. Articles that share their path
-with others (cards of teasers) are ordinary branches. Words and forms
+with others (cards of teasers) are ordinary branches. Names and forms
 decide neither about article and main elements nor about branches that hold the larger part of
 the page's text or half of what such elements hold.
 
@@ -23,7 +29,8 @@ one that its markup then leaves without any is taken by its tags alone.
 
 Nulls: null html is an empty page with text ""; a null or odd URL counts as host "". Repeated
 pages count once in the tree and are extracted each. Whole pages are read, and nothing but
-the branches named is dropped. Empty tables give empty results; other columns pass through.
+the branches named is dropped. Empty tables give empty results. Other columns pass through; one
+named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -55,14 +62,15 @@ BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar widget "
     "footer masthead cookie cookies consent gdpr notice notices popup modal overlay alert newsletter subscribe subscription signup login search share sharing social "
     "related recommended recommendations trending comment comments commentlist disqus respond reply replies discussion toolbar pagination pager skip copyright disclaimer "
-    "complementary contentinfo navigation dialog".split()
+    "complementary contentinfo dialog".split()
 )
-MAIN_WORDS = frozenset(["main"])
+#: The same within article and main elements, and words of place that may stand beside either.
+WORDS_IN_MAIN = frozenset("ad ads advert adverts advertisement advertising sponsored comment comments commentlist disqus respond".split())
+PLACE_WORDS = frozenset("site page main top bottom left right upper lower inner outer first second third primary secondary global local mobile desktop header box bar list links section area block wrapper wrap container content unit slot".split())
 
-#: Distinct pages of a host that must show a node, and the importance below which it is left out; inside an
-#: article or main element far more evidence is asked for.
-MIN_PAGES, MIN_PAGES_IN_MAIN = 5, 20
-LOW, LOW_IN_MAIN = 0.3, 0.02
+#: Pages of full importance that a node starts with, elsewhere and inside an article or main element, and the importance below which it is left out.
+PRIOR_PAGES, PRIOR_PAGES_IN_MAIN = 2, 8
+LOW = 0.3
 CONTENT_SHARE = 0.9
 
 
@@ -87,16 +95,19 @@ class Walker:
         self.paths: dict[tuple, tuple[int, bool, bool, str, bool]] = {}
 
     def node(self, parent: int, in_main: bool, tag: str, attributes: str) -> tuple[int, bool, bool, str, bool]:
-        """(path, is boilerplate by its tag, is hidden, whether its names or parts of them say so ("", "whole", "part"), is main) of an element."""
+        """(path, is boilerplate by its tag, is hidden, what else says so ("", "name", "form"), is main) of an element."""
         key = (parent, in_main, tag, attributes if "=" in attributes or "hidden" in attributes.lower() else "")
         if (known := self.paths.get(key)) is not None:
             return known
-        words, names, name, hidden, role = set(), set(), tag, False, ""
+        words, named, name, hidden, role = set(), False, tag, False, ""
+        telling = WORDS_IN_MAIN if in_main else BOILERPLATE_WORDS
         for kind, a, b, c in ATTRIBUTE.findall(key[3]):
             kind, value = kind.lower(), a or b or c
             if kind in ("class", "id", "role"):
-                words.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-                names.update(value.lower().split())
+                for x in value.split():
+                    own = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()))
+                    words |= own
+                    named |= bool(own & telling) and own <= telling | PLACE_WORDS
                 name += f".{value}" if kind == "class" else ""
                 role = value.lower() if kind == "role" else role
             elif kind == "style":
@@ -106,7 +117,7 @@ class Walker:
         main = tag in ("article", "main") or role in ("main", "article")
         hard = tag in BOILERPLATE_TAGS or tag == "header" and not in_main
         outer = role == "banner" or "header" in words and not in_main and tag in ("div", "section", "table")
-        weak = "whole" if names & BOILERPLATE_WORDS else "part" if tag == "form" or outer or words & BOILERPLATE_WORDS else ""
+        weak = "name" if named else "form" if tag == "form" or outer else ""
         weak = "" if main or tag in ("html", "body") else weak
         found = xxhash.xxh3_64_intdigest(f"{parent}/{name}") >> 1, hard, hidden, weak, main
         if len(self.paths) > 200_000:
@@ -116,9 +127,9 @@ class Walker:
 
     def parse(self, html: str, tags_alone: bool) -> tuple[list[Element], list]:
         """A page's elements and, in order, its texts (1-tuples), elements (numbers), and POP, FLUSH, BREAK
-        and (SKIPPED, tag). An element is left out by words only if neither the larger part of the page's
-        text nor half of what article and main elements hold lies in it; where such elements have text, an
-        element whose whole name is a boilerplate word (class=ad, not class=no-ads) is left out at any length."""
+        and (SKIPPED, tag). An element is left out by its name or as a form only if neither the larger part of
+        the page's text nor half of what article and main elements hold lies in it; where such elements have
+        text, an element with a telling name is left out at any length."""
         elements = [Element("", -1, 0, False, "", False)]
         events: list = []
         stack = [0]
@@ -190,7 +201,7 @@ class Walker:
         whole = elements[0]
         for x in elements:
             holds_main = x.main_size and 2 * x.main_size >= whole.main_size
-            holds_text = 2 * x.size > whole.size and (x.weak == "part" or not whole.main_size)
+            holds_text = 2 * x.size > whole.size and (x.weak == "form" or not whole.main_size)
             x.weak = x.weak if x.weak and not holds_main and not holds_text else ""
         return elements, events
 
@@ -288,8 +299,10 @@ def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id", out: str = "text") -> DataFrame:
     """pages with the main text of each."""
-    tree = importance(pages, url_col, html_col).where(F.col("pages") >= F.when(F.col("main"), MIN_PAGES_IN_MAIN).otherwise(MIN_PAGES))
-    low = tree.groupBy("host").agg(F.collect_set(F.when(~F.col("main") & (F.col("importance") < LOW), F.col("path"))).alias("_hn_low"), F.collect_set(F.when(F.col("main") & (F.col("importance") < LOW_IN_MAIN), F.col("path"))).alias("_hn_low_in_main"))
+    tree = importance(pages, url_col, html_col)
+    prior = F.when(F.col("main"), PRIOR_PAGES_IN_MAIN).otherwise(PRIOR_PAGES)
+    tree = tree.where((prior + F.col("pages") * F.col("importance")) / (prior + F.col("pages")) < LOW)
+    low = tree.groupBy("host").agg(F.collect_set(F.when(~F.col("main"), F.col("path"))).alias("_hn_low"), F.collect_set(F.when(F.col("main"), F.col("path"))).alias("_hn_low_in_main"))
     low = low.where((F.size("_hn_low") > 0) | (F.size("_hn_low_in_main") > 0)).withColumnRenamed("host", "_hn_host")
     low = materialize(low, "style-trees")
     rows = spread_join(pages.withColumn("_hn_host", host_of(F.col(url_col))), low, ["_hn_host"], "left", F.coalesce(F.col(id_col), F.lit(0)))
