@@ -16,7 +16,8 @@ How it scales:
 * buckets that then still hold texts of several classes are resolved across classes. A pair
   leaves the join only if two sketches allow the threshold: one bit a register (a pair at the
   threshold or above passes but for about 1 in 10^6) and a map of occupied cells, whose bound
-  on the common shingles is exact; so near copies that are just too far apart make no rows;
+  on the common shingles is exact; so near copies that are just too far apart make no rows.
+  A large bucket is compared in blocks of BLOCK_ROWS texts, each dealt to a task of its own;
 * shingle sets are rebuilt from the texts of candidates only;
 * joins to texts and to shingle sets are merge joins at every size, and every iteration is
   written to the shared folder.
@@ -46,6 +47,8 @@ ROWS, BANDS = 6, 42
 REGISTERS = ROWS * BANDS
 #: Arrivals made at a time.
 BLOCK = 2048
+#: Texts of an open bucket that one task holds against all of the bucket's.
+BLOCK_ROWS = 1024
 #: Bits that may differ between the one-bit sketches of a pair at similarity 0.8: a tenth is expected.
 MAX_BITS = 52
 
@@ -186,16 +189,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # buckets whose texts aren't yet in one class: pairs across classes, sketches first
     placed = shared.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_ = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    rest = placed.join(open_, "band", "left_semi").join(reps.select("rep", "s.n", "s.bits", "s.cells", "s.over").withColumnRenamed("n", "size"), "rep").select("band", "rep", "label", "size", "bits", "cells", "over")
+    rest = placed.join(open_, "band", "left_semi").join(reps.select("rep", "s.n", "s.bits", "s.cells", "s.over").withColumnRenamed("n", "size"), "rep").select("band", "rep", "label", "size", "bits", "cells", "over", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
     rest = materialize(rest, "open")
-    a, b = rest.alias("x"), rest.alias("y")
+    # each text of a block meets its bucket's texts: a large bucket's blocks are compared in tasks of their own
+    a = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("x")
+    b = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("y")
     bit = lambda i: F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i]))
     near = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size")) & (bit(0) + bit(1) + bit(2) + bit(3) <= MAX_BITS)
     shared_cells = F.least("x.over", "y.over")
     for i in range(WORDS):
         shared_cells = shared_cells + F.bit_count(F.col("x.cells")[i].bitwiseAND(F.col("y.cells")[i]))
     near = near & (shared_cells >= threshold / (1 + threshold) * (F.col("x.size") + F.col("y.size")) - 1e-6)
-    across = a.join(b, (F.col("x.band") == F.col("y.band")) & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    across = a.join(b, (F.col("x.band") == F.col("y.band")) & (F.col("x.block") == F.col("y.block")) & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     across = across.join(stars, ["a", "b"], "left_anti")
     more = materialize(verify(across, sets, threshold), "links")
     if more.limit(1).count():
