@@ -9,8 +9,9 @@ up to `max_read` bytes, and parses the members.
 
 Nulls: a null html is an empty payload; a null URL leaves out WARC-Target-URI; a null id is
 kept (it sorts after all ids when the original of equal payloads is chosen). Rows that repeat
-an id and its payload: one of them is the response, the others revisit it. An empty table
-gives an empty index. Other columns are ignored.
+an id and its payload: the one with the least URL is the response, the others revisit it. Very
+long payloads are one record each, which a task holds at a time. An empty table gives an empty
+index. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
 
+#: Keys that the rows of one digest are dealt over.
+SALTS = 32
+
 
 def _open(uri: str):
     """(file system, path) of a URI; a bare path or file: is the shared mount that all executors see."""
@@ -77,14 +81,17 @@ def _parse(raw: bytes) -> tuple:
 
 def originals(pages: DataFrame, min_bytes: int) -> DataFrame:
     """pages (page_id, url, payload, digest) with record_type and refers_to. Equal payloads of
-    at least min_bytes meet by digest in a count that is combined before the shuffle; only
-    digests seen more than once are joined back, so a group of any size costs one row."""
+    at least min_bytes meet by digest in a count that is combined before the shuffle, so a group
+    of any size costs one row. Digests seen more than once are joined back on SALTS keys each, so
+    a payload that a third of all pages share is dealt over as many tasks."""
     sized = pages.where(F.octet_length("payload") >= min_bytes)
     each = sized.groupBy("digest", "page_id").agg(F.count("*").alias("c"))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "c")
     firsts = each.groupBy("digest").agg(F.sum("c").alias("n"), F.min(order).alias("first")).where("n > 1")
     firsts = firsts.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.c").alias("first_c"))
-    joined = pages.join(firsts, "digest", "left")
+    salted = firsts.withColumn("_hn_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = pages.withColumn("_hn_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(salted.hint("merge"), ["digest", "_hn_salt"], "left").drop("_hn_salt")
     is_first = F.col("page_id").eqNullSafe(F.col("first_id"))
     alone = F.col("first_c").isNull()
     plain = joined.withColumn("record_type", F.when(alone | is_first, "response").otherwise("revisit"))
