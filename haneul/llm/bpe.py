@@ -32,7 +32,7 @@ from .chunks import ChunkIds, gather
 from .common import sliced
 
 #: Characters of text whose new chunks share an index; their chunks and ids are in memory at one time.
-INDEXED = 16 << 20
+INDEXED = 4 << 20
 #: Chunks that need no normaliser but lower case, the pre-tokenizer's pattern on those, and other white space.
 PRINTABLE = re.compile(r"[\x21-\x7e]+")
 ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -100,7 +100,7 @@ class PairIndex:
             yield from found
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * self.base + b
+        key = a.astype(np.int64) * self.base + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.key_rank[at], NONE)
 
@@ -118,11 +118,11 @@ class PairIndex:
         sym = self.inside[points]
         ends = np.cumsum(lens)[lens > 0] - 1
         sym[ends] = self.last[points[ends]]
-        word = np.repeat(np.arange(len(pieces)), lens)
-        sym, word = sym[sym >= 0], word[sym >= 0]
+        word = np.repeat(np.arange(len(pieces), dtype=np.int32), lens)
+        sym, word = sym[sym >= 0].astype(np.int32), word[sym >= 0]
         n = len(sym)
         inner = np.flatnonzero(word[1:] == word[:-1])
-        right, left = np.full(n, n), np.full(n, -1)
+        right, left = np.full(n, n, np.int32), np.full(n, -1, np.int32)
         right[inner], left[inner + 1] = inner + 1, inner
         rank = np.full(n, NONE, np.int32)  # of the pair that begins at each position
         rank[inner] = self._rank(sym[inner], sym[inner + 1])
@@ -146,7 +146,7 @@ class PairIndex:
                 else:
                     own.append(positions[start:stop])
 
-        enter(np.arange(n))
+        enter(np.arange(n, dtype=np.int32))
         while active:
             r = heappop(active)
             hit = np.concatenate(lists.pop(r))
