@@ -328,6 +328,85 @@ def test_trimmed_quotes_are_linked(spark):
     assert {t: (got[t].n_quotes, got[t].n_linked) for t in (4, 5, 6, 8)} == {4: (1, 1), 5: (1, 1), 6: (1, 0), 8: (1, 1)}
 
 
+def _norm(x):
+    return " ".join(re.findall(r"[^\W_]+", x.lower()))
+
+
+def _units(own):
+    return {u for u in map(_norm, [own, *re.split(r"\n\s*\n", own), *own.split("\n")]) if u}
+
+
+def _linked(rows):
+    """Brute force: (turn, text) -> (reply_to, quotes, linked, content) of one conversation, every quote against every earlier message."""
+    said = {}
+    for turn, text in rows:
+        own = "\n".join(x for x in (text or "").split("\n") if not re.match(r"\s*>", x)).strip()
+        if turn is not None:
+            said.setdefault(turn, set()).update(_units(own))
+    out = {}
+    for turn, text in rows:
+        passages, before = [], None
+        for x in (text or "").split("\n"):
+            level = re.match(r"(\s*(?:>\s?)*)", x)[1].count(">")
+            if level:
+                plain = re.sub(r"^\s*(?:>\s?)*", "", x)
+                if level == before:
+                    passages[-1][1].append(plain)
+                else:
+                    passages.append((level, [plain]))
+            before = level
+        found = []
+        for level, lines in passages if turn is not None else []:
+            whole = [t for t, units in said.items() if _norm("\n".join(lines)) in units]
+            at = min(whole, default=None)
+            if at is None or at >= turn:
+                blocks = [(_norm(b), [n for n in map(_norm, b.split("\n")) if n]) for b in re.split(r"\n\s*\n", "\n".join(lines))]
+                each = [(b, n) for b, own in blocks for n in own]
+                scores = [(sum(b in said[t] or n in said[t] for b, n in each), t) for t in said if t < turn]
+                best = max((x for x in scores if 2 * x[0] > len(each)), default=None)
+                at = best[1] if best else None
+            found.append((level, at))
+        linked = [(level, -at) for level, at in found if at is not None]
+        own = "\n".join(x for x in (text or "").split("\n") if not re.match(r"\s*>", x)).strip()
+        out[turn, text] = (-min(linked)[1] if linked else None, len(found), len(linked), own)
+    return out
+
+
+def test_links_by_brute_force(spark):
+    rng = random.Random(9)
+    rows = []
+    for conv in range(60):
+        talk = []
+        for turn in range(rng.randrange(1, 14)):
+            lines = []
+            for _ in range(rng.randrange(3)):  # quotes of earlier messages, their lines trimmed, nested or altered
+                if talk:
+                    cut = rng.choice(talk)[1].split("\n")
+                    k = rng.randrange(len(cut))
+                    mark = rng.choice(["> ", "> > ", ">", " >> "])
+                    lines += [mark + (x.upper() if rng.random() < 0.2 else x + "?" if rng.random() < 0.5 else "never said") for x in cut[k : k + rng.randrange(1, 4)]]
+                    lines += [""] * rng.randrange(2)
+            lines += [rng.choice(["", "Yes.", "Agreed, all of it.", f"Line {rng.randrange(6)} of the plan.", f"Own words {rng.randrange(10**6)}."]) for _ in range(rng.randrange(5))]
+            talk.append((turn if rng.random() < 0.95 else None, "\n".join(lines)))
+            if rng.random() < 0.1:
+                talk.append((turn, rng.choice([talk[-1][1], "Another voice."])))
+        rows += [(conv, t, rng.choice(["user", "assistant"]), x) for t, x in talk]
+    got = chat.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    want = collections.Counter((c, t, *w) for c in range(60) for own in [[(t, x) for i, t, _, x in rows if i == c]] for t, x in own for w in [_linked(own)[t, x]])
+    assert collections.Counter((r.conv_id, r.turn, r.reply_to, r.n_quotes, r.n_linked, r.content) for r in got) == want
+    assert sum(k[4] * n for k, n in want.items()) > 100
+    for c in range(60):
+        own = sorted((r for r in got if r.conv_id == c), key=lambda r: r.position)
+        at = [(1 << 62) - 1 if r.reply_to is None and r.turn is None else r.turn - 1 if r.reply_to is None else r.reply_to for r in own]
+        assert [r.position for r in own] == list(range(1, len(own) + 1)) and at == sorted(at)
+
+
+def test_replies_to_one_post_spread_over_tasks(spark):
+    df = spark.range(3000).selectExpr("1L conv_id", "id turn", "'user' role", "case when id = 0 then 'First post here.' else concat('> First post here.\nReply ', id) end text")
+    got = sorted(chat.reply_order(df).collect(), key=lambda r: r.position)
+    assert [r.turn for r in got] == list(range(3000)) and {r.reply_to for r in got[1:]} == {0}
+
+
 def test_long_conversations_come_in_parts(spark):
     df = spark.range(2500).selectExpr("7L conv_id", "id turn", "'user' role", "concat('m', id) text")
     parts = sorted(chat.format_chats(df).collect(), key=lambda r: r.part)
@@ -500,6 +579,26 @@ def test_bits_of_pairs_at_the_threshold(spark):
     assert far == 0
 
 
+def test_pairs_at_the_threshold_share_a_band():
+    rng = np.random.default_rng(11)
+    met = 0
+    for n in [8, 40, 200] * 80:  # common shingles; a ninth of each text is its own: similarity 0.8
+        x = rng.integers(0, 2**63, n + n // 4, dtype=np.int64).astype(np.uint64)
+        own = n // 8
+        kept = [probminhash.signature(z, np.ones(len(z))).reshape(probminhash.BANDS, probminhash.ROWS) for z in (np.sort(x[: n + own]), np.sort(np.concatenate([x[:n], x[n + own : n + 2 * own]])))]
+        met += bool((kept[0] == kept[1]).all(1).any())
+    assert met == 240
+
+
+def test_open_buckets_are_compared_in_blocks(spark, monkeypatch):
+    rows = [(k, " ".join([f"s{j}" for j in range(60)] + [f"o{k // 2}x{j}" for j in range(40)] + ([f"end{k}"] if k % 2 else []))) for k in range(80)]
+    want = _classes(rows)
+    for size in (3, 1024):
+        monkeypatch.setattr(probminhash, "BLOCK_ROWS", size)
+        got = probminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.class_id for r in got} == {i: c for (i, _), c in want.items()} == {i: i - i % 2 for i in range(80)}
+
+
 def test_components_on_chains(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 150), (100, 150)]
     got = {r.node: r.label for r in probminhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -558,6 +657,34 @@ def test_words_of_markup_do_not_lose_the_article(spark, page):
     assert html_main.extract(df).collect()[0].text == ("Intro.\n" if "Intro" in page else "") + TOLD
 
 
+@pytest.mark.parametrize("part,want", [
+    ("<article class='post tag-social'><p>Hello world article</p></article>", "Hello world article"),
+    ("<article><p>Before.</p><section class='discussion'>We discuss results.</section></article>", "Before.\nWe discuss results."),
+    ("<article><p>Before.</p><div class='alert'>Mind the gap.</div></article>", "Before.\nMind the gap."),
+    ("<article><p>Before.</p><p class='related-work'>Others did so.</p></article>", "Before.\nOthers did so."),
+    ("<main><p>Before.</p><div class='cookie-recipe'>Butter and sugar.</div></main>", "Before.\nButter and sugar."),
+    ("<main><p>Before.</p><div id='search-results'>One found.</div></main>", "Before.\nOne found."),
+    ("<div><p>A tale of some length is told here.</p><div class='cookie-recipe'>Butter.</div></div><div class='cookie-banner'>We use some</div><div id='siteFooter'>End</div>", "A tale of some length is told here.\nButter."),
+    ("<article><p>Before it all.</p><div class='comment-list'>Reader says</div><div class='ad-slot'>Buy</div></article>", "Before it all."),
+])
+def test_names_tell_only_as_a_whole(spark, part, want):
+    df = spark.createDataFrame([(1, "http://h.example/", f"<html><body>{part}</body></html>", "kept")], "page_id long, url string, html string, text string")
+    assert html_main.extract(df).collect()[0].text == want
+
+
+def test_importance_leans_on_the_prior(spark):
+    page = "<body><div class=q7>Menu of the site</div><article><p>Story %d of many words is told</p><p class=s>Sign of the house</p></article></body>"
+    for n, dropped in ((4, ()), (5, ("Menu of the site",)), (18, ("Menu of the site",)), (20, ("Menu of the site", "Sign of the house"))):
+        rows = [(i, "http://h.example/x", page % i) for i in range(n)]
+        tree = {(r.main, round(r.importance, 3)): r.pages for r in html_main.importance(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert tree[False, 0.0] == n
+        low = {t for (t, main) in (("Menu of the site", False), ("Sign of the house", True)) if (p := html_main.PRIOR_PAGES_IN_MAIN if main else html_main.PRIOR_PAGES) / (p + n) < html_main.LOW}
+        assert low == set(dropped)
+        if n in (18, 20):
+            got = {r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+            assert got == {f"Story {i} of many words is told" + ("\nSign of the house" if n == 18 else "") for i in range(n)}
+
+
 @pytest.mark.parametrize("page,want", [
     ("<div id=story>%s</div><article class=card>One</article><article class=card>Two</article>", TOLD + "\nOne\nTwo"),
     ("<div id=story>%s</div><article class=card>One</article>", TOLD + "\nOne"),
@@ -591,6 +718,23 @@ def test_fingerprints(spark, sf, docs, empty):
     assert sketches.fingerprints(empty).count() == 0
 
 
+def test_likeness_is_near_the_exact_one(spark, sf):
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    got = {r.doc_id: r for r in queries.op10_fingerprints(spark, sf).collect()}
+    sets = lambda t: {tuple(w[j : j + 5]) for w in [re.findall(r"\w+", t.lower())] for j in range(len(w) - 4)}
+    off = []
+    for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
+        half = len(t) // 2
+        a, b = sets(t), sets(t[: len(t) - half] + nxt[:half])
+        if len(a) > 100 and len(b) > 100:
+            off.append(got[i].near_edited - len(a & b) / len(a | b))
+    assert len(off) > 50 and abs(np.mean(off)) < 0.02 and np.max(np.abs(off)) < 0.25
+    same = collections.defaultdict(set)
+    for i, t in rows:
+        same[t].add(got[i].fingerprint)
+    assert all(len(x) == 1 for x in same.values())
+
+
 def test_sketches_merge_and_estimate(spark):
     h, rng = WordHashes(), random.Random(4)
     words = [f"w{rng.randrange(10**6)}" for _ in range(30_000)]
