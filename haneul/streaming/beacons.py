@@ -45,31 +45,38 @@ def sessions(hits: DataFrame, gap: str = "12 hours", late: str = "1 day") -> Dat
 
 
 KEPT = "visitor string, id long, day string, kept boolean, hits long, first_day string"
-_STATE = "first_day string, hits long, day string, day_hits long"
+_STATE = "first_day string, hits long, days array<string>, counts array<long>"
+#: Days of a visitor whose hits are still counted one by one; late hits of older days are not kept.
+OPEN_DAYS = 7
 
 
 def _of_visitor(cap: int):
-    """A visitor's state: first day, hits, and hits of the current day; all hits count, `cap` a day are kept."""
+    """A visitor's state: first day, hits, and hits of each of the newest days; all hits count, `cap` a day are
+    kept, late ones of a day that is open too. Of hits that come together the first by day and id are kept, as
+    far as they share an Arrow batch."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, n, today, today_n = state.get if state.exists else (None, 0, None, 0)
+        first, n, days, counts = state.get if state.exists else (None, 0, [], [])
+        of_day = dict(zip(days, counts))
         for batch in batches:
             out = []
             for id_, day in batch.sort_values(["day", "id"])[["id", "day"]].itertuples(index=False):
                 first = day if first is None or day < first else first
                 n += 1
-                if today is None or day > today:
-                    today, today_n = day, 0
-                today_n += day == today
-                out.append((key[0], id_, day, day != today or today_n <= cap, n, first))
+                closed = len(of_day) >= OPEN_DAYS and day < min(of_day)
+                if not closed:
+                    of_day[day] = of_day.get(day, 0) + 1
+                    if len(of_day) > OPEN_DAYS:
+                        del of_day[min(of_day)]
+                out.append((key[0], id_, day, not closed and of_day[day] <= cap, n, first))
             yield pd.DataFrame(out, columns=["visitor", "id", "day", "kept", "hits", "first_day"])
-        state.update((first, n, today, today_n))
+        state.update((first, n, list(of_day), list(of_day.values())))
 
     return update
 
 
 def visitor_stream(hits: DataFrame, cap: int = CAP) -> DataFrame:
-    """Each hit with whether it is kept and its visitor's running state. The state of a visitor is four values."""
+    """Each hit with whether it is kept and its visitor's running state. The state of a visitor is two values and a count for each open day."""
     rows = hits.select(F.col("visitor").cast("string").alias("visitor"), "id", "day")
     return rows.groupBy("visitor").applyInPandasWithState(_of_visitor(cap), KEPT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
