@@ -18,9 +18,19 @@ LONG = 3
 SYNONYM_LIMIT = 8
 
 
+def corpus_of(parts: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
+    """One corpus of several archives (title, body, date, and the keys of each): the id is the domain and the keys.
+    Texts are read when they are searched; nothing is copied."""
+    rows = None
+    for domain, df in parts.items():
+        own = df.select(F.concat_ws(":", F.lit(domain), *(F.col(k).cast("string") for k in keys[domain])).alias("doc_id"), F.lit(domain).alias("domain"), "title", "body", F.col("date").cast("string").alias("date"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
 def candidate(terms: list[str], title: Column, body: Column) -> Column:
-    """A long term in title or body, or enough of the short ones."""
-    has = lambda t: F.lower(title).contains(t.lower()) | F.lower(body).contains(t.lower())
+    """A long term in title or body (both in lower case), or enough of the short ones."""
+    has = lambda t: title.contains(t.lower()) | body.contains(t.lower())
     long, short = [t for t in terms if len(t) >= LONG], [t for t in terms if len(t) < LONG]
     hit = F.lit(False)
     for t in long:
@@ -33,6 +43,17 @@ def candidate(terms: list[str], title: Column, body: Column) -> Column:
     return hit
 
 
+def candidates(corpus: DataFrame, terms: list[str]) -> DataFrame:
+    """The rows that the terms find, with their score. A row's texts and their lower case are made once, however
+    many terms there are: a generator is no filter, so nothing is pushed into it or repeated beside it."""
+    title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
+    row = F.array(F.struct(title.alias("title"), body.alias("body")))
+    both = F.transform(row, lambda x: F.struct(x["title"].alias("title"), x["body"].alias("body"), F.lower(x["title"]).alias("low_title"), F.lower(x["body"]).alias("low_body")))
+    judged = F.transform(both, lambda x: F.struct(candidate(terms, x["low_title"], x["low_body"]).alias("hit"), term_score(terms, x["title"], x["body"]).alias("score")))
+    made = corpus.select("domain", "doc_id", "title", "date", F.explode(F.filter(judged, lambda m: m["hit"])).alias("_m"))
+    return made.select("domain", "doc_id", "title", "date", "_m.score")
+
+
 def dated(since: str | None, until: str | None, date: Column) -> Column:
     """Within months; what has no date passes."""
     inside = F.lit(True)
@@ -45,8 +66,7 @@ def dated(since: str | None, until: str | None, date: Column) -> Column:
 
 def search(corpus: DataFrame, terms: list[str], k: int = 5, since: str | None = None, until: str | None = None) -> DataFrame:
     """The k best rows of each domain: by score, newest, id."""
-    title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
-    found = corpus.where(candidate(terms, title, body) & dated(since, until, F.col("date"))).withColumn("score", term_score(terms, title, body))
+    found = candidates(corpus, terms).where(dated(since, until, F.col("date")))
     order = W.partitionBy("domain").orderBy(F.desc("score"), F.desc("date"), "doc_id")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("domain", "place", "score", "doc_id", "date")
 
@@ -67,25 +87,22 @@ def domain_order(found: DataFrame, fixed: list[str]) -> DataFrame:
 
 def distinct_documents(scored: DataFrame, k: int = 5) -> DataFrame:
     """The k best rows of each domain such that no two share a document (the id's first two `:` parts) or a
-    title: greedy in rank order. Equal keys are first combined to their best row; then each of k rounds
-    takes every domain's best row (combined before the shuffle) and drops what shares a key with it. A
-    round hands on a row per domain."""
+    title: greedy in rank order.
+
+    Equal keys are first combined to their best row. A row is picked only if each better one of its title has a
+    document that is picked already, so it is among the k best of its title, and likewise of its document. A
+    pick then stands in the way of k rows of its title and k of its document at most, so all picks are among
+    the first 2 k^2 rows of the domain, and the choice is made in an array of these."""
     prefix = F.array_join(F.slice(F.split("doc_id", ":"), 1, 2), ":")
-    order = F.struct("score", "date", F.col("doc_id"))
-    rows = scored.withColumn("prefix", prefix).groupBy("domain", "prefix", "title").agg(F.max(order).alias("r")).persist()
-    spark, picked = scored.sparkSession, []
-    schema = "domain string, place int, prefix string, title string, score int, date string, doc_id string"
-    for place in range(1, k + 1):
-        rest = rows
-        if picked:
-            done = F.broadcast(spark.createDataFrame(picked, schema))  # at most k rows a domain
-            rest = rest.join(done.select("domain", "prefix"), ["domain", "prefix"], "left_anti").join(done.select("domain", "title"), ["domain", "title"], "left_anti")
-        best = rest.groupBy("domain").agg(F.max(F.struct("r", "prefix", "title")).alias("b")).select("domain", "b.prefix", "b.title", "b.r.*").collect()
-        if not best:
-            break
-        picked += [(b.domain, place, b.prefix, b.title, b.score, b.date, b.doc_id) for b in best]
-    rows.unpersist()
-    return spark.createDataFrame(picked, schema).select("domain", "place", "score", "doc_id", "date")
+    rows = scored.withColumn("prefix", prefix).groupBy("domain", "prefix", "title").agg(F.max(F.struct("score", "date", "doc_id")).alias("r"))
+    for keys, most in ((["domain", "title"], k), (["domain", "prefix"], k), (["domain"], 2 * k * k)):
+        best = W.partitionBy(*keys).orderBy(F.desc("r"), "prefix", "title")
+        rows = rows.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= most)
+    ranked = rows.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("_k", "r", "prefix", "title"))).alias("x"))
+    free = lambda done, x: (F.size(done) < k) & ~F.exists(done, lambda d: (d["prefix"] == x["prefix"]) | (d["title"] == x["title"]))
+    picks = F.aggregate("x", F.slice("x", 1, 0), lambda done, x: F.when(free(done, x), F.concat(done, F.array(x))).otherwise(done))
+    found = ranked.select("domain", F.posexplode(picks).alias("i", "p"))
+    return found.select("domain", (F.col("i") + 1).alias("place"), "p.r.score", "p.r.doc_id", "p.r.date")
 
 
 def expand(terms: list[str], groups: list[list[str]], limit: int = SYNONYM_LIMIT) -> list[str]:

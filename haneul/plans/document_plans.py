@@ -42,10 +42,10 @@ REPORT, CORPUS, ARTICLE = ("report",), ("report", "corpus"), ("report", "article
 
 def corpus(spark, sf) -> DataFrame:
     """Reports, pages and talks as one corpus."""
-    r = views.reports(spark, sf).select(F.concat(F.lit("reports:"), F.col("doc_id").cast("string")).alias("doc_id"), F.lit("reports").alias("domain"), "title", "body", F.col("published").alias("date"))
-    p = views.table(spark, sf, "pages").select(F.concat(F.lit("pages:"), F.col("page_id").cast("string")).alias("doc_id"), F.lit("pages").alias("domain"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), text.plain(F.col("html")).alias("body"), F.lit("").alias("date"))
-    t = views.table(spark, sf, "conversations").select(F.concat_ws(":", F.lit("talks"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), F.lit("talks").alias("domain"), F.col("role").alias("title"), F.col("text").alias("body"), F.lit(None).cast("string").alias("date"))
-    return r.unionByName(p).unionByName(t)
+    r = views.reports(spark, sf).withColumn("date", F.col("published"))
+    p = views.table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), text.plain(F.col("html")).alias("body"), F.lit("").alias("date"))
+    t = views.table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("title"), F.col("text").alias("body"), F.lit(None).alias("date"))
+    return search.corpus_of({"reports": r, "pages": p, "talks": t}, {"reports": ["doc_id"], "pages": ["page_id"], "talks": ["conv_id", "turn"]})
 
 
 @R.add("j01_corpus_union", "SELECT domain, count(*) AS n FROM corpus GROUP BY 1", CORPUS)
@@ -63,7 +63,11 @@ def _(spark, sf):
     return views.table(spark, sf, "pages").select("page_id", text.plain(F.col("html")).alias("plain"))
 
 
-@R.add("k03_chunks")
+_PARTS = f"""(SELECT doc_id, flatten(list_transform(ss, lambda s: list_transform(range(0, greatest(length(s), 1), 2000), lambda i: substr(s, CAST(i + 1 AS BIGINT), 2000)))) AS parts FROM (
+    SELECT doc_id, list_filter(string_split(regexp_replace({_PLAIN.replace("html", "coalesce(body, '')")}, '([.!?。]){_SPACE}', '\\1\x01', 'g'), chr(1)), lambda s: s <> '') AS ss FROM report))"""
+
+
+@R.add("k03_chunks", f"""SELECT doc_id, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS k, unnest(ps) AS piece FROM (SELECT doc_id, string_split(list_reduce(parts, lambda a, s: CASE WHEN length(string_split(a, chr(1))[-1]) + 1 + length(s) <= 2000 THEN a || ' ' || s ELSE a || chr(1) || s END), chr(1)) AS ps FROM {_PARTS} WHERE len(parts) > 0)""", REPORT)
 def _(spark, sf):
     return documents.chunked(views.reports(spark, sf), ["doc_id"])
 
@@ -86,7 +90,11 @@ def _(spark, sf):
     return documents.chips(views.table(spark, sf, "documents").select(text.topics(F.col("text"), TOPICS).alias("t")), "t")
 
 
-@R.add("k05_snippets")
+_LOOSE = r"[\s\x0b\x85\p{Z}]*".join(ASKED.replace(" ", ""))
+
+
+@R.add("k05_snippets", f"""SELECT doc_id, CASE WHEN s > 1 THEN '…' ELSE '' END || trim(substr(body, s, e - s), ' ') || CASE WHEN e <= length(body) THEN '…' ELSE '' END AS snippet FROM (
+    SELECT doc_id, body, greatest(pos - 35, 1) AS s, least(pos + length(hit) + 70, length(body) + 1) AS e FROM (SELECT *, strpos(body, hit) AS pos FROM (SELECT doc_id, body, regexp_extract(body, '{_LOOSE}') AS hit FROM report)) WHERE hit <> '')""", REPORT)
 def _(spark, sf):
     return views.reports(spark, sf).select("doc_id", search.snippet(F.col("body"), ASKED).alias("snippet")).where("snippet is not null")
 
@@ -243,11 +251,15 @@ def _(spark, sf):
     return spark.createDataFrame(list(enumerate(search.expand(["계속고용"], groups), 1)), "place int, word string")
 
 
-@R.add("j04_distinct_documents")
+_BEST = f"""(SELECT domain, prefix, title, max({{'score': score, 'date': date, 'doc_id': doc_id}}) AS r FROM (SELECT domain, doc_id, array_to_string(string_split(doc_id, ':')[1:2], ':') AS prefix, coalesce(title, '') AS title, coalesce(date, '') AS date, {_score(TERMS)} AS score FROM corpus WHERE {_cand(TERMS)}) GROUP BY 1, 2, 3)"""
+
+
+@R.add("j04_distinct_documents", f"""SELECT * FROM (WITH RECURSIVE best AS MATERIALIZED {_BEST}, picked AS (SELECT DISTINCT domain, 0 AS place, [NULL::VARCHAR] AS prefixes, [NULL::VARCHAR] AS titles, CAST(NULL AS STRUCT(score INTEGER, date VARCHAR, doc_id VARCHAR)) AS r FROM best UNION ALL
+    SELECT domain, place + 1, list_append(prefixes, b.prefix), list_append(titles, b.title), b.r FROM (SELECT p.domain, place, prefixes, titles, max({{'r': CAST(s.r AS STRUCT(score INTEGER, date VARCHAR, doc_id VARCHAR)), 'prefix': s.prefix, 'title': s.title}}) AS b FROM picked p JOIN best s ON s.domain = p.domain AND NOT coalesce(list_contains(prefixes, s.prefix), false) AND NOT coalesce(list_contains(titles, s.title), false) WHERE place < 5 GROUP BY 1, 2, 3, 4))
+    SELECT domain, CAST(place AS INT) AS place, r.score AS score, r.doc_id AS doc_id, r.date AS date FROM picked WHERE place > 0)""", CORPUS)
 def _(spark, sf):
-    c = corpus(spark, sf).where(search.candidate(TERMS, F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))))
-    scored = c.select("domain", "doc_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("date", F.lit("")).alias("date"), text.term_score(TERMS, F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))).alias("score"))
-    return search.distinct_documents(scored)
+    found = search.candidates(corpus(spark, sf), TERMS)
+    return search.distinct_documents(found.withColumns({"title": F.coalesce("title", F.lit("")), "date": F.coalesce("date", F.lit(""))}))
 
 
 @R.add("i05_by_score_and_date", f"SELECT doc_id, CAST(s AS INT) AS score FROM (SELECT doc_id, published, CASE WHEN {_W['title']} THEN 100 ELSE 0 END + CASE WHEN {_W['body']} THEN 10 ELSE 0 END AS s FROM report) WHERE s > 0 ORDER BY s DESC, published DESC, doc_id LIMIT 20", REPORT)
