@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -132,3 +135,77 @@ def dictionary_matcher(dictionary: dict[str, str]):
             yield pd.Series(out)
 
     return match
+
+
+def _leaves(value, texts: list[str], figures: list[float]) -> None:
+    if isinstance(value, str):
+        texts.extend([value] if value else [])
+    elif isinstance(value, (int, float)) and not isinstance(value, bool):
+        figures.extend([float(value)] if math.isfinite(value) else [])
+    elif isinstance(value, (list, dict)):
+        for x in value if isinstance(value, list) else value.values():
+            _leaves(x, texts, figures)
+
+
+@F.pandas_udf(T.StructType([T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("figures", T.ArrayType(T.DoubleType()))]))
+def json_leaves(documents: pd.Series) -> pd.DataFrame:
+    """All strings that aren't empty and all numbers in a JSON document, whatever its shape, in order; keys aren't
+    among them. What isn't JSON has none."""
+    rows = []
+    for x in documents:
+        texts, figures = [], []
+        with contextlib.suppress(ValueError, TypeError):
+            _leaves(json.loads(x), texts, figures)
+        rows.append((texts, figures))
+    return pd.DataFrame(rows, columns=["texts", "figures"])
+
+
+def year_prefix(c: Column) -> Column:
+    """The year that a date's text begins with."""
+    return F.nullif(F.regexp_extract(c, r"^(\d{4})", 1), F.lit("")).cast("int")
+
+
+def json_list(c: Column) -> Column:
+    """A JSON array of strings; empty for anything that isn't one."""
+    return F.filter(F.coalesce(F.from_json(c, "array<string>"), F.array()), lambda x: x.isNotNull())
+
+
+def row_json(*columns: str) -> Column:
+    """The columns of a row as one JSON object."""
+    return F.to_json(F.struct(*columns))
+
+
+def split_hit(c: Column) -> Column:
+    """`axis:name` in its parts; a name may hold colons itself."""
+    parts = F.split(c, ":", 2)
+    return F.struct(parts[0].alias("axis"), parts[1].alias("name"))
+
+
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&middot;": "·", "&amp;": "&"}
+
+
+def unescaped(c: Column) -> Column:
+    """The usual named entities as characters."""
+    for entity, text in ENTITIES.items():
+        c = F.replace(c, F.lit(entity), F.lit(text))
+    return c
+
+
+def clean(c: Column) -> Column:
+    """A title of a search result: without its marks of emphasis, entities as characters."""
+    return F.trim(unescaped(F.regexp_replace(c, "</?b>", "")))
+
+
+def html_lines(c: Column) -> Column:
+    """The lines of a fragment that line breaks and block tags part, without tags; blank ones are left out."""
+    bare = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
+    cut = F.split(bare, r"(?i)<br\s*/?>|</?(?:p|div|li|ul|ol|tr|table|h[1-6])\b[^>]*>|\n")
+    lines = F.transform(cut, lambda x: F.trim(F.regexp_replace(unescaped(F.regexp_replace(x, r"(?s)<[^>]*>", " ")), r"(?U)\s+", " ")))
+    return F.filter(lines, lambda x: x != "")
+
+
+def find_date(c: Column) -> Column:
+    """The first date of a fragment as year.month.day, or year.month where no day is printed."""
+    at = lambda k: F.regexp_extract(c, r"(\d{4})\s*[.\-/년]\s*(\d{1,2})(?:\s*[.\-/월]\s*(\d{1,2}))?", k)
+    made = F.concat_ws(".", at(1), at(2), F.nullif(at(3), F.lit("")))
+    return F.when(at(1) != "", made)

@@ -105,3 +105,57 @@ def phenomenon(questions: DataFrame, phenomena: DataFrame, most: int = 10_000) -
 def kind_of(raw: Column, confidence: Column, least: float = 0.5) -> Column:
     """A kind of question, if it is one and is certain enough; else outside."""
     return F.when(raw.isin(*KINDS) & (confidence >= least), raw).otherwise("outside")
+
+
+def found_of(parts: dict[str, DataFrame]) -> DataFrame:
+    """A lookup's parts as one table (part, domain, item, place, value): figures and what is derived from them
+    first, then documents, then the order of domains."""
+    none = F.lit(None).cast("int")
+    figures = parts["figures"].select(F.lit("figures").alias("part"), F.lit("figures").alias("domain"), F.concat_ws(":", "source", "series", "category", "period").alias("item"), none.alias("place"), F.col("value").cast("double").alias("value"))
+    derived = parts["derived"].select(F.lit("derived"), F.lit("figures"), F.concat_ws(":", "source", "series", "shape"), none, F.coalesce("sum", "diff").cast("double"))
+    documents = parts["documents"].select(F.lit("documents"), "domain", "doc_id", "place", F.col("score").cast("double"))
+    domains = parts["domains"].select(F.lit("domains"), "domain", F.lit(None).cast("string"), none, F.col("score").cast("double"))
+    return figures.union(derived).union(documents).union(domains)
+
+
+def answer(kind: str, tables: dict[str, DataFrame], slots: Slots, dictionary: Dictionary, sources: tuple[str, ...] = (), indicator: str | None = None) -> dict[str, DataFrame]:
+    """The frames that a question of a kind is answered from; nothing is read before they are.
+
+    numeric: observations by the basis of their sources. compare: how far the two sources named may be compared,
+    and their observations under that basis; nothing with fewer than two. forecast: the indicator's vintages, of
+    the years asked for where a year is named. cause: the evidence for the phenomenon's hypotheses. limits and
+    outside: what is known of the sources, and how the question could be routed."""
+    if kind not in KINDS:
+        raise ValueError(f"{kind} is not a kind of question")
+    spark = tables["observations"].sparkSession
+    named = spark.createDataFrame([(s,) for s in sources], "id string")
+    if kind == "numeric":
+        return {"figures": evidence_rows(observe(tables["observations"], slots, dictionary), tables["basis"])}
+    if kind == "compare":
+        if len(sources) < 2:
+            return {}
+        pair = planner.comparable(spark.createDataFrame([tuple(sources[:2])], "a string, b string"), tables["conflicts"])
+        level = pair.select(F.col("level").alias("pair_level"))  # one row
+        rank = lambda c: F.array_position(F.array(*map(F.lit, planner.RANKS)), F.col(c))
+        own = tables["basis"].join(named, F.col("source") == F.col("id"), "left_semi").join(F.broadcast(level), F.lit(True))
+        basis = own.select("source", F.when(rank("pair_level") < rank("basis"), F.col("pair_level")).otherwise(F.col("basis")).alias("basis"))
+        figures = observe(tables["observations"], slots, dictionary).join(named, F.col("source") == F.col("id"), "left_semi")
+        return {"pair": pair, "figures": evidence_rows(figures, basis)}
+    if kind == "forecast":
+        rows = tables["forecasts"].where(F.col("indicator") == F.lit(indicator))
+        years = [x[:4] for x in (slots.start, slots.end) if x and x[:4].isdigit()]
+        return {"forecasts": rows.where(F.col("year").between(int(years[0]), int(years[-1]))) if years else rows}
+    if kind == "cause":
+        return {"evidence": planner.evidence(tables["hypotheses"], tables["links"], tables["indicators"])}
+    asked = spark.createDataFrame([("q", slots.topic, list(slots.axes))], "q string, topic string, axes array<string>")
+    return {"meta": planner.meta(tables["sources"], tables["limits"], tables["conflicts"], named if sources else None), "routes": planner.route(asked, tables["capability"])}
+
+
+def domains_that_apply(questions: DataFrame, text: str, topic: str, domains: tuple[str, ...] = ("reports", "press", "forecasts")) -> DataFrame:
+    """questions exploded to (domain, applies, why): the archives apply to any question that isn't blank, figures to
+    one that names a topic; why says what is lacking."""
+    blank = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", "") == ""
+    why = lambda d: F.when(blank, "blank").when(F.lit(d == "figures") & F.col(topic).isNull(), "no topic")
+    each = F.array(*(F.struct(F.lit(d).alias("domain"), why(d).alias("why")) for d in ("figures", *domains)))
+    made = questions.select("*", F.explode(each).alias("_d"))
+    return made.select(*questions.columns, F.col("_d.domain").alias("domain"), F.col("_d.why").isNull().alias("applies"), F.col("_d.why").alias("why"))

@@ -75,3 +75,8 @@ def needs_text(df: DataFrame) -> DataFrame:
 def chunked(df: DataFrame, keys: list[str], body: str = "body", limit: int = 2000) -> DataFrame:
     """A row per piece of a body, numbered; a body without text is no piece."""
     return df.select(*keys, F.posexplode(text.chunks(text.plain(F.coalesce(F.col(body), F.lit(""))), limit)).alias("k", "piece"))
+
+
+def default_order(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Newest first, of equal dates the greatest id first."""
+    return df.orderBy(F.desc("published"), F.desc(key))

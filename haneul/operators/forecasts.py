@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numbers import round_half_up
+from ..functions.numbers import round_decimal, round_half_up
 
 
 def revision_chain(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Each vintage with the value before it in its chain and the revision; null (not 0) on the first."""
+    """Each vintage with the value before it in its chain and the revision to two decimals; null (not 0) on the first."""
     before = F.lag("value").over(W.partitionBy(*keys).orderBy("published", "ord"))
-    return df.withColumn("prev_value", before).withColumn("revision", F.col("value") - F.col("prev_value"))
+    return df.withColumn("prev_value", before).withColumn("revision", round_decimal(F.col("value") - F.col("prev_value"), 2))
 
 
 def latest_per(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,3 +141,37 @@ def collection_kind(days: DataFrame, releases: DataFrame, day: str = "day") -> D
     found = placed.where("_side = 1").join(F.broadcast(before), "_m", "left").withColumn("release", F.coalesce("_r", "_carry"))
     gap = F.date_diff(F.to_date("_d"), F.to_date("release"))
     return found.select(F.col("_d").alias(day), "release", F.when(gap <= 1, "regular").when(gap <= 22, "follow").otherwise("none").alias("kind")).distinct()
+
+
+def backfill(stored: DataFrame, rounds: DataFrame, since: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Past rounds laid under what is stored: rows of rounds from `since` on whose (keys, published) isn't stored,
+    of repeats the first, with all revisions computed anew; and per round how many rows were added, or that it was
+    there already. The chains are ordered by date, so rounds may come in any order, all at once."""
+    same = [*keys, "published"]
+    late = rounds.where(F.col("published") >= since)
+    first = W.partitionBy(*same).orderBy("ord")
+    new = late.join(stored.select(*same).distinct(), same, "left_anti").withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+    counts = late.select("org", "published").distinct().join(new.groupBy("org", "published").agg(F.count("*").alias("added")), ["org", "published"], "left")
+    return revision_chain(stored.unionByName(new.select(*stored.columns)), keys), counts.na.fill(0, ["added"])
+
+
+def newest_supplement(latest: DataFrame, posts: DataFrame, kind: str = "hwpx") -> DataFrame:
+    """Of each source the post (period, url, released, attachments of (type, url)) of its newest period, if that is
+    later than the latest one held, and has a release date and a file of the kind; the first such file."""
+    newest = posts.groupBy("source").agg(F.max_by(F.struct("period", "url", "released", "attachments"), "period").alias("p"))
+    j = newest.join(latest, "source").where(F.col("p.period") > F.col("latest"))
+    file = F.get(F.filter("p.attachments", lambda a: a["type"] == kind), F.lit(0))["url"]
+    return j.select("source", "p.period", "p.url", "p.released", file.alias("file")).where("file is not null and released is not null")
+
+
+def grouped_reports(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A report (keys) with how many figures it gives and their indicators in order."""
+    items = F.transform(F.sort_array(F.collect_list(F.struct("ord", "indicator"))), lambda x: x["indicator"])
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.array_join(items, ",").alias("indicators"))
+
+
+def targets_in_order(df: DataFrame, keys: list[str], halves: tuple[str, ...] = ("annual", "h1", "h2")) -> DataFrame:
+    """The years and halves that each group forecasts, by year, the whole year first."""
+    rank = F.array_position(F.array(*map(F.lit, halves)), F.col("half"))
+    items = F.sort_array(F.collect_set(F.struct("year", rank.alias("rank"), "half")))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(items, lambda x: F.concat(x["year"].cast("string"), x["half"])), ",").alias("shown"))

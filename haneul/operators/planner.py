@@ -107,3 +107,28 @@ def declared(provided: DataFrame, axis: str, source: str, map_column: str) -> tu
     """From categories with a map source -> provided: whether each source has each axis at all, and what it lacks."""
     each = provided.select(axis, "category", F.explode(map_column).alias(source, "has"))
     return each.groupBy(source, axis).agg(F.bool_or("has").alias("capable")), each.where("not has").select(source, axis, "category")
+
+
+def meta(sources: DataFrame, limits: DataFrame, conflicts: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """What is known of the sources asked for (ids; else of those archived): (part, id) with part source for a
+    confirmed one, unconfirmed for another, limit for what it can't give, and conflict between two of them."""
+    chosen = sources.where("archived") if ids is None else sources.join(ids.select("id").distinct(), "id", "left_semi")
+    own = chosen.select("id").distinct()
+    found = chosen.select(F.when(F.col("confirmed"), "source").otherwise("unconfirmed").alias("part"), "id")
+    held = limits.join(own.withColumnRenamed("id", "source"), "source", "left_semi").select(F.lit("limit").alias("part"), "id")
+    return found.unionByName(held).unionByName(both_ends(conflicts, own).select(F.lit("conflict").alias("part"), "id"))
+
+
+def derive_conflicts(sources: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Two records for each pair (a, b) of sources (code, name, headline, coverage): their concepts and their
+    populations differ, and they compare by rates only."""
+    from ..functions.printed import topic_particle
+
+    side = lambda s: sources.select(*(F.col(c).alias(f"{c}_{s}") for c in ("code", "name", "headline", "coverage")))
+    both = pairs.join(side("a"), F.col("a") == F.col("code_a")).join(side("b"), F.col("b") == F.col("code_b"))
+    named = lambda s: F.concat(F.col(f"name_{s}"), topic_particle(F.col(f"name_{s}")), F.lit(" "), F.col(f"headline_{s}"))
+    concept = F.concat(named("a"), F.lit(", "), named("b"), F.lit("로 개념이 다르다"))
+    people = F.concat("coverage_a", F.lit(" vs "), "coverage_b")
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), text.alias("text")) for k, text in (("개념", concept), ("모집단", people))))
+    made = both.select("a", "b", F.explode(kinds).alias("x"))
+    return made.select(F.concat_ws("-", F.lit("CONF"), "a", "b", "x.kind").alias("id"), F.col("a").alias("source_a"), F.col("b").alias("source_b"), "x.kind", "x.text", F.lit(RANKS[1]).alias("level"))

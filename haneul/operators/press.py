@@ -140,11 +140,12 @@ def round_summary(df: DataFrame) -> DataFrame:
 
 
 def with_verdicts(df: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Articles with the verdict on their title without white space (ordinals only where no verdict has a title
-    is the caller's choice)."""
+    """Articles with the verdict on their title without white space; of verdicts on equal titles the least by
+    title and columns (ordinals only where no verdict has a title is the caller's choice)."""
     from ..functions.text import squash
 
-    v = verdicts.select(squash(F.col("title")).alias("_t"), *(c for c in verdicts.columns if c != "title")).dropDuplicates(["_t"])
+    others = [c for c in verdicts.columns if c != "title"]
+    v = verdicts.groupBy(squash(F.col("title")).alias("_t")).agg(F.min(F.struct("title", *others)).alias("_v")).select("_t", *(f"_v.{c}" for c in others))
     return df.withColumn("_t", squash(F.col("title"))).join(v, "_t", "left").drop("_t")
 
 
@@ -159,3 +160,23 @@ def merge_queries(found: DataFrame, since: str, cap: int = 1000) -> tuple[DataFr
     new = merged.groupBy(F.col("first_q").alias("q")).agg(F.count("*").alias("new"))
     stats = rows.groupBy("q").agg(F.count_if(F.col("pub") >= since).alias("in_window"), ((F.count("*") >= cap) & (F.min("pub") >= since)).alias("truncated"))
     return merged.select("r.*", "queries"), stats.join(new, "q", "left").na.fill(0, ["new"])
+
+
+def relevant(text: Column, subjects: list[str]) -> Column:
+    """A text that names one of the subjects."""
+    return F.exists(F.array(*map(F.lit, subjects)), lambda w: text.contains(w))
+
+
+def relevant_follow(text: Column, names: list[str], subjects: list[str], matters: list[str]) -> Column:
+    """A text that follows a release up: it names the survey itself, or one of its subjects together with a matter."""
+    return relevant(text, names) | relevant(text, subjects) & relevant(text, matters)
+
+
+def badges(flags: dict[str, Column]) -> Column:
+    """The names of the flags that hold, each once, in their order."""
+    return F.array_distinct(F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in flags.items())), lambda x: x.isNotNull()))
+
+
+def node_radius(n: Column, least: float = 4.0, most: float = 15.0) -> Column:
+    """A word's radius in the graph: its area grows with the number of articles, up to a limit."""
+    return F.round(F.least(least + 1.7 * F.sqrt(n), F.lit(most)), 6)

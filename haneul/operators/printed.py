@@ -86,3 +86,27 @@ def overlapping_labels(labels: DataFrame, lines: DataFrame, keys: list[str]) ->
     """Labels printed as pictures (top, bottom) beside the text line whose middle lies within them."""
     inside = (F.col("middle") >= F.col("top")) & (F.col("middle") <= F.col("bottom"))
     return labels.join(lines, keys).where(inside)
+
+
+def quoted_on_page(quotes: DataFrame, pages: DataFrame, keys: list[str], quote: str = "quote", hint: str = "hint") -> DataFrame:
+    """Quotes with the page that says them word for word: the one hinted at if it does, else the first; null if none does."""
+    said = quotes.select(*keys, quote, hint).distinct().join(pages.select(*keys, "page", "text"), keys).where(printed.quoted(F.col(quote), F.col("text")))
+    found = said.groupBy(*keys, quote, hint).agg(F.min_by("page", F.struct(~F.col("page").eqNullSafe(F.col(hint)), "page")).alias("page"))
+    found = found.select(*(F.col(c).alias(f"_{c}") for c in (*keys, quote, hint)), "page")
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, quote, hint)]
+    return quotes.join(found, on, "left").select(*quotes.columns, "page")
+
+
+#: The folded header's year, its mark of a revision, and words of its row of periods.
+FOLD_YEAR, FOLD_MARK, FOLD_PERIODS = r"(?:19|20)\d{2}", r"수정폭(?:\d*\))?", "연간|상반|하반"
+
+
+def unfolded_header(text: Column) -> Column:
+    """A header of four lines - a year alone, years, the mark of the revision, periods - as two: the years with
+    their last one again, and the periods with the mark in their last place. Any other text stays as it is."""
+    gap, line = "[ \t]*", "[ \t]+"
+    shape = (
+        rf"(?s)\A((?:[^\n]*\n)*?){gap}{FOLD_YEAR}{gap}\n{gap}({FOLD_YEAR}(?:{line}{FOLD_YEAR})*{line}({FOLD_YEAR})){gap}\n"
+        rf"{gap}({FOLD_MARK}){gap}\n(?=[^\n]*(?:{FOLD_PERIODS})){gap}([^\s]+(?:{line}[^\s]+)*?){line}[^\s]+{gap}(\n.*|\z)"
+    )
+    return F.regexp_replace(text, shape, "$1$2 $3\n$5 $4$6")

@@ -7,6 +7,7 @@ that fail. `require` turns a check into an error.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import is_month, month_index
@@ -101,3 +102,32 @@ def blocked_too_long(state: DataFrame, today: str, days: int = 7) -> DataFrame:
 def high_missing(rates: DataFrame, allowed: DataFrame, keys: list[str], rate: float = 0.5, least: int = 10) -> DataFrame:
     """Groups of `least` rows or more that lack too much, but for those allowed to."""
     return rates.where((F.col("rate") >= rate) & (F.col("total") >= least)).join(allowed, keys, "left_anti")
+
+
+def tables_in_order(tables: DataFrame, keys: list[str], least_level: float = 10_000, most_delta: float = 1_000) -> DataFrame:
+    """Tables (tab, value) that only their order tells apart: the first is the level, the second the change, a
+    third the rate. A row per document with their places and what speaks against them: too few tables, a level
+    too small, a change too large, or a rate that doesn't follow from both."""
+    first = W.partitionBy(*keys).orderBy("tab")
+    top = tables.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= 3)
+    at = lambda k, c: F.max(F.when(F.col("_k") == k, F.col(c)))
+    made = top.groupBy(*keys).agg(*(at(k, c).alias(f"{n}{s}") for k, n in ((1, "level"), (2, "delta"), (3, "rate")) for c, s in (("tab", "_tab"), ("value", ""))))
+    problem = F.when(F.col("delta_tab").isNull(), "too few").when(F.col("level").isNull() | (F.col("level") < least_level), "level").when(F.col("delta").isNull() | (F.abs("delta") >= most_delta), "change")
+    return made.withColumn("problem", problem.when(F.col("rate_tab").isNotNull() & ~F.coalesce(rate_fits(F.col("level"), F.col("delta"), F.col("rate")), F.lit(False)), "order"))
+
+
+def hypothesis_rules() -> dict[str, Column]:
+    """A confirmed record rests on evidence, and a hypothesis names at least one counter-hypothesis."""
+    return {"evidence": (F.col("status") != "confirmed") | (F.size(F.coalesce("evidence", F.array())) > 0), "counter": F.size(F.coalesce("counter", F.array())) > 0}
+
+
+def link_rules() -> dict[str, Column]:
+    """A test of what comes first needs monthly figures, and a lag is read in such a test only."""
+    precedence = F.coalesce(F.col("timing") == "precedence", F.lit(False))
+    return {"monthly": ~precedence | (F.col("grain") == "month"), "lag": precedence | F.coalesce(F.col("lag") == "", F.lit(True))}
+
+
+def skipped_or_failed(judged: DataFrame, cutoff_rule: str) -> tuple[DataFrame, DataFrame]:
+    """Of judged rows those that only fall to the cutoff, which are skipped, and those that fail otherwise, which are errors."""
+    only = (F.size("failed") == 1) & F.array_contains("failed", cutoff_rule)
+    return judged.where(only), judged.where((F.size("failed") > 0) & ~only)

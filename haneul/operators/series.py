@@ -152,3 +152,19 @@ def bar_geometry(df: DataFrame, keys: list[str], pad: float = 0.35) -> DataFrame
     zero = F.when(signed, -F.col("_lo") / span).otherwise(0.0)
     end = F.when(signed, (F.col("value") - F.col("_lo")) / span).otherwise((F.col("value") - F.col("_lo") + pad * span) / (span * (1 + 2 * pad)))
     return df.join(ends, keys).withColumns({"bar_start": zero, "bar_end": end}).drop("_lo", "_hi")
+
+
+def with_releases(periods: DataFrame, posts: DataFrame, keys: list[str], board: Column) -> DataFrame:
+    """Periods with the page that their figures were released on; where no post is known, the board's page."""
+    return periods.join(posts, keys, "left").withColumn("url", F.coalesce("url", board))
+
+
+def shared_periods(df: DataFrame, a: str, b: str) -> DataFrame:
+    """The periods that both sources have."""
+    held = df.groupBy("period").agg(F.bool_or(F.col("source") == a).alias("_a"), F.bool_or(F.col("source") == b).alias("_b"))
+    return held.where("_a and _b").select("period")
+
+
+def shown_names(df: DataFrame, names: DataFrame, left: str, right: str, out: str = "shown") -> DataFrame:
+    """Rows with the short name of their organisation (names: right, name, short), or its whole one."""
+    return df.join(names, F.col(left) == F.col(right), "left").withColumn(out, F.coalesce("short", "name")).drop("short", "name", right)

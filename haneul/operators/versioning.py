@@ -116,3 +116,10 @@ def refreshed(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     new = fresh.select(key, *(F.col(c).alias(f"_n_{c}") for c in columns))
     j = stored.join(new, key, "full")
     return j.select(key, *(F.coalesce(f"_n_{c}", c).alias(c) for c in columns)).where(" or ".join(f"{c} is not null" for c in columns))
+
+
+def plan_narrow(items: DataFrame, cache: DataFrame, key: str, version: str) -> DataFrame:
+    """What to do once the criteria became narrower: items without a verdict are unjudged, those judged by this
+    version are kept, picks are asked again, and rejects are carried, since a narrower threshold rejects them too."""
+    j = items.join(cache.select(key, "version", "pick"), key, "left")
+    return j.withColumn("plan", F.when(F.col("version").isNull(), "unjudged").when(F.col("version") == version, "keep").when(F.col("pick"), "ask").otherwise("carry"))

@@ -165,10 +165,10 @@ def _squash(c: str) -> str:
 
 
 
-@R.add("f10_title_verdicts", f"SELECT a.doc_id, v.verdict FROM report a LEFT JOIN (SELECT {_squash('title')} AS t, max(org) AS verdict FROM report WHERE n_chars > 1000 GROUP BY 1) v ON v.t = {_squash('a.title')}", ("report",))
+@R.add("f10_title_verdicts", f"SELECT a.doc_id, v.verdict FROM report a LEFT JOIN (SELECT {_squash('title')} AS t, arg_min(org, (title, org)) AS verdict FROM report WHERE n_chars > 1000 GROUP BY 1) v ON v.t = {_squash('a.title')}", ("report",))
 def _(spark, sf):
     r = views.reports(spark, sf)
-    verdicts = r.where("n_chars > 1000").groupBy(text.squash(F.col("title")).alias("title")).agg(F.max("org").alias("verdict"))
+    verdicts = r.where("n_chars > 1000").select("title", F.col("org").alias("verdict"))
     return press.with_verdicts(r.select("doc_id", "title"), verdicts).select("doc_id", "verdict")
 
 

@@ -33,3 +33,23 @@ class Collectors:
             except Exception as e:  # the manifest tells
                 manifest.append((name, False, 0, str(e).split("\n")[0][:300]))
         return rows, spark.createDataFrame(manifest, "name string, ok boolean, fetched long, error string")
+
+
+class DocumentSources:
+    """Document sources by key: each gives its documents' descriptions, and their pages when they are asked for."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[Callable[[SparkSession], DataFrame], Callable[[SparkSession, DataFrame], DataFrame]]] = {}
+
+    def register(self, key: str, documents: Callable[[SparkSession], DataFrame], pages: Callable[[SparkSession, DataFrame], DataFrame]) -> None:
+        if key in self.known:
+            raise ValueError(f"{key} is registered twice")
+        self.known[key] = (documents, pages)
+
+    def documents(self, spark: SparkSession, key: str) -> DataFrame:
+        return self.known[key][0](spark)
+
+    def pages(self, spark: SparkSession, key: str, chosen: DataFrame | None = None) -> DataFrame:
+        """The pages of the chosen documents (all of them by default); no other document is opened."""
+        documents, pages = self.known[key]
+        return pages(spark, documents(spark) if chosen is None else chosen)

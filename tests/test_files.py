@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from haneul.sinks import tables
 from haneul.sources import files, office
-from haneul.sources.registry import Collectors
+from haneul.sources.registry import Collectors, DocumentSources
 from haneul.sources.schemas import TABLES, columns, project
 from haneul.streaming import beacons
 
@@ -86,10 +86,55 @@ def test_office_files(spark, tmp_path):
         z.writestr("Contents/section10.xml", f'<sec xmlns="h">{p("last")}</sec>')
         z.writestr("Contents/section2.xml", f'<sec xmlns="h">{p("first")}<p><run><tbl><tr>{cell(p("a"))}{cell(p("b") + inner)}</tr></tbl></run></p>{p("second")}</sec>')
     found = office.read_paragraphs(spark, str(tmp_path / "d.hwpx")).orderBy("section", "k").collect()
-    assert [(r.section, r.k, r.text) for r in found] == [(2, 0, "first"), (2, 1, "second"), (10, 0, "last")]
+    assert [(r.section, r.k, r.text) for r in found] == [(2, 0, "first"), (2, 1, "a"), (2, 2, "b"), (2, 3, "inner"), (2, 4, "second"), (10, 0, "last")]
     assert sorted((r.tab, r.row, r.col, r.value) for r in office.read_document_tables(spark, str(tmp_path / "d.hwpx")).collect()) == [(0, 0, 0, "a"), (0, 0, 1, "b"), (1, 0, 0, "inner")]
 
 
+def test_sheets_are_those_that_the_workbook_names(spark, tmp_path):
+    cell = lambda v: f'<worksheet xmlns="m"><sheetData><row r="2"><c r="B2"><v>{v}</v></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:  # sheet1 was deleted, and the two others change places
+        z.writestr("xl/workbook.xml", '<workbook xmlns="m" xmlns:r="rel"><sheets><sheet name="one" sheetId="3" r:id="rId7"/><sheet name="two" sheetId="2" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="p"><Relationship Id="rId2" Target="worksheets/sheet2.xml"/><Relationship Id="rId7" Target="/xl/worksheets/sheet3.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet2.xml", cell(2))
+        z.writestr("xl/worksheets/sheet3.xml", cell(3))
+    assert sorted((r.sheet, r.row, r.col, r.value) for r in office.read_sheets(spark, str(tmp_path / "b.xlsx")).collect()) == [("one", 2, 1, "3"), ("two", 2, 1, "2")]
+    with zipfile.ZipFile(tmp_path / "c.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns="m"><sheets><sheet name="s"/></sheets></workbook>')
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="m"><si><t>漢</t><rPh><t>かん</t></rPh></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="m"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row></sheetData></worksheet>')
+    assert [r.value for r in office.read_sheets(spark, str(tmp_path / "c.xlsx")).collect()] == ["漢"]
+
+
+def test_paragraphs_of_cells_stay_apart(spark, tmp_path):
+    p = lambda *t: "<p>" + "".join(f"<run><t>{x}</t></run>" for x in t) + "</p>"
+    box = f"<p><run><t>around</t><tbl><tr><tc>{p('27만 8', '천명')}{p('second  line')}</tc><tc><run><t>loose</t></run><run><t>text</t></run></tc></tr></tbl></run></p>"
+    with zipfile.ZipFile(tmp_path / "d.hwpx", "w") as z:
+        z.writestr("Contents/section0.xml", f'<sec xmlns="h">{p("head")}{box}{p(" ")}</sec>')
+    found = office.read_paragraphs(spark, str(tmp_path / "d.hwpx")).orderBy("k").collect()
+    assert [r.text for r in found] == ["head", "around", "27만 8천명", "second line"]
+    assert sorted((r.row, r.col, r.value) for r in office.read_document_tables(spark, str(tmp_path / "d.hwpx")).collect()) == [(0, 0, "27만 8천명 second line"), (0, 1, "loose text")]
+
+
+def test_pages_are_read_when_asked_for(spark, tmp_path):
+    for n in "ab":
+        put(tmp_path / f"{n}.txt", f"{n} one\f{n} two")
+    opened = []
+
+    def pages(spark, documents):
+        paths = [r.path for r in documents.collect()]
+        opened.extend(paths)
+        whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.posexplode(F.split("value", "\f")).alias("i", "text"))
+        return whole.select("name", (F.col("i") + 1).alias("page"), "text")
+
+    sources = DocumentSources()
+    sources.register("notes", lambda s: s.createDataFrame([(n, str(tmp_path / f"{n}.txt")) for n in "ab"], "title string, path string"), pages)
+    d = sources.documents(spark, "notes")
+    assert d.count() == 2 and not opened
+    assert sorted((r.name, r.page, r.text) for r in sources.pages(spark, "notes", d.where("title = 'b'")).collect()) == [("b.txt", 1, "b one"), ("b.txt", 2, "b two")] and len(opened) == 1
+    with pytest.raises(ValueError, match="twice"):
+        sources.register("notes", lambda s: d, pages)
+
+
 def test_collectors_fail_alone(spark):
     c = Collectors()
     c.register("good")(lambda s, today: s.range(3))
@@ -156,6 +201,20 @@ def test_state_over_batches(spark, tmp_path):
     assert got[3] == (True, 1, "d1")
 
 
+def test_late_hits_count_towards_their_own_day(spark, tmp_path):
+    schema = "id long, ts timestamp, day string, visitor string"
+    src = tmp_path / "in"
+    days = [f"2024-01-{d:02d}" for d in range(1, 12)]
+    for rows in ([(1, None, days[4], "a")], [(k, None, days[3], "a") for k in range(2, 6)], [(6, None, days[4], "a")], [(10 + k, None, d, "a") for k, d in enumerate(days[5:])], [(30, None, days[0], "a"), (31, None, days[10], "a")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    got = {r.id: r for r in beacons.drain(beacons.visitor_stream(stream, 1), spark).collect()}
+    assert len(got) == 14 and max(r.hits for r in got.values()) == 14
+    kept = [r for r in got.values() if r.kept]
+    assert len({r.day for r in kept}) == len(kept)  # one a day at most, late days too
+    assert sum(got[k].kept for k in range(2, 6)) == 1 and got[31].kept + got[20 - 5].kept == 1
+
+
 def test_snapshots_merge_once(spark, tmp_path):
     schema, src = "id string, value double, released string", tmp_path / "in"
     for rows in ([("a", 1.0, "1")], [("a", 2.0, "2"), ("b", 1.0, "1")]):

@@ -85,7 +85,7 @@ FORECAST = "ord long, org string, published string, year int, half string, indic
 def test_vintages(spark):
     f = spark.createDataFrame([(1, "x", "2024-06-01", 2024, "annual", "gdp", 2.0), (2, "x", "2024-08-01", 2024, "annual", "gdp", 2.3), (3, "y", "2024-08-01", 2024, "annual", "gdp", 2.3), (4, "y", "2024-08-01", 2024, "annual", "gdp", 1.0)], FORECAST)
     chain = {r.ord: r.revision for r in forecasts.revision_chain(f, ["org", "indicator", "year", "half"]).collect()}
-    assert chain[1] is None and round(chain[2], 2) == 0.3
+    assert chain[1] is None and chain[2] == 0.3
     assert {r.org: r.ord for r in forecasts.latest_per(f, ["org"]).collect()} == {"x": 2, "y": 3}  # the first of equal dates
     s = forecasts.summarize(f, ["indicator"]).collect()[0]
     assert (s.n, s["mean"], s.max_org, s.min_org) == (4, 1.9, "x", "y")
@@ -183,6 +183,18 @@ def test_search(spark):
     scored = spark.createDataFrame([(d, t, x, int(s), "") for d, t, x, s in [("r:1:0", "A", "r", 9), ("r:1:1", "B", "r", 8), ("r:2:0", "A", "r", 7), ("r:3:0", "C", "r", 1)]], "doc_id string, title string, domain string, score int, date string")
     assert [(r.place, r.doc_id) for r in search.distinct_documents(scored).orderBy("place").collect()] == [(1, "r:1:0"), (2, "r:3:0")]
     assert search.distinct_documents(scored.where("false")).count() == 0
+    rng = random.Random(6)
+    rows = [(d, f"r:{rng.randrange(9)}:{k}", f"t{rng.randrange(7)}", f"2024-{rng.randrange(1, 4):02d}", rng.randrange(4)) for d in ("a", "b", "c") for k in range(rng.choice([3, 40, 200]))]
+    want = []
+    for d in ("a", "b", "c"):
+        prefixes, titles = set(), set()
+        for _, doc, title, date, score in sorted((r for r in rows if r[0] == d), key=lambda r: (r[4], r[3], r[1]), reverse=True):
+            if len(prefixes) < 5 and doc.rsplit(":", 1)[0] not in prefixes and title not in titles:
+                prefixes.add(doc.rsplit(":", 1)[0])
+                titles.add(title)
+                want.append((d, len(prefixes), doc))
+    many = spark.createDataFrame(rows, "domain string, doc_id string, title string, date string, score int")
+    assert sorted((r.domain, r.place, r.doc_id) for r in search.distinct_documents(many).collect()) == sorted(want)
     assert search.expand(["계속고용"], [["고용", "취업"], ["정년", "계속고용"]]) == ["정년", "고용", "취업"]
 
 
