@@ -3,6 +3,13 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a frame,
 which is written as Parquet and read again as the next stage's documents. All but the last
 keep the columns of documents.
+
+Nulls and odd rows: a null text is scored as the empty text, has no words and so fails the
+rules; a null language or source is a group of its own; a document without an id is never
+learnt from and stays in dedup unless its text has another document. Repeated rows are scored,
+measured and counted each, and one of them stays after dedup. Very long texts are read whole in
+every stage. An empty table passes through all stages as one; a stage whose predecessor kept
+nothing returns nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ from haneul.llm.queries import table, tokenizer_path
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.5 or more."""
+    """Documents that the classifier, learnt from the stage's labelled documents, scores 0.5 or more."""
     model = nbsvm.train(docs, table(spark, sf_dir, "labels"))
     return nbsvm.score(docs, model, out="_hn_score").where("_hn_score >= 0.5").select(*docs.columns)
 
@@ -27,7 +34,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates."""
+    """The document with the smallest id of each class of near duplicates, once."""
     return probminhash.one_of_each(docs, probminhash.near_duplicates(docs)).select(*docs.columns)
 
 
@@ -37,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document."""
+    """The token ids of every document; no ids for a null text."""
     return bpe.encode(docs, tokenizer_path()).select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
