@@ -1,6 +1,7 @@
-"""DuckDB SQL for the corpus queries that SQL can express: archives and quality rules. The others hash
+"""DuckDB SQL for the corpus queries that SQL can express: archives, quality rules and chats. The others hash
 with functions that DuckDB lacks, train a model, tokenize or walk markup; tests hold them against brute force."""
 
+from .chat import _LAST, PART
 from .quality_rules import GAMMA, MEASURES, PRIOR, ZERO
 
 _BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '')"
@@ -52,5 +53,30 @@ OP3 = f"""WITH words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws,
     SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM measured m JOIN judged USING (doc_id)"""
 
 
+def _normal(c: str) -> str:
+    return rf"trim(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')"
+
+
+_MARKS = rf"^{_SPACE}*(?:>{_SPACE}?)*"
+_BLANK = rf"\n{_SPACE}*\n"
+#: Every quote against every earlier message of its conversation. Messages of one turn come by role and text here.
+OP6 = f"""WITH m AS (SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+    lines AS (SELECT r, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM (SELECT r, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM m)),
+    cut AS (SELECT *, length(regexp_replace(regexp_extract(x, '{_MARKS}'), '[^>]', '', 'g')) AS level, regexp_replace(x, '{_MARKS}', '') AS plain FROM lines),
+    own AS (SELECT r, regexp_replace(regexp_replace(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE level = 0), ''), '^{_SPACE}+', ''), '{_SPACE}+$', '') AS content FROM cut GROUP BY r),
+    passage AS (SELECT r, conv_id, turn, level, min(i) AS k, string_agg(plain, chr(10) ORDER BY i) AS text FROM (SELECT cut.*, conv_id, turn, i - row_number() OVER (PARTITION BY r, level ORDER BY i) AS g FROM cut JOIN m USING (r) WHERE level > 0 AND turn IS NOT NULL AND conv_id IS NOT NULL) GROUP BY r, conv_id, turn, level, g),
+    unit AS (SELECT DISTINCT conv_id, turn, {_normal('u')} AS u FROM (SELECT conv_id, turn, unnest([content] || string_split_regex(content, '{_BLANK}') || string_split(content, chr(10))) AS u FROM own JOIN m USING (r) WHERE turn IS NOT NULL) WHERE {_normal('u')} <> ''),
+    whole AS (SELECT p.*, CASE WHEN f.first < p.turn THEN f.first END AS whole_at FROM passage p LEFT JOIN (SELECT conv_id, u, min(turn) AS first FROM unit GROUP BY 1, 2) f ON f.conv_id = p.conv_id AND f.u = {_normal('p.text')}),
+    block AS (SELECT r, k, conv_id, turn, unnest(bs) AS b, generate_subscripts(bs, 1) AS bi FROM (SELECT *, string_split_regex(text, '{_BLANK}') AS bs FROM whole WHERE whole_at IS NULL)),
+    line AS (SELECT r, k, conv_id, turn, {_normal('b')} AS block, bi, li, {_normal('x')} AS line FROM (SELECT *, unnest(xs) AS x, generate_subscripts(xs, 1) AS li FROM (SELECT *, string_split(b, chr(10)) AS xs FROM block)) WHERE {_normal('x')} <> ''),
+    score AS (SELECT line.r, line.k, unit.turn AS said_at, count(DISTINCT (bi, li)) AS s FROM line JOIN unit ON unit.conv_id = line.conv_id AND unit.turn < line.turn AND unit.u IN (line.block, line.line) GROUP BY 1, 2, 3),
+    partly AS (SELECT r, k, arg_max(said_at, (s, said_at)) AS partly_at FROM score JOIN (SELECT r, k, count(*) AS n FROM line GROUP BY 1, 2) USING (r, k) WHERE 2 * s > n GROUP BY 1, 2),
+    linked AS (SELECT w.r, w.level, coalesce(whole_at, partly_at) AS said_at FROM whole w LEFT JOIN partly USING (r, k)),
+    reply AS (SELECT r, count(*) AS n_quotes, count(said_at) AS n_linked, arg_min(said_at, (level, -said_at)) FILTER (WHERE said_at IS NOT NULL) AS reply_to FROM linked GROUP BY r),
+    placed AS (SELECT conv_id, turn, role, content, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(reply_to, turn - 1, {_LAST}), turn NULLS FIRST, role, text) AS place FROM m JOIN own USING (r) LEFT JOIN reply USING (r))
+    SELECT conv_id, (place - 1) // {PART} AS part, count(*) AS n_messages, CAST(sum(n_quotes) AS BIGINT) AS n_quotes, CAST(sum(n_linked) AS BIGINT) AS n_linked, string_agg(coalesce(CAST(turn AS VARCHAR), '?'), ' ' ORDER BY place) AS turns,
+        string_agg('<|' || role || '|>' || chr(10) || content || '<|end|>' || chr(10), '' ORDER BY place) AS chat FROM placed GROUP BY 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op3_quality_rules": OP3}
+    return {"op1_warc": OP1, "op3_quality_rules": OP3, "op6_chat_formatting": OP6}

@@ -82,7 +82,7 @@ def test_warc_query_is_whole(spark, sf):
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_sql_agrees(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     made = con.execute(oracles.oracle_sql()[name])
     names = [d[0] for d in made.description]
@@ -113,12 +113,65 @@ def test_classifier_edges(spark, docs, empty):
     assert nbsvm.train(empty, odd).slope == 0.0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab é\n", max_size=40))
+def test_indicators_by_brute_force(text):
+    raw, want = text.encode(), set()
+    for n, odd in enumerate(nbsvm._ODD, 1):
+        for i in range(len(raw) - n + 1):
+            code = int.from_bytes(raw[i : i + n], "big")
+            want.add(((code * odd + (n - 1) * 0x632BE5AB) % 2**32) >> (32 - nbsvm.BITS))
+    words = raw.split()
+    for n, first in nbsvm.PATTERNS.items():
+        for i in range(len(words) - n + 1):
+            pairs = [words[i + a] == words[i + b] for a in range(n) for b in range(a + 1, n)]
+            want.add(first + sum(x << k for k, x in enumerate(pairs)))
+    assert nbsvm.features(text).tolist() == sorted(want)
+
+
+def test_ratios_margins_and_curve_by_brute_force():
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 30, 8)).astype(np.int32) for _ in range(80)]
+    labels = (rng.random(80) < 0.7).astype(int)
+    r = nbsvm.log_count_ratio(rows, labels, 1.0)
+    count = lambda y: np.array([1.0 + sum(k in x for x, own in zip(rows, labels) if own == y) for k in range(30)] + [1.0] * (nbsvm.SIZE - 30))
+    p, q = count(1), count(0)
+    assert np.allclose(r, np.log(p / p.sum()) - np.log(q / q.sum()))
+    w = rng.normal(size=nbsvm.SIZE)
+    model = nbsvm.Model(w * r, r**2, 0.3, 1.0, 0.0)
+    for x in rows[:10]:
+        row = np.append(r[x], 1.0)  # the scaled indicators and the bias, at unit length
+        assert np.isclose(model.margin(x), np.append(w[x], 0.3) @ row / np.linalg.norm(row))
+    margins = rng.normal(size=80) + labels
+    a, b = nbsvm.platt(margins, labels)
+    t = np.where(labels == 1, (labels.sum() + 1) / (labels.sum() + 2), 1 / ((1 - labels).sum() + 2))
+
+    def loss(a, b):
+        p = 1 / (1 + np.exp(-(a * margins + b)))
+        return -(t * np.log(p) + (1 - t) * np.log(1 - p)).sum() + 0.005 * (a - 1) ** 2
+
+    assert all(loss(a, b) <= loss(a + da, b + db) + 1e-6 for da in (-0.05, 0, 0.05) for db in (-0.05, 0, 0.05))
+
+
+def test_long_texts_are_told_apart(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = nbsvm.train(docs, labels)
+    texts = collections.defaultdict(list)
+    for r in docs.where("lang = 'en'").join(labels, "doc_id").collect():
+        texts[r.quality].append(r.text)
+    rng = random.Random(2)
+    for y in (0, 1):  # some hundred thousand characters of one class
+        scores = [model.score("\n".join(rng.choice(texts[y]) for _ in range(120))) for _ in range(5)]
+        assert all((s >= 0.5) == y for s in scores)
+
+
 def test_dual_coordinate_descent_reaches_the_primal_optimum():
     rng = np.random.default_rng(3)
     rows = [np.unique(rng.integers(0, 40, 6)) for _ in range(60)]
     y = np.array([1.0 if (x < 20).mean() > 0.5 else -1.0 for x in rows])
     r, cost = np.ones(nbsvm.DIM), np.full(60, 1.0)
-    w, b = nbsvm.dual_coordinate_descent(rows, y, r, cost, 2000, 1e-6)
+    w, b = nbsvm.dual_coordinate_descent(rows, y, r, cost, 2000, 1e-6)  # r is 1: weights and scaled weights are the same
     scale = [1 / np.sqrt(len(x) + 1) for x in rows]
 
     def primal(w, b):
@@ -372,7 +425,8 @@ def _linked(rows):
     return out
 
 
-def test_links_by_brute_force(spark):
+def _conversations():
+    """Generated talks with nested, trimmed and altered quotes, null and repeated turns, as (conv_id, turn, role, text)."""
     rng = random.Random(9)
     rows = []
     for conv in range(60):
@@ -391,6 +445,24 @@ def test_links_by_brute_force(spark):
             if rng.random() < 0.1:
                 talk.append((turn, rng.choice([talk[-1][1], "Another voice."])))
         rows += [(conv, t, rng.choice(["user", "assistant"]), x) for t, x in talk]
+    return rows
+
+
+def test_chat_sql_links_the_same(spark, tmp_path):
+    seen = set()
+    rows = [r for r in _conversations() if not ((r[0], r[1]) in seen or seen.add((r[0], r[1])))]  # ties are ordered by a hash here
+    df = spark.createDataFrame([*rows, (None, 1, "user", "> q"), (70, 0, None, None), (70, 1, "user", "> ")], "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    made = con.execute(oracles.OP6)
+    names = [d[0] for d in made.description]
+    want, got = made.fetchall(), [tuple(r[c] for c in names) for r in chat.format_chats(df).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(r[names.index("n_linked")] for r in want) > 100
+
+
+def test_links_by_brute_force(spark):
+    rows = _conversations()
     got = chat.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
     want = collections.Counter((c, t, *w) for c in range(60) for own in [[(t, x) for i, t, _, x in rows if i == c]] for t, x in own for w in [_linked(own)[t, x]])
     assert collections.Counter((r.conv_id, r.turn, r.reply_to, r.n_quotes, r.n_linked, r.content) for r in got) == want
@@ -752,6 +824,27 @@ def test_sketches_merge_and_estimate(spark):
 # -- pipeline
 
 
+def test_stages_on_odd_tables(spark, sf):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = lambda k: " ".join(f"word{k}x{j}" for j in range(80))
+    rows = [(1, words(1), "en", "s", 9), (1, words(1), "en", "s", 9), (2, words(1), "en", None, 9), (3, None, None, "s", None), (None, words(2), None, None, 1), (None, None, None, None, None), (4, "", "en", "s", 0), (5, words(3) + " " + "long " * 20_000, "en", "s", 1), (6, words(4), "de", "s", 1)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        some = bool(docs.count())
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, docs, sf)
+            assert made.columns == (docs.columns if stage is not corpus_pipeline.encode else ["doc_id", "source", "ids", "n_tokens"])
+            got = sorted((r.doc_id or 0 for r in made.collect()))
+            assert got == [] or some
+            if some and stage is corpus_pipeline.dedup:
+                assert got == [0, 0, 1, 3, 4, 5, 6]
+            if some and stage is corpus_pipeline.rules:
+                assert set(got) <= {0, 1, 2, 6} and len(got) == 5
+            if some and stage is corpus_pipeline.encode:
+                assert len(got) == len(rows)
+
+
 def test_pipeline(spark, sf, library):
     import corpus_pipeline
 
