@@ -125,10 +125,10 @@ def _(spark, sf):
     return files.vintages_of_wide(wide, ["p_partkey"])
 
 
-@R.add("a18_statistics_rows", "SELECT 'est' AS source, o_orderstatus AS series, o_orderpriority AS breakdown, 'all' AS category, strftime(o_orderdate, '%Y-%m') AS period, round(CAST(o_totalprice AS BIGINT) / 1000, 1) AS value FROM orders WHERE CAST(o_totalprice AS BIGINT) % 100 <> 50")
+@R.add("a18_statistics_rows", "SELECT 'est' AS source, o_orderstatus AS series, o_orderpriority AS breakdown, 'all' AS category, strftime(o_orderdate, '%Y-%m') AS period, round(floor(o_totalprice) / 1000, 1) AS value FROM orders WHERE floor(o_totalprice) % 100 <> 50")
 def _(spark, sf):
-    o = T(spark, sf, "orders").where("cast(round(o_totalprice) as bigint) % 100 <> 50")
-    rows = o.select(F.col("o_orderpriority").alias("C1"), F.lit("all").alias("C2_NM"), F.col("o_orderstatus").alias("ITM_ID"), F.date_format("o_orderdate", "yyyyMM").alias("PRD_DE"), F.format_number(F.round("o_totalprice").cast("long"), 0).alias("DT"))
+    o = T(spark, sf, "orders").where("floor(o_totalprice) % 100 <> 50")
+    rows = o.select(F.col("o_orderpriority").alias("C1"), F.lit("all").alias("C2_NM"), F.col("o_orderstatus").alias("ITM_ID"), F.date_format("o_orderdate", "yyyyMM").alias("PRD_DE"), F.format_number(F.floor("o_totalprice"), 0).alias("DT"))
     return files.series_of_rows(rows, "est")
 
 
