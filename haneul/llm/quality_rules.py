@@ -42,10 +42,11 @@ PRIOR = 200
 #: The bin of zeros.
 ZERO = -1_000_000
 #: measure: (mid quantile, high quantile, reach, least spread). Shares are of words, that of repeated lines is of lines.
+#: Repeated lines and words up to 30 % are never outliers, as in published rules for web texts.
 MEASURES = {
     "symbol_share": (0.5, 0.8, 4.0, 0.05),
-    "dup_line_share": (0.5, 0.8, 4.0, 0.05),
-    "repeat_share": (0.5, 0.8, 4.0, 0.05),
+    "dup_line_share": (0.5, 0.8, 4.0, 0.075),
+    "repeat_share": (0.5, 0.8, 4.0, 0.075),
     "word_length": (0.5, 0.8, 4.0, 1.0),
 }
 
