@@ -18,21 +18,22 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .chunks import ChunkIds, gather
-from .common import sliced
+from .common import SLICE, sliced
 
 #: Characters of text whose new chunks share an index; their chunks and ids are in memory at one time.
-INDEXED = 4 << 20
+INDEXED = 3 << 20
 #: Chunks that need no normaliser but lower case, the pre-tokenizer's pattern on those, and other white space.
 PRINTABLE = re.compile(r"[\x21-\x7e]+")
 ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -67,7 +68,6 @@ class PairIndex:
             (self.last if end else self.inside)[c] = self.vocab.get(chr(c) + end, -1)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.names = {i: x for x, i in (self.vocab | self.special).items()}
         self.chunks = ChunkIds(self.encode_new)
 
     def pieces_of(self, chunks: list[str]) -> Iterator[list[str | int]]:
@@ -199,10 +199,25 @@ class PairIndex:
         ids, ends = self.chunks.encode(texts)
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
 
-    def decode(self, ids: Iterable[int] | None) -> str:
-        """The library's decoding without a decoder: the tokens' names, special ones too, joined by a space."""
-        names = self.names
-        return " ".join([names[i] for i in ids or () if i in names])
+
+class Names:
+    """The tokens' names by id, which decoding needs alone."""
+
+    def __init__(self, path: str):
+        spec = json.load(open(path, encoding="utf-8"))
+        names = {i: x for x, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
+        self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
+
+    def decode_batch(self, ids: pa.Array) -> pa.Array:
+        """The library's decoding without a decoder: the names, of special tokens too, joined by a space. Ids
+        without a name are passed over; null lists give the empty text."""
+        lens = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        named = (flat >= 0) & (flat < len(self.names))
+        named[named] = self.names.is_valid().to_numpy(zero_copy_only=False)[flat[named]]
+        ends = np.concatenate([[0], np.cumsum(named)])[np.cumsum(lens)] if len(lens) else np.zeros(0, np.int64)
+        taken = self.names.take(pa.array(flat[named], pa.int64()))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), taken), " ")
 
 
 @lru_cache(1)
@@ -211,6 +226,11 @@ def worker_index(path: str) -> PairIndex:
     return PairIndex(path)
 
 
+@lru_cache(1)
+def worker_names(path: str) -> Names:
+    return Names(path)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """docs with the token ids of every whole text."""
 
@@ -236,9 +256,9 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
 
     @arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = worker_index(path)
+        names = worker_names(path)
         for ids in batches:
-            for part in sliced(ids):
-                yield pa.array([index.decode(x) for x in part], pa.string())
+            for i in range(0, len(ids), SLICE):
+                yield names.decode_batch(ids.slice(i, SLICE))
 
     return docs.withColumn(out, decoded(F.col(ids_col)))
