@@ -1,7 +1,8 @@
-"""DuckDB SQL for the corpus queries that SQL can express: archives, quality rules and chats. The others hash
+"""DuckDB SQL for the corpus queries that SQL can express: archives, quality rules, chats, repaired conversations and shared lines. The others hash
 with functions that DuckDB lacks, train a model, tokenize or walk markup; tests hold them against brute force."""
 
 from .chat import _LAST, PART
+from .line_dedup import MIN_CHARS, MIN_DOCS
 from .quality_rules import GAMMA, MEASURES, PRIOR, ZERO
 
 _BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '')"
@@ -78,5 +79,33 @@ OP6 = f"""WITH m AS (SELECT row_number() OVER () AS r, conv_id, turn, coalesce(r
         string_agg('<|' || role || '|>' || chr(10) || content || '<|end|>' || chr(10), '' ORDER BY place) AS chat FROM placed GROUP BY 1, 2"""
 
 
+#: The contract's faults, then one turn of every conversation a recursion; the repaired turns are carried with the edits.
+OP12 = """WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    named AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+    faulty AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS f FROM named, crc),
+    damaged AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) AS copy FROM faulty WHERE f <> 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) - 1 AS pos, substr(role, 1, 1) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+    first AS (SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS pair FROM placed),
+    judged AS (SELECT *, NOT blank AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut FROM first),
+    counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(again) AS duplicate, count_if(cut) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM judged GROUP BY conv_id),
+    inserts(p, q, c, a, o) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 3, 'I', 'user:|'), (1, 2, 3, 'I', 'user:|'), (3, 2, 3, 'I', 'user:|'), (2, 3, 3, 'I', 'assistant:|'), (0, 3, 6, 'II', 'user:|assistant:|'), (1, 3, 6, 'II', 'user:|assistant:|'), (3, 3, 6, 'II', 'user:|assistant:|'), (2, 2, 6, 'II', 'assistant:|user:|')),
+    moves(p, i, q, role) AS (VALUES (0, 's', 1, 'system'), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (3, 'u', 2, 'user'), (2, 'a', 3, 'assistant')),
+    edits AS (SELECT conv_id, pos, p, p AS q, 4 AS c, 'D' AS a, '' AS o FROM judged, (SELECT unnest([0, 1, 2, 3]) AS p)
+        UNION ALL SELECT conv_id, pos, p, q, CASE WHEN cut THEN 3 ELSE 0 END, 'K', j.role || ':' || text || chr(10) FROM judged j JOIN moves m ON m.i = j.i WHERE NOT blank AND NOT again
+        UNION ALL SELECT conv_id, pos, p, q, CASE WHEN cut THEN 6 ELSE 3 END, 'R', m.role || ':' || text || chr(10) FROM judged j JOIN moves m ON m.i <> 's' WHERE NOT blank AND NOT again),
+    best AS (SELECT conv_id, CAST(0 AS BIGINT) AS pos, n, 0 AS q, {'c': 0, 'a': '', 'o': ''} AS b FROM counted
+        UNION ALL SELECT x.conv_id, x.pos + 1, x.n, e.q, min({'c': x.b.c + i.c + e.c, 'a': x.b.a || i.a || e.a, 'o': x.b.o || replace(i.o, '|', chr(10)) || e.o}) FROM best x JOIN inserts i ON i.p = x.q JOIN edits e ON e.conv_id IS NOT DISTINCT FROM x.conv_id AND e.pos = x.pos AND e.p = i.q GROUP BY 1, 2, 3, 4),
+    cheapest AS (SELECT conv_id, min({'c': b.c + i.c, 'a': b.a || i.a, 'o': b.o || replace(i.o, '|', chr(10))}) AS b FROM best JOIN inserts i ON i.p = best.q WHERE pos = n AND i.q IN (0, 3) GROUP BY conv_id)
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(x.b.c, 0) AS BIGINT) AS cost, coalesce(x.b.a, '') AS audit, sha256(coalesce(substr(x.b.o, 1, greatest(length(x.b.o) - 1, 0)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted k ON k.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN cheapest x ON x.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+_STRIPPED = "trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+OP13 = f"""WITH lines AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+    keyed AS (SELECT *, translate({_STRIPPED}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+    shared AS (SELECT key, max(doc_id) AS holder FROM keyed WHERE length(key) >= {MIN_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= {MIN_DOCS}),
+    judged AS (SELECT r, k.doc_id, line, i, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM s.holder AS gone FROM keyed k LEFT JOIN shared s ON s.key = k.key)
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count_if(gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM judged GROUP BY r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op3_quality_rules": OP3, "op6_chat_formatting": OP6}
+    return {"op1_warc": OP1, "op3_quality_rules": OP3, "op6_chat_formatting": OP6, "op12_repair": OP12, "op13_line_dedup": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_main, mixing, nbsvm, probminhash, quality_rules, sketches, token_store, warc
+from . import bpe, chat, html_main, line_dedup, mixing, nbsvm, probminhash, quality_rules, repair, sketches, token_store, warc, whitening
 from .common import fresh_dir
 
 
@@ -74,8 +74,27 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, model) if len(model.eigenvalues) else 0.0
+    explained = F.array(*(F.lit(float(e / model.trace)) for e in model.eigenvalues)).cast("array<double>")
+    rows = whitening.transform(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, "at").alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair_digest(conversations, repair.damage(conversations))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_warc, op2_quality_classifier, op3_quality_rules, op4_bpe, op5_token_store, op6_chat_formatting, op7_mixing, op8_near_duplicates, op9_html_extraction, op10_fingerprints)
+    own = (op1_warc, op2_quality_classifier, op3_quality_rules, op4_bpe, op5_token_store, op6_chat_formatting, op7_mixing, op8_near_duplicates, op9_html_extraction, op10_fingerprints, op11_whitening, op12_repair, op13_line_dedup)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
