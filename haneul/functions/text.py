@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import json
 import math
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -109,27 +110,49 @@ def referrer_kind(name: Column) -> Column:
     return F.when(name.isNull() | (name == ""), "direct").when(label("facebook|instagram|twitter|x|youtube|kakao|linkedin|t"), "social").when(label("google|naver|daum|bing|yahoo|duckduckgo|zum"), "search").otherwise("link")
 
 
+def bare_form(s: str | None) -> str:
+    """NFKC without spaces and middle dots."""
+    return unicodedata.normalize("NFKC", s or "").replace(" ", "").replace("·", "")
+
+
+def automaton(forms: list[str]):
+    """An Aho-Corasick automaton of the forms; its value at a hit is the form's place in the list."""
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for i, form in enumerate(forms):
+        made.add_word(form, i)
+    made.make_automaton()
+    return made
+
+
 def dictionary_matcher(dictionary: dict[str, str]):
     """A column function: the dictionary's keys found in a text as array of struct(key, axis), longest keys
-    first, each at its first place that no longer key covers, in text order. Text is NFKC without spaces and
-    middle dots. Greedy occupation of text has no built-in form; texts come in Arrow batches."""
-    import unicodedata
-
-    keys = sorted(((unicodedata.normalize("NFKC", k).replace(" ", "").replace("·", ""), k) for k in dictionary), key=lambda x: (-len(x[0]), x[0]))
+    first, each at its first place that no longer key covers, in text order. One pass of an automaton
+    finds all places of all keys, however many keys there are; only keys that are found take places. Texts and
+    keys are taken in their bare form; texts come in Arrow batches."""
+    by_form: dict[str, list[str]] = {}
+    for key in sorted(dictionary):
+        by_form.setdefault(bare_form(key), []).append(key)
+    forms = sorted((f for f in by_form if f), key=lambda f: (-len(f), f))
 
     @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("axis", T.StringType())])))
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found_in = automaton(forms) if forms else None
         for texts in batches:
             out = []
             for text in texts:
-                bare = unicodedata.normalize("NFKC", text or "").replace(" ", "").replace("·", "")
-                taken, found = bytearray(len(bare)), []
-                for form, key in keys:
-                    at = bare.find(form) if form else -1
-                    while at >= 0 and any(taken[at : at + len(form)]):
-                        at = bare.find(form, at + 1)
-                    if at >= 0:
-                        taken[at : at + len(form)] = b"\x01" * len(form)
+                bare, places, found = bare_form(text), {}, []
+                for end, i in found_in.iter(bare) if forms else ():
+                    places.setdefault(i, []).append(end + 1 - len(forms[i]))
+                taken = bytearray(len(bare)) if places else b""
+                for i in sorted(places):
+                    size, free = len(forms[i]), iter(places[i])
+                    for key in by_form[forms[i]]:
+                        at = next((p for p in free if 1 not in taken[p : p + size]), None)
+                        if at is None:
+                            break
+                        taken[at : at + size] = b"\x01" * size
                         found.append((at, key))
                 out.append([{"key": k, "axis": dictionary[k]} for _, k in sorted(found)])
             yield pd.Series(out)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from hashlib import sha256
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def last_in_batch(incoming: DataFrame, key: str, release: str, ordinal: str) -> DataFrame:
+#: What can become of a key in a merge.
+ACTIONS = ("added", "updated", "unchanged", "rejected", "kept")
+
+
+def last_in_batch(incoming: DataFrame, key: str, release: str, ordinal: str | Column) -> DataFrame:
     """Of rows with one key in a batch, the one that stands after applying them in order: the newest
     release, and of equal releases the last in order."""
     order = W.partitionBy(key).orderBy(F.desc(release), F.desc(ordinal))
@@ -66,12 +72,22 @@ def plan_rejudge(items: DataFrame, cache: DataFrame, key: str, version: str) ->
     return items.join(c, key, "left").withColumn("plan", plan).drop("_v", "_t")
 
 
-def digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A content hash of a table that doesn't depend on row order and is combined before any shuffle:
-    the row count and the sums of the halves of each row's hash."""
+def digest_of(columns: list[str]) -> list[Column]:
+    """The parts of a table's content hash, as aggregates that don't depend on row order: `rows` and the sums of
+    the halves of each row's hash."""
     h = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
     part = lambda k: F.sum(F.conv(F.substring(h, 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)"))
-    return df.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("-", F.count("*").cast("string"), part(0).cast("string"), part(1).cast("string")), 256).alias("digest"))
+    return [F.count("*").alias("rows"), part(0).cast("string").alias("low"), part(1).cast("string").alias("high")]
+
+
+def digest_text(parts: dict) -> str:
+    """The content hash of the parts of digest_of."""
+    return sha256("-".join(str(parts[k]) for k in ("rows", "low", "high") if parts[k] is not None).encode()).hexdigest()
+
+
+def digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A content hash of a table that is combined before any shuffle: the row count and a hash."""
+    return df.agg(*digest_of(columns)).select("rows", F.sha2(F.concat_ws("-", F.col("rows").cast("string"), "low", "high"), 256).alias("digest"))
 
 
 def count_mismatches(expected: DataFrame, actual: DataFrame, key: str, required: list[str]) -> DataFrame:
@@ -82,8 +98,10 @@ def count_mismatches(expected: DataFrame, actual: DataFrame, key: str, required:
 
 
 def merge_schedules(stored: DataFrame, fresh: DataFrame, keys: list[str], day: str, today: str, keep_days: int = 3) -> DataFrame:
-    """Stored entries win over fresh ones of the same key; those older than keep_days before today go."""
-    added = fresh.dropDuplicates(keys).join(stored, keys, "left_anti")
+    """Stored entries win over fresh ones of the same key, of which the earliest, least row is taken; those older than keep_days before today go."""
+    rest = [day, *sorted(c for c in fresh.columns if c not in (*keys, day))] if day not in keys else sorted(c for c in fresh.columns if c not in keys)
+    first = fresh.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_first")).select(*keys, *(F.col(f"_first.{c}").alias(c) for c in rest)) if rest else fresh.distinct()
+    added = first.select(*fresh.columns).join(stored, keys, "left_anti")
     return stored.unionByName(added).where(F.col(day) >= F.date_sub(F.to_date(F.lit(today)), keep_days))
 
 

@@ -146,7 +146,17 @@ def _(spark, sf):
     return press.axis_of(news(spark, sf))
 
 
-@R.add("k07_dictionary_matches")
+def _longest_first() -> str:
+    """The longest key takes its first place, which is then blanked out, and so on."""
+    keys = sorted(AXES, key=lambda k: (-len(k), k))
+    rows = "SELECT doc_id, replace(replace(lower(title), ' ', ''), '·', '') AS s, [] :: STRUCT(pos BIGINT, hit VARCHAR)[] AS hits FROM report"
+    for k in keys:
+        at = f"strpos(s, '{k}')"
+        rows = f"SELECT doc_id, CASE WHEN {at} > 0 THEN substr(s, 1, {at} - 1) || repeat(chr(1), {len(k)}) || substr(s, {at} + {len(k)}) ELSE s END AS s, CASE WHEN {at} > 0 THEN list_append(hits, {{'pos': {at}, 'hit': '{AXES[k]}:{k}'}}) ELSE hits END AS hits FROM ({rows})"
+    return f"SELECT doc_id, array_to_string(list_transform(list_sort(hits), lambda h: h.hit), ',') AS hits FROM ({rows})"
+
+
+@R.add("k07_dictionary_matches", _longest_first(), ("report",))
 def _(spark, sf):
     match = text.dictionary_matcher(AXES)
     return views.reports(spark, sf).select("doc_id", F.transform(match(F.lower("title")), lambda m: F.concat_ws(":", m["axis"], m["key"])).alias("hits")).select("doc_id", F.array_join("hits", ",").alias("hits"))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.dates import local_day
 from ..functions.text import device, host, is_bot, page_path, referrer_kind
@@ -45,40 +45,74 @@ def sessions(hits: DataFrame, gap: str = "12 hours", late: str = "1 day") -> Dat
 
 
 KEPT = "visitor string, id long, day string, kept boolean, hits long, first_day string"
-_STATE = "first_day string, hits long, days array<string>, counts array<long>"
-#: Days of a visitor whose hits are still counted one by one; late hits of older days are not kept.
-OPEN_DAYS = 7
-
-
-def _of_visitor(cap: int):
-    """A visitor's state: first day, hits, and hits of each of the newest days; all hits count, `cap` a day are
-    kept, late ones of a day that is open too. Of hits that come together the first by day and id are kept, as
-    far as they share an Arrow batch."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, n, days, counts = state.get if state.exists else (None, 0, [], [])
-        of_day = dict(zip(days, counts))
-        for batch in batches:
-            out = []
-            for id_, day in batch.sort_values(["day", "id"])[["id", "day"]].itertuples(index=False):
-                first = day if first is None or day < first else first
-                n += 1
-                closed = len(of_day) >= OPEN_DAYS and day < min(of_day)
-                if not closed:
-                    of_day[day] = of_day.get(day, 0) + 1
-                    if len(of_day) > OPEN_DAYS:
-                        del of_day[min(of_day)]
-                out.append((key[0], id_, day, not closed and of_day[day] <= cap, n, first))
-            yield pd.DataFrame(out, columns=["visitor", "id", "day", "kept", "hits", "first_day"])
-        state.update((first, n, list(of_day), list(of_day.values())))
-
-    return update
-
-
-def visitor_stream(hits: DataFrame, cap: int = CAP) -> DataFrame:
-    """Each hit with whether it is kept and its visitor's running state. The state of a visitor is two values and a count for each open day."""
-    rows = hits.select(F.col("visitor").cast("string").alias("visitor"), "id", "day")
-    return rows.groupBy("visitor").applyInPandasWithState(_of_visitor(cap), KEPT, _STATE, "append", GroupStateTimeout.NoTimeout)
+#: How long after its end a day's count is kept for late hits, and after its last hit a visitor's summary.
+DAY_KEPT, VISITOR_KEPT = timedelta(hours=48), timedelta(days=400)
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class VisitorDays(StatefulProcessor):
+    """A visitor's state: first day and hits, and a map from day to that day's hits. Event-time timers give a
+    day's count up DAY_KEPT after the day and everything VISITOR_KEPT after the last hit."""
+
+    def __init__(self, cap: int, day_kept: timedelta = DAY_KEPT, visitor_kept: timedelta = VISITOR_KEPT) -> None:
+        self.cap, self.day_kept, self.visitor_kept = cap, _millis(day_kept), _millis(visitor_kept)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.summary = handle.getValueState("summary", "first_day string, hits long, last long")
+        self.days = handle.getMapState("days", "day string", "hits long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first, n, last = self.summary.get() if self.summary.exists() else (None, 0, 0)
+        now, counts = timerValues.getCurrentWatermarkInMs(), {}
+        for r in sorted(rows, key=lambda r: (r["day"], r["id"])):
+            day, until = r["day"], _day_end(r["day"]) + self.day_kept
+            first, n, last = min(first or day, day), n + 1, max(last, r["at"])
+            if day not in counts:
+                counts[day] = self.days.getValue((day,))[0] if self.days.containsKey((day,)) else 0
+                if not counts[day] and until > now:
+                    self.handle.registerTimer(until)
+            counts[day] += 1
+            yield Row(visitor=key[0], id=r["id"], day=day, kept=until > now and counts[day] <= self.cap, hits=n, first_day=first)
+        for day, hits in counts.items():
+            if _day_end(day) + self.day_kept > now:
+                self.days.updateValue((day,), (hits,))
+        self.summary.update((first, n, last))
+        self.handle.registerTimer(last + self.visitor_kept)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        for (day,) in list(self.days.keys()):
+            if _day_end(day) + self.day_kept <= now:
+                self.days.removeKey((day,))
+        if self.summary.exists() and self.summary.get()[2] + self.visitor_kept <= now:
+            self.summary.clear()
+            self.days.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+_EPOCH = datetime(1970, 1, 1)
+
+
+def _millis(span: timedelta) -> int:
+    return span // timedelta(milliseconds=1)
+
+
+def _day_end(day: str) -> int:
+    """The end of a day at UTC+9, in milliseconds."""
+    return _millis(datetime.fromisoformat(day) - _EPOCH) + 15 * 3_600_000
+
+
+def visitor_stream(hits: DataFrame, cap: int = CAP, late: str = "48 hours", day_kept: timedelta = DAY_KEPT, visitor_kept: timedelta = VISITOR_KEPT) -> DataFrame:
+    """Each hit (id, ts, day, visitor) with whether it is kept - `cap` a visitor and day, first by id of those
+    that come together - and its visitor's running state. Hits of a day that is given up, or later than
+    `late` behind the newest, are not kept; state lives in RocksDB, a change at a time."""
+    hits.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    rows = hits.select(F.col("visitor").cast("string").alias("visitor"), "id", "ts", "day", F.coalesce(F.unix_millis("ts"), F.unix_millis(F.to_timestamp("day"))).alias("at")).withWatermark("ts", late)
+    return rows.groupBy("visitor").transformWithState(VisitorDays(cap, day_kept, visitor_kept), KEPT, "Append", "EventTime")
 
 
 def quotas(requests: DataFrame, limit: int, late: str = "48 hours") -> DataFrame:
@@ -89,12 +123,12 @@ def quotas(requests: DataFrame, limit: int, late: str = "48 hours") -> DataFrame
 
 
 def merge_snapshots(stream: DataFrame, spark: SparkSession, root: str, checkpoint: str, key: str, release: str, compared: list[str]):
-    """Upsert each micro-batch into a versioned table. A batch that is run again changes nothing: its rows are
-    then unchanged, and no version is written."""
+    """Upsert each micro-batch into a versioned table; of a batch's rows with one key the last stands. The log
+    names the batch with its version, so a batch that is run again is passed over by its number."""
     table = Versions(spark, root)
 
-    def merge(batch: DataFrame, _: int) -> None:
-        table.upsert(batch, key, release, compared)
+    def merge(batch: DataFrame, number: int) -> None:
+        table.upsert(batch, key, release, compared, batch=number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,12 +1,14 @@
 """Readers, sinks and streams on generated files."""
 
+import datetime
 import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from haneul.sinks import tables
+from haneul.sinks import packing, tables
 from haneul.sources import files, office
 from haneul.sources.registry import Collectors, DocumentSources
 from haneul.sources.schemas import TABLES, columns, project
@@ -165,23 +167,10 @@ def test_versions(spark, tmp_path):
     assert t.read(schema).count() == 0 and t.write(df(("a", 1.0, "1"), ("b", 1.0, "1"))) and not t.write(df(("b", 1.0, "1"), ("a", 1.0, "1")))
     with pytest.raises(ValueError, match="lost"):
         t.write(df(("a", 2.0, "1")), ["id"])
-    counts = {r.action: r.rows for r in t.upsert(df(("a", 2.0, "2"), ("c", 1.0, "1"), ("b", 9.0, "0")), "id", "released", ["value"]).collect()}
-    assert counts == {"updated": 1, "added": 1, "rejected": 1} and t.newest().version == 2
+    assert t.upsert(df(("a", 2.0, "2"), ("c", 1.0, "1"), ("b", 9.0, "0")), "id", "released", ["value"]) == {"updated": 1, "added": 1, "rejected": 1} and t.newest().version == 2
     assert {r.id: r.value for r in t.read(schema).collect()} == {"a": 2.0, "b": 1.0, "c": 1.0}
 
 
-def test_pieces(spark):
-    df = spark.range(200).select("id", F.repeat(F.lit("가"), (F.col("id") % 7 + 1).cast("int")).alias("t"))
-    rows = tables.pieces(df, "t", ["id"], 60).collect()
-    sizes, spans = {}, {}
-    for r in rows:
-        sizes[r.piece] = sizes.get(r.piece, 0) + len(r.t.encode())
-        spans.setdefault(r.piece, []).append(r.id)
-    assert len(rows) == 200 and max(sizes.values()) <= 60 and all(max(s) - min(s) == len(s) - 1 for s in spans.values())
-    stamp = tables.run_stamp(spark.createDataFrame([("a", 3), ("b", 0)], "domain string, n long"), ["a", "b"], True).collect()[0]
-    assert (stamp.rows, stamp.lacking, stamp.ok) == (3, "b", False)
-
-
 def test_beacons(spark):
     body = lambda **x: json.dumps({"domain": "press", "path": "#/a/12/k=1", "visitor": "v", "session": "s", "ref": "https://www.google.com/q"} | x)
     rows = [(1, body(), "Mozilla iPhone Mobile"), (2, body(), "Googlebot"), (3, "{", "Mozilla"), (4, body(domain="other"), "Mozilla"), (5, body(visitor="x" * 65), "Mozilla"), (6, body(ref=None), "Mozilla")]
@@ -193,36 +182,92 @@ def test_beacons(spark):
 def test_state_over_batches(spark, tmp_path):
     schema = "id long, ts timestamp, day string, visitor string"
     src = tmp_path / "in"
-    for rows in ([[(1, None, "d1", "a"), (2, None, "d1", "a"), (3, None, "d1", "b")], [(4, None, "d1", "a"), (5, None, "d2", "a")]]):
+    for rows in ([[(1, None, "2024-01-01", "a"), (2, None, "2024-01-01", "a"), (3, None, "2024-01-01", "b")], [(4, None, "2024-01-01", "a"), (5, None, "2024-01-02", "a")]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
     got = {r.id: (r.kept, r.hits, r.first_day) for r in beacons.drain(beacons.visitor_stream(stream, 2), spark).collect()}
-    assert sum(k for k, _, _ in got.values()) == 4 and max(h for _, h, _ in got.values()) == 4 and {f for _, _, f in got.values()} == {"d1"}
-    assert got[3] == (True, 1, "d1")
+    assert sum(k for k, _, _ in got.values()) == 4 and max(h for _, h, _ in got.values()) == 4 and {f for _, _, f in got.values()} == {"2024-01-01"}
+    assert got[3] == (True, 1, "2024-01-01")
 
 
 def test_late_hits_count_towards_their_own_day(spark, tmp_path):
     schema = "id long, ts timestamp, day string, visitor string"
     src = tmp_path / "in"
-    days = [f"2024-01-{d:02d}" for d in range(1, 12)]
-    for rows in ([(1, None, days[4], "a")], [(k, None, days[3], "a") for k in range(2, 6)], [(6, None, days[4], "a")], [(10 + k, None, d, "a") for k, d in enumerate(days[5:])], [(30, None, days[0], "a"), (31, None, days[10], "a")]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+    day = lambda d: f"2024-01-{d:02d}"
+    rows_of = lambda *rows: [(i, datetime.datetime(2024, 1, d, 3), day(d), v) for i, d, v in rows]
+    batches = [(1, 5, "a")], [(k, 4, "a") for k in range(2, 6)], [(6, 5, "a")], [(10 + d, d, "a") for d in range(6, 12)], [(30, 4, "a"), (31, 11, "a"), (32, 11, "b")]
+    for rows in batches:
+        spark.createDataFrame(rows_of(*rows), schema).coalesce(1).write.mode("append").parquet(str(src))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
-    got = {r.id: r for r in beacons.drain(beacons.visitor_stream(stream, 1), spark).collect()}
-    assert len(got) == 14 and max(r.hits for r in got.values()) == 14
-    kept = [r for r in got.values() if r.kept]
-    assert len({r.day for r in kept}) == len(kept)  # one a day at most, late days too
-    assert sum(got[k].kept for k in range(2, 6)) == 1 and got[31].kept + got[20 - 5].kept == 1
+    got = {r.id: r for r in beacons.drain(beacons.visitor_stream(stream, 1, late="20 days"), spark).collect()}
+    assert len(got) == sum(map(len, batches)) and max(r.hits for r in got.values()) == 14
+    kept = [(r.visitor, r.day) for r in got.values() if r.kept]
+    assert len(set(kept)) == len(kept)  # one a day at most, late days too
+    assert sum(got[k].kept for k in range(2, 6)) == 1 and got[31].kept + got[21].kept == 1 and got[32].kept and {r.first_day for r in got.values() if r.id in (16, 30)} == {day(4)}
+
+
+def test_state_is_given_up_48_hours_after_the_day(spark, tmp_path):
+    schema, src, saved = "id long, ts timestamp, day string, visitor string", tmp_path / "in", str(tmp_path / "checkpoint")
+    rows = lambda *r: spark.createDataFrame([(i, datetime.datetime(2024, 1, d, 3), f"2024-01-{d:02d}", v) for i, d, v in r], schema).coalesce(1).write.mode("append").parquet(str(src))
+    out = []
+
+    def run(visitor_kept):
+        stream = spark.readStream.schema(schema).parquet(str(src))
+        made = beacons.visitor_stream(stream, 1, late="1 hour", visitor_kept=visitor_kept)
+        made.writeStream.outputMode("append").foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", saved).trigger(availableNow=True).start().awaitTermination()
+        days = spark.read.format("statestore").option("path", saved).option("stateVarName", "days").load().collect()
+        summary = spark.read.format("statestore").option("path", saved).option("stateVarName", "summary").load().collect()
+        return {(r.key.visitor, r.user_map_key.day) for r in days}, {r.key.visitor for r in summary}
+
+    week = datetime.timedelta(days=7)
+    rows((1, 1, "a"), (2, 2, "a"), (3, 2, "b"))
+    assert run(week) == ({("a", "2024-01-01"), ("a", "2024-01-02"), ("b", "2024-01-02")}, {"a", "b"})
+    rows((4, 4, "c"))  # 3 January, 15:00 UTC ends a's first day's 48 hours
+    assert run(week) == ({("a", "2024-01-02"), ("b", "2024-01-02"), ("c", "2024-01-04")}, {"a", "b", "c"})
+    rows((5, 20, "c"))
+    assert run(week) == ({("c", "2024-01-20")}, {"c"})
+    assert sorted((r.id, r.kept, r.hits) for r in out) == [(1, True, 1), (2, True, 2), (3, True, 1), (4, True, 1), (5, True, 2)]
 
 
 def test_snapshots_merge_once(spark, tmp_path):
     schema, src = "id string, value double, released string", tmp_path / "in"
-    for rows in ([("a", 1.0, "1")], [("a", 2.0, "2"), ("b", 1.0, "1")]):
+    for rows in ([("a", 1.0, "1"), ("c", 1.0, "1"), ("c", 3.0, "1")], [("a", 2.0, "2"), ("b", 1.0, "1"), ("b", 1.0, "1")]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
-    stream = spark.readStream.schema(schema).parquet(str(src))
-    # one batch holds both versions of a: it is told apart by the release
-    stream = stream.where("not (id = 'a' and released = '1')")
+    stream = spark.readStream.schema(schema).parquet(str(src))  # one batch holds a key several times
     for _ in range(2):
         beacons.merge_snapshots(stream, spark, str(tmp_path / "t"), str(tmp_path / "c"), "id", "released", ["value"]).awaitTermination()
     t = tables.Versions(spark, str(tmp_path / "t"))
-    assert t.newest().version == 1 and {r.id: r.value for r in t.read(schema).collect()} == {"a": 2.0, "b": 1.0}
+    assert t.newest().version == 1 and {r.id: r.value for r in t.read(schema).collect()} == {"a": 2.0, "b": 1.0, "c": 3.0} and t.read(schema).count() == 3
+    batch = spark.createDataFrame([("a", 9.0, "9")], schema)
+    assert t.upsert(batch, "id", "released", ["value"], batch=0) == {}  # a batch that ran already
+    assert t.upsert(batch, "id", "released", ["value"], batch=1) == {"updated": 1, "kept": 2} == dict(t.newest().counts)
+    assert t.upsert(batch, "id", "released", ["value"]) == {"unchanged": 1, "kept": 2}
+
+
+def test_of_two_writers_the_second_fails(spark, tmp_path, monkeypatch):
+    one, other = tables.Versions(spark, str(tmp_path / "t")), tables.Versions(spark, str(tmp_path / "t"))
+    one.write(spark.createDataFrame([("a", 1)], "id string, v int"))
+    before = other.newest()
+    one.write(spark.createDataFrame([("a", 2)], "id string, v int"))
+    monkeypatch.setattr(other, "newest", lambda: before)
+    with pytest.raises(Exception, match="(?i)exist"):
+        other.write(spark.createDataFrame([("a", 3)], "id string, v int"))
+    assert one.newest().version == 2 and one.read("id string, v int").first().v == 2
+
+
+@pytest.mark.parametrize("limits", [(60, None), (60, 3), (1, None), (10_000, None), (10_000, 7)])
+def test_pieces_are_those_of_one_pass(spark, limits):
+    rng = random.Random(str(limits))
+    rows = [(i, "x" * rng.choice([0, 1, 5, 30, 59, 80]), rng.choice([None, "é"])) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, t string, u string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {r.id: r.piece for r in packing.pieces(df, ["t", "u"], ["id"], *limits, row_bytes=3).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    piece, size, n, want = 0, 0, 0, {}
+    for i, t, u in rows:
+        b = len(t.encode()) + len((u or "").encode()) + 3
+        if n and (size + b > limits[0] or n >= (limits[1] or 1 << 60)):
+            piece, size, n = piece + 1, 0, 0
+        size, n, want[i] = size + b, n + 1, piece
+    assert got == want
+    assert packing.pieces(df.limit(0), ["t"], ["id"]).count() == 0
