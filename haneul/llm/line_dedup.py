@@ -49,7 +49,8 @@ def dropped_positions(lines: DataFrame, min_docs: int) -> DataFrame:
     """_hn_doc, _hn_row and the sorted positions of the lines that go."""
     keys = ["_hn_k1", "_hn_k2"]
     held = lines.groupBy(*keys).agg((F.count_distinct("_hn_doc") + F.max(F.col("_hn_doc").isNull().cast("int"))).alias("n"), F.max("_hn_doc").alias("_hn_holder"))
-    shared = held.where(F.col("n") >= min_docs).select(*keys, "_hn_holder")
+    # written, so that the join deals both sides itself and Spark can split the lines of one key
+    shared = materialize(held.where(F.col("n") >= min_docs).select(*keys, "_hn_holder"), "shared-lines")
     gone = lines.join(shared, keys).where(~F.col("_hn_doc").eqNullSafe(F.col("_hn_holder")))
     return gone.groupBy("_hn_doc", "_hn_row").agg(F.sort_array(F.collect_set("_hn_at")).alias("_hn_gone"))
 
