@@ -3,7 +3,7 @@ with functions that DuckDB lacks, train a model, tokenize or walk markup; tests
 
 from .chat import _LAST, PART
 from .line_dedup import MIN_CHARS, MIN_DOCS
-from .quality_rules import GAMMA, MEASURES, PRIOR, ZERO
+from .quality_rules import FAR, GAMMA, LEAST, NARROW, OF_ALL, OF_POSITIVE, PRIOR, WIDE, ZERO
 
 _BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '')"
 
@@ -20,18 +20,15 @@ def _weights(groups: str, of: str, prior_of: str, on: str, rows_of: str) -> str:
         SELECT {", ".join(f"g.{x}" for x in groups.split(", "))}, g.measure, p.bin, p.w * {PRIOR} / p.total FROM (SELECT DISTINCT {groups}, measure FROM {of}) g JOIN (SELECT *, sum(w) OVER (PARTITION BY {rows_of}) AS total FROM {prior_of}) p ON {on}) GROUP BY ALL"""
 
 
-def _quantile(q: float) -> str:
-    return f"(CASE WHEN min(bin) FILTER (WHERE cum >= CAST('{q!r}' AS DOUBLE) * total * (1 - 1e-9)) = {ZERO} THEN 0.0 ELSE 2 * pow({GAMMA!r}, CAST(min(bin) FILTER (WHERE cum >= CAST('{q!r}' AS DOUBLE) * total * (1 - 1e-9)) AS DOUBLE)) / {1 + GAMMA!r} END)"
+def _quantile(q: float, cum: str = "cum", total: str = "total") -> str:
+    reached = f"min(bin) FILTER (WHERE {cum} > 0 AND {cum} >= CAST('{q!r}' AS DOUBLE) * {total} * (1 - 1e-9))"
+    return f"(CASE WHEN {reached} = {ZERO} THEN 0.0 ELSE 2 * pow({GAMMA!r}, CAST({reached} AS DOUBLE)) / {1 + GAMMA!r} END)"
 
 
-def _limits() -> str:
-    parts = []
-    for m, (mid, hi, reach, floor) in MEASURES.items():
-        up = f"{_quantile(hi)} + {reach} * greatest({_quantile(hi)} - {_quantile(mid)}, {floor})"
-        down = f"{_quantile(1 - hi)} - {reach} * greatest({_quantile(mid)} - {_quantile(1 - hi)}, {floor})" if m == "word_length" else "-1.0"
-        parts.append(f"SELECT l, s, measure, {down} AS low, {up} AS high FROM summed WHERE measure = '{m}' GROUP BY l, s, measure")
-    return " UNION ALL ".join(parts)
-
+_QUANTILES = ", ".join([*(f"{_quantile(q)} AS q{round(100 * q)}" for q in OF_ALL), *(f"{_quantile(q, 'pcum', 'ptotal')} AS p{round(100 * q)}" for q in OF_POSITIVE)])
+_LIMITS = f"""SELECT q.l, q.s, q.measure, CASE WHEN q.measure = 'word_length' THEN q.q20 - {WIDE} * spread ELSE -1.0 END / {GAMMA!r} AS low,
+        {GAMMA!r} * CASE q.measure WHEN 'word_length' THEN q.q80 + {WIDE} * spread WHEN 'symbol_share' THEN q.q80 + {NARROW} * spread ELSE {FAR} * q.p95 END AS high
+        FROM quantiles q JOIN (SELECT l, s, greatest((q80 - q20) / 2, {LEAST} * w) AS spread FROM quantiles, (SELECT ({_quantile(OF_ALL[1])} - {_quantile(OF_ALL[0])}) / 2 AS w FROM (SELECT *, sum(w) OVER (ORDER BY bin) AS cum, sum(w) OVER () AS total FROM overall WHERE measure = 'word_length')) WHERE measure = 'word_length') w ON w.l = q.l AND w.s = q.s"""
 
 _ROWS = " UNION ALL ".join(f"SELECT doc_id, l, s, '{m}' AS measure, CAST({c} AS DOUBLE) / greatest({by}, 1) AS v, base_failed FROM measured" for m, (c, by) in _VALUES.items())
 OP3 = f"""WITH words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, list_filter(string_split_regex(text, '{_SPACE}+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL)),
@@ -48,8 +45,9 @@ OP3 = f"""WITH words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws,
     by_lang AS (SELECT l, measure, bin, sum(w) AS w FROM binned GROUP BY ALL), overall AS (SELECT measure, bin, sum(w) AS w FROM binned GROUP BY ALL),
     lang AS ({_weights('l', 'by_lang', 'overall', 'p.measure = g.measure', 'measure')}),
     own AS ({_weights('l, s', 'binned', 'lang', 'p.measure = g.measure AND p.l = g.l', 'l, measure')}),
-    summed AS (SELECT *, sum(w) OVER (PARTITION BY l, s, measure ORDER BY bin) AS cum, sum(w) OVER (PARTITION BY l, s, measure) AS total FROM own),
-    limits AS ({_limits()}),
+    summed AS (SELECT *, sum(w) OVER (PARTITION BY l, s, measure ORDER BY bin) AS cum, sum(w) OVER (PARTITION BY l, s, measure) AS total, sum(CASE WHEN bin = {ZERO} THEN 0 ELSE w END) OVER (PARTITION BY l, s, measure ORDER BY bin) AS pcum, sum(CASE WHEN bin = {ZERO} THEN 0 ELSE w END) OVER (PARTITION BY l, s, measure) AS ptotal FROM own),
+    quantiles AS (SELECT l, s, measure, {_QUANTILES} FROM summed GROUP BY ALL),
+    limits AS ({_LIMITS}),
     judged AS (SELECT v.doc_id, bool_and(coalesce(v.v <= o.high AND v.v >= o.low, true)) AS inside FROM valued v LEFT JOIN limits o ON o.l = v.l AND o.s = v.s AND o.measure = v.measure GROUP BY 1)
     SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM measured m JOIN judged USING (doc_id)"""
 

@@ -6,9 +6,13 @@ Instead of fixed cutoffs, each measure's limit is read from a quantile sketch of
 those of languages and of all documents are sums of the groups'. Small groups lean on larger
 ones by degrees: a language's sketch is its own counts and those of all documents as if they
 were PRIOR rows, and a group's sketch is its own counts and its language's sketch as PRIOR rows.
-A document is dropped if a measure lies beyond `q(hi) + reach * max(q(hi) - q(mid), floor)` of
-its group (for the mean word length, which can also be too small, mirrored below as well). The
-spread is that of the group's own bulk, so a group without outliers loses nothing.
+No limit holds a constant share: each is a quantile of the group and a multiple of what the group
+itself shows. Characters a word may lie WIDE spreads beyond the group's 20 % and 80 % quantiles, a
+spread being half of the distance between these; it counts as half of the spread over all documents at
+least, so a group that consists of copies doesn't lose the rest. Symbols a word are counted in the same
+unit: they may exceed the group's 80 % quantile by NARROW spreads of its characters a word.
+Repeated lines and words are zero in most texts, so their limit comes from the group's texts that
+have any: FAR times the 95 % quantile of these; a group in which no text has any drops none.
 
 Nulls: a null text has no words and fails the base rule; null languages and sources form
 groups of their own. Empty tables give empty results; repeated rows count as rows each; a very
@@ -41,14 +45,11 @@ GAMMA = (1 + ALPHA) / (1 - ALPHA)
 PRIOR = 200
 #: The bin of zeros.
 ZERO = -1_000_000
-#: measure: (mid quantile, high quantile, reach, least spread). Shares are of words, that of repeated lines is of lines.
-#: Repeated lines and words up to 30 % are never outliers, as in published rules for web texts.
-MEASURES = {
-    "symbol_share": (0.5, 0.8, 4.0, 0.05),
-    "dup_line_share": (0.5, 0.8, 4.0, 0.075),
-    "repeat_share": (0.5, 0.8, 4.0, 0.075),
-    "word_length": (0.5, 0.8, 4.0, 1.0),
-}
+#: Spreads that characters and symbols a word may lie beyond the group's bulk; times the 95 % quantile for repeated lines and words.
+WIDE, NARROW, FAR = 8.0, 2.0, 3.0
+#: Quantiles of all texts, and of those with a value above zero; the part of the spread over all documents that counts in any group.
+OF_ALL, OF_POSITIVE, LEAST = (0.2, 0.8), (0.95,), 0.5
+MEASURES = ("symbol_share", "dup_line_share", "repeat_share", "word_length")
 
 
 def measure_text(text: str | None) -> tuple[int, int, int, int, int]:
@@ -129,17 +130,24 @@ def limits(finest: DataFrame, prior: float = PRIOR) -> DataFrame:
     own = _arrays(finest, ["_hn_lang", "_hn_source"], "own")
     lang = _arrays(finest, ["_hn_lang"], "of_lang")
     overall = _arrays(finest, [], "of_all")
-    lang = lang.join(overall, "measure").withColumn("of_lang", F.concat("of_lang", _as_rows("of_all", F.col("of_all_total"), prior)))
-    both = own.join(lang.select("_hn_lang", "measure", "of_lang", "of_lang_total"), ["_hn_lang", "measure"])
+    whole = F.sort_array("of_all")
+    lang = lang.join(overall, "measure").withColumn("of_all_spread", (quantile(whole, F.col("of_all_total"), OF_ALL[1]) - quantile(whole, F.col("of_all_total"), OF_ALL[0])) / 2).withColumn("of_lang", F.concat("of_lang", _as_rows("of_all", F.col("of_all_total"), prior)))
+    both = own.join(lang.select("_hn_lang", "measure", "of_lang", "of_lang_total", "of_all_spread"), ["_hn_lang", "measure"])
     both = both.withColumn("bins", F.sort_array(F.concat("own", _as_rows("of_lang", F.col("of_lang_total") + prior, prior))))
     total = F.col("own_total") + prior
-    q = both.select("_hn_lang", "_hn_source", "measure", *(quantile(F.col("bins"), total, p).alias(f"q{round(100 * p)}") for p in sorted({p for mid, hi, _, _ in MEASURES.values() for p in (mid, hi, 1 - hi)})))
-    name = lambda p: F.col(f"q{round(100 * p)}")
-    of = lambda make: F.coalesce(*(F.when(F.col("measure") == k, make(k, *x)) for k, x in MEASURES.items()))
-    high = of(lambda k, mid, hi, reach, least: name(hi) + reach * F.greatest(name(hi) - name(mid), F.lit(least)))
-    low = of(lambda k, mid, hi, reach, least: name(1 - hi) - reach * F.greatest(name(mid) - name(1 - hi), F.lit(least)) if k == "word_length" else F.lit(-1.0))
-    rows = q.select("_hn_lang", "_hn_source", F.struct("measure", F.struct(low.alias("low"), high.alias("high")).alias("limit")).alias("x"))
-    return rows.groupBy("_hn_lang", "_hn_source").agg(F.map_from_entries(F.sort_array(F.collect_list("x"))).alias("_hn_limits"))
+    weight = lambda bins: F.aggregate(bins, F.lit(0.0), lambda w, b: w + b["w"])
+    both = both.withColumn("positive", F.filter("bins", lambda b: b["bin"] != ZERO)).withColumn("positive_total", weight("positive"))
+    q = F.struct(*(quantile(F.col("bins"), total, p).alias(f"q{round(100 * p)}") for p in OF_ALL), *(quantile(F.col("positive"), F.col("positive_total"), p).alias(f"p{round(100 * p)}") for p in OF_POSITIVE), F.col("of_all_spread").alias("all"))
+    rows = both.groupBy("_hn_lang", "_hn_source").agg(F.map_from_entries(F.collect_list(F.struct("measure", q.alias("q")))).alias("q"))  # four measures
+    of = lambda m, x: F.col("q")[m][x]
+    spread = F.greatest((of("word_length", "q80") - of("word_length", "q20")) / 2, LEAST * of("word_length", "all"))
+    limit = lambda low, high: F.struct((low / GAMMA).alias("low"), (high * GAMMA).alias("high"))  # a bin further, as far as quantiles may err
+    far = lambda m: limit(F.lit(-1.0), FAR * of(m, "p95"))
+    limits_ = {
+        "symbol_share": limit(F.lit(-1.0), of("symbol_share", "q80") + NARROW * spread), "dup_line_share": far("dup_line_share"), "repeat_share": far("repeat_share"),
+        "word_length": limit(of("word_length", "q20") - WIDE * spread, of("word_length", "q80") + WIDE * spread),
+    }
+    return rows.select("_hn_lang", "_hn_source", F.create_map(*(x for m in MEASURES for x in (F.lit(m), limits_[m]))).alias("_hn_limits"))
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", id_col: str = "doc_id", prior: float = PRIOR, keep_text: bool = True) -> DataFrame:
