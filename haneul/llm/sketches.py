@@ -1,16 +1,18 @@
 """Document fingerprints: threshold-scaled sketches.
 
-A sketch retains every shingle hash below a fixed fraction of the hash range. Sketches of the
-same fraction merge by union and estimate the containment of a short text in a long one
-without bias, since both are complete below the threshold. A text with few hashes below the
-threshold keeps its FLOOR smallest and records the higher threshold that this completes
-(sketches are compared below the lower of two thresholds, so they still merge).
+A sketch retains every shingle hash below one fixed fraction of the hash range, the same for all
+texts. Sketches merge by union and estimate the containment of a short text in a long one without
+bias, since both are complete below the threshold. A likeness errs by about sqrt(p (1 - p) / m) for m
+hashes retained of both texts; a text of n distinct shingles retains n / FRACTION of them, so short
+texts' likenesses are rough. The fingerprint is the threshold, the number of distinct shingles, a
+digest of them all, and the retained hashes, ascending, 8 hexadecimal digits each. By the digest
+equal texts are known as such however few hashes they retain; different texts of which neither
+retains any have likeness 0.
 
 Shingles are five words long; texts of fewer than SHORT words also give their five-character
-shingles, marked by the last bit, which count only against texts that have such too. The
-fingerprint is the threshold and the retained hashes, ascending, 8 hexadecimal digits each.
+shingles, marked by the last bit, which count only against texts that have such too.
 
-Nulls: a null text is the empty text; its fingerprint holds the threshold alone, and it is
+Nulls: a null text is the empty text; its fingerprint retains nothing, and it is
 like only other texts without shingles (likeness 1). Equal texts have equal fingerprints.
 Equal ids are ordered by their text; the next document of the last is the first. Repeated rows
 are each other's next; all rows of one id (or of none) lie in one range. Very long texts are
@@ -30,15 +32,16 @@ from pyspark.sql.functions import arrow_udf
 
 from .shingles import WordHashes, mix, shingles
 
-FRACTION = 8  # an eighth of all hashes is retained
-FLOOR = 64
+FRACTION = 4  # a quarter of all hashes is retained
 SHORT = 20
 MAX_RANGES = 65_536
 _TOP = 0xFFFFFFFF
+#: Numbers before the retained hashes: threshold, distinct shingles, digest.
+HEAD = 3
 
 
 def sketch(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """[threshold, retained hashes ascending], 32 bits each."""
+    """[threshold, distinct shingles, digest, retained hashes ascending], 32 bits each."""
     own = (shingles(text, hashes) >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)
     if text and len(own) + 4 < SHORT:
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -50,40 +53,44 @@ def sketch(text: str | None, hashes: WordHashes) -> np.ndarray:
         own = np.concatenate([own, (code >> np.uint64(32)).astype(np.uint32) | np.uint32(1)])
     own = np.unique(own)
     limit = _TOP // FRACTION
-    n = int(np.searchsorted(own, limit))
-    if n < FLOOR:
-        n = min(FLOOR, len(own))
-        limit = int(own[n]) if n < len(own) else _TOP
-    return np.concatenate([np.array([limit], np.uint32), own[:n]])
+    with np.errstate(over="ignore"):
+        digest = mix(own.astype(np.uint64)).sum(dtype=np.uint64) >> np.uint64(32)
+    return np.concatenate([np.array([limit, len(own), digest], np.uint32), own[: np.searchsorted(own, limit)]])
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sketch of the two texts' union."""
-    limit = min(a[0], b[0])
-    both = np.union1d(a[1:], b[1:])
-    return np.concatenate([np.array([limit], np.uint32), both[both < limit] if limit < _TOP else both])
+    """The sketch of the two texts' union, whose number of shingles is estimated and whose digest is of what it retains."""
+    limit, both = min(a[0], b[0]), np.union1d(a[HEAD:], b[HEAD:])
+    both = both[both < limit]
+    with np.errstate(over="ignore"):
+        digest = mix(both.astype(np.uint64)).sum(dtype=np.uint64) >> np.uint64(32)
+    return np.concatenate([np.array([limit, min(len(both) * _TOP // int(limit), _TOP), digest], np.uint32), both])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Retained hashes that both hold, that a holds, that b holds."""
     limit = min(a[0], b[0])
-    x, y = a[1:], b[1:]
-    if limit < _TOP:
-        x, y = x[: np.searchsorted(x, limit)], y[: np.searchsorted(y, limit)]
+    x, y = (v[HEAD : HEAD + np.searchsorted(v[HEAD:], limit)] for v in (a, b))
     if not ((x & 1).any() and (y & 1).any()) and (x & 1 == 0).any() and (y & 1 == 0).any():
         x, y = x[x & 1 == 0], y[y & 1 == 0]
     return len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)
 
 
+def same(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the texts have the same shingles."""
+    return bool((a[1:HEAD] == b[1:HEAD]).all())
+
+
 def containment(a: np.ndarray, b: np.ndarray) -> float:
     """The share of a's shingles that b has."""
-    both, n, m = _common(a, b)
-    return both / n if n else float(n == m)
+    both, n, _ = _common(a, b)
+    return 1.0 if same(a, b) else both / n if n else 0.0
 
 
 def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     """The Jaccard similarity of the shingle sets."""
     both, n, m = _common(a, b)
-    return both / (n + m - both) if n + m else 1.0
+    return 1.0 if same(a, b) else both / (n + m - both) if n + m else 0.0
 
 
 def to_text(s: np.ndarray) -> str:
