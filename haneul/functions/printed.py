@@ -55,10 +55,10 @@ def headline_change(text: Column) -> Column:
     return F.when(~text.rlike(r"\d\s*(만|천)"), None).when(down, -n).when(up, n)
 
 
-def schedule_date(text: Column, year: int) -> Column:
+def schedule_date(text: Column, year: int | Column) -> Column:
     """'2.9 (월)' or '2월 9일' of a year as a date; null if it isn't one."""
     at = lambda k: F.coalesce(F.nullif(F.regexp_extract(text, r"^\s*(\d{1,2})\s*[.월]\s*(\d{1,2})", k), F.lit("")).cast("int"), F.lit(0))
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", F.lit(year), at(1), at(2)), "yyyy-MM-dd")
+    return F.try_to_date(F.format_string("%04d-%02d-%02d", year if isinstance(year, Column) else F.lit(year), at(1), at(2)), "yyyy-MM-dd")
 
 
 def tags_of(text: Column, tags: dict[str, list[str]], unrelated: list[str]) -> Column:

@@ -151,6 +151,23 @@ def answer(kind: str, tables: dict[str, DataFrame], slots: Slots, dictionary: Di
     return {"meta": planner.meta(tables["sources"], tables["limits"], tables["conflicts"], named if sources else None), "routes": planner.route(asked, tables["capability"])}
 
 
+#: What names a row of each part of an answer, and the figure that it gives.
+_ITEMS = {
+    "figures": (("source", "series", "category", "period"), "value"), "pair": (("a", "b", "level", "kinds"), None), "forecasts": (("ord",), "value"),
+    "evidence": (("hypothesis", "role", "indicators"), "held"), "meta": (("part", "id"), None), "routes": (("q", "source", "state"), None),
+}
+
+
+def answered(kind: str, parts: dict[str, DataFrame]) -> DataFrame | None:
+    """An answer's parts as one table (kind, part, item, value), a row for each of their rows; None if there are no parts."""
+    rows = None
+    for part, df in parts.items():
+        names, value = _ITEMS[part]
+        own = df.select(F.lit(kind).alias("kind"), F.lit(part).alias("part"), F.concat_ws(":", *(F.col(c).cast("string") for c in names)).alias("item"), (F.col(value) if value else F.lit(None)).cast("double").alias("value"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
 def domains_that_apply(questions: DataFrame, text: str, topic: str, domains: tuple[str, ...] = ("reports", "press", "forecasts")) -> DataFrame:
     """questions exploded to (domain, applies, why): the archives apply to any question that isn't blank, figures to
     one that names a topic; why says what is lacking."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import term_score
+from ..functions.text import squash, term_score
 
 LONG = 3
 #: Fixed value: words that are asked for together.
@@ -121,6 +121,21 @@ def expand(terms: list[str], groups: list[list[str]], limit: int = SYNONYM_LIMIT
     return list(dict.fromkeys(w for w in words if w not in asked))[:limit]
 
 
+def expanded(asked: Column, groups: list[list[str]], limit: int = SYNONYM_LIMIT) -> Column:
+    """expand() for a column of terms: the groups are a catalogue, the questions a table."""
+    bare = F.filter(F.transform(asked, squash), lambda t: t != "")
+
+    def strength(words: list[str]) -> Column:
+        near = lambda t, w: (F.length(t) >= 2) & F.lit(len(w) >= 2) & (t.contains(w) | F.contains(F.lit(w), t))
+        hit = lambda t, w: F.when(t == w, 100 + len(w)).when(near(t, w), len(w)).otherwise(0)
+        return F.coalesce(F.array_max(F.transform(bare, lambda t: F.greatest(*(hit(t, w) for w in words), F.lit(0)))), F.lit(0))
+
+    named = [["".join(w.split()) for w in group] for group in groups]
+    ranked = [F.struct((-strength(words)).alias("strength"), F.lit(i).alias("i"), F.array(*map(F.lit, words)).alias("words")) for i, words in enumerate(named)]
+    found = F.filter(F.array_sort(F.array(*ranked)), lambda g: g["strength"] < 0)
+    return F.slice(F.array_except(F.flatten(F.transform(found, lambda g: g["words"])), bare), 1, limit)
+
+
 def snippet(body: Column, term: str, before: int = 35, after: int = 70) -> Column:
     """The surroundings of a term's first place, which white space may interrupt: characters before and after it, with ellipses where text goes on."""
     loose = r"(?U)" + r"\s*".join("\\Q" + c + "\\E" for c in term.replace(" ", "") if c)

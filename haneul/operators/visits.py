@@ -28,6 +28,15 @@ def window_of(today: str, days: int | None) -> tuple[tuple[str, str], tuple[str,
     return (start.isoformat(), today), ((start - timedelta(days)).isoformat(), (start - timedelta(1)).isoformat())
 
 
+def windows_of(today: Column, days: Column) -> Column:
+    """window_of() for columns: struct of from, to, prev_from and prev_to; the earlier window is null for all time."""
+    n = F.when(days.isin(*DAYS), days).otherwise(30)
+    end = F.to_date(today)
+    text = lambda d: F.date_format(d, "yyyy-MM-dd")
+    whole = n == 0
+    return F.struct(F.when(whole, ALL_TIME).otherwise(text(F.date_sub(end, n - 1))).alias("from"), today.alias("to"), F.when(~whole, text(F.date_sub(end, 2 * n - 1))).alias("prev_from"), F.when(~whole, text(F.date_sub(end, n))).alias("prev_to"))
+
+
 def sessionize(events: DataFrame, visitor: str, ts: str, key: str, gap: str = "12 hours") -> DataFrame:
     """Add `session`: a visitor's events without a pause longer than gap."""
     order = W.partitionBy(visitor).orderBy(ts, key)

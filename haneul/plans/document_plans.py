@@ -245,12 +245,6 @@ def _(spark, sf):
     return search.supplemented(search.search(c, ["hehely"], 3), search.search(c, TERMS))
 
 
-@R.add("l06_synonyms", "SELECT * FROM (VALUES (1, '정년'), (2, '고령자'), (3, '고용'), (4, '취업'), (5, '일자리')) v(place, word)")
-def _(spark, sf):
-    groups = [["고용", "취업", "일자리"], ["정년", "계속고용", "고령자"], ["물가", "인플레이션"]]
-    return spark.createDataFrame(list(enumerate(search.expand(["계속고용"], groups), 1)), "place int, word string")
-
-
 _BEST = f"""(SELECT domain, prefix, title, max({{'score': score, 'date': date, 'doc_id': doc_id}}) AS r FROM (SELECT domain, doc_id, array_to_string(string_split(doc_id, ':')[1:2], ':') AS prefix, coalesce(title, '') AS title, coalesce(date, '') AS date, {_score(TERMS)} AS score FROM corpus WHERE {_cand(TERMS)}) GROUP BY 1, 2, 3)"""
 
 

@@ -116,9 +116,9 @@ def _notices(spark, sf, name="noticed"):
     return views.forecasts(spark, sf).where("value = 50").select("org", F.date_add(F.to_date("published"), 5).alias(name)).distinct()
 
 
-@R.add("f16_overdue_notices", f"SELECT n.org, noticed, released FROM {_NOTICES} n LEFT JOIN (SELECT org, max(published) AS released FROM forecast WHERE indicator = 'Brand#13' AND year < 1996 GROUP BY 1) r ON n.org = r.org WHERE released IS NULL OR noticed - CAST(released AS DATE) > 2", FC)
+@R.add("f16_overdue_notices", f"SELECT n.org, noticed, released FROM {_NOTICES} n LEFT JOIN (SELECT org, max(published) AS released FROM forecast WHERE year < 1996 GROUP BY 1) r ON n.org = r.org WHERE released IS NULL OR noticed - CAST(released AS DATE) > 2", FC)
 def _(spark, sf):
-    return forecasts.overdue(views.forecasts(spark, sf).where("indicator = 'Brand#13' and year < 1996"), _notices(spark, sf))
+    return forecasts.overdue(views.forecasts(spark, sf).where("year < 1996"), _notices(spark, sf))
 
 
 @R.add("f17_announced_dates", f"SELECT w.org, w.start, w.\"end\", min(n.noticed) AS announced FROM {_WINDOWS} w LEFT JOIN {_NOTICES} n ON n.org = w.org AND n.noticed BETWEEN w.start - 14 AND w.\"end\" + 14 GROUP BY 1, 2, 3", FC)

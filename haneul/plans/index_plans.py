@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..functions.storage import fresh_dir
-from ..operators import text_index
+from ..functions.storage import fresh_dir, written
+from ..operators import search, text_index, visit_rollup, visits
 from ..sinks import packing
 from . import views
 from .document_plans import CORPUS, _squash, corpus
@@ -71,3 +70,53 @@ def _(spark, sf) -> DataFrame:
 
 #: Groups of words that are asked for together, as the tables' invented prose has them.
 SYNONYMS = {"labour": ["orantion", "thatin", "thation"], "prices": ["ononst", "anonst"], "growth": ["inoran", "tionand", "hehely"]}
+_GROUPS = list(SYNONYMS.values())
+_STRENGTH = "greatest({}, 0)"
+
+
+def _strength(words: list[str]) -> str:
+    hits = ", ".join(f"CASE WHEN t = '{w}' THEN {100 + len(w)} WHEN length(t) >= 2 AND (contains(t, '{w}') OR contains('{w}', t)) THEN {len(w)} ELSE 0 END" for w in words)
+    return f"coalesce(list_max(list_transform(asked, lambda t: greatest({hits}))), 0)"
+
+
+_WORDS = r"list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda w: length(w) >= 3))"
+_RANKED = ", ".join(f"{{'s': -{_strength(ws)}, 'i': {i}, 'w': {ws!r}}}" for i, ws in enumerate(_GROUPS))
+
+
+@R.add("l06_synonyms", f"""SELECT item_id, array_to_string(list_filter(words, lambda w: NOT list_contains(asked, w))[1:8], ' ') AS words FROM (
+    SELECT item_id, asked, flatten(list_transform(list_filter(list_sort([{_RANKED}]), lambda g: g.s < 0), lambda g: g.w)) AS words FROM (SELECT item_id, {_WORDS} AS asked FROM benchmark))""")
+def _(spark, sf) -> DataFrame:
+    asked = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
+    return T(spark, sf, "benchmark").select("item_id", F.array_join(search.expanded(asked, _GROUPS), " ").alias("words"))
+
+
+_LENGTHS = (0, 1, 7, 12, 30, 90)
+_N = "CASE WHEN n IN (0, 1, 7, 30, 90) THEN n ELSE 30 END"
+_WINDOWS = f"(SELECT day, n AS days, CASE WHEN n = 0 THEN '{visits.ALL_TIME}' ELSE strftime(CAST(day AS DATE) - CAST({_N} - 1 AS INT), '%Y-%m-%d') END AS \"from\", day AS \"to\", CASE WHEN n <> 0 THEN strftime(CAST(day AS DATE) - CAST(2 * {_N} - 1 AS INT), '%Y-%m-%d') END AS prev_from, CASE WHEN n <> 0 THEN strftime(CAST(day AS DATE) - CAST({_N} AS INT), '%Y-%m-%d') END AS prev_to FROM (SELECT DISTINCT day FROM hit0), (SELECT unnest([{', '.join(map(str, _LENGTHS))}]) AS n))"
+
+
+@R.add("h10_windows", f"SELECT * FROM {_WINDOWS}", ("hit0",))
+def _(spark, sf) -> DataFrame:
+    days = views.raw_hits(spark, sf).select("day").distinct().withColumn("days", F.explode(F.array(*map(F.lit, _LENGTHS))))
+    return days.select("day", "days", visits.windows_of(F.col("day"), F.col("days")).alias("w")).select("day", "days", "w.*")
+
+
+@R.add("g09_rolled_windows", f"SELECT days, domain, count(DISTINCT visitor) AS visitors, count(*) AS views FROM hit0 JOIN (SELECT * FROM {_WINDOWS} WHERE day = '{views.TODAY_HITS}') w ON hit0.day BETWEEN w.\"from\" AND w.\"to\" GROUP BY GROUPING SETS ((days, domain), (days))", ("hit0",))
+def _(spark, sf) -> DataFrame:
+    """All windows that end today from one rollup, by domain and together."""
+    hits = views.raw_hits(spark, sf)
+    rolled = written(visit_rollup.rollup(hits, written(visit_rollup.dictionary(hits, "visitor"), "numbers")), "rollup")
+    made = None
+    for n in _LENGTHS:
+        (first, last), _ = visits.window_of(views.TODAY_HITS, n)
+        own = rolled.where(F.col("day").between(first, last)).withColumn("days", F.lit(n))
+        both = visit_rollup.totals(own, "days", "domain").unionByName(visit_rollup.totals(own, "days").withColumn("domain", F.lit(None).cast("string")))
+        made = both if made is None else made.unionByName(both)
+    return made
+
+
+@R.add("g05_moving_visitors", "SELECT day, domain, count(DISTINCT visitor) AS visitors, count(*) AS views FROM (SELECT strftime(CAST(day AS DATE) + CAST(i AS INT), '%Y-%m-%d') AS day, domain, visitor FROM hit0, range(7) r(i)) GROUP BY 1, 2", ("hit0",))
+def _(spark, sf) -> DataFrame:
+    """Visitors of the seven days that end at each day, from the rollup."""
+    hits = views.raw_hits(spark, sf)
+    return visit_rollup.moving(visit_rollup.rollup(hits, written(visit_rollup.dictionary(hits, "visitor"), "numbers")), 7)

@@ -155,11 +155,11 @@ def _(spark, sf):
     return chain.select("ord", numbers.direction(F.col("revision")).alias("tone"))
 
 
-@R.add("k52_headline_change", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * CAST((o_custkey // 10) * 10 + o_custkey % 10 AS DOUBLE) AS n FROM orders WHERE o_custkey >= 10")
+@R.add("k52_headline_change", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * CAST((o_custkey // 10) * 10 + o_custkey % 10 AS DOUBLE) AS n FROM orders")
 def _(spark, sf):
     k = F.col("o_custkey")
     said = F.concat(F.floor(k / 10).cast("string"), F.lit("만 "), (k % 10).cast("string"), F.lit("천명 "), F.when(F.col("o_orderkey") % 2 == 0, "증가").otherwise("감소"))
-    return T(spark, sf, "orders").where("o_custkey >= 10").select("o_orderkey", printed.headline_change(said).alias("n"))
+    return T(spark, sf, "orders").select("o_orderkey", printed.headline_change(said).alias("n"))
 
 
 @R.add("k60_json_or_empty", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 2 END AS n FROM events")
@@ -348,18 +348,22 @@ def _tables(spark, sf):
     }
 
 
-@R.add("m14_ask", f"""SELECT 'numeric' AS kind, 'figures' AS part, count(*) AS n, count(value) AS shown FROM {_LAST_13} UNION ALL SELECT 'compare', 'pair', 1, 1 UNION ALL SELECT 'compare', 'figures', count(*), 0 FROM {_LAST_13}
-    UNION ALL SELECT 'forecast', 'forecasts', count(*), count(*) FROM forecast WHERE indicator = 'Brand#13' UNION ALL SELECT 'cause', 'evidence', 3, 3
-    UNION ALL SELECT 'limits', 'meta', count(*), count(*) FROM ({_META.format(x="s_suppkey IN (1, 2, 3)")}) UNION ALL SELECT 'limits', 'routes', 2, 2 UNION ALL SELECT 'outside', 'meta', count(*), count(*) FROM ({_META.format(x="s_nationkey < 12")}) UNION ALL SELECT 'outside', 'routes', 2, 2""", ("observation", "forecast"))
+_PAIR = "SELECT list_aggregate(list_sort(list_distinct(list(kind))), 'string_agg', ',') AS kinds FROM (VALUES ('개념')) v(kind)"
+_FIGURE = "concat_ws(':', source, series, category, period)"
+_ROLES = "SELECT h || ':' || role || ':' || i AS item, CAST(count(r_regionkey) AS DOUBLE) AS value FROM (VALUES ('h1', 'supports', '1'), ('h1', 'falsifies', '2'), ('h2', 'supports', '9')) v(h, role, i) LEFT JOIN region ON CAST(r_regionkey AS VARCHAR) = i GROUP BY 1"
+_ROUTES = "SELECT q || ':' || source || ':' || state AS item, CAST(NULL AS DOUBLE) AS value FROM (VALUES ('q', 'F', 'possible'), ('q', 'O', 'impossible')) v(q, source, state)"
+
+
+@R.add("m14_ask", f"""SELECT 'numeric' AS kind, 'figures' AS part, {_FIGURE} AS item, value FROM {_LAST_13} UNION ALL SELECT 'compare', 'pair', 'F:O:증감률만:' || kinds, NULL FROM ({_PAIR}) UNION ALL SELECT 'compare', 'figures', {_FIGURE}, NULL FROM {_LAST_13}
+    UNION ALL SELECT 'forecast', 'forecasts', CAST(ord AS VARCHAR), value FROM forecast WHERE indicator = 'Brand#13' UNION ALL SELECT 'cause', 'evidence', item, value FROM ({_ROLES})
+    UNION ALL SELECT 'limits', 'meta', part || ':' || id, NULL FROM ({_META.format(x="s_suppkey IN (1, 2, 3)")}) UNION ALL SELECT 'limits', 'routes', item, value FROM ({_ROUTES}) UNION ALL SELECT 'outside', 'meta', part || ':' || id, NULL FROM ({_META.format(x="s_nationkey < 12")}) UNION ALL SELECT 'outside', 'routes', item, value FROM ({_ROUTES})""", ("observation", "forecast"))
 def _(spark, sf):
     slots = ask.slots_of(spark, "긴급 주문", _DICTIONARY, "2001-08-15")
     named = {"compare": ("F", "O"), "limits": ("1", "2", "3")}
     rows = None
     for kind in ask.KINDS:
-        for part, df in ask.answer(kind, _tables(spark, sf), slots, _DICTIONARY, named.get(kind, ()), "Brand#13").items():
-            shown = F.count("value") if part == "figures" else F.count("*")
-            own = df.agg(F.count("*").alias("n"), shown.alias("shown")).select(F.lit(kind).alias("kind"), F.lit(part).alias("part"), "n", "shown")
-            rows = own if rows is None else rows.unionByName(own)
+        own = ask.answered(kind, ask.answer(kind, _tables(spark, sf), slots, _DICTIONARY, named.get(kind, ()), "Brand#13"))
+        rows = own if rows is None or own is None else rows.unionByName(own)
     return rows
 
 

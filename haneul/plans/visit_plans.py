@@ -82,19 +82,13 @@ def _(spark, sf):
 
 
 @R.add("h09_day_fill", f"""SELECT strftime(d, '%Y-%m-%d') AS day, coalesce(views, 0) AS views, coalesce(visitors, 0) AS visitors FROM
-    (SELECT unnest(generate_series(CAST(greatest('2023-12-25', (SELECT min(day) FROM hit WHERE path LIKE '/error/7%')) AS TIMESTAMP), TIMESTAMP '{views.TODAY_HITS}', INTERVAL 1 DAY)) AS d) LEFT JOIN
-    (SELECT day, count(*) AS views, count(DISTINCT visitor) AS visitors FROM hit WHERE path LIKE '/error/7%' GROUP BY 1) h ON h.day = strftime(d, '%Y-%m-%d')""", HIT)
+    (SELECT unnest(generate_series(CAST(greatest('2023-12-25', (SELECT min(day) FROM hit)) AS TIMESTAMP), TIMESTAMP '{views.TODAY_HITS}', INTERVAL 1 DAY)) AS d) LEFT JOIN
+    (SELECT day, count(*) AS views, count(DISTINCT visitor) AS visitors FROM hit GROUP BY 1) h ON h.day = strftime(d, '%Y-%m-%d')""", HIT)
 def _(spark, sf):
-    rows = views.guests(spark, sf).where(F.col("path").startswith("/error/7")).groupBy("day").agg(F.count("*").alias("views"), F.count_distinct("visitor").alias("visitors"))
+    rows = views.guests(spark, sf).groupBy("day").agg(F.count("*").alias("views"), F.count_distinct("visitor").alias("visitors"))
     return visits.fill_days(rows, ("2023-12-25", views.TODAY_HITS), ["views", "visitors"])
 
 
-@R.add("h10_windows", "SELECT * FROM (VALUES (0, '0000-01-01', '2024-01-30', NULL, NULL), (1, '2024-01-30', '2024-01-30', '2024-01-29', '2024-01-29'), (7, '2024-01-24', '2024-01-30', '2024-01-17', '2024-01-23'), (12, '2024-01-01', '2024-01-30', '2023-12-02', '2023-12-31'), (90, '2023-11-02', '2024-01-30', '2023-08-04', '2023-11-01')) v(days, \"from\", \"to\", prev_from, prev_to)")
-def _(spark, sf):
-    rows = [(d, *w, *(p or (None, None))) for d in (0, 1, 7, 12, 90) for w, p in [visits.window_of(views.TODAY_HITS, d)]]
-    return spark.createDataFrame(rows, "days int, `from` string, `to` string, prev_from string, prev_to string")
-
-
 @R.add("k46_change_percent", f"SELECT domain, CASE WHEN prev_views <> 0 THEN CAST(floor((views - prev_views) * 100.0 / prev_views + 0.5) AS BIGINT) END AS change, CASE WHEN views > prev_views THEN 'up' WHEN views < prev_views THEN 'down' ELSE 'flat' END AS direction FROM {_COMPARED}", HIT)
 def _(spark, sf):
     c = compared(spark, sf)
