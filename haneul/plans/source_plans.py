@@ -3,15 +3,17 @@ shared folder, and read back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import printed
 from ..functions.dates import month_of
 from ..functions.storage import fresh_dir
 from ..operators import status, visits
+from ..sinks import office as office_sink
 from ..sinks import tables
-from ..sources import files, schemas
+from ..sources import files, office_source, schemas
 from . import views
 from .registry import Registry
 
@@ -278,3 +280,47 @@ def _(spark, sf):
     o = T(spark, sf, "orders")
     said = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "M.d (E)")).otherwise(F.concat(F.month("o_orderdate"), F.lit("월 "), F.dayofmonth("o_orderdate"), F.lit("일")))
     return o.select("o_orderkey", printed.schedule_date(said, F.year("o_orderdate")).alias("day"))
+
+
+# office files: written from tables, a file for each nation, and read as a data source
+
+_SHEET = "CASE WHEN s_acctbal < 0 THEN 'due' ELSE 'held' END"
+_PLACED = f"(SELECT *, CAST(row_number() OVER (PARTITION BY s_nationkey, {_SHEET} ORDER BY s_suppkey) AS INT) AS r, {_SHEET} AS sheet FROM supplier)"
+
+
+def _books(spark, sf, make, suffix: str) -> str:
+    path = fresh_dir(spark, "office")
+    sheet = F.when(F.col("s_acctbal") < 0, "due").otherwise("held")
+    s = T(spark, sf, "supplier").withColumn("sheet", sheet)
+    s = s.withColumn("r", F.row_number().over(W.partitionBy("s_nationkey", "sheet").orderBy("s_suppkey")))
+    cells = s.select(F.concat(F.lit("n"), "s_nationkey").alias("file"), "sheet", F.when(F.col("sheet") == "due", 2).otherwise(10).alias("section"), F.col("r").alias("row"), F.posexplode(F.array(F.concat(F.lit("k<"), "s_suppkey"), "s_name", F.lit(""), "s_name")).alias("col", "value"))
+    heads = cells.select("file", "sheet", "section").distinct().select("*", F.lit(0).alias("row"), F.lit(0).alias("col"), F.concat(F.lit("part "), "sheet").alias("value"))
+    rows = cells.where("value <> ''") if suffix == ".xlsx" else cells.unionByName(heads)
+    office_sink.write_files(rows, "file", path, make, suffix).write.format("noop").mode("overwrite").save()
+    office_source.register(spark)
+    return path
+
+
+def _file() -> Column:
+    return F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1).alias("file")
+
+
+@R.add("a09_sheet_cells", f"SELECT 'n' || s_nationkey AS file, r AS \"row\", unnest([0, 1, 3]) AS col, unnest(['k<' || s_suppkey, s_name, s_name]) AS value FROM {_PLACED} WHERE sheet = 'due'")
+def _(spark, sf):
+    """One sheet of each workbook; the others aren't opened."""
+    cells = spark.read.format("office").load(_books(spark, sf, office_sink.workbook, ".xlsx"))
+    return cells.where("sheet = 'due'").select(_file(), "row", "col", "value")
+
+
+@R.add("a11_document_tables", f"SELECT 'n' || s_nationkey AS file, CASE sheet WHEN 'due' THEN 2 ELSE 10 END AS section, r - 1 AS \"row\", unnest([0, 1, 2, 3]) AS col, unnest(['k<' || s_suppkey, s_name, '', s_name]) AS value FROM {_PLACED}")
+def _(spark, sf):
+    cells = spark.read.format("office").option("kind", "tables").load(_books(spark, sf, office_sink.document, ".hwpx"))
+    return cells.select(_file(), "section", "row", "col", "value")
+
+
+@R.add("a12_document_paragraphs", f"""SELECT file, section, CAST(row_number() OVER (PARTITION BY file, section ORDER BY r, col) - 1 AS INT) AS k, value AS text FROM (
+    SELECT 'n' || s_nationkey AS file, CASE sheet WHEN 'due' THEN 2 ELSE 10 END AS section, r, unnest([0, 1, 3]) AS col, unnest(['k<' || s_suppkey, s_name, s_name]) AS value FROM {_PLACED}
+    UNION ALL SELECT DISTINCT 'n' || s_nationkey, CASE sheet WHEN 'due' THEN 2 ELSE 10 END, 0, 0, 'part ' || sheet FROM {_PLACED})""")
+def _(spark, sf):
+    rows = spark.read.format("office").option("kind", "paragraphs").load(_books(spark, sf, office_sink.document, ".hwpx"))
+    return rows.select(_file(), "section", "k", "text")

@@ -51,28 +51,37 @@ def place(ref: str) -> tuple[int, int]:
     return int(ref[len(letters) :]), sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(letters))) - 1
 
 
+def shared_strings(z: zipfile.ZipFile) -> list[str]:
+    if "xl/sharedStrings.xml" not in z.namelist():
+        return []
+    return [_shown(e) for what, name, e in _events(z.open("xl/sharedStrings.xml")) if what == "end" and name == "si"]
+
+
+def cells_of(z: zipfile.ZipFile, file: str, strings: list[str]) -> Iterator[tuple[int, int, str]]:
+    """(row, column, text) of one sheet's cells that aren't blank."""
+    value = inline = ""
+    for what, name, e in _events(z.open(file)):
+        if what == "start":
+            continue
+        if name == "v":
+            value = e.text or ""
+        elif name == "is":
+            inline = _shown(e)
+        elif name == "c":
+            text = strings[int(value)] if e.get("t") == "s" and value else inline or value
+            if text:
+                yield *place(e.get("r")), text
+            value = inline = ""
+        elif name == "row":
+            e.clear()
+
+
 def sheet_cells(data: bytes) -> Iterator[tuple[str, int, int, str]]:
     """(sheet, row, column, text) of a workbook's cells that aren't blank."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        strings = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            strings = [_shown(e) for what, name, e in _events(z.open("xl/sharedStrings.xml")) if what == "end" and name == "si"]
+        strings = shared_strings(z)
         for sheet, file in _sheet_files(z):
-            value = inline = ""
-            for what, name, e in _events(z.open(file)):
-                if what == "start":
-                    continue
-                if name == "v":
-                    value = e.text or ""
-                elif name == "is":
-                    inline = _shown(e)
-                elif name == "c":
-                    text = strings[int(value)] if e.get("t") == "s" and value else inline or value
-                    if text:
-                        yield sheet, *place(e.get("r")), text
-                    value = inline = ""
-                elif name == "row":
-                    e.clear()
+            yield from ((sheet, *cell) for cell in cells_of(z, file, strings))
 
 
 def _walk(file) -> tuple[list[tuple[int, str]], list[tuple[int, int, int, str]]]:
@@ -108,14 +117,25 @@ def _walk(file) -> tuple[list[tuple[int, str]], list[tuple[int, int, int, str]]]
     return sorted(paragraphs), cells
 
 
+_HEAD, _TAIL = "Contents/section", ".xml"
+
+
+def section_numbers(z: zipfile.ZipFile) -> list[int]:
+    numbers = [n[len(_HEAD) : -len(_TAIL)] for n in z.namelist() if n.startswith(_HEAD) and n.endswith(_TAIL)]
+    return sorted(int(n) for n in numbers if n.isdecimal())
+
+
+def section_of(z: zipfile.ZipFile, number: int) -> tuple[list, list]:
+    """(paragraphs, cells) of one section."""
+    with z.open(f"{_HEAD}{number}{_TAIL}") as f:
+        return _walk(f)
+
+
 def _sections(data: bytes) -> Iterator[tuple[int, list, list]]:
     """(number, paragraphs, cells) of a document's sections, by number."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        head, tail = "Contents/section", ".xml"
-        numbers = [n[len(head) : -len(tail)] for n in z.namelist() if n.startswith(head) and n.endswith(tail)]
-        for number in sorted(int(n) for n in numbers if n.isdecimal()):
-            with z.open(f"{head}{number}{tail}") as f:
-                yield number, *_walk(f)
+        for number in section_numbers(z):
+            yield number, *section_of(z, number)
 
 
 def paragraphs(data: bytes) -> Iterator[tuple[int, int, str]]:
