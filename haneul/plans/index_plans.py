@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import fresh_dir, written
-from ..operators import search, text_index, visit_rollup, visits
+from ..operators import grids, search, text_index, visit_rollup, visits
 from ..sinks import packing
 from . import views
 from .document_plans import CORPUS, _squash, corpus
@@ -120,3 +120,27 @@ def _(spark, sf) -> DataFrame:
     """Visitors of the seven days that end at each day, from the rollup."""
     hits = views.raw_hits(spark, sf)
     return visit_rollup.moving(visit_rollup.rollup(hits, written(visit_rollup.dictionary(hits, "visitor"), "numbers")), 7)
+
+
+#: A printed table for each supplier: kinds of lines by year, two columns a year; every second page is turned, one way or the other.
+_PRINTED = "(SELECT l_suppkey, l_returnflag || ' ' || l_linestatus AS kind, year(l_shipdate) AS year, count(*) AS n, round(sum(l_quantity), 1) AS qty FROM lineitem GROUP BY 1, 2, 3)"
+
+
+@R.add("k35_printed_grids", f"SELECT CAST(l_suppkey AS VARCHAR) AS page, kind AS label, CAST(year AS VARCHAR) AS year, measure, CAST(CASE measure WHEN 'lines' THEN n ELSE -qty END AS DOUBLE) AS value FROM {_PRINTED}, (SELECT unnest(['lines', 'sold']) AS measure)")
+def _(spark, sf) -> DataFrame:
+    rows = T(spark, sf, "lineitem").groupBy("l_suppkey", F.concat_ws(" ", "l_returnflag", "l_linestatus").alias("kind"), F.year("l_shipdate").alias("year")).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 1).alias("qty"))
+    col = 2 * (F.col("year") - 1992)
+    line = 2 * (F.ascii("kind") % 7) + F.when(F.col("kind").endswith("O"), 1).otherwise(0)
+    word = lambda text, x1, top, width: F.struct(text.alias("text"), (x1 - width).cast("double").alias("x0"), top.cast("double").alias("top"), x1.cast("double").alias("x1"), (top + 10).cast("double").alias("bottom"))
+    wide = lambda t: 6 * F.length(t)
+    n, qty, top = F.format_number("n", 0), F.concat(F.lit("△"), F.format_number("qty", 1)), 100 + 20 * line
+    flag, status = F.substring("kind", 1, 1), F.substring("kind", 3, 1)
+    words = F.array(
+        word(n, 180 + 90 * col, top, wide(n)), word(qty, 270 + 90 * col, top, wide(qty)), word(flag, F.lit(20), top, F.lit(6)), word(status, F.lit(40), top, F.lit(6)),
+        word(F.col("year").cast("string"), 220 + 90 * col, F.lit(40), F.lit(24)), word(F.lit("lines"), 180 + 90 * col, F.lit(60), F.lit(30)), word(F.lit("sold"), 270 + 90 * col, F.lit(60), F.lit(24)),
+    )
+    placed = rows.select(F.col("l_suppkey").alias("k"), F.explode(words).alias("w")).select("k", "w.*").distinct()
+    turn = lambda up, left, right: F.when(F.col("k") % 4 == 1, left).when(F.col("k") % 4 == 3, right).otherwise(up)
+    x0, top, x1, bottom = (F.col(c) for c in ("x0", "top", "x1", "bottom"))
+    turned = placed.select(F.col("k").cast("string").alias("page"), "text", turn(x0, top, 900 - bottom).alias("x0"), turn(top, 2000 - x1, x0).alias("top"), turn(x1, bottom, 900 - top).alias("x1"), turn(bottom, 2000 - x0, x1).alias("bottom"))
+    return grids.recovered(turned).select("page", "label", F.get("headers", F.lit(0)).alias("year"), F.get("headers", F.lit(1)).alias("measure"), "value")

@@ -324,3 +324,34 @@ def _(spark, sf):
 def _(spark, sf):
     rows = spark.read.format("office").option("kind", "paragraphs").load(_books(spark, sf, office_sink.document, ".hwpx"))
     return rows.select(_file(), "section", "k", "text")
+
+
+_DOMAINS = ("employment", "forecast", "press", "ask", "reports")
+_MB = "printf('%.2fMB', {} / 1048576.0)"
+_LATE = "CASE WHEN k % 2 = 0 THEN '30시간째 안 돌았다' END"
+_BAD_A, _BAD_B, _HELD_B = "k % 3 = 0", "k % 4 = 0 AND k % 8 <> 0", "k % 8 = 0"
+_STATES = f"""SELECT k, domain, CASE WHEN k % 13 = 0 THEN '불러오지 못함' WHEN k % 11 = 0 THEN '형식을 못 읽음' END AS reason, f, w FROM (
+    SELECT k, domain, concat_ws(';', '수집기 실패=' || (CAST({_BAD_A} AS INT) + CAST({_BAD_B} AS INT)), '오류=' || CASE WHEN k % 6 = 0 THEN 2 ELSE 0 END) AS f, concat_ws(';', {_LATE}, CASE WHEN {_BAD_A} OR {_BAD_B} THEN '수집기 실패: ' || concat_ws(', ', CASE WHEN {_BAD_A} THEN 'a' END, CASE WHEN {_BAD_B} THEN 'b' END) END, CASE WHEN {_HELD_B} THEN '봇 차단 중: b' END, CASE WHEN k % 7 = 0 THEN '충돌 1건' END) AS w FROM made WHERE k % 5 < 2
+    UNION ALL SELECT k, domain, concat_ws(';', '회차=' || k, CASE WHEN k % 9 <> 0 THEN '미판정=' || k % 4 END), concat_ws(';', {_LATE}, CASE WHEN k % 9 <> 0 AND k % 4 > 0 THEN '판정 없는 기사 ' || k % 4 || '건 — 구독 판정이 막혔는지 보라' END) FROM made WHERE k % 5 = 2
+    UNION ALL SELECT k, domain, CASE WHEN k % 3 = 0 THEN '카탈로그=정상' ELSE '카탈로그=실패' END, concat_ws(';', {_LATE}, CASE WHEN k % 3 <> 0 THEN '카탈로그 갱신 실패' END) FROM made WHERE k % 5 = 3
+    UNION ALL SELECT k, domain, concat_ws(';', '게시판 실패=' || CAST({_BAD_A} AS INT), '전체 보고서=' || k, '초록 gzip=' || {_MB.format('k * 100000')}, CASE WHEN k % 2 = 0 THEN '최대 조각=en ' || {_MB.format('k * 50000')} END, CASE WHEN k % 6 = 0 THEN '미판정=판정 기록 없음' ELSE '미판정=' || k % 3 END),
+        concat_ws(';', {_LATE}, CASE WHEN {_BAD_A} THEN '게시판 실패: b1' END, CASE WHEN k % 4 = 0 THEN '미등록 게시판 1건' END, CASE WHEN k % 2 = 0 AND k * 50000 > 3145728 THEN '초록 조각 en ' || {_MB.format('k * 50000')} || ' — 또 쪼갤 때다' END, CASE WHEN k % 2 = 1 AND k * 100000 > 3145728 THEN '초록 gzip ' || {_MB.format('k * 100000')} || ' — 기관별로 쪼갤 때다' END, CASE WHEN k % 6 = 0 THEN '판정 기록 없음' WHEN k % 3 > 0 THEN '미판정 ' || k % 3 || '건' END) FROM made WHERE k % 5 = 4)"""
+
+
+@R.add("m19_domain_states", f"SELECT k, domain, reason, CASE WHEN reason IS NULL THEN f END AS figures, CASE WHEN reason IS NULL THEN w END AS warnings FROM (WITH made AS (SELECT s_suppkey AS k, [{', '.join(repr(d) for d in _DOMAINS)}][s_suppkey % 5 + 1] AS domain FROM supplier) {_STATES})")
+def _(spark, sf):
+    k = F.col("k")
+    ok = lambda bad, **more: F.struct((~bad).alias("ok"), *(v.alias(n) for n, v in more.items()))
+    some = lambda when, *values: F.when(when, F.array(*map(F.lit, values))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    ran = F.when(k % 2 == 0, "2024-01-02T00:00:00Z").otherwise("2024-01-03T00:00:00Z")
+    collectors = F.struct(ran.alias("run_at"), F.struct(ok(k % 3 == 0).alias("a"), ok(k % 4 == 0, blocked=k % 8 == 0).alias("b")).alias("collectors"), some(k % 7 == 0, "x").alias("conflicts"), some(k % 6 == 0, "e", "f").alias("errors"))
+    press_ = F.struct(ran.alias("run_at"), k.alias("rounds"), F.when(k % 9 != 0, k % 4).alias("unjudged"))
+    reports = F.struct(
+        ran.alias("at"), F.struct(ok(k % 3 == 0).alias("b1")).alias("boards"), k.alias("reports"), some(k % 4 == 0, "u").alias("unregistered"),
+        F.struct((k * 100_000).alias("abstracts_gzip"), F.when(k % 2 == 0, F.struct((k * 50_000).alias("en"))).alias("abstracts_shards_gzip")).alias("sizes"), F.when(k % 6 != 0, F.struct((k - k % 3).alias("judged"))).alias("recommend"),
+    )
+    body = F.when(k % 5 < 2, F.to_json(collectors)).when(k % 5 == 2, F.to_json(press_)).when(k % 5 == 3, F.to_json(F.struct(ran.alias("run_at"), F.struct((k % 3 == 0).alias("ok")).alias("catalog")))).otherwise(F.to_json(reports))
+    body = F.when(k % 13 == 0, None).when(k % 11 == 0, '{"x": 1}').otherwise(body)
+    rows = T(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")).select("k", views.pick(_DOMAINS, k % 5).alias("domain"), body.alias("body"))
+    made = status.domain_states(rows, F.to_timestamp(F.lit("2024-01-03 06:00:00")))
+    return made.select("k", "domain", "reason", F.array_join(F.transform("figures", lambda x: F.concat_ws("=", x["label"], x["value"])), ";").alias("figures"), F.array_join("warnings", ";").alias("warnings"))
