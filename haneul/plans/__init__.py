@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import document_plans, forecast_plans, index_plans, other_plans, planner_plans, press_plans, series_plans, source_plans, stream_plans, visit_plans
+from . import document_plans, forecast_plans, index_plans, other_plans, planner_plans, press_plans, printed_plans, series_plans, source_plans, stream_plans, visit_plans
 from .registry import Plan
 
-_ALL = (visit_plans, series_plans, forecast_plans, document_plans, press_plans, planner_plans, stream_plans, other_plans, source_plans, index_plans)
+_ALL = (visit_plans, series_plans, forecast_plans, document_plans, press_plans, planner_plans, stream_plans, other_plans, source_plans, index_plans, printed_plans)
 
 
 def queries() -> dict[str, Plan]:
