@@ -151,6 +151,44 @@ def answer(kind: str, tables: dict[str, DataFrame], slots: Slots, dictionary: Di
     return {"meta": planner.meta(tables["sources"], tables["limits"], tables["conflicts"], named if sources else None), "routes": planner.route(asked, tables["capability"])}
 
 
+def figures_lookup(observations: DataFrame, basis: DataFrame, capability: DataFrame, slots: Slots, dictionary: Dictionary, sources: tuple[str, ...] = (), floor: str | None = None) -> dict[str, DataFrame]:
+    """A question's figures with what must be said beside them.
+
+    routes: how far each source of the topic can answer. figures: of the sources named, or else of those that can
+    answer, the newest month - or the period asked for - under the more careful of the source's basis and the
+    pair's (`floor`). limits (source or null, reason): what the answer lacks or chose by itself: no source at
+    all, several populations, an axis without a value, a source without rows, a month that nobody asked for, a
+    source without a basis of its own, and the sources that can't answer."""
+    spark = observations.sparkSession
+    asked = spark.createDataFrame([("q", slots.topic, list(slots.axes))], "q string, topic string, axes array<string>")
+    routes = planner.route(asked, capability)
+    chosen = spark.createDataFrame([(s,) for s in sources], "source string") if sources else routes.where("state = 'possible'").select("source")
+    axis = next(iter(slots.axes), None)
+    wanted = spark.createDataFrame([(*p,) for p in dictionary.series.get(slots.topic or "", [])], "source string, series string")
+    rows = observations.where(F.col("breakdown") == (axis or "total")).join(F.broadcast(wanted), ["source", "series"], "left_semi").join(chosen, "source", "left_semi")  # a topic's series
+    if axis and slots.axes[axis]:
+        rows = rows.where(F.col("category") == slots.axes[axis])
+    rows = rows.where(F.col("period").between(slots.start, slots.end or slots.start)) if slots.start else series.latest(rows, ["source"])
+    rank = lambda c: F.array_position(F.array(*map(F.lit, planner.RANKS)), c)
+    own = F.coalesce("basis", F.lit(planner.RANKS[1]))
+    careful = own if floor is None else F.when(rank(F.lit(floor)) < rank(own), floor).otherwise(own)
+    figures = evidence_rows(rows, chosen.join(basis, "source", "left").select("source", careful.alias("basis")))
+    said = lambda df, reason: df.select(F.col("source").cast("string").alias("source"), F.lit(reason).alias("reason") if isinstance(reason, str) else reason.alias("reason"))
+    whole = spark.range(1).select(F.lit(None).cast("string").alias("source"))
+    n = lambda df: df.agg(F.count("*").alias("n"))
+    limits = said(whole.join(n(routes).where("n = 0"), F.lit(True)), "no source has this topic and these axes")
+    limits = limits.union(said(whole.join(n(chosen).where("n > 1"), F.lit(True)), "populations differ: compare changes only"))
+    if axis and not slots.axes[axis]:
+        limits = limits.union(said(whole, f"no value of {axis} is named: all are shown"))
+    newest = rows.groupBy("source").agg(F.max("period").alias("period"))
+    limits = limits.union(said(chosen.join(newest, "source", "left_anti"), "no observation under these conditions"))
+    if not slots.start:
+        limits = limits.union(said(newest, F.concat(F.lit("no period asked for: newest is "), "period")))
+    limits = limits.union(said(newest.join(basis, "source", "left_anti"), "no basis in the catalogue: changes only"))
+    limits = limits.union(said(routes.where("state = 'impossible'"), F.concat(F.lit("can't answer by "), "lacking")))
+    return {"routes": routes, "figures": figures, "limits": limits}
+
+
 #: What names a row of each part of an answer, and the figure that it gives.
 _ITEMS = {
     "figures": (("source", "series", "category", "period"), "value"), "pair": (("a", "b", "level", "kinds"), None), "forecasts": (("ord",), "value"),

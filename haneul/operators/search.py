@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import squash, term_score
+from ..functions.text import chunks, plain, squash, term_score
+from .text_index import TextIndex
 
 LONG = 3
 #: Fixed value: words that are asked for together.
@@ -28,6 +29,36 @@ def corpus_of(parts: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFr
     return rows
 
 
+def chunked(rows: DataFrame, body: Column, limit: int = 2000) -> DataFrame:
+    """Rows (doc_id, domain, kind, title, link, date) with a body each, as a row for each piece of it: the id ends in the piece's number."""
+    made = rows.withColumn("_body", body).select("*", F.posexplode(chunks(plain(F.col("_body")), limit)).alias("_i", "body"))
+    return made.select(F.concat_ws(":", "doc_id", F.col("_i").cast("string")).alias("doc_id"), "domain", "kind", "title", "body", "link", "date")
+
+
+def press_rounds(rounds: DataFrame) -> DataFrame:
+    """Analyses of releases (release, label, title, gaps array, tone array of (w, n), issues array of (key, n, heads
+    array of titles)) as one text each: what was left out, the words used often, the issues with three heads."""
+    tone = F.array_join(F.transform("tone", lambda x: F.concat(x["w"], F.lit(" "), x["n"].cast("string"), F.lit("건"))), " · ")
+    issue = lambda x: F.concat(F.lit("쟁점 "), x["key"], F.lit(" "), x["n"].cast("string"), F.lit("건 — "), F.array_join(F.slice(F.coalesce(x["heads"], F.array()), 1, 3), " / "))
+    none = F.expr("CAST(array() AS array<string>)")
+    parts = F.concat(F.coalesce("gaps", none), F.when(tone != "", F.array(F.concat(F.lit("자주 쓰인 낱말: "), tone))).otherwise(none), F.coalesce(F.transform("issues", issue), none))
+    title = F.trim(F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("title", F.lit(""))))
+    rows = rounds.select(F.concat(F.lit("press:"), "release", F.lit(":회차")).alias("doc_id"), F.lit("press").alias("domain"), F.lit("회차분석").alias("kind"), F.when(title != "", title).otherwise(F.col("release")).alias("title"), F.lit("").alias("link"), F.col("release").alias("date"), F.array_join(parts, " ").alias("_text"))
+    return chunked(rows, F.col("_text"))
+
+
+def catalogue_texts(names: DataFrame, conflicts: DataFrame, limits: DataFrame) -> DataFrame:
+    """What the catalogue says of sources (id, name): conflicts (id, source_a, source_b, kind, text) and limits (id,
+    source, kind, text, reason), undated. A limit's text and its reason are one text; a source without a name is named by its id."""
+    named = lambda df, c: df.join(names.select(F.col("id").alias(f"_{c}"), F.col("name").alias(f"{c}_name")), F.col(c) == F.col(f"_{c}"), "left").withColumn(f"{c}_name", F.coalesce(f"{c}_name", c)).drop(f"_{c}")
+    head = lambda kind, title: (F.concat(F.lit(f"catalog:{kind}:"), "id").alias("doc_id"), F.lit("catalog").alias("domain"), F.lit(kind).alias("kind"), title.alias("title"), F.lit("").alias("link"), F.lit("").alias("date"))
+    pairs = named(named(conflicts, "source_a"), "source_b")
+    pairs = pairs.select(*head("충돌", F.concat(F.col("source_a_name"), F.lit(" ↔ "), F.col("source_b_name"), F.lit(" · "), "kind")), F.coalesce("text", F.lit("")).alias("_text"))
+    own = named(limits, "source")
+    own = own.select(*head("한계", F.concat(F.col("source_name"), F.lit(" · "), "kind")), F.concat_ws(" — ", F.nullif("text", F.lit("")), F.nullif("reason", F.lit(""))).alias("_text"))
+    return chunked(pairs.unionByName(own), F.col("_text"))
+
+
 def candidate(terms: list[str], title: Column, body: Column) -> Column:
     """A long term in title or body (both in lower case), or enough of the short ones."""
     has = lambda t: title.contains(t.lower()) | body.contains(t.lower())
@@ -71,6 +102,15 @@ def search(corpus: DataFrame, terms: list[str], k: int = 5, since: str | None =
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("domain", "place", "score", "doc_id", "date")
 
 
+def search_indexed(corpus: DataFrame, index: TextIndex, terms: list[str], k: int = 5, since: str | None = None, until: str | None = None) -> DataFrame:
+    """search() for long terms, of the documents that the corpus's index names. The index leaves white space out,
+    so it names all that hold a term and maybe some more, which search() then sees through. Short terms aren't in the index."""
+    if short := [t for t in terms if len("".join(t.split())) < LONG]:
+        raise ValueError(f"too short for the index: {short}")
+    named = index.matches(terms).select("doc_id").distinct()
+    return search(corpus.join(named, "doc_id", "left_semi"), terms, k, since, until)
+
+
 def supplemented(first: DataFrame, more: DataFrame, k: int = 5) -> DataFrame:
     """Places that the first search left open go to the second one's rows, newest first, at score 0."""
     rows = first.select("domain", "score", "doc_id", "date", F.lit(0).alias("_o")).unionByName(more.join(first, ["domain", "doc_id"], "left_anti").select("domain", F.lit(0).alias("score"), "doc_id", "date", F.lit(1).alias("_o")))

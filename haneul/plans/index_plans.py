@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import fresh_dir, written
-from ..operators import grids, search, text_index, visit_rollup, visits
-from ..sinks import packing
+from ..operators import ask, grids, search, text_index, visit_rollup, visits
+from ..sinks import buckets, packing
+from ..sources import files
 from . import views
-from .document_plans import CORPUS, _squash, corpus
+from .document_plans import CORPUS, _found, _squash, corpus
 from .document_plans import R as DOCUMENTS
 from .registry import Registry
 
@@ -144,3 +145,71 @@ def _(spark, sf) -> DataFrame:
     x0, top, x1, bottom = (F.col(c) for c in ("x0", "top", "x1", "bottom"))
     turned = placed.select(F.col("k").cast("string").alias("page"), "text", turn(x0, top, 900 - bottom).alias("x0"), turn(top, 2000 - x1, x0).alias("top"), turn(x1, bottom, 900 - top).alias("x1"), turn(bottom, 2000 - x0, x1).alias("bottom"))
     return grids.recovered(turned).select("page", "label", F.get("headers", F.lit(0)).alias("year"), F.get("headers", F.lit(1)).alias("measure"), "value")
+
+
+_LONG = ["orantion", "thatin", "there"]
+
+
+@R.add("l01_search_by_index", f"SELECT * FROM {_found(_LONG)}", CORPUS)
+def _(spark, sf) -> DataFrame:
+    own = written(corpus(spark, sf), "corpus")
+    return search.search_indexed(own, text_index.TextIndex(spark, fresh_dir(spark, "index")).build(own), _LONG)
+
+
+@R.add("l09_press_rounds", f"SELECT 'press:' || release || ':회차:0' AS doc_id, 'round ' || release AS title, array_to_string(gaps, ' ') || ' 자주 쓰인 낱말: orders ' || n || '건 · late ' || n % 7 || '건 쟁점 size ' || n || '건 — a / ' || release || ' / c' AS body, release AS date FROM (SELECT strftime(o_orderdate, '%Y-%m') AS release, list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS gaps, count(*) AS n FROM orders GROUP BY 1)")
+def _(spark, sf) -> DataFrame:
+    months = T(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("release")).agg(F.sort_array(F.collect_set("o_orderpriority")).alias("gaps"), F.count("*").alias("n"))  # five priorities
+    word = lambda w, n: F.struct(F.lit(w).alias("w"), n.alias("n"))
+    heads = F.array(F.lit("a"), F.col("release"), F.lit("c"), F.lit("d"))
+    rounds = months.select("release", F.lit("round").alias("label"), F.col("release").alias("title"), "gaps", F.array(word("orders", F.col("n")), word("late", F.col("n") % 7)).alias("tone"), F.array(F.struct(F.lit("size").alias("key"), F.col("n").alias("n"), heads.alias("heads"))).alias("issues"))
+    return search.press_rounds(rounds).select("doc_id", "title", "body", "date")
+
+
+@R.add("l09_catalogue", """SELECT 'catalog:충돌:C' || a.s_suppkey || ':0' AS doc_id, '충돌' AS kind, CASE WHEN a.s_acctbal >= 0 THEN a.s_name ELSE CAST(a.s_suppkey AS VARCHAR) END || ' ↔ ' || CASE WHEN b.s_acctbal >= 0 THEN b.s_name ELSE CAST(b.s_suppkey AS VARCHAR) END || ' · 개념' AS title, 'they differ by ' || (b.s_suppkey - a.s_suppkey) AS body FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey + 1 = b.s_suppkey
+    UNION ALL SELECT 'catalog:한계:L' || s_suppkey || ':0', '한계', s_name || ' · 기간', CASE WHEN s_suppkey % 2 = 0 THEN 'from 1992' ELSE 'from 1992 — no older files' END FROM supplier WHERE s_acctbal > 5000""")
+def _(spark, sf) -> DataFrame:
+    s = T(spark, sf, "supplier").withColumn("id", F.col("s_suppkey").cast("string"))
+    names = s.where("s_acctbal >= 0").select("id", F.col("s_name").alias("name"))
+    other = s.select("s_nationkey", F.col("s_suppkey").alias("k2"))
+    pairs = s.join(other, "s_nationkey").where("s_suppkey + 1 = k2").select(F.concat(F.lit("C"), "id").alias("id"), F.col("id").alias("source_a"), F.col("k2").cast("string").alias("source_b"), F.lit("개념").alias("kind"), F.concat(F.lit("they differ by "), F.col("k2") - F.col("s_suppkey")).alias("text"))
+    limits = s.where("s_acctbal > 5000").select(F.concat(F.lit("L"), "id").alias("id"), F.col("id").alias("source"), F.lit("기간").alias("kind"), F.lit("from 1992").alias("text"), F.when(F.col("s_suppkey") % 2 == 0, "").otherwise("no older files").alias("reason"))
+    return search.catalogue_texts(names, pairs, limits).select("doc_id", "kind", "title", "body")
+
+
+@R.add("b03_touched_buckets", "SELECT action, count(*) AS rows FROM (SELECT CASE WHEN o_orderkey % 3 = 1 THEN 'unchanged' ELSE 'updated' END AS action FROM orders WHERE o_custkey % 2 = 0 AND o_orderkey % 3 <> 0 UNION ALL SELECT 'kept' FROM orders WHERE o_custkey % 2 = 0 AND o_orderkey % 3 = 0 UNION ALL SELECT 'added' FROM orders WHERE o_custkey % 2 = 1 AND o_orderkey % 3 <> 0) GROUP BY 1 UNION ALL SELECT 'stored', count(*) FROM orders WHERE o_custkey % 2 = 0 OR o_orderkey % 3 <> 0")
+def _(spark, sf) -> DataFrame:
+    o = T(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("value"), F.lit("2024-01").alias("released"), "o_custkey", "o_orderkey")
+    table = buckets.Buckets(spark, fresh_dir(spark, "buckets"), "id string, value double, released string", "id", 16)
+    table.merge(o.where("o_custkey % 2 = 0").select("id", "value", "released"), "released", ["value"])
+    changed = F.when(F.col("o_orderkey") % 3 == 2, F.col("value") + 1).otherwise(F.col("value"))
+    counts = table.merge(o.where("o_orderkey % 3 <> 0").select("id", changed.alias("value"), "released"), "released", ["value"])
+    return spark.createDataFrame([*counts.items(), ("stored", table.read().count())], "action string, rows long")
+
+
+_BOARD = "(SELECT o_orderpriority AS source, CAST(1 + o_custkey // 40 AS INT) AS page, o_orderkey AS place, strftime(o_orderdate, '%Y-%m') AS period, o_orderstatus AS s FROM orders)"
+
+
+@R.add("a22e_boards", f"""WITH f AS (SELECT *, source <> '1-URGENT' OR page <> 3 AS readable, source <> '2-HIGH' OR page <> 5 AS listed FROM {_BOARD}) SELECT source, period, arg_min(page, (page, place)) AS page, arg_min(place, (page, place)) AS place FROM f WHERE readable AND listed AND (source <> '2-HIGH' OR page < 5) GROUP BY 1, 2""")
+def _(spark, sf) -> DataFrame:
+    """Page 3 of one board couldn't be read, so the pages behind it count; page 5 of another is empty, so it ends there."""
+    b = T(spark, sf, "orders").select(F.col("o_orderpriority").alias("source"), (1 + F.floor(F.col("o_custkey") / 40)).cast("int").alias("page"), F.col("o_orderkey").alias("place"), F.date_format("o_orderdate", "yyyy-MM").alias("period"))
+    unread = (F.col("source") == "1-URGENT") & (F.col("page") == 3)
+    pages = b.select("source", "page").distinct().withColumn("html", F.when(~unread, "<ul>"))
+    return files.read_boards(pages, b.where(~((F.col("source") == "2-HIGH") & (F.col("page") == 5)))).select("source", "period", "page", "place")
+
+
+_NEWEST = "(SELECT * FROM observation o WHERE series = 'headcount' AND source IN ('F', 'O') AND breakdown = 'priority' AND category = '1-URGENT' AND period = (SELECT max(period) FROM observation m WHERE m.source = o.source AND m.series = 'headcount' AND m.breakdown = 'priority' AND m.category = '1-URGENT'))"
+
+
+@R.add("m13_figures_lookup", f"""SELECT 'figures' AS part, source, concat_ws(':', series, category, period, CASE source WHEN 'F' THEN '수준' ELSE '증감률만' END) AS said, CASE WHEN source = 'F' THEN value END AS value FROM {_NEWEST}
+    UNION ALL SELECT 'limits', source, 'no period asked for: newest is ' || period, NULL FROM {_NEWEST} UNION ALL SELECT 'limits', 'O', 'no basis in the catalogue: changes only', NULL UNION ALL SELECT 'limits', NULL, 'populations differ: compare changes only', NULL
+    UNION ALL SELECT 'limits', 'P', 'can''t answer by priority', NULL UNION ALL SELECT 'routes', s, t, NULL FROM (VALUES ('F', 'possible'), ('O', 'possible'), ('P', 'impossible')) v(s, t)""", ("observation",))
+def _(spark, sf) -> DataFrame:
+    dictionary = ask.Dictionary({"주문": "orders"}, {"priority": {"긴급": "1-URGENT"}}, {"orders": [("F", "headcount"), ("O", "headcount"), ("P", "headcount")]}, [])
+    capability = spark.createDataFrame([("F", ["priority"], ["orders"]), ("O", ["priority", "segment"], ["orders"]), ("P", ["segment"], ["orders"])], "source string, has_axes array<string>, topics array<string>")
+    basis = spark.createDataFrame([("F", "수준")], "source string, basis string")
+    slots = ask.slots_of(spark, "긴급 주문", dictionary, "2001-08-15")
+    found = ask.figures_lookup(views.observations(spark, sf), basis, capability, slots, dictionary)
+    figures = found["figures"].select(F.lit("figures").alias("part"), "source", F.concat_ws(":", "series", "category", "period", "basis").alias("said"), "value")
+    none = F.lit(None).cast("double")
+    return figures.union(found["limits"].select(F.lit("limits"), "source", "reason", none)).union(found["routes"].select(F.lit("routes"), "source", "state", none))

@@ -119,6 +119,21 @@ def first_per_period(posts: DataFrame, order: str) -> DataFrame:
     return posts.groupBy("source", "period").agg(F.min_by(F.struct(*columns), order).alias("r")).select("r.*")
 
 
+def read_boards(pages: DataFrame, posts: DataFrame, strict: bool = False) -> DataFrame:
+    """Fetched list pages (source, page, html, null where it couldn't be read) and the posts found on them (source,
+    page, place, period, ...) as the first post of each period, of the pages before the first page - not the
+    source's first one - that was read and lists none. A page that couldn't be read is no empty page: the pages
+    behind it count, and strictly it is an error."""
+    if strict:
+        require(pages.where("html is null").select("source", "page").orderBy("source", "page"), "boards that couldn't be read")
+    found = posts.groupBy("source", "page").agg(F.count("*").alias("_n"))
+    empty = pages.where("html is not null and page > 1").join(found, ["source", "page"], "left_anti")
+    stop = empty.groupBy("source").agg(F.min("page").alias("_stop"))
+    readable = pages.where("html is not null").select("source", "page").distinct()
+    own = posts.join(readable, ["source", "page"], "left_semi").join(stop, "source", "left").where("_stop is null or page < _stop").drop("_stop")
+    return first_per_period(own.withColumn("_o", F.struct("page", "place")), "_o").drop("_o")
+
+
 def crawl(items: DataFrame, known: DataFrame, cutoff: str) -> DataFrame:
     """Of a board's listed items (board, page, id, date) those an incremental crawl takes: unseen ones not older
     than the cutoff, from the pages before the first page without any unseen item."""
