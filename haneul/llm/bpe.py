@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .chunks import ChunkIds, gather
-from .common import SLICE, sliced
+from .common import SLICE, released, sliced
 
 #: Characters of text whose new chunks share an index; their chunks and ids are in memory at one time.
-INDEXED = 3 << 20
+INDEXED = 2 << 20
 #: Chunks that need no normaliser but lower case, the pre-tokenizer's pattern on those, and other white space.
 PRINTABLE = re.compile(r"[\x21-\x7e]+")
 ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -245,8 +245,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
                 if size >= INDEXED:
                     yield index.encode_batch([t for own in held for t in own])
                     held, size = [], 0
+                    released()
         if held:
             yield index.encode_batch([t for own in held for t in own])
+        released()
 
     return docs.withColumn(out, encoded(F.col(text_col)))
 

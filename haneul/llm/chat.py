@@ -103,8 +103,10 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     original = original.select("conv_id", "turn", F.explode(F.filter(units, lambda u: u != "")).alias("unit")).withColumn("said", F.xxhash64("unit"))
     first = original.groupBy("conv_id", "said").agg(F.min("turn").alias("said_at"))
     linked = quotes.join(wanted.join(first, ["conv_id", "said"]), ["conv_id", "said"], "left").withColumn("said_at", F.when(F.col("said_at") < F.col("turn"), F.col("said_at")))
-    partly = link_partly(linked.where("said_at is null"), original)
-    linked = linked.join(partly, ["conv_id", "said", "turn"], "left").withColumn("said_at", F.coalesce("said_at", "partly_at"))
+    linked = materialize(linked, "quotes")
+    if not linked.where("said_at is null").isEmpty():  # no passage is open: nothing to link by lines
+        partly = link_partly(linked.where("said_at is null"), original)
+        linked = linked.join(partly, ["conv_id", "said", "turn"], "left").withColumn("said_at", F.coalesce("said_at", "partly_at"))
     best = F.min(F.when(F.col("said_at").isNotNull(), F.struct("level", (-F.col("said_at")).alias("neg"))))
     return linked.groupBy("conv_id", "turn", "message").agg((-best["neg"]).alias("reply_to"), F.count("*").alias("n_quotes"), F.count("said_at").alias("n_linked"))
 

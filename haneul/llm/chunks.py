@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 
 #: Chunks that a worker keeps at most; beyond, it starts anew.
-CACHE = 300_000
+CACHE = 200_000
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

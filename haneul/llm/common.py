@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,10 +24,18 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def released() -> None:
+    """Give back to the system what this worker's allocators hold but don't use; workers outlive stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def sliced(values) -> Iterator[list]:
     """A pyarrow array as lists of at most SLICE Python values."""
     for i in range(0, len(values), SLICE):
         yield values.slice(i, SLICE).to_pylist()
+    released()
 
 
 def shared_dir(spark: SparkSession) -> str:

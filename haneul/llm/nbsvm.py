@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import sliced
+from .common import released, sliced
 
 BITS = 18
 DIM = 1 << BITS
@@ -126,19 +126,32 @@ def fit(texts: list[str | None], labels: np.ndarray, alpha: float = 1.0, cost: f
     if len(labels) < 4 or labels.min() == labels.max():
         return Model(np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0, float(np.log(odds / (1 - odds))))
     rows = [features(t) for t in texts]
-    model = fit_margins(rows, labels, alpha, cost, epochs, tol)
+    model, fold = fit_margins(rows, labels, alpha, cost, epochs, tol), folds_of(labels)
+    margins = np.array([model.margin(x) for x in rows])
+    for k in range(FOLDS) if fold is not None else ():
+        margins[fold == k] = fold_margins(rows, labels, fold, k, alpha, cost, epochs, tol)
+    return curved(model, margins, labels)
+
+
+def folds_of(labels: np.ndarray) -> np.ndarray | None:
+    """A fold for each row, each with its part of both classes; None where a class is too small to be parted."""
+    if min((labels == 0).sum(), (labels == 1).sum()) < FOLDS:
+        return None
     fold = np.zeros(len(labels), np.int64)
-    for y in (0, 1):  # each fold gets its part of both classes
+    for y in (0, 1):
         fold[labels == y] = np.arange((labels == y).sum()) % FOLDS
-    if min((labels == 0).sum(), (labels == 1).sum()) < FOLDS:
-        margins = np.array([model.margin(x) for x in rows])
-    else:
-        margins = np.zeros(len(rows))
-        for k in range(FOLDS):
-            at = np.flatnonzero(fold != k)
-            other = fit_margins([rows[i] for i in at], labels[at], alpha, cost, epochs, tol)
-            for i in np.flatnonzero(fold == k):
-                margins[i] = other.margin(rows[i])
+    return fold
+
+
+def fold_margins(rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, k: int, alpha: float = 1.0, cost: float = 1.0, epochs: int = 12, tol: float = 0.05) -> np.ndarray:
+    """The margins of fold k's rows by a model of the other folds."""
+    at = np.flatnonzero(fold != k)
+    other = fit_margins([rows[i] for i in at], labels[at], alpha, cost, epochs, tol)
+    return np.array([other.margin(rows[i]) for i in np.flatnonzero(fold == k)])
+
+
+def curved(model: Model, margins: np.ndarray, labels: np.ndarray) -> Model:
+    """The model with the logistic curve of these margins."""
     spread = margins.std() or 1.0
     slope, model.shift = platt(margins / spread, labels)
     model.slope = slope / spread
@@ -168,24 +181,57 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_sample: int = 8_000) -> Model:
-    """Fit on at most max_sample labelled rows of the learning folds."""
+    """Fit on at most max_sample labelled rows of the learning folds, one text an id (that of the least md5, if
+    rows repeat it). The final model and each fold's model are learnt in tasks of their own."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).cast("long").alias("_hn_id")).agg((F.avg(label_col) > 0.5).cast("int").alias("_hn_y"))
     chosen = known.orderBy(F.xxhash64("_hn_id"), "_hn_id").limit(max_sample)  # the bound of this broadcast
     sample = docs.select(F.col(id_col).cast("long").alias("_hn_id"), F.col(text_col).alias("_hn_text")).join(F.broadcast(chosen), "_hn_id")
+    sample = sample.groupBy("_hn_id", "_hn_y").agg(F.min_by("_hn_text", F.struct(F.md5("_hn_text"))).alias("_hn_text"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        got.sort(key=lambda r: (r[2], r[0], r[1] or ""))
-        model = fit([r[1] for r in got], np.array([r[3] for r in got], np.int64))
-        arrays = [pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (model.weights, model.squares)]
-        yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([x], pa.float64()) for x in (model.bias, model.slope, model.shift))], ["weights", "squares", "bias", "slope", "shift"])
-
-    learnt = sample.select("_hn_id", "_hn_text", F.xxhash64("_hn_id").alias("h"), "_hn_y").repartition(1)
-    row = learnt.mapInArrow(learn, "weights binary, squares binary, bias double, slope double, shift double").collect()
-    if not row:
+        by_part: dict[int, list] = {}
+        for b in batches:
+            for part, *r in zip(*(c.to_pylist() for c in b.columns)):
+                by_part.setdefault(part, []).append(r)
+        for part, got in by_part.items():
+            got.sort(key=lambda r: (r[2], r[0], r[1] or ""))
+            y = np.array([r[3] for r in got], np.int64)
+            fold, single = folds_of(y), y.min() == y.max()
+            if part < FOLDS and (fold is None or len(y) < 4 or single):
+                continue
+            model, margins = None, np.array([])
+            if part == FOLDS and (fold is None or len(y) < 4 or single):
+                model = fit([r[1] for r in got], y)  # too few for folds
+            else:
+                rows = [features(r[1]) for r in got]
+                got.clear()
+                if part == FOLDS:
+                    model = fit_margins(rows, y, 1.0, 1.0, 12, 0.05)
+                else:
+                    margins = fold_margins(rows, y, fold, part)
+            out = [x.astype(np.float32).tobytes() if model else b"" for x in ((model.weights, model.squares) if model else (None, None))]
+            rest = (model.bias, model.slope, model.shift) if model else (0.0, 0.0, 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array([part]), *(pa.array([x], pa.binary()) for x in out), *(pa.array([x], pa.float64()) for x in rest), pa.array([margins.tolist()], pa.list_(pa.float64())), pa.array([y.tolist()], pa.list_(pa.int64()))], names)
+        by_part.clear()
+        released()
+
+    schema = "part long, weights binary, squares binary, bias double, slope double, shift double, margins array<double>, labels array<long>"
+    names = [c.split()[0] for c in schema.split(", ")]
+    parts = F.explode(F.array(*(F.lit(k).cast("long") for k in range(FOLDS + 1)))).alias("part")
+    learnt = sample.select(parts, "_hn_id", "_hn_text", F.xxhash64("_hn_id").alias("h"), "_hn_y").repartitionByRange(FOLDS + 1, "part")
+    found = {r.part: r for r in learnt.mapInArrow(learn, schema).collect()}
+    if not found:
         return fit([], np.array([]))
-    return Model(*(np.frombuffer(x, np.float32).astype(np.float64) for x in (row[0].weights, row[0].squares)), row[0].bias, row[0].slope, row[0].shift)
+    last = found.pop(FOLDS)
+    model = Model(*(np.frombuffer(x, np.float32).astype(np.float64) for x in (last.weights, last.squares)), last.bias, last.slope, last.shift)
+    if not found:
+        return model
+    y = np.array(last.labels, np.int64)
+    fold, margins = folds_of(y), np.zeros(len(y))
+    for k, r in found.items():
+        margins[fold == k] = r.margins
+    return curved(model, margins, y)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
