@@ -61,6 +61,25 @@ def schedule_date(text: Column, year: int | Column) -> Column:
     return F.try_to_date(F.format_string("%04d-%02d-%02d", year if isinstance(year, Column) else F.lit(year), at(1), at(2)), "yyyy-MM-dd")
 
 
+def header_columns(header: Column) -> Column:
+    """The columns of a printed header as array of struct(year, period): a year stands for the periods to its right
+    until the next year; a year directly before another year, or last, is a column of its own, of the whole year."""
+    words = F.filter(F.split(F.trim(header), r"(?U)\s+"), lambda w: w != "")
+    year = lambda w: F.nullif(F.regexp_extract(w, r"^((?:19|20)\d{2})년?$", 1), F.lit("")).cast("int")
+    seen = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("word"), year(w).alias("year")))
+    shape = "struct<last:int,cols:array<struct<year:int,period:string>>>"
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.expr("CAST(array() AS array<struct<year:int,period:string>>)").alias("cols")).cast(shape)
+
+    def step(state: Column, w: Column) -> Column:
+        bare = w["year"].isNotNull()
+        alone = bare & F.coalesce(year(F.get(words, w["i"] + 1)).isNotNull(), F.lit(False)) | bare & (w["i"] == F.size(words) - 1)
+        own = F.struct(F.when(bare, w["year"]).otherwise(state["last"]).alias("year"), F.when(~bare, w["word"]).alias("period"))
+        cols = F.when(~bare & state["last"].isNotNull() | alone, F.concat(state["cols"], F.array(own))).otherwise(state["cols"])
+        return F.struct(F.when(bare, w["year"]).otherwise(state["last"]).alias("last"), cols.alias("cols")).cast(shape)
+
+    return F.aggregate(seen, start, step)["cols"]
+
+
 def tags_of(text: Column, tags: dict[str, list[str]], unrelated: list[str]) -> Column:
     """Tags with a word in the text, once words that merely contain one have been taken out."""
     bare = F.lower(text)

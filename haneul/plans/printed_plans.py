@@ -9,6 +9,7 @@ from ..functions import printed
 from ..functions.storage import fresh_dir
 from ..operators import printed as tables
 from ..operators import quality, series, visits
+from ..sinks.tables import Versions
 from ..sources import files
 from ..sources.registry import Collectors, DocumentSources
 from ..streaming import beacons
@@ -203,3 +204,24 @@ def _(spark, sf):
     paged = lambda s, chosen: T(s, sf, "documents").join(chosen, ["doc_id", "lang"], "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "p")).select("doc_id", (F.col("i") + 1).alias("page"), F.octet_length("p").alias("bytes"))
     sources.register("archive", described, paged)
     return sources.pages(spark, "archive", sources.documents(spark, "archive").where("lang = 'de'"))
+
+
+@R.add("h28_header_columns", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN y || ':상반,' || y || ':하반,' || (y + 1) || ':연간' WHEN 1 THEN y || ':,' || (y + 1) || ':1Q,' || (y + 1) || ':2Q' ELSE y || ':,' || (y + 1) || ':' END AS columns FROM (SELECT o_orderkey, year(o_orderdate) AS y FROM orders)""")
+def _(spark, sf):
+    y = F.year("o_orderdate")
+    text = lambda c: c.cast("string")
+    header = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("(단위: %)  "), text(y), F.lit("년 상반 하반  "), text(y + 1), F.lit(" 연간"))).when(F.col("o_orderkey") % 3 == 1, F.concat_ws(" ", text(y), text(y + 1), F.lit("1Q 2Q"))).otherwise(F.concat(text(y), F.lit("\t"), text(y + 1)))
+    columns = F.transform(printed.header_columns(header), lambda c: F.concat(c["year"].cast("string"), F.lit(":"), F.coalesce(c["period"], F.lit(""))))
+    return T(spark, sf, "orders").select("o_orderkey", F.array_join(columns, ",").alias("columns"))
+
+
+@R.add("o06_merged_stream", "SELECT CAST(l_orderkey AS VARCHAR) AS id, max(strftime(l_shipdate, '%Y-%m')) AS released, arg_max(l_quantity, (strftime(l_shipdate, '%Y-%m'), l_quantity)) AS value FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    """Order lines as snapshots of their order, many of one key in a batch, merged from a stream that is run twice."""
+    rows = T(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.date_format("l_shipdate", "yyyy-MM").alias("released"), F.col("l_quantity").alias("value"))
+    path, root = fresh_dir(spark, "in"), fresh_dir(spark, "snapshots")
+    rows.write.parquet(path)
+    for _ in range(2):
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        beacons.merge_snapshots(stream, spark, f"{root}/table", f"{root}/checkpoint", "id", "released", ["value"]).awaitTermination()
+    return Versions(spark, f"{root}/table").read("id string, released string, value double")

@@ -71,12 +71,16 @@ def _(spark, sf):
     return files.read_overrides(spark, _texts(array(n, 0), array(n.where("n_regionkey < 3"), 100)), "observation").select("id", "value")
 
 
-@R.add("a04_sharded_texts", "SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang = 'de' THEN 'later ' ELSE '' END || source AS text FROM documents")
-def _(spark, sf):
-    d = T(spark, sf, "documents")
-    shard = lambda df, text: df.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), text)))).alias("value"))
-    shards = [shard(d.where(F.col("lang") == x), F.col("source")) for x in ("de", "en", "es", "fr")]
-    return files.read_shards(spark, _texts(*shards, shard(d.where("lang = 'de'"), F.concat(F.lit("later "), "source"))))
+@R.add("a04_sharded_texts", "SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang = 'de' THEN 'later ' ELSE '' END || text AS text FROM documents")
+def _(spark, sf):
+    """Whole texts, in PARTS shards for each language; those of one language come again, changed, in shards named later."""
+    d = T(spark, sf, "documents").withColumn("part", F.pmod("doc_id", F.lit(PARTS)).cast("string"))
+    later = d.where("lang = 'de'").withColumns({"text": F.concat(F.lit("later "), "text"), "lang": F.lit("zz")})
+    shard = F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), "text"))), {"ignoreNullFields": "false"})
+    shards = d.unionByName(later).groupBy(F.concat(F.coalesce("lang", F.lit("")), "part").alias("k")).agg(shard.alias("value"))
+    path = fresh_dir(spark, "files")
+    shards.repartitionByRange(50 * PARTS, "k").select("value").write.text(path)  # far more ranges than shards: a file each, named in their order
+    return files.read_shards(spark, path)
 
 
 @R.add("a06_flattened_releases", "SELECT o_orderstatus || '-' || m AS id, o_orderstatus AS source, m AS month, 'post ' || k AS title, CAST(m || '-20' AS DATE) AS posted_at FROM (SELECT o_orderstatus, strftime(o_orderdate, '%Y-%m') AS m, min(o_orderkey) AS k FROM orders GROUP BY 1, 2)")
