@@ -15,7 +15,8 @@ Entropy alone can't tell a menu or advert whose words change on every page from
 branch is also left out by what its markup says it is: its tag (nav, footer, aside, form and so
 on), or a whole name among its classes, ids and roles that consists of boilerplate words and
 words of place alone (ad, site-footer, sidebar_left; not comments-open, cookie-recipe or
-search-results). Within article and main elements only names of reader comments and adverts count.
+search-results). Within article and main elements only names of reader comments, adverts, notices,
+sign-up boxes, sidebars and menus count.
 Where article and main elements hold the larger part of the kept text, only what lies in
 them is taken, with the page's own h1 and lead in front of them. Articles that share their path
 with others (cards of teasers) are ordinary branches. Names and forms
@@ -65,7 +66,10 @@ BOILERPLATE_WORDS = frozenset(
     "complementary contentinfo dialog".split()
 )
 #: The same within article and main elements, and words of place that may stand beside either.
-WORDS_IN_MAIN = frozenset("ad ads advert adverts advertisement advertising sponsored comment comments commentlist disqus respond".split())
+WORDS_IN_MAIN = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored promo comment comments commentlist disqus respond newsletter subscribe subscription signup sidebar "
+    "cookie cookies consent gdpr notice notices popup modal overlay breadcrumb breadcrumbs nav navbar navigation menu".split()
+)
 PLACE_WORDS = frozenset("site page main top bottom left right upper lower inner outer first second third primary secondary global local mobile desktop header box bar list links section area block wrapper wrap container content unit slot".split())
 
 #: Pages of full importance that a node starts with, elsewhere and inside an article or main element, and the importance below which it is left out.

@@ -802,6 +802,14 @@ def test_main_is_taken_alone_only_as_the_larger_part(spark, page, want):
     assert html_main.extract(df).collect()[0].text == want
 
 
+@pytest.mark.parametrize("name", ["newsletter-signup", "sidebar", "site-notice", "cookie_bar", "nav-menu"])
+def test_boxes_inside_an_article_go(spark, name):
+    said = "A long story is told here. " * 9 + "It ends."
+    page = f'<body><article><h1>Title</h1><p>{said}</p><div class="{name}">We use cookies. Sign up!</div><div class="notice-of-the-day recipe">Stays.</div></article></body>'
+    got = html_main.extract(spark.createDataFrame([(1, "http://h.example/", page)], "page_id long, url string, html string")).first().text
+    assert got == f"Title\n{said}\nStays."
+
+
 # -- fingerprints
 
 
