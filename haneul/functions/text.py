@@ -160,6 +160,30 @@ def dictionary_matcher(dictionary: dict[str, str]):
     return match
 
 
+def topic_matcher(dictionary: dict[str, list[str]]):
+    """topics() for large dictionaries: a column function that passes each text once, whatever the number of keywords."""
+    topics_of: dict[str, set[int]] = {}
+    for i, words in enumerate(dictionary.values()):
+        for w in words:
+            if bare := w.replace(" ", ""):
+                topics_of.setdefault(bare, set()).add(i)
+    forms, names = list(topics_of), list(dictionary)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found_in = automaton(forms) if forms else None
+        for texts in batches:
+            out = []
+            for text in texts:
+                found: set[int] = set()
+                for _, i in found_in.iter("".join(text.split())) if forms and text else ():
+                    found |= topics_of[forms[i]]
+                out.append([names[i] for i in sorted(found)])
+            yield pd.Series(out)
+
+    return match
+
+
 def _leaves(value, texts: list[str], figures: list[float]) -> None:
     if isinstance(value, str):
         texts.extend([value] if value else [])

@@ -85,6 +85,12 @@ def _(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", F.array_join(text.topics(F.col("text"), TOPICS), ",").alias("topics"))
 
 
+@R.add("k06_topics_in_one_pass", "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN {_has('b', [w.replace(' ', '') for w in ws])} THEN '{t}' END" for t, ws in TOPICS.items()) + f") AS topics FROM (SELECT doc_id, {_BARE} AS b FROM documents)")
+def _(spark, sf):
+    match = text.topic_matcher(TOPICS)
+    return views.table(spark, sf, "documents").select("doc_id", F.array_join(match("text"), ",").alias("topics"))
+
+
 @R.add("g14_topic_chips", "SELECT topic, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS topic FROM bare WHERE {_has('b', [w.replace(' ', '') for w in ws])}" for t, ws in TOPICS.items()).replace("FROM bare", f"FROM (SELECT {_BARE} AS b FROM documents)") + ") GROUP BY 1")
 def _(spark, sf):
     return documents.chips(views.table(spark, sf, "documents").select(text.topics(F.col("text"), TOPICS).alias("t")), "t")

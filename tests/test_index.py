@@ -96,3 +96,14 @@ def test_automaton_equals_the_slow_matcher(spark):
     got = {r.i: [m.key for m in r.m] for r in df.select("i", match("t").alias("m")).collect()}
     assert got == {-1: []} | {i: slow_matches(t, keys) for i, t in enumerate(texts)}
     assert text.dictionary_matcher({}) and spark.range(1).select(text.dictionary_matcher({"": "x"})(__import__("pyspark").sql.functions.lit("a")).alias("m")).first().m == []
+
+
+def test_topics_in_one_pass_equal_topics(spark):
+    from pyspark.sql import functions as F
+
+    dictionary = {"a": ["고용", "취 업"], "b": ["정년", "고용률"], "none": ["zz"], "c": ["x y", "y"]}
+    rng = random.Random(4)
+    texts = [None, "", *(" ".join(rng.choices(["고용", "고용률", "취", "업", "정 년", "x", "y", "z"], k=rng.randrange(6))) for _ in range(200))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    made = df.select("i", text.topic_matcher(dictionary)("t").alias("m"), text.topics(F.coalesce("t", F.lit("")), dictionary).alias("n")).collect()
+    assert all(r.m == r.n for r in made) and any(len(r.m) > 2 for r in made)
