@@ -9,7 +9,8 @@ rules; a null language or source is a group of its own; a document without an id
 learnt from and stays in dedup unless its text has another document. Repeated rows are scored,
 measured and counted each, and one of them stays after dedup. Very long texts are read whole in
 every stage. An empty table passes through all stages as one; a stage whose predecessor kept
-nothing returns nothing.
+nothing returns nothing. Columns of documents beyond those of the table pass through all stages but the
+last; ones named quality_measures, base_failed or kept hold the rules' own values after that stage.
 """
 
 from __future__ import annotations
