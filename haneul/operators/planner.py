@@ -9,8 +9,10 @@ from ..functions.numbers import mantissa
 
 #: How far two sources may be compared, the most careful first.
 RANKS = ("불가", "증감률만", "수준")
-#: Years with their parts, cohorts, and terms; they name something and aren't figures.
-PERIOD = r"(?<![A-Za-z0-9_])(19|20)\d{2}(년|[-–]\d{1,2}|S[12]|H[12]|Q[1-4])?(?![A-Za-z0-9_])"
+#: Years with their parts, cohorts, and terms; they name something and aren't figures. A bare number
+#: that a unit follows is no year.
+UNIT = "[천만억]|명|건|원|가구|곳|%"
+PERIOD = rf"(?<![A-Za-z0-9_])(19|20)\d{{2}}(년|[-–]\d{{1,2}}|S[12]|H[12]|Q[1-4]|(?!{UNIT}))(?![A-Za-z0-9_])"
 COHORT = r"(?<![\d.,])(?:\d+\s*[~\-–]\s*\d+세|\d+세\s*(?:이상|미만|이하|초과)?|\d+대)"
 TERM = r"(?<![\d.,])\d+(?:분기|반기|월|년)"
 NUMBER = r"([-−+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?|[-−+]?\d+(?:\.\d+)?)"

@@ -229,3 +229,9 @@ def test_collection_kind(spark):
 def test_figures(spark):
     t = "2026년 7월 30~39세 취업자는 29,151천명으로 -2.3% 줄고 1.5년, 2025S1, 3분기 1,234대"
     assert list(spark.createDataFrame([(t,)], "t string").select(planner.figures(F.col("t")).alias("f")).collect()[0].f) == [29151.0, -2.3, 1.5, 1234.0]
+
+
+def test_a_counted_year_is_a_figure(spark):
+    texts = {"2001건, 1999명과 2024천명": [2001.0, 1999.0, 2024.0], "2001년 12건, 2024-03, 2024는 그대로": [12.0]}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", planner.figures(F.col("t")).alias("f")).collect()
+    assert {r.t: list(r.f) for r in got} == texts
