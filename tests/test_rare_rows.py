@@ -31,3 +31,7 @@ ORDERS = "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate time
 @pytest.mark.parametrize("name", ["k18_figures", "m09_verify_answers"])
 def test_answers_of_any_customer(same, name):
     same(name, orders=([(i, k, 1234.5 + i, datetime(1999, 7, 1)) for i, k in enumerate((7, 70, 1900, 2001, 2099, 7000, 12_000))], ORDERS))
+
+
+def test_sizes_halfway_between_two_printed_ones(same):
+    same("m19_domain_states", supplier=([(k,) for k in (36_864, 36_869, 4_099, 12_289, 20_484)], "s_suppkey long"))
