@@ -4,7 +4,9 @@ import math
 import random
 import unicodedata
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from haneul.functions import text
 from haneul.operators import text_index
@@ -68,6 +70,30 @@ def test_a_question_reads_its_own_lists_alone(index):
     assert "PushedFilters: [In(trigram" in plan or "PushedFilters: [IsNotNull(trigram), EqualTo(trigram" in plan
 
 
+def test_places_are_packed_and_found_again():
+    rng = np.random.default_rng(3)
+    for n, docs, longest in ((1, 1, 1), (5, 1, 1 << 31), (5000, 4096, 20_000), (5000, 3, 1 << 20)):
+        lists = np.sort(rng.integers(0, min(n, 40), n))
+        place = rng.integers(0, docs, n) << text_index.FIELD + 1 | rng.integers(0, 2, n) << text_index.FIELD | rng.integers(0, longest, n)
+        order = np.lexsort((place, lists))
+        lists, place = lists[order], place[order]
+        fresh = np.append(True, np.diff(lists) != 0)
+        data, ends = text_index._packed(place, fresh)
+        again, counts = text_index._unpacked(data, np.diff(ends, prepend=0))
+        assert again.tolist() == place.tolist() and counts.tolist() == np.unique(lists, return_counts=True)[1].tolist()
+
+
+def test_postings_are_small_and_not_shuffled(index):
+    rows = index.spark.read.parquet(f"{index.root}/postings")
+    letters = index.docs().agg(F.sum("tokens")).first()[0]
+    assert rows.agg(F.sum(F.length("places").cast("long"))).first()[0] < 4 * letters
+    for path in rows.inputFiles():  # each task's own file, sorted
+        grams = [r.trigram for r in index.spark.read.parquet(path).coalesce(1).collect()]
+        assert grams == sorted(grams)
+    docs = index.docs().select("block").distinct().count()
+    assert rows.select("block").distinct().count() <= docs
+
+
 def test_index_of_an_empty_corpus(spark, tmp_path):
     none = text_index.TextIndex(spark, str(tmp_path / "i")).build(spark.createDataFrame([], "doc_id string, domain string, title string, body string, date string"))
     assert none.matches(["the"]).count() == 0 and none.best(["the"]).count() == 0
