@@ -52,42 +52,62 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 
 class VisitorDays(StatefulProcessor):
     """A visitor's state: first day and hits, and a map from day to that day's hits. Event-time timers give a
-    day's count up DAY_KEPT after the day and everything VISITOR_KEPT after the last hit."""
+    day's count up DAY_KEPT after the day and everything VISITOR_KEPT after the last hit; a visitor has one timer,
+    for what ends first. A day that the next watermark, at least the last hit less `late`, gives up isn't stored."""
 
-    def __init__(self, cap: int, day_kept: timedelta = DAY_KEPT, visitor_kept: timedelta = VISITOR_KEPT) -> None:
-        self.cap, self.day_kept, self.visitor_kept = cap, _millis(day_kept), _millis(visitor_kept)
+    def __init__(self, cap: int, day_kept: timedelta = DAY_KEPT, visitor_kept: timedelta = VISITOR_KEPT, late: timedelta = timedelta.max) -> None:
+        self.cap, self.day_kept, self.visitor_kept, self.late = cap, _millis(day_kept), _millis(visitor_kept), _millis(late)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.summary = handle.getValueState("summary", "first_day string, hits long, last long")
+        self.summary = handle.getValueState("summary", "first_day string, hits long, last long, timer long")
         self.days = handle.getMapState("days", "day string", "hits long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first, n, last = self.summary.get() if self.summary.exists() else (None, 0, 0)
-        now, counts = timerValues.getCurrentWatermarkInMs(), {}
+        old = self.summary.get()
+        first, n, last, timer = old or (None, 0, 0, None)
+        now, ahead, counts, stored = timerValues.getCurrentWatermarkInMs(), 0, {}, set()
         for r in sorted(rows, key=lambda r: (r["day"], r["id"])):
-            day, until = r["day"], _day_end(r["day"]) + self.day_kept
+            day = r["day"]
             first, n, last = min(first or day, day), n + 1, max(last, r["at"])
+            if r["ts"] is not None:
+                ahead = max(ahead, r["at"] - self.late)
             if day not in counts:
-                counts[day] = self.days.getValue((day,))[0] if self.days.containsKey((day,)) else 0
-                if not counts[day] and until > now:
-                    self.handle.registerTimer(until)
+                counts[day] = 0
+                if old and self.days.containsKey((day,)):
+                    counts[day] = self.days.getValue((day,))[0]
+                    stored.add(day)
             counts[day] += 1
-            yield Row(visitor=key[0], id=r["id"], day=day, kept=until > now and counts[day] <= self.cap, hits=n, first_day=first)
+            yield Row(visitor=key[0], id=r["id"], day=day, kept=_day_end(day) + self.day_kept > now and counts[day] <= self.cap, hits=n, first_day=first)
+        ends = [last + self.visitor_kept]
         for day, hits in counts.items():
-            if _day_end(day) + self.day_kept > now:
+            until = _day_end(day) + self.day_kept
+            if until > max(now, ahead) or day in stored:
                 self.days.updateValue((day,), (hits,))
-        self.summary.update((first, n, last))
-        self.handle.registerTimer(last + self.visitor_kept)
+                ends.append(until)
+        due = max(min(ends), now + 1)
+        if timer is None or now < timer and due < timer:  # a timer that is due runs after the rows, and sets the next
+            timer = due
+            self.handle.registerTimer(timer)
+        self.summary.update((first, n, last, timer))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        for (day,) in list(self.days.keys()):
-            if _day_end(day) + self.day_kept <= now:
-                self.days.removeKey((day,))
-        if self.summary.exists() and self.summary.get()[2] + self.visitor_kept <= now:
-            self.summary.clear()
-            self.days.clear()
+        now, old = timerValues.getCurrentWatermarkInMs(), self.summary.get()
+        if old and old[3] <= now:
+            first, n, last, _ = old
+            ends = [last + self.visitor_kept]
+            if ends[0] <= now:
+                self.summary.clear()
+                self.days.clear()
+                return iter([])
+            for (day,) in list(self.days.keys()):
+                until = _day_end(day) + self.day_kept
+                if until <= now:
+                    self.days.removeKey((day,))
+                else:
+                    ends.append(until)
+            self.handle.registerTimer(min(ends))
+            self.summary.update((first, n, last, min(ends)))
         return iter([])
 
     def close(self) -> None:
@@ -111,8 +131,9 @@ def visitor_stream(hits: DataFrame, cap: int = CAP, late: str = "48 hours", day_
     that come together - and its visitor's running state. Hits of a day that is given up, or later than
     `late` behind the newest, are not kept; state lives in RocksDB, a change at a time."""
     hits.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    behind = hits.sparkSession.sql("SELECT unix_millis(timestamp_millis(0) + CAST(:late AS INTERVAL))", {"late": late}).first()[0]
     rows = hits.select(F.col("visitor").cast("string").alias("visitor"), "id", "ts", "day", F.coalesce(F.unix_millis("ts"), F.unix_millis(F.to_timestamp("day"))).alias("at")).withWatermark("ts", late)
-    return rows.groupBy("visitor").transformWithState(VisitorDays(cap, day_kept, visitor_kept), KEPT, "Append", "EventTime")
+    return rows.groupBy("visitor").transformWithState(VisitorDays(cap, day_kept, visitor_kept, timedelta(milliseconds=behind)), KEPT, "Append", "EventTime")
 
 
 def quotas(requests: DataFrame, limit: int, late: str = "48 hours") -> DataFrame:
