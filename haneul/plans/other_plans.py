@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, printed, text
+from ..functions.dealing import dealt
 from ..operators import ask, documents, forecasts, planner, press, quality, series, status, versioning
 from ..operators import printed as printed_ops
 from . import views
@@ -287,8 +288,8 @@ def _(spark, sf):
     SELECT l_orderkey AS o_orderkey, max(CASE WHEN k = 1 THEN l_linenumber END) AS level_tab, max(CASE WHEN k = 1 THEN l_quantity END) AS level, max(CASE WHEN k = 2 THEN l_linenumber END) AS delta_tab, max(CASE WHEN k = 2 THEN l_quantity END) AS delta, max(CASE WHEN k = 3 THEN l_linenumber END) AS rate_tab, max(CASE WHEN k = 3 THEN l_quantity END) AS rate
     FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) GROUP BY 1)""")
 def _(spark, sf):
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    tables = T(spark, sf, "lineitem").withColumn("k", F.row_number().over(order)).select(F.col("l_orderkey").alias("o_orderkey"), F.struct("k", F.col("l_linenumber").alias("n")).alias("tab"), F.col("l_quantity").alias("value"))
+    order, lines = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"), T(spark, sf, "lineitem")
+    tables = dealt(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), lines.count(), "l_orderkey").withColumn("k", F.row_number().over(order)).select(F.col("l_orderkey").alias("o_orderkey"), F.struct("k", F.col("l_linenumber").alias("n")).alias("tab"), F.col("l_quantity").alias("value"))
     found = quality.tables_in_order(tables, ["o_orderkey"], 20, 45)
     return found.withColumns({f"{n}_tab": F.col(f"{n}_tab.n") for n in ("level", "delta", "rate")})
 

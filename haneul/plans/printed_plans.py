@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import printed
+from ..functions.dealing import dealt
 from ..functions.storage import fresh_dir
 from ..operators import printed as tables
 from ..operators import quality, series, visits
@@ -83,7 +84,8 @@ def _(spark, sf):
     """A row per order line, with a figure within reach of a column or, for large quantities of open lines, beyond any."""
     from pyspark.sql import Window as W
 
-    li = T(spark, sf, "lineitem").withColumn("n", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*_ROW.split(", "))))
+    lines = T(spark, sf, "lineitem")
+    li = dealt(lines.select("l_orderkey", *_ROW.split(", ")), lines.count(), "l_orderkey").withColumn("n", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*_ROW.split(", "))))
     at = F.when(F.col("l_linestatus") == "F", 100.0).when(F.col("l_quantity") < 40, 200.0).otherwise(300.0) + F.col("l_quantity") % 20
     figure = F.concat(F.when(F.col("l_returnflag") == "A", "△").otherwise(""), F.format_string("%.1f", "l_quantity"))
     words = F.array(F.struct(F.lit(0.0).alias("left"), F.lit("label").alias("text")), F.struct(at.alias("left"), figure.alias("text")))
