@@ -113,14 +113,16 @@ class TokenFile:
         return out
 
 
-#: Chunks that the library encodes in one text, and those that this tokenizer surely cuts into one piece of letters
+#: Words that the library encodes in one text, and chunks that this tokenizer surely cuts into one piece of letters
 #: and one of signs behind them, if any. Its pieces end in ids of their own.
 JOINED = 64
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:-@\[-`{-~]*)")
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Pieces that a worker keeps at most; beyond, it starts anew.
+PIECES = 400_000
 
 
 class LibraryEncoder:
-    """The tokenizers library over the distinct chunks of texts."""
+    """The tokenizers library over the distinct chunks of texts, and within these over the distinct pieces."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -133,34 +135,55 @@ class LibraryEncoder:
         self.closing = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
         self.closing[[i for x, i in names.items() if x.endswith("</w>")]] = True
         self.encode = ChunkIds(self.encode_new).encode
-
-    def encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of chunks, and the number of each one's. Chunks that are surely one or two pieces are encoded
-        JOINED at a time, and told apart by the ids that end a piece; the others, and groups that give
-        another number of pieces, are encoded each. The fast calls leave out offsets."""
-        pieces = [0 if m is None else 2 if m[1] else 1 for m in map(PLAIN.fullmatch, chunks)] if self.closing.any() else [0] * len(chunks)
-        plain = [k for k, n in enumerate(pieces) if n]
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        lens, found = np.zeros(len(chunks), np.int64), []
-        order: list[int] = []
-        single = [k for k, n in enumerate(pieces) if not n]
-        for group, ids in zip(groups, self._ids([" ".join([chunks[k] for k in g]) for g in groups])):
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str | None, int] = {"": 0, None: -1}  # -1: the library cuts it otherwise
+        self.ids, self.starts, self.lens = array("i"), array("q", [0]), array("q", [0])
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        self.known.update(zip(pieces, range(len(self.starts), len(self.starts) + len(pieces))))
+        self.starts.frombytes((len(self.ids) + np.cumsum(lens) - lens).astype(np.int64).tobytes())
+        self.lens.frombytes(lens.astype(np.int64).tobytes())
+        self.ids.frombytes(ids.astype(np.int32).tobytes())
+
+    def _learn(self, words: tuple[str | None, ...], signs: tuple[str | None, ...]) -> None:
+        """Keep the new pieces of chunks. Words are encoded JOINED at a time and told apart by the ids that end a piece;
+        signs are tried behind a word: they count as a piece if they change none of its ids."""
+        new = list(set(words) - self.known.keys())
+        groups = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
             ends = np.flatnonzero(self.closing[ids]) + 1
-            last = np.cumsum([pieces[k] for k in group]) - 1
-            if len(ends) == last[-1] + 1 and ends[-1] == len(ids):
-                lens[group] = np.diff(ends[last], prepend=0)
-                order += group
-                found.append(ids)
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                self._keep(group, ids, np.diff(ends, prepend=0))
             else:
-                single += group
+                self.known.update(dict.fromkeys(group, -1))
+        if fresh := set(signs) - self.known.keys():
+            for x, word in {x: w for w, x in zip(words, signs) if x in fresh}.items():
+                both, own, alone = self._ids([word + x, x, word])
+                if self.closing[own].sum() == 1 and self.closing[own[-1]] and np.array_equal(both, np.concatenate([alone, own])):
+                    self._keep([x], own, np.array([len(own)]))
+                else:
+                    self.known[x] = -1
+
+    def encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, and the number of each one's: those of their pieces where they surely have one or two,
+        which many chunks share; other chunks are encoded each. The fast calls leave out offsets."""
+        if len(self.known) > PIECES:
+            self.clear()
+        n, none = len(chunks), (None, None)
+        words, signs = zip(*(none if m is None else m.groups() for m in map(PLAIN.fullmatch, chunks))) if self.closing.any() else ((None,) * n,) * 2
+        self._learn(words, signs)
+        pieces = np.stack([np.fromiter(map(self.known.__getitem__, x), np.int64, n) for x in (words, signs)], 1)
+        sure = (pieces >= 0).all(1)
+        starts, lens = (np.where(sure[:, None], np.array(x, np.int64)[pieces], 0) for x in (self.starts, self.lens))
+        flat, at = [np.array(self.ids, np.int32)], len(self.ids)
+        single = np.flatnonzero(~sure).tolist()
         for k, ids in zip(single, self._ids([chunks[k] for k in single])):
-            lens[k] = len(ids)
-            order.append(k)
-            found.append(ids)
-        at = np.array(order, np.int64)
-        starts = np.zeros(len(chunks), np.int64)
-        starts[at] = np.cumsum(lens[at]) - lens[at]
-        return gather(np.concatenate(found).astype(np.int32), starts, lens), lens
+            starts[k, 0], lens[k, 0] = at, len(ids)
+            flat.append(ids)
+            at += len(ids)
+        return gather(np.concatenate(flat), starts.ravel(), lens.ravel()), lens.sum(1)
 
     def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         for i in range(0, len(texts), 4096):
