@@ -29,11 +29,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .chunks import ChunkIds, gather
+from .chunks import Kept, gather, ids_of_texts, strings
 from .warc import _open
 
 MAGIC = b"DAC1"
@@ -116,7 +117,8 @@ class TokenFile:
 #: Words that the library encodes in one text, and chunks that this tokenizer surely cuts into one piece of letters
 #: and one of signs behind them, if any. Its pieces end in ids of their own.
 JOINED = 64
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+LETTERS = r"A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN = rf"^(?P<word>[{LETTERS}]+)(?P<signs>[!-&(-/:-@\[-`{{-~]*)$"
 #: Pieces that a worker keeps at most; beyond, it starts anew.
 PIECES = 400_000
 
@@ -134,56 +136,70 @@ class LibraryEncoder:
         names = self.library.get_vocab(with_added_tokens=False)
         self.closing = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
         self.closing[[i for x, i in names.items() if x.endswith("</w>")]] = True
-        self.encode = ChunkIds(self.encode_new).encode
+        letters = [chr(i) for i in range(256) if re.match(f"[{LETTERS}]", chr(i))]
+        normal = self.library.normalizer.normalize_str if self.library.normalizer else str
+        self.lowers = all(normal(x) == normal(x.lower()) for x in letters)  # so words may be told apart by their lower case
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str | None, int] = {"": 0, None: -1}  # -1: the library cuts it otherwise
-        self.ids, self.starts, self.lens = array("i"), array("q", [0]), array("q", [0])
-
-    def _keep(self, pieces: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
-        self.known.update(zip(pieces, range(len(self.starts), len(self.starts) + len(pieces))))
-        self.starts.frombytes((len(self.ids) + np.cumsum(lens) - lens).astype(np.int64).tobytes())
-        self.lens.frombytes(lens.astype(np.int64).tobytes())
-        self.ids.frombytes(ids.astype(np.int32).tobytes())
-
-    def _learn(self, words: tuple[str | None, ...], signs: tuple[str | None, ...]) -> None:
-        """Keep the new pieces of chunks. Words are encoded JOINED at a time and told apart by the ids that end a piece;
-        signs are tried behind a word: they count as a piece if they change none of its ids."""
-        new = list(set(words) - self.known.keys())
-        groups = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
-        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
-            ends = np.flatnonzero(self.closing[ids]) + 1
-            if len(ends) == len(group) and ends[-1] == len(ids):
-                self._keep(group, ids, np.diff(ends, prepend=0))
-            else:
-                self.known.update(dict.fromkeys(group, -1))
-        if fresh := set(signs) - self.known.keys():
-            for x, word in {x: w for w, x in zip(words, signs) if x in fresh}.items():
-                both, own, alone = self._ids([word + x, x, word])
-                if self.closing[own].sum() == 1 and self.closing[own[-1]] and np.array_equal(both, np.concatenate([alone, own])):
-                    self._keep([x], own, np.array([len(own)]))
-                else:
-                    self.known[x] = -1
-
-    def encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of chunks, and the number of each one's: those of their pieces where they surely have one or two,
-        which many chunks share; other chunks are encoded each. The fast calls leave out offsets."""
-        if len(self.known) > PIECES:
+        self.kept = Kept()
+        self.kept.add([""], np.zeros(0, np.int32), np.zeros(1, np.int64))
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and the place where each text's end."""
+        if len(self.kept.known) > PIECES:
             self.clear()
-        n, none = len(chunks), (None, None)
-        words, signs = zip(*(none if m is None else m.groups() for m in map(PLAIN.fullmatch, chunks))) if self.closing.any() else ((None,) * n,) * 2
-        self._learn(words, signs)
-        pieces = np.stack([np.fromiter(map(self.known.__getitem__, x), np.int64, n) for x in (words, signs)], 1)
+        return ids_of_texts(texts, self._of_chunks)
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Keep the new ones of words, encoded JOINED at a time and told apart by the ids that end a piece."""
+        new = [x for x in words if x not in self.kept.known]
+        groups, found, lens, ids = [new[i : i + JOINED] for i in range(0, len(new), JOINED)], [], [], []
+        for group, own in zip(groups, self._ids([" ".join(g) for g in groups])):
+            ends = np.flatnonzero(self.closing[own]) + 1
+            if len(ends) == len(group) and ends[-1] == len(own):
+                found += group
+                lens.append(np.diff(ends, prepend=0))
+                ids.append(own)
+            else:
+                self.kept.known.update(dict.fromkeys(group, -1))  # the library cuts them otherwise
+        if found:
+            self.kept.add(found, np.concatenate(ids), np.concatenate(lens))
+
+    def _learn_signs(self, behind: dict[str, str]) -> None:
+        """Keep new signs, each tried behind a word: they count as a piece if they change none of its ids."""
+        for x, word in behind.items():
+            both, own, alone = self._ids([word + x, x, word])
+            if self.closing[own].sum() == 1 and self.closing[own[-1]] and np.array_equal(both, np.concatenate([alone, own])):
+                self.kept.add([x], own, np.array([len(own)]))
+            else:
+                self.kept.known[x] = -1
+
+    def _of_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct chunks: those of their pieces where they surely have one or two, which many chunks
+        share; other chunks are encoded each. The fast calls leave out offsets."""
+        plain = pc.extract_regex(chunks, PLAIN if self.closing.any() else "^(?P<word>)(?P<signs>)$")
+        sure = plain.is_valid().to_numpy(zero_copy_only=False).copy()
+        words, signs = (plain.filter(plain.is_valid()).field(x) for x in ("word", "signs"))
+        words, signs = ((pc.utf8_lower(words) if self.lowers else words).dictionary_encode(), signs.dictionary_encode())
+        word_at, sign_at = (x.indices.to_numpy(zero_copy_only=False) for x in (words, signs))
+        words, signs = strings(words.dictionary), strings(signs.dictionary)
+        self._learn_words(words)
+        if fresh := [k for k, x in enumerate(signs) if x not in self.kept.known]:
+            first = np.zeros(len(signs), np.int64)
+            first[sign_at[::-1]] = np.arange(len(sign_at))[::-1]
+            self._learn_signs({signs[k]: words[word_at[first[k]]] for k in fresh})
+        pieces = np.full((len(chunks), 2), -1)
+        pieces[sure, 0], pieces[sure, 1] = self.kept.numbers(words)[word_at], self.kept.numbers(signs)[sign_at]
         sure = (pieces >= 0).all(1)
-        starts, lens = (np.where(sure[:, None], np.array(x, np.int64)[pieces], 0) for x in (self.starts, self.lens))
-        flat, at = [np.array(self.ids, np.int32)], len(self.ids)
-        single = np.flatnonzero(~sure).tolist()
-        for k, ids in zip(single, self._ids([chunks[k] for k in single])):
+        starts, lens = (np.where(sure[:, None], np.array(x, np.int64)[pieces], 0) for x in (self.kept.starts, self.kept.lens))
+        flat, at = [np.array(self.kept.ids, np.int32)], len(self.kept.ids)
+        for k, ids in zip(np.flatnonzero(~sure).tolist(), self._ids(chunks.filter(pa.array(~sure)).to_pylist())):
             starts[k, 0], lens[k, 0] = at, len(ids)
             flat.append(ids)
             at += len(ids)
-        return gather(np.concatenate(flat), starts.ravel(), lens.ravel()), lens.sum(1)
+        lens_of = lens.sum(1)
+        return gather(np.concatenate(flat), starts.ravel(), lens.ravel()), np.cumsum(lens_of) - lens_of, lens_of
 
     def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         for i in range(0, len(texts), 4096):
@@ -222,7 +238,7 @@ def write_tokens(docs: DataFrame, root: str, path: str, id_col: str = "doc_id",
             for i in range(0, batch.num_rows, 1024):
                 some = batch.slice(i, 1024)
                 at = some.column(0)[0].as_py()  # all rows of a task are of one range
-                found, stops = encoder.encode(some.column(2).to_pylist())
+                found, stops = encoder.encode(some.column(2))
                 lens = np.diff(stops, prepend=0) + 1
                 own = np.full(lens.sum(), end_id, np.int32)
                 closing = np.zeros(len(own), bool)

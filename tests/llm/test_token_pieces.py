@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from haneul.llm import queries, token_store
 
 ODD = ["", None, "a's don't 's", "<|endoftext|> x<|endoftext|>", "ÀÉîöÿ! Straße?! ﬁ ß", "á, b,​c", "x1, 12% (a) a-b a_b ``q''", "é, É; ÷, ×.", "</w> a</w>, @@ ##"]
@@ -25,3 +27,20 @@ def test_a_word_is_encoded_once(monkeypatch):
     monkeypatch.setattr(encoder, "_ids", lambda texts: asked.extend(texts) or inner(texts))
     encoder.encode(["tionand. tionand! the, it, of? the! tionand?"])
     assert asked == []
+
+
+def test_a_word_is_encoded_once_in_whatever_case(monkeypatch):
+    encoder = token_store.LibraryEncoder(queries.tokenizer_path())
+    encoder.encode(["Tionand straße,"])
+    asked = []
+    inner = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: asked.extend(texts) or inner(texts))
+    ids, _ = encoder.encode(["TIONAND tionand, STRAßE, Straße"])
+    assert asked == [] and ids.tolist() == encoder.library.encode("TIONAND tionand, STRAßE, Straße", add_special_tokens=False).ids
+
+
+def test_an_arrow_array_is_encoded_without_python_strings_of_it():
+    texts = ["x"] + ODD + [" a\x0bb\x0c\r\n", "c\x1cd\x85e\xa0f g  ", "\n\n"]
+    encoder = token_store.LibraryEncoder(queries.tokenizer_path())
+    ids, ends = encoder.encode(pa.array(texts).slice(1))
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == [encoder.library.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
