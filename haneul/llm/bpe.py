@@ -4,7 +4,7 @@ A task takes the distinct white-space-free chunks of its rows (those of INDEXED
 text at a time), brings them into the tokenizer's normal form, cuts them into pieces, and lays
 the pieces' symbols end to end. The index maps the rank of each pair to all its positions.
 Active ranks are applied in ascending order, each at all its positions at once, and the lists
-of the pairs that begin beside a merge are updated. Chunks already encoded by the worker are
+of the pairs that begin beside a merge are updated. Chunks already encoded by the task are
 kept, so a word is merged once, however often it occurs. White space never becomes part of a
 token of this tokenizer, so encoding chunk by chunk equals encoding the whole text; tests hold
 it against the tokenizers library.
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .chunks import ChunkIds, gather
-from .common import SLICE, released, sliced
+from .common import SLICE, released
 
 #: Characters of text whose new chunks share an index; their chunks and ids are in memory at one time.
-INDEXED = 2 << 20
+INDEXED = 1 << 20
 #: Chunks that need no normaliser but lower case, the pre-tokenizer's pattern on those, and other white space.
 PRINTABLE = re.compile(r"[\x21-\x7e]+")
 ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -194,7 +194,7 @@ class PairIndex:
         ends = np.concatenate([[0], np.cumsum(lens[at])])[np.cumsum(counts)]
         return gather(flat, starts[at], lens[at]), np.diff(ends, prepend=0)
 
-    def encode_batch(self, texts: list[str | None]) -> pa.Array:
+    def encode_batch(self, texts: pa.Array | list[str | None]) -> pa.Array:
         """The ids of whole texts, as a list array."""
         ids, ends = self.chunks.encode(texts)
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
@@ -222,8 +222,10 @@ class Names:
 
 @lru_cache(1)
 def worker_index(path: str) -> PairIndex:
-    """The index of a Python worker, with the chunks it knows; it serves all tasks that the worker runs."""
-    return PairIndex(path)
+    """The index of a Python worker; it serves all tasks that the worker runs."""
+    index = PairIndex(path)
+    released()  # the file's JSON
+    return index
 
 
 @lru_cache(1)
@@ -231,25 +233,34 @@ def worker_names(path: str) -> Names:
     return Names(path)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """docs with the token ids of every whole text."""
-
-    @arrow_udf("array<int>")
-    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = worker_index(path)
-        held, size = [], 0
+def encode_batches(index: PairIndex, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The ids of a task's texts, INDEXED characters at a time. The chunks that the index knows go with the task: Spark
+    keeps more workers than run, takes the one that is idle longest, and they live on through other stages."""
+    held, size = [], 0
+    try:
         for texts in batches:
-            for part in sliced(texts):
-                held.append(part)
-                size += sum(len(t) for t in part if t)
+            for i in range(0, len(texts), SLICE):
+                held.append(texts.slice(i, SLICE))
+                size += pc.sum(pc.utf8_length(held[-1])).as_py() or 0
                 if size >= INDEXED:
-                    yield index.encode_batch([t for own in held for t in own])
+                    yield index.encode_batch(pa.concat_arrays(held))
                     held, size = [], 0
                     released()
         if held:
-            yield index.encode_batch([t for own in held for t in own])
+            yield index.encode_batch(pa.concat_arrays(held))
+    finally:
+        held = texts = None
+        index.chunks.clear()
         released()
 
+
+def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
+    """docs with the token ids of every whole text."""
+
+    @arrow_udf("array<int>")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from encode_batches(worker_index(path), batches)
+
     return docs.withColumn(out, encoded(F.col(text_col)))
 
 

@@ -4,7 +4,7 @@ import random
 
 import pyarrow as pa
 
-from haneul.llm import queries, token_store
+from haneul.llm import bpe, queries, token_store
 
 ODD = ["", None, "a's don't 's", "<|endoftext|> x<|endoftext|>", "ÀÉîöÿ! Straße?! ﬁ ß", "á, b,​c", "x1, 12% (a) a-b a_b ``q''", "é, É; ÷, ×.", "</w> a</w>, @@ ##"]
 
@@ -44,3 +44,16 @@ def test_an_arrow_array_is_encoded_without_python_strings_of_it():
     encoder = token_store.LibraryEncoder(queries.tokenizer_path())
     ids, ends = encoder.encode(pa.array(texts).slice(1))
     assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == [encoder.library.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+
+
+def test_an_idle_worker_keeps_no_chunks(monkeypatch):
+    monkeypatch.setattr(bpe, "INDEXED", 100)
+    index, texts = bpe.worker_index(queries.tokenizer_path()), ODD + ["some words " * 30] + ODD
+    library = token_store.LibraryEncoder(queries.tokenizer_path()).library
+    parts = bpe.encode_batches(index, iter([pa.array(texts[:5]), pa.array(texts[:0], pa.string()), pa.array(texts[5:])]))
+    got = next(parts).to_pylist()
+    assert index.chunks.kept.known
+    for part in parts:
+        got += part.to_pylist()
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not index.chunks.kept.known
